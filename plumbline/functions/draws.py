@@ -74,15 +74,18 @@ class Draws:
         boosted = shape + 1.0 if shape < 1.0 else shape
         d = boosted - 1.0 / 3.0
         c = 1.0 / math.sqrt(9.0 * d)
-        tries = []
-        for i in range(GAMMA_TRIES):
-            z = self.normal(f"{draw}.t{i}")
+
+        def accepted(z: Column, u: Column) -> Column:
             base = F.lit(1.0) + F.lit(c) * z
-            v = base * base * base
-            safe = F.when(v > 0, v)
-            bound = z * z / 2.0 + F.lit(d) - F.lit(d) * safe + F.lit(d) * F.log(safe)
-            accept = F.log(F.lit(1.0) - self.unit(f"{draw}.u{i}")) < bound
-            tries.append(F.when(accept, F.lit(d) * safe))
+            v = F.when(base > 0, base * base * base)
+            bound = z * z / 2.0 + F.lit(d) - F.lit(d) * v + F.lit(d) * F.log(v)
+            return F.when(F.log(F.lit(1.0) - u) < bound, F.lit(d) * v)
+
+        # a one-element zip binds z and u once; later tries are only evaluated after a rejection
+        tries = [
+            F.get(F.zip_with(F.array(self.normal(f"{draw}.t{i}")), F.array(self.unit(f"{draw}.u{i}")), accepted), F.lit(0))
+            for i in range(GAMMA_TRIES)
+        ]
         value = F.coalesce(*tries, F.lit(d))
         if shape < 1.0:
             value = value * F.pow(F.lit(1.0) - self.unit(f"{draw}.p"), F.lit(1.0 / shape))

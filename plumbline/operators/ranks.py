@@ -267,3 +267,17 @@ def smallest_k_cutoffs(df: DataFrame, draws: dict[str, Column], k: int, limit: i
         n = names[r["i"]]
         cutoffs[n] = r["hs"][rest[n] - 1]
     return cutoffs
+
+
+def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, spread_on: str, salts: int = 32) -> DataFrame:
+    """The first ``k`` rows of each group, with ``place`` 1..k.
+
+    Two stages: the best k of each salted part of a group, then the best k of those,
+    so a group holding much of the table is still sorted by many tasks.
+    """
+    salt = F.pmod(F.xxhash64(F.col(quoted(spread_on))), F.lit(salts))
+    groups = [F.col(quoted(c)) for c in keys]
+    part = Window.partitionBy(*groups, "_salt").orderBy(*order)
+    kept = df.withColumn("_salt", salt).withColumn("place", F.row_number().over(part)).where(F.col("place") <= k)
+    whole = Window.partitionBy(*groups).orderBy(*order)
+    return kept.drop("_salt", "place").withColumn("place", F.row_number().over(whole)).where(F.col("place") <= k)
