@@ -76,11 +76,15 @@ def extract_title(first_page: Column) -> Column:
     return F.get(F.filter(lines, lambda x: (F.length(x) > 20) & ~shouted(x) & ~F.contains(x, F.lit("."))), F.lit(0))
 
 
+def _split_each(parts: Column, separator: str) -> Column:
+    return F.flatten(F.transform(parts, lambda a: F.transform(F.split(a, separator), trimmed)))
+
+
 def parse_authors(text: Column) -> Column:
     """Split on commas, then semicolons, then ' and ', then ampersands, trimming in between; names of 3 characters up."""
     parts = F.array(text)
     for separator in (",", ";", " and ", "&"):
-        parts = F.flatten(F.transform(parts, lambda a, s=separator: F.transform(F.split(a, s), trimmed)))
+        parts = _split_each(parts, separator)
     return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.filter(parts, lambda a: F.length(a) > 2))
 
 

@@ -55,7 +55,7 @@ def with_sections(df: DataFrame, pages: str = "pages", reference_labels: bool =
         body = F.transform(F.slice(F.col("_typed"), h["at"] + 2, end - h["at"] - 1), lambda x: x["line"])
         if reference_labels:
             kind = F.coalesce(after["kind"], F.lit(LAST_SECTION))
-            page = F.coalesce(after["page"], F.size(F.col(quoted(pages))) - 1)
+            page = F.coalesce(after["page"], F.col("_last_page"))
         else:
             kind, page = h["kind"], h["page"]
         return F.struct(
@@ -64,15 +64,18 @@ def with_sections(df: DataFrame, pages: str = "pages", reference_labels: bool =
 
     return (
         df.withColumn("_lines", lines)
+        .withColumn("_last_page", F.size(F.col(quoted(pages))) - 1)
         .withColumn("_typed", typed)
         .withColumn("_heads", F.filter(marked, lambda x: x.isNotNull()))
         .withColumn("sections", F.filter(F.transform(F.col("_heads"), section), lambda s: s["content"] != ""))
-        .drop("_lines", "_typed", "_heads")
+        .drop("_lines", "_last_page", "_typed", "_heads")
     )
 
 
 def split_sections(df: DataFrame, key: str = "doc_id", pages: str = "pages", reference_labels: bool = False) -> DataFrame:
-    return with_sections(df.select(quoted(key), quoted(pages)), pages, reference_labels).select(quoted(key), F.inline("sections"))
+    # the outer form keeps the planner from testing the array's size first, which would build every section twice
+    sections = with_sections(df.select(quoted(key), quoted(pages)), pages, reference_labels)
+    return sections.select(quoted(key), F.inline_outer("sections")).where("section_no is not null")
 
 
 def references_count(sections: Column) -> Column:

@@ -163,7 +163,9 @@ def training_segments(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     long = F.filter("sections", lambda s: F.length(F.trim(s["content"])) > SHORTEST_SECTION)
     asked = F.filter("sections", lambda s: s["section_type"].isin(QUESTION_SECTIONS))
     every = F.concat(first, F.transform(long, as_section), F.transform(asked, as_question))
-    return documents.select(F.col(quoted(key)), F.posexplode(every).alias("position", "s")).select(quoted(key), "position", "s.*")
+    # the outer form keeps the planner from building the array a second time to test its size
+    rows = documents.select(F.col(quoted(key)), F.posexplode_outer(every).alias("position", "s")).where("s is not null")
+    return rows.select(quoted(key), "position", "s.*")
 
 
 def explode_segments(papers: DataFrame, segments: str = "segments", key: str = "id") -> DataFrame:

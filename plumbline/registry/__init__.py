@@ -2,7 +2,7 @@
 
 import importlib
 
-AREA_NAMES = ["profile", "shaping", "generation"]
+AREA_NAMES = ["profile", "shaping", "generation", "comparison", "papers"]
 AREAS = {name: importlib.import_module(f"plumbline.registry.{name}") for name in AREA_NAMES}
 
 
