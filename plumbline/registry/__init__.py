@@ -2,7 +2,7 @@
 
 import importlib
 
-AREA_NAMES = ["profile", "shaping", "generation", "comparison", "papers", "training"]
+AREA_NAMES = ["profile", "shaping", "generation", "comparison", "papers", "training", "records"]
 AREAS = {name: importlib.import_module(f"plumbline.registry.{name}") for name in AREA_NAMES}
 
 
