@@ -74,8 +74,6 @@ def read_directory_tables(spark: SparkSession, folder: str, pattern: str = "*.pa
     return tables, errors
 
 
-_VALUED = "array<struct<_VALUE:string>>"
-
 # Only the elements that are read; unlisted ones are skipped by the parser.
 ARTICLE_SCHEMA = """
 MedlineCitation struct<
@@ -99,8 +97,8 @@ def _texts(column: str, field: str) -> Column:
 
 
 def read_article_xml(spark: SparkSession, path: str) -> DataFrame:
-    """One row per article of bulk article XML."""
-    raw = spark.read.format("xml").option("rowTag", "PubmedArticle").option("attributePrefix", "_").schema(ARTICLE_SCHEMA).load(path)
+    """One row per article of bulk article XML; articles that do not parse are skipped."""
+    raw = spark.read.format("xml").option("rowTag", "PubmedArticle").option("attributePrefix", "_").option("mode", "DROPMALFORMED").schema(ARTICLE_SCHEMA).load(path)
     return articles(raw)
 
 
@@ -145,8 +143,8 @@ link array<struct<_href: string, _title: string>>, `arxiv:comment` string, `arxi
 
 
 def read_feed_xml(spark: SparkSession, path: str, reference_labels: bool = False) -> DataFrame:
-    """One row per ``entry`` of an Atom paper feed."""
-    raw = spark.read.format("xml").option("rowTag", "entry").option("attributePrefix", "_").schema(ENTRY_SCHEMA).load(path)
+    """One row per ``entry`` of an Atom paper feed; entries that do not parse are skipped."""
+    raw = spark.read.format("xml").option("rowTag", "entry").option("attributePrefix", "_").option("mode", "DROPMALFORMED").schema(ENTRY_SCHEMA).load(path)
     links = F.coalesce(F.col("link"), F.array().cast("array<struct<_href:string,_title:string>>"))
 
     def link(title: str) -> Column:
