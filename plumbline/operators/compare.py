@@ -87,7 +87,7 @@ def _value_counts(df: DataFrame, columns: list[str], flags: dict[str, int]) -> D
 def uniformity_test(df: DataFrame, columns: list[str], rows: int | None = None) -> DataFrame:
     """One-sample Kolmogorov-Smirnov test against U(0, 1)."""
     rows = df.count() if rows is None else rows
-    bounds = numeric_bounds(df, columns, bucket_count(rows))
+    bounds = numeric_bounds(df, columns, bucket_count(rows), rows)
     counts = _value_counts(df, columns, {"n": 1}).groupBy("column", "value").agg(F.sum("n").alias("n"))
     ranked = running_totals(counts, "column", "value", ["n"], bounds)
     cdf = F.least(F.greatest(F.col("value"), F.lit(0.0)), F.lit(1.0))
@@ -131,7 +131,7 @@ def ecdf_distances(synthetic: DataFrame, reference: DataFrame, columns: list[str
     columns = comparable_numeric(synthetic, reference) if columns is None else columns
     both = synthetic.select(*[quoted(c) for c in columns]).unionByName(reference.select(*[quoted(c) for c in columns]))
     rows = both.count() if rows is None else rows
-    bounds = numeric_bounds(both, columns, bucket_count(rows))
+    bounds = numeric_bounds(both, columns, bucket_count(rows), rows)
     cells = _value_counts(synthetic, columns, {"s": 1, "r": 0}).unionByName(_value_counts(reference, columns, {"s": 0, "r": 1}))
     counts = cells.groupBy("column", "value").agg(F.sum("s").alias("s"), F.sum("r").alias("r"))
     ranked = running_totals(counts, "column", "value", ["s", "r"], bounds).where("all_s > 0 and all_r > 0")

@@ -3,24 +3,30 @@
 * ``running_totals``: running sums over an ordered column, in two phases: inside
   value buckets (parallel), then bucket offsets (a few rows) joined back.
 * ``exact_quantiles``: linear-interpolated quantiles.  Small tables use Spark's
-  ``percentile``; beyond ``SMALL_ROWS`` rows the wanted ranks are found by
-  narrowing value intervals with one-row aggregates, so no values are shuffled.
-* ``smallest_k_cutoff``: exact selection of k rows by their 64-bit draw.
+  ``percentile``; beyond ``SMALL_ROWS`` rows a sample brackets the wanted ranks,
+  counts make the brackets certain, and only the few values inside are fetched.
+  Nothing is shuffled, and a poor sample costs a round, never exactness.
+* ``smallest_k_cutoffs``: exact selection of k rows by their uniform 64-bit draw.
+* ``top_per_group``: the first k rows of every group, hot groups included.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.session import quoted
 
-SMALL_ROWS = 1_000_000
+SMALL_ROWS = 250_000
 ROWS_PER_BUCKET = 250_000
 MAX_BUCKETS = 4096
-SKETCH_ACCURACY = 10_000
+SAMPLES_PER_BUCKET = 64
+SAMPLE_ROWS = 200_000
+FETCH_ROWS = 100_000
+SIGMAS = 6.0
 
 
 def bucket_count(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
@@ -40,16 +46,19 @@ def bucket_index(value: Column, bounds: list) -> Column:
     return F.when(coarse < len(blocks), coarse * step + fine).otherwise(F.lit(len(bounds)))
 
 
-def numeric_bounds(df: DataFrame, columns: list[str], buckets: int) -> dict[str, list[float]]:
-    """Approximate equal-depth bounds of each column; one aggregate, one row."""
+def numeric_bounds(df: DataFrame, columns: list[str], buckets: int, rows: int) -> dict[str, list[float]]:
+    """Roughly equal-depth bounds of each column from a sample of bounded size; they steer work, not results."""
     if buckets <= 1:
         return {c: [] for c in columns}
-    cuts = [i / buckets for i in range(1, buckets)]
-    accuracy = max(SKETCH_ACCURACY, 4 * buckets)
-    row = df.agg(
-        *[F.percentile_approx(F.col(quoted(c)).cast("double"), cuts, accuracy).alias(f"b{i}") for i, c in enumerate(columns)]
-    ).first()
-    return {c: sorted(set(row[f"b{i}"] or [])) for i, c in enumerate(columns)}
+    fraction = min(1.0, SAMPLES_PER_BUCKET * buckets / max(rows, 1))
+    sample = df.select(*[F.col(quoted(c)).cast("double").alias(c) for c in columns]).sample(fraction, seed=7).toArrow().to_pandas()
+    out = {}
+    for c in columns:
+        values = np.sort(sample[c].to_numpy(dtype=float))
+        values = values[~np.isnan(values)]
+        at = (np.arange(1, buckets) * len(values)) // buckets
+        out[c] = [float(v) for v in np.unique(values[at])] if len(values) else []
+    return out
 
 
 def sampled_bounds(distinct: DataFrame, column: str, buckets: int) -> list:
@@ -130,58 +139,80 @@ def exact_quantiles(
     if rows <= small_rows:
         return df.agg(
             *[
-                F.percentile(F.col(quoted(c)).cast("double"), F.array(*[F.lit(float(p)) for p in probabilities])).alias(c)
+                F.percentile(F.when(_inside(F.col(quoted(c)).cast("double"), -math.inf, math.inf), F.col(quoted(c)).cast("double")), F.lit([float(p) for p in probabilities])).alias(c)
                 for c in columns
             ]
         )
-    found = _select_ranks(df, columns, probabilities, small_rows)
-    lists = [F.lit(found[c]).cast("array<double>").alias(c) if found[c] else F.lit(None).cast("array<double>").alias(c) for c in columns]
+    found = _select_ranks(df, columns, probabilities)
+    lists = [F.lit(found[c] or None).cast("array<double>").alias(c) for c in columns]
     return df.sparkSession.range(1).select(*lists)
 
 
-def _select_ranks(df: DataFrame, columns: list[str], probabilities: list[float], limit: int) -> dict[str, list[float]]:
+def _inside(value: Column, low: float, high: float) -> Column:
+    test = value.isNotNull() & ~F.isnan(value)
+    if low > -math.inf:
+        test = test & (value > F.lit(low))
+    if high < math.inf:
+        test = test & (value < F.lit(high))
+    return test
+
+
+def _any(tests: list[Column]) -> Column:
+    out = tests[0]
+    for t in tests[1:]:
+        out = out | t
+    return out
+
+
+def _select_ranks(
+    df: DataFrame, columns: list[str], probabilities: list[float], sample_rows: int = SAMPLE_ROWS, fetch_rows: int = FETCH_ROWS
+) -> dict[str, list[float]]:
     values = {c: F.col(quoted(c)).cast("double") for c in columns}
-    row = df.agg(*[F.count(values[c]).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    named = [values[c].alias(c) for c in columns]
+    row = df.agg(*[F.count_if(_inside(values[c], -math.inf, math.inf)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     sizes = {c: row[f"n{i}"] for i, c in enumerate(columns)}
-    wanted = {}
+    answer: dict[tuple[str, int], float] = {}
+    # wanted (column, rank) -> open interval that holds it, rows up to its lower end, rows inside
+    state: dict[tuple[str, int], tuple[float, float, int, int]] = {}
     for c in columns:
         for p in probabilities:
             if sizes[c]:
-                pos = p * (sizes[c] - 1)
-                wanted[(c, math.floor(pos))] = None
-                wanted[(c, math.ceil(pos))] = None
-    # open interval (low, high) that holds the wanted rank, rows at or below low, rows strictly inside
-    state = {k: (-math.inf, math.inf, 0, sizes[k[0]]) for k in wanted}
-    answer: dict[tuple[str, int], float] = {}
+                for rank in (math.floor(p * (sizes[c] - 1)), math.ceil(p * (sizes[c] - 1))):
+                    state[(c, rank)] = (-math.inf, math.inf, 0, sizes[c])
+    boost = 1.0
     while state:
-        large = [k for k, s in state.items() if s[3] > limit]
-        small = [k for k, s in state.items() if s[3] <= limit]
+        small = [k for k, s in state.items() if s[3] <= fetch_rows]
         if small:
-            aggs = []
-            for i, (c, rank) in enumerate(small):
-                low, high, below, _ = state[(c, rank)]
-                inside = F.when((values[c] > F.lit(low)) & (values[c] < F.lit(high)), values[c])
-                aggs.append(F.get(F.sort_array(F.collect_list(inside)), F.lit(rank - below)).alias(f"v{i}"))
-            got = df.agg(*aggs).first()
-            for i, k in enumerate(small):
-                answer[k] = got[f"v{i}"]
-        state = {k: state[k] for k in large}
+            tests = [_inside(values[c], state[(c, r)][0], state[(c, r)][1]) for c, r in small]
+            got = df.where(_any(tests)).select(*named).toArrow().to_pandas()
+            for c, r in small:
+                low, high, below, _ = state.pop((c, r))
+                v = got[c].to_numpy(dtype=float)
+                v = v[(v > low) & (v < high)]
+                answer[(c, r)] = float(np.partition(v, r - below)[r - below])
         if not state:
             break
-        keys = list(state)
-        aggs = []
-        for i, (c, rank) in enumerate(keys):
-            low, high, below, inside_rows = state[(c, rank)]
-            share = (rank - below + 0.5) / inside_rows
-            slack = 4.0 / SKETCH_ACCURACY
-            inside = F.when((values[c] > F.lit(low)) & (values[c] < F.lit(high)), values[c])
-            aggs.append(
-                F.percentile_approx(inside, [max(0.0, share - slack), min(1.0, share + slack)], SKETCH_ACCURACY).alias(f"q{i}")
-            )
-        guess = df.agg(*aggs).first()
+        intervals = {(c, *state[(c, r)]) for c, r in state}
+        fraction = min(1.0, boost * sample_rows * len(intervals) / sum(i[4] for i in intervals))
+        source = df
+        if any(i[1] > -math.inf or i[2] < math.inf for i in intervals):
+            source = df.where(_any([_inside(values[i[0]], i[1], i[2]) for i in intervals]))
+        sample = source.select(*named).sample(fraction, seed=11).toArrow().to_pandas()
+        guess = {}
+        for c, r in state:
+            low, high, below, inside = state[(c, r)]
+            v = sample[c].to_numpy(dtype=float)
+            v = np.sort(v[(v > low) & (v < high)])
+            if len(v):
+                middle = (r - below) / inside * len(v)
+                slack = SIGMAS * math.sqrt(len(v) * 0.25) + 2
+                guess[(c, r)] = (float(v[max(0, int(middle - slack))]), float(v[min(len(v) - 1, int(middle + slack))]))
+        if not guess:
+            boost *= 4.0
+            continue
+        brackets = sorted({(k[0], *g) for k, g in guess.items()})
         aggs = []
-        for i, (c, rank) in enumerate(keys):
-            lo, hi = guess[f"q{i}"]
+        for i, (c, lo, hi) in enumerate(brackets):
             v = values[c]
             aggs += [
                 F.count_if(v < F.lit(lo)).alias(f"l{i}"),
@@ -190,10 +221,10 @@ def _select_ranks(df: DataFrame, columns: list[str], probabilities: list[float],
                 F.count_if(v == F.lit(hi)).alias(f"z{i}"),
             ]
         seen = df.agg(*aggs).first()
-        for i, k in enumerate(keys):
-            low, high, below, inside_rows = state[k]
+        for k, (lo, hi) in guess.items():
+            i = brackets.index((k[0], lo, hi))
+            low, high, below, inside = state[k]
             rank = k[1]
-            lo, hi = guess[f"q{i}"]
             under, at_lo, middle, at_hi = seen[f"l{i}"], seen[f"a{i}"], seen[f"m{i}"], seen[f"z{i}"]
             if rank < under:
                 state[k] = (low, lo, below, under - below)
@@ -207,7 +238,7 @@ def _select_ranks(df: DataFrame, columns: list[str], probabilities: list[float],
                 del state[k]
             else:
                 reached = under + at_lo + (middle + at_hi if lo < hi else 0)
-                state[k] = (hi, high, reached, below + inside_rows - reached)
+                state[k] = (hi, high, reached, below + inside - reached)
     out = {}
     for c in columns:
         out[c] = []
@@ -219,53 +250,56 @@ def _select_ranks(df: DataFrame, columns: list[str], probabilities: list[float],
     return out
 
 
-def smallest_k_cutoffs(df: DataFrame, draws: dict[str, Column], k: int, limit: int = 100_000) -> dict[str, int]:
-    """For each named 64-bit draw, the value of its k-th smallest row (signed order).
+LOWEST, SPAN = -(2**63), 2**64
+
+
+def smallest_k_cutoffs(df: DataFrame, draws: dict[str, Column], k: int, rows: int, fetch_rows: int = FETCH_ROWS) -> dict[str, int]:
+    """For each named uniform 64-bit draw, the value of its k-th smallest row (signed order).
 
-    Radix selection: 4096 counts per round narrow the prefix until few rows remain.
+    The k-th smallest of uniform draws lies near ``k / rows`` of their range: count
+    around there, narrow or widen until few rows remain, fetch those.
     """
-    names = list(draws)
-    prefix: dict[str, tuple[int, int]] = {n: (0, 0) for n in names}  # (bits fixed, prefix value)
-    rest = {n: k for n in names}
-    open_names, cutoffs = list(names), {}
-    sizes = {n: None for n in names}
-
-    def inside(n: str) -> Column:
-        bits, value = prefix[n]
-        return F.lit(True) if bits == 0 else F.shiftright(draws[n], 64 - bits) == F.lit(value).cast("long")
-
-    while open_names:
-        wide = [n for n in open_names if sizes[n] is None or (sizes[n] > limit and prefix[n][0] < 60)]
-        if not wide:
-            break
-        pairs = F.filter(
-            F.array(
-                *[
-                    F.when(
-                        inside(n),
-                        F.struct(F.lit(i).alias("i"), F.shiftright(draws[n], 52 - prefix[n][0]).alias("b")),
-                    )
-                    for i, n in enumerate(wide)
-                ]
-            ),
-            lambda p: p.isNotNull(),
-        )
-        counted = df.select(F.explode(pairs).alias("p")).groupBy("p.i", "p.b").count().collect()
-        for i, n in enumerate(wide):
-            for b, count in sorted((r["b"], r["count"]) for r in counted if r["i"] == i):
-                if rest[n] <= count:
-                    prefix[n] = (prefix[n][0] + 12, b)
-                    sizes[n] = count
-                    break
-                rest[n] -= count
-    pairs = F.filter(
-        F.array(*[F.when(inside(n), F.struct(F.lit(i).alias("i"), draws[n].alias("h"))) for i, n in enumerate(names)]),
-        lambda p: p.isNotNull(),
-    )
-    left = df.select(F.explode(pairs).alias("p")).groupBy("p.i").agg(F.sort_array(F.collect_list("p.h")).alias("hs")).collect()
-    for r in left:
-        n = names[r["i"]]
-        cutoffs[n] = r["hs"][rest[n] - 1]
+    if not 0 < k <= rows:
+        raise ValueError("k must lie between 1 and the number of rows")
+    share = k / rows
+    reach = 8.0 * math.sqrt(rows * share * (1.0 - share)) + 64.0
+    clamp = lambda x: max(LOWEST, min(LOWEST + SPAN - 1, int(x)))
+    centre = LOWEST + share * SPAN
+    half = reach / rows * SPAN
+    bracket = {n: (clamp(centre - half), clamp(centre + half)) for n in draws}
+    width = {n: half for n in draws}
+    done: dict[str, tuple[int, int, int]] = {}
+    lit = lambda x: F.lit(x).cast("long")
+    while bracket:
+        names = list(bracket)
+        counted = df.agg(
+            *[F.count_if(draws[n] < lit(bracket[n][0])).alias(f"b{i}") for i, n in enumerate(names)],
+            *[F.count_if(draws[n].between(lit(bracket[n][0]), lit(bracket[n][1]))).alias(f"i{i}") for i, n in enumerate(names)],
+        ).first()
+        for i, n in enumerate(names):
+            low, high = bracket[n]
+            below, inside = counted[f"b{i}"], counted[f"i{i}"]
+            if not below < k <= below + inside:
+                if (low, high) == (LOWEST, LOWEST + SPAN - 1):
+                    raise ValueError(f"fewer than {k} rows")
+                width[n] *= 4.0
+                bracket[n] = (clamp(centre - width[n]), clamp(centre + width[n]))
+            elif inside <= fetch_rows or high - low < fetch_rows:
+                done[n] = (low, high, below)
+                del bracket[n]
+            else:
+                place = (k - below) / inside
+                near = 8.0 * math.sqrt(inside * 0.25) + 64.0
+                middle = low + place * (high - low)
+                span = near / inside * (high - low)
+                bracket[n] = (max(low, int(middle - span)), min(high, int(middle + span)))
+    tests = [draws[n].between(lit(low), lit(high)) for n, (low, high, _) in done.items()]
+    got = df.where(_any(tests)).select(*[draws[n].alias(f"d{i}") for i, n in enumerate(done)]).toArrow().to_pandas()
+    cutoffs = {}
+    for i, (n, (low, high, below)) in enumerate(done.items()):
+        v = got[f"d{i}"].to_numpy()
+        v = v[(v >= low) & (v <= high)]
+        cutoffs[n] = int(np.partition(v, k - below - 1)[k - below - 1])
     return cutoffs
 
 

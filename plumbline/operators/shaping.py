@@ -150,5 +150,5 @@ def sample_rows(df: DataFrame, row_id: str, size: int, seed: int = 42, rows: int
     if size <= 0:
         return df.limit(0)
     draw = Draws(seed, "sample", F.col(quoted(row_id))).bits("pick")
-    cutoff = smallest_k_cutoffs(df.select(quoted(row_id)), {"pick": draw}, size)["pick"]
+    cutoff = smallest_k_cutoffs(df.select(quoted(row_id)), {"pick": draw}, size, rows)["pick"]
     return df.where(draw <= F.lit(cutoff).cast("long"))

@@ -69,7 +69,7 @@ def vector_topk_batch(
     parts = []
     for b in range(blocks):
         block = q if blocks == 1 else q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
-        got = block.orderBy("q").toPandas()
+        got = block.orderBy("q").toArrow().to_pandas()
         if not len(got):
             continue
         matrix = np.array(got["v"].tolist(), dtype=float)

@@ -19,7 +19,7 @@ from plumbline.functions.draws import Draws
 from plumbline.operators.ranks import dense_ranks, smallest_k_cutoffs
 from plumbline.plans.rules import apply_rules
 from plumbline.plans.spec import ColumnSpec, DatasetSpec, SpecError
-from plumbline.session import quoted
+from plumbline.session import prefer_compiled_methods, quoted
 
 # Defaults of the formats and of the correlation rule.
 DEFAULT_TEXT_PATTERN = "text_{}"
@@ -163,6 +163,8 @@ class CompiledSpec:
         self.outliers: dict[str, tuple[int, float, float]] = {}
         self.noise: dict[str, float] = {}
         self.moments: dict[str, tuple[float, float]] = {}
+        self.mixed: dict[str, tuple[float, float]] = {}
+        self._base: DataFrame | None = None
         self._measure()
 
     def draws(self, name: str, purpose: str = "value") -> Draws:
@@ -190,26 +192,36 @@ class CompiledSpec:
     def _measure(self) -> None:
         spec = self.spec
         numeric = [c for c in spec.columns if c.data_type == "numeric"]
-        if numeric and spec.add_outliers:
-            k = int(spec.num_rows * spec.outlier_probability)
-            if k > 0:
-                base = self._moments(self.rows, {c.name: self.numeric(c) for c in numeric})
-                picks = {c.name: self.draws(c.name, "outlier").bits("pick") for c in numeric}
-                cutoffs = smallest_k_cutoffs(self.rows, picks, k)
-                self.outliers = {n: (cutoffs[n], *base[n]) for n in base}
-        if numeric and spec.add_noise:
-            self.noise = {n: s for n, (_, s) in self._moments(self.rows, {c.name: self.numeric(c) for c in numeric}).items()}
-        linked: dict[str, Column] = {}
+        k = int(spec.num_rows * spec.outlier_probability) if spec.add_outliers else 0
+        if numeric and k > 0:
+            base = self._moments(self.rows, {c.name: self.numeric(c) for c in numeric})
+            picks = {c.name: self.draws(c.name, "outlier").bits("pick") for c in numeric}
+            cutoffs = smallest_k_cutoffs(self.rows, picks, k, spec.num_rows)
+            self.outliers = {n: (cutoffs[n], *base[n]) for n in base}
+        linked: set[str] = set()
         for c in numeric:
             if c.correlation_with and spec.column(c.correlation_with).data_type == "numeric":
-                linked[c.name] = self.numeric(c)
-                ref = spec.column(c.correlation_with)
-                if ref.correlation_with is None:
-                    linked[ref.name] = self.numeric(ref)
-        if linked:
-            self.moments = self._moments(self.rows, linked)
+                linked |= {c.name, c.correlation_with}
+        if numeric and spec.add_noise:
+            self._measure_noise(numeric)
+        elif linked:
+            self.moments = self._moments(self.rows, {c.name: self.numeric(c) for c in numeric if c.name in linked})
         self._base = self._columns(self.rows)
 
+    def _measure_noise(self, numeric: list[ColumnSpec]) -> None:
+        """Spread before noise and moments after it in one pass: the noise z enters as v + level * std(v) * z."""
+        aggs = []
+        for i, c in enumerate(numeric):
+            v, z = self.numeric(c), self.draws(c.name, "noise").normal("x")
+            aggs += [F.avg(v).alias(f"v{i}"), F.stddev_pop(v).alias(f"s{i}"), F.avg(z).alias(f"z{i}"), F.var_pop(z).alias(f"w{i}"), F.covar_pop(v, z).alias(f"c{i}")]
+        row = self.rows.agg(*aggs).first()
+        for i, c in enumerate(numeric):
+            std = row[f"s{i}"]
+            scale = self.spec.noise_level * std
+            self.noise[c.name] = std
+            spread = std * std + 2.0 * scale * row[f"c{i}"] + scale * scale * row[f"w{i}"]
+            self.moments[c.name] = (row[f"v{i}"] + scale * row[f"z{i}"], math.sqrt(max(0.0, spread)))
+
     def _column(self, c: ColumnSpec) -> Column:
         d = self.draws(c.name)
         if c.data_type == "numeric":
@@ -233,19 +245,15 @@ class CompiledSpec:
             F.col(quoted(self.row_id)),
             *[self._column(c).alias(c.name) for c in spec.columns if c.correlation_with is None],
         )
-        derived: dict[str, tuple[float, float]] = {}
         for c in spec.columns:
             if c.correlation_with is None:
                 continue
             ref = spec.column(c.correlation_with)
             own = self._column(c)
             if c.data_type == "numeric" and ref.data_type == "numeric":
-                if ref.name in self.moments and ref.correlation_with is None:
-                    ref_mean, ref_std = self.moments[ref.name]
-                else:
-                    if ref.name not in derived:
-                        derived[ref.name] = self._reference_moments(df, ref.name)
-                    ref_mean, ref_std = derived[ref.name]
+                # a reference that is itself correlated no longer has the moments of its own draws
+                own_moments = ref.correlation_with is None
+                ref_mean, ref_std = self.moments[ref.name] if own_moments else self._reference_moments(df, ref.name)
                 mean, std = self.moments[c.name]
                 r = c.correlation_strength
                 if not ref_std or not std:
@@ -261,16 +269,14 @@ class CompiledSpec:
         return df
 
     def _reference_moments(self, df: DataFrame, name: str) -> tuple[float, float]:
-        known = getattr(self, "_known", {})
-        if name not in known:
-            known[name] = self._moments(df, {name: F.col(quoted(name))})[name]
-            self._known = known
-        return known[name]
+        if name not in self.mixed:
+            self.mixed[name] = self._moments(df, {name: F.col(quoted(name))})[name]
+        return self.mixed[name]
 
     def _category_by_rank(self, df: DataFrame, c: ColumnSpec, ref: ColumnSpec) -> DataFrame:
         """The i-th sorted distinct reference value takes category ``i % k``."""
         cats = c.distribution.category_list()
-        source = self._base if hasattr(self, "_base") else df
+        source = df if self._base is None else self._base
         bounded = ref.data_type in ("categorical", "boolean")
         ranks = dense_ranks(source.select(quoted(ref.name)), ref.name, None if bounded else self.spec.num_rows)
         named = ranks.select(
@@ -310,6 +316,7 @@ class CompiledSpec:
 
 def compile_spec(spark: SparkSession, spec: DatasetSpec, rows: DataFrame | None = None, row_id: str = "id") -> CompiledSpec:
     """Measure what the spec needs over ``rows`` (default: ids 0 .. num_rows-1)."""
+    prefer_compiled_methods(spark)
     if rows is None:
         rows = spark.range(spec.num_rows)
         row_id = "id"

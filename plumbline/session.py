@@ -23,6 +23,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+# HotSpot leaves methods above this many bytes of bytecode uncompiled.
+COMPILED_METHOD_BYTES = 8000
+METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+
+
+def prefer_compiled_methods(spark: SparkSession) -> None:
+    """Let stages whose fused method would be too large for the JIT run as split projections.
+
+    Wide generated tables run several times faster that way.  A limit the user set is left alone.
+    """
+    if spark.conf.get(METHOD_LIMIT, None) in (None, "65535"):
+        spark.conf.set(METHOD_LIMIT, str(COMPILED_METHOD_BYTES))
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that no other run uses."""
     return f"{shared_folder(spark).rstrip('/')}/plumbline/{label}-{uuid.uuid4().hex}"
