@@ -7,49 +7,60 @@ message); a record's reported error is its shallowest, first in schema order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ERROR = "struct<depth:int,path:string,message:string>"
-NUMBER_KINDS = r"^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
+NUMBER_KINDS = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
 
 
 def kind_of(node: Column) -> Column:
-    return F.schema_of_variant(node)
+    """Leading word of the value's type: OBJECT, ARRAY, STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, VOID."""
+    return F.regexp_extract(F.schema_of_variant(node), "^[A-Z]+", 0)
 
 
-def child(node: Column, name: str) -> Column:
-    escaped = name.replace("\\", "\\\\").replace("'", "\\'")
-    return F.try_variant_get(node, f"$['{escaped}']", "variant")
+def child(node: Column, *names: str) -> Column:
+    """The value under a chain of object keys, null when any is absent."""
+    steps = "".join("['" + n.replace("\\", "\\\\").replace("'", "\\'") + "']" for n in names)
+    return F.try_variant_get(node, "$" + steps, "variant")
 
 
-def number(node: Column) -> Column:
-    return F.when(kind_of(node).rlike(NUMBER_KINDS), F.try_variant_get(node, "$", "double"))
+class Node:
+    """A value of the record with its type and its number, each computed once where ``columns`` collects them."""
 
+    def __init__(self, value: Column, kind: Column, number: Column):
+        self.value, self.kind, self.number = value, kind, number
 
-def shown(node: Column) -> Column:
+    @classmethod
+    def direct(cls, value: Column) -> "Node":
+        kind = kind_of(value)
+        return cls(value, kind, as_number(value, kind))
+
+
+def as_number(value: Column, kind: Column) -> Column:
+    return F.when(kind.isin(*NUMBER_KINDS), F.try_variant_get(value, "$", "double"))
+
+
+def shown(node: Node) -> Column:
     """A value as it appears in messages: text in single quotes, other values as JSON, names of constants as in Python."""
-    kind = kind_of(node)
-    text = F.try_variant_get(node, "$", "string")
+    text = F.try_variant_get(node.value, "$", "string")
     return (
-        F.when(kind == "STRING", F.concat(F.lit("'"), text, F.lit("'")))
-        .when(kind == "VOID", F.lit("None"))
-        .when(kind == "BOOLEAN", F.initcap(text))
-        .otherwise(F.to_json(node))
+        F.when(node.kind == "STRING", F.concat(F.lit("'"), text, F.lit("'")))
+        .when(node.kind == "VOID", F.lit("None"))
+        .when(node.kind == "BOOLEAN", F.initcap(text))
+        .otherwise(F.to_json(node.value))
     )
 
 
-def is_type(node: Column, name: str) -> Column:
-    kind = kind_of(node)
-    value = number(node)
+def is_type(node: Node, name: str) -> Column:
     tests = {
-        "string": kind == "STRING",
-        "boolean": kind == "BOOLEAN",
-        "null": kind == "VOID",
-        "object": kind.startswith("OBJECT"),
-        "array": kind.startswith("ARRAY"),
-        "number": kind.rlike(NUMBER_KINDS),
-        "integer": F.coalesce(value == F.floor(value), F.lit(False)),
+        "string": node.kind == "STRING",
+        "boolean": node.kind == "BOOLEAN",
+        "null": node.kind == "VOID",
+        "object": node.kind == "OBJECT",
+        "array": node.kind == "ARRAY",
+        "number": node.kind.isin(*NUMBER_KINDS),
+        "integer": F.coalesce(node.number == F.floor(node.number), F.lit(False)),
     }
     if name not in tests:
         raise ValueError(f"unsupported type: {name}")
@@ -73,9 +84,8 @@ def _step(path: Column, depth: int, name: Column) -> Column:
     return F.concat(path, F.lit("/"), name) if depth else name
 
 
-def schema_errors(schema: dict, node: Column, path: Column | None = None, depth: int = 0) -> Column:
-    """array<struct<depth, path, message>> of every violation in ``node``."""
-    path = F.lit("") if path is None else path
+def _keyword_errors(schema: dict, node: Node, path: Column, depth: int, property_node) -> list[Column]:
+    """Error arrays of each keyword in schema order; ``property_node(name)`` gives the node of a property."""
     parts = []
     is_object = is_type(node, "object")
     for keyword, rule in schema.items():
@@ -88,10 +98,10 @@ def schema_errors(schema: dict, node: Column, path: Column | None = None, depth:
             parts.append(_error(~ok, depth, path, F.concat(shown(node), F.lit(f" is not of type {listed}"))))
         elif keyword == "required":
             for name in rule:
-                parts.append(_error(is_object & child(node, name).isNull(), depth, path, F.lit(f"{name!r} is a required property")))
+                parts.append(_error(is_object & child(node.value, name).isNull(), depth, path, F.lit(f"{name!r} is a required property")))
         elif keyword in ("minimum", "maximum"):
             low = keyword == "minimum"
-            failed = number(node) < F.lit(float(rule)) if low else number(node) > F.lit(float(rule))
+            failed = node.number < F.lit(float(rule)) if low else node.number > F.lit(float(rule))
             words = f" is less than the minimum of {rule}" if low else f" is greater than the maximum of {rule}"
             parts.append(_error(failed, depth, path, F.concat(shown(node), F.lit(words))))
         elif keyword == "enum":
@@ -100,34 +110,71 @@ def schema_errors(schema: dict, node: Column, path: Column | None = None, depth:
                 if v is None:
                     allowed = allowed | is_type(node, "null")
                 elif isinstance(v, bool):
-                    allowed = allowed | (is_type(node, "boolean") & (F.try_variant_get(node, "$", "boolean") == v))
-                elif isinstance(v, str):
-                    allowed = allowed | (is_type(node, "string") & (F.try_variant_get(node, "$", "string") == v))
-                else:
-                    allowed = allowed | F.coalesce(number(node) == F.lit(float(v)), F.lit(False))
+                    allowed = allowed | (is_type(node, "boolean") & (F.try_variant_get(node.value, "$", "boolean") == v))
+                elif not isinstance(v, str):
+                    allowed = allowed | F.coalesce(node.number == F.lit(float(v)), F.lit(False))
+            texts = [v for v in rule if isinstance(v, str)]
+            if texts:
+                allowed = allowed | (is_type(node, "string") & F.try_variant_get(node.value, "$", "string").isin(texts))
             parts.append(_error(~allowed, depth, path, F.concat(shown(node), F.lit(f" is not one of {python_list(rule)}"))))
         elif keyword == "properties":
             for name, sub in rule.items():
-                part = child(node, name)
-                found = schema_errors(sub, part, _step(path, depth, F.lit(name)), depth + 1)
-                parts.append(F.when(is_object & part.isNotNull(), found).otherwise(_empty()))
+                part, inner = property_node(name)
+                found = _all(_keyword_errors(sub, part, _step(path, depth, F.lit(name)), depth + 1, inner))
+                parts.append(F.when(is_object & part.value.isNotNull(), found).otherwise(_empty()))
         elif keyword == "items":
-            values = F.when(is_type(node, "array"), F.try_variant_get(node, "$", "array<variant>"))
-            found = F.flatten(
-                F.transform(values, lambda x, i: schema_errors(rule, x, _step(path, depth, i.cast("string")), depth + 1))
-            )
+            values = F.when(is_type(node, "array"), F.try_variant_get(node.value, "$", "array<variant>"))
+            found = F.flatten(F.transform(values, lambda x, i: _direct_errors(rule, x, _step(path, depth, i.cast("string")), depth + 1)))
             parts.append(F.coalesce(found, _empty()))
         elif keyword == "patternProperties":
             for pattern, sub in rule.items():
-                entries = F.map_entries(F.when(is_object, F.try_variant_get(node, "$", "map<string,variant>")))
+                entries = F.map_entries(F.when(is_object, F.try_variant_get(node.value, "$", "map<string,variant>")))
                 matching = F.filter(entries, lambda e: e["key"].rlike(pattern))
-                found = F.flatten(
-                    F.transform(matching, lambda e: schema_errors(sub, e["value"], _step(path, depth, e["key"]), depth + 1))
-                )
+                found = F.flatten(F.transform(matching, lambda e: _direct_errors(sub, e["value"], _step(path, depth, e["key"]), depth + 1)))
                 parts.append(F.coalesce(found, _empty()))
+    return parts
+
+
+def _all(parts: list[Column]) -> Column:
     return F.concat(*parts) if parts else _empty()
 
 
+def _direct_errors(schema: dict, value: Column, path: Column, depth: int) -> Column:
+    """Errors of a value inside a list or map, where its node cannot be a column of its own."""
+
+    def lookup(value: Column):
+        def one(name: str):
+            part = child(value, name)
+            return Node.direct(part), lookup(part)
+
+        return one
+
+    return _all(_keyword_errors(schema, Node.direct(value), path, depth, lookup(value)))
+
+
+def with_errors(df: DataFrame, value: str, schema: dict, output: str = "errors") -> DataFrame:
+    """Add ``output``: array<struct<depth, path, message>> of every violation of the VARIANT column ``value``.
+
+    Every fixed path of the schema is read from the record once, as a helper column.
+    """
+    paths: dict[tuple[str, ...], str] = {}
+
+    def node(path: tuple[str, ...]) -> Node:
+        alias = paths.setdefault(path, f"_n{len(paths)}")
+        return Node(F.col(alias), F.col(f"{alias}_kind"), F.col(f"{alias}_number"))
+
+    def lookup(path: tuple[str, ...]):
+        return lambda name: (node((*path, name)), lookup((*path, name)))
+
+    errors = _all(_keyword_errors(schema, node(()), F.lit(""), 0, lookup(())))
+    root = F.col(value)
+    kept = df.columns
+    read = df.withColumns({alias: child(root, *path) if path else root for path, alias in paths.items()})
+    read = read.withColumns({f"{alias}_kind": kind_of(F.col(alias)) for alias in paths.values()})
+    read = read.withColumns({f"{alias}_number": as_number(F.col(alias), F.col(f"{alias}_kind")) for alias in paths.values()})
+    return read.select(*[F.col(f"`{c}`") for c in kept], errors.alias(output))
+
+
 def first_error(errors: Column) -> Column:
     """Shallowest error, first in order, as text; null without errors."""
     ranked = F.transform(errors, lambda e, i: F.struct(e["depth"].alias("depth"), i.alias("i"), e["path"].alias("path"), e["message"].alias("message")))

@@ -76,25 +76,30 @@ def kolmogorov_p(n: Column, d: Column) -> Column:
     return F.when(x < 1e-3, F.lit(1.0)).otherwise(F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)))
 
 
-def _value_counts(df: DataFrame, columns: list[str], flags: dict[str, int]) -> DataFrame:
+def _cells(df: DataFrame, columns: list[str], flags: dict[str, int]) -> DataFrame:
+    """(column number, value) of every filled cell with constant counters."""
     cells = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.nanvl(F.col(quoted(c)).cast("double"), F.lit(None).cast("double")).alias("value")) for c in columns]
+        *[F.struct(F.lit(i).alias("c"), F.nanvl(F.col(quoted(c)).cast("double"), F.lit(None).cast("double")).alias("value")) for i, c in enumerate(columns)]
     )
     long = df.select(F.inline(cells)).where("value is not null")
-    return long.select("column", (F.col("value") + 0.0).alias("value"), *[F.lit(v).cast("long").alias(k) for k, v in flags.items()])
+    return long.select("c", (F.col("value") + 0.0).alias("value"), *[F.lit(v).cast("long").alias(k) for k, v in flags.items()])
+
+
+def _name(columns: list[str]) -> Column:
+    return F.get(F.lit(columns), F.col("c")).alias("column")
 
 
 def uniformity_test(df: DataFrame, columns: list[str], rows: int | None = None) -> DataFrame:
     """One-sample Kolmogorov-Smirnov test against U(0, 1)."""
     rows = df.count() if rows is None else rows
     bounds = numeric_bounds(df, columns, bucket_count(rows), rows)
-    counts = _value_counts(df, columns, {"n": 1}).groupBy("column", "value").agg(F.sum("n").alias("n"))
-    ranked = running_totals(counts, "column", "value", ["n"], bounds)
+    counts = _cells(df, columns, {"n": 1}).groupBy("c", "value").agg(F.sum("n").alias("n"))
+    ranked = running_totals(counts, "c", "value", ["n"], {i: bounds[c] for i, c in enumerate(columns)})
     cdf = F.least(F.greatest(F.col("value"), F.lit(0.0)), F.lit(1.0))
     above = F.col("upto_n") / F.col("all_n") - cdf
     below = cdf - (F.col("upto_n") - F.col("n")) / F.col("all_n")
-    tested = ranked.groupBy("column").agg(F.max("all_n").alias("n"), F.max(F.greatest(above, below)).alias("statistic"))
-    tested = tested.withColumn("p_value", kolmogorov_p(F.col("n"), F.col("statistic")))
+    tested = ranked.groupBy("c").agg(F.max("all_n").alias("n"), F.max(F.greatest(above, below)).alias("statistic"))
+    tested = tested.select(_name(columns), "n", "statistic", kolmogorov_p(F.col("n"), F.col("statistic")).alias("p_value"))
     return tested.withColumn("valid", F.col("p_value") > P_LEVEL)
 
 
@@ -132,19 +137,23 @@ def ecdf_distances(synthetic: DataFrame, reference: DataFrame, columns: list[str
     both = synthetic.select(*[quoted(c) for c in columns]).unionByName(reference.select(*[quoted(c) for c in columns]))
     rows = both.count() if rows is None else rows
     bounds = numeric_bounds(both, columns, bucket_count(rows), rows)
-    cells = _value_counts(synthetic, columns, {"s": 1, "r": 0}).unionByName(_value_counts(reference, columns, {"s": 0, "r": 1}))
-    counts = cells.groupBy("column", "value").agg(F.sum("s").alias("s"), F.sum("r").alias("r"))
-    ranked = running_totals(counts, "column", "value", ["s", "r"], bounds).where("all_s > 0 and all_r > 0")
+    cells = _cells(synthetic, columns, {"s": 1, "r": 0}).unionByName(_cells(reference, columns, {"s": 0, "r": 1}))
+    counts = cells.groupBy("c", "value").agg(F.sum("s").alias("s"), F.sum("r").alias("r"))
+    cuts = {i: bounds[c] for i, c in enumerate(columns)}
+    ranked = running_totals(counts, "c", "value", ["s", "r"], cuts).where("all_s > 0 and all_r > 0")
     gap = F.abs(F.col("upto_s") / F.col("all_s") - F.col("upto_r") / F.col("all_r"))
     in_reference = F.when(F.col("r") > 0, F.col("value"))
-    tested = ranked.groupBy("column").agg(
+    tested = ranked.groupBy("c").agg(
         F.max(gap).alias("ks_distance"),
         F.coalesce(F.sum(gap * (F.col("next_value") - F.col("value"))), F.lit(0.0)).alias("wasserstein_distance"),
         (F.max(in_reference) - F.min(in_reference)).alias("reference_range"),
     )
     scaled = F.col("wasserstein_distance") / F.greatest(F.col("reference_range"), F.lit(SMALLEST_RANGE))
     return tested.select(
-        "*",
+        _name(columns),
+        "ks_distance",
+        "wasserstein_distance",
+        "reference_range",
         (F.lit(1.0) - F.col("ks_distance")).alias("ks_similarity"),
         (F.lit(1.0) - F.least(scaled, F.lit(1.0))).alias("wasserstein_similarity"),
     ).withColumn("similarity", (F.col("ks_similarity") + F.col("wasserstein_similarity")) / 2.0)

@@ -15,7 +15,7 @@ from plumbline.functions.draws import Draws
 from plumbline.operators.profile import share
 from plumbline.operators.ranks import exact_quantiles
 from plumbline.operators.shaping import impute_mean, label_encode, standardize
-from plumbline.session import numeric_columns, quoted
+from plumbline.session import numeric_columns, quoted, settle
 
 # Forest sizes, split share, contamination.
 UTILITY_TREES = 50
@@ -185,7 +185,7 @@ def isolation_scores(
     columns = [c for c in numeric_columns(df) if c != row_id] if columns is None else columns
     rows = df.count() if rows is None else rows
     ready = standardize(impute_mean(df.select(quoted(row_id), *[quoted(c) for c in columns]), columns), columns)
-    pool_size = 4 * ISOLATION_TREES * ISOLATION_SAMPLE
+    pool_size = ISOLATION_TREES * ISOLATION_SAMPLE
     pool = ready.where(Draws(seed, "pool", F.col(quoted(row_id))).unit("x") < min(1.0, pool_size / max(rows, 1)))
     expected = min(rows, pool_size)
     sample = min(ISOLATION_SAMPLE, rows)
@@ -243,7 +243,8 @@ def detect_anomalies(
 ) -> DataFrame:
     """(row_id, anomaly_score, is_anomaly): the most isolated ``contamination`` share of the rows is flagged."""
     rows = df.count() if rows is None else rows
-    scored = isolation_scores(df, row_id, columns, seed, rows)
+    # scoring is the costly part: the cut and the result both read the settled scores
+    scored = settle(isolation_scores(df, row_id, columns, seed, rows))
     cut = exact_quantiles(scored, ["anomaly_score"], [1.0 - contamination], rows)
     limit = F.get(cut.scalar(), F.lit(0))
     return scored.withColumn("is_anomaly", F.col("anomaly_score") > limit)

@@ -27,20 +27,23 @@ def _keys(df: DataFrame, columns: list[str]) -> DataFrame:
 def disclosure_risk(synthetic: DataFrame, reference: DataFrame) -> DataFrame:
     """Share of synthetic rows that occur in the reference on all common columns, over all rows.
 
-    Both sides are grouped by the join columns first: repeated rows meet the join
-    once, and the join reuses the grouping's partitioning.
+    A semi join by grouping: both tables are counted per distinct row in one
+    shuffle, partial counts first, so a row repeated millions of times is one
+    entry per task.  A row with a missing cell matches nothing.
     """
     columns = common_columns(synthetic, reference)
-    if not columns:
+    kinds = [dict(df.dtypes) for df in (synthetic, reference)]
+    comparable = all((kinds[0][c] == "string") == (kinds[1][c] == "string") for c in columns)
+    if not columns or not comparable:
         one = synthetic.sparkSession.range(1)
         return one.select(F.lit(0).cast("long").alias("matches"), F.lit(0.0).alias("disclosure_risk"), F.lit(1.0).alias("privacy_score"))
     names = [F.col(quoted(c)) for c in columns]
-    ours = _keys(synthetic, columns).groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
-    known = _keys(reference, columns).dropna().distinct()
-    matched = ours.join(known, columns, "left_semi").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("matches"))
-    total = synthetic.agg(F.count(F.lit(1)).alias("n"))
-    risk = matched.select("matches", F.coalesce(share(F.col("matches"), total.scalar()), F.lit(0.0)).alias("disclosure_risk"))
-    return risk.withColumn("privacy_score", F.lit(1.0) - F.col("disclosure_risk"))
+    ours = _keys(synthetic, columns).select(*names, F.lit(1).cast("long").alias("_s"), F.lit(False).alias("_r"))
+    known = _keys(reference, columns).dropna().select(*names, F.lit(0).cast("long").alias("_s"), F.lit(True).alias("_r"))
+    rows = ours.unionByName(known).groupBy(*names).agg(F.sum("_s").alias("_s"), F.bool_or("_r").alias("_r"))
+    risk = rows.agg(F.coalesce(F.sum(F.when(F.col("_r"), F.col("_s"))), F.lit(0)).alias("matches"), F.sum("_s").alias("_n"))
+    share_matched = F.coalesce(share(F.col("matches"), F.col("_n")), F.lit(0.0))
+    return risk.select("matches", share_matched.alias("disclosure_risk"), (F.lit(1.0) - share_matched).alias("privacy_score"))
 
 
 def k_anonymity(df: DataFrame, quasi_identifiers: list[str], k: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.ranks import exact_quantiles, running_totals
-from plumbline.session import numeric_columns, quoted, string_columns, wide_numeric_columns
+from plumbline.session import numeric_columns, quoted, string_columns, with_stats
 
 # Fixed value: text without control characters; one trailing line feed passes.
 CLEAN_TEXT = r"(?d)^[^\x00-\x1f]*$"
@@ -190,21 +190,47 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None, approximat
     )
 
 
+def _number(name: str) -> Column:
+    """The column as double with NaN read as missing."""
+    return F.nanvl(F.col(quoted(name)).cast("double"), F.lit(None).cast("double"))
+
+
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pearson r of every column pair (a before b), all in one aggregate."""
+    """Pearson r of every column pair (a before b) over the rows where both are filled; null for a constant column.
+
+    Columns without gaps share their sums, taken around the column means, so k
+    columns need k * (k + 3) / 2 plain sums; only pairs with a gap get their own ``corr``.
+    """
     columns = numeric_columns(df) if columns is None else columns
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     if not pairs:
         return df.sparkSession.range(0).select(F.lit("").alias("column_a"), F.lit("").alias("column_b"), F.lit(0.0).alias("r"))
-    rows = [
-        F.struct(
-            F.lit(a).alias("column_a"),
-            F.lit(b).alias("column_b"),
-            F.corr(F.col(quoted(a)).cast("double"), F.col(quoted(b)).cast("double")).alias("r"),
-        )
-        for a, b in pairs
-    ]
-    return df.agg(F.array(*rows).alias("x")).select(F.inline("x")).withColumn("r", F.nanvl("r", F.lit(None).cast("double")))
+    first = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[f(_number(c)).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("c", F.count), ("m", F.avg), ("lo", F.min), ("hi", F.max))],
+    ).first()
+    at = {c: i for i, c in enumerate(columns)}
+    constant = {c for c in columns if first[f"lo{at[c]}"] == first[f"hi{at[c]}"]}
+    whole = {c for c in columns if first[f"c{at[c]}"] == first["n"]}
+    x = {c: _number(c) - F.lit(first[f"m{at[c]}"]).cast("double") for c in columns}
+    shared = [c for c in columns if c in whole and c not in constant]
+    sums = [F.sum(x[c]).alias(f"s{at[c]}") for c in shared] + [F.sum(x[c] * x[c]).alias(f"q{at[c]}") for c in shared]
+    rows = []
+    n = F.lit(float(first["n"]))
+    for j, (a, b) in enumerate(pairs):
+        if a in constant or b in constant:
+            r = F.lit(None).cast("double")
+        elif a in whole and b in whole:
+            sums.append(F.sum(x[a] * x[b]).alias(f"p{j}"))
+            sa, sb = F.col(f"s{at[a]}"), F.col(f"s{at[b]}")
+            spread = F.sqrt((F.col(f"q{at[a]}") - sa * sa / n) * (F.col(f"q{at[b]}") - sb * sb / n))
+            r = (F.col(f"p{j}") - sa * sb / n) / F.nullif(spread, F.lit(0.0))
+        else:
+            sums.append(F.corr(_number(a), _number(b)).alias(f"p{j}"))
+            r = F.nanvl(F.col(f"p{j}"), F.lit(None).cast("double"))
+        rows.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), r.alias("r")))
+    measured = df.agg(*sums) if sums else df.sparkSession.range(1)
+    return measured.select(F.inline(F.array(*rows)))
 
 
 def schema_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
@@ -248,7 +274,17 @@ def quality_report(df: DataFrame) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def _outlier_rows(df: DataFrame, keys: list[str], tests: dict[str, Column]) -> DataFrame:
+def _stat(name: str) -> Column:
+    return F.col(f"_stats.{quoted(name)}")
+
+
+def _moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row; per column a struct of mean and population std."""
+    number = lambda c: F.col(quoted(c)).cast("double")
+    return df.agg(*[F.struct(F.avg(number(c)).alias("m"), F.stddev_pop(number(c)).alias("s")).alias(c) for c in columns])
+
+
+def _outlier_rows(df: DataFrame, stats: DataFrame, keys: list[str], tests: dict[str, Column]) -> DataFrame:
     """Rows (keys, column, value) of the cells whose test holds; one pass, no shuffle."""
     cells = F.array(
         *[
@@ -256,37 +292,30 @@ def _outlier_rows(df: DataFrame, keys: list[str], tests: dict[str, Column]) -> D
             for c, test in tests.items()
         ]
     )
-    hits = df.select(*[F.col(quoted(k)) for k in keys], cells.alias("cells")).select(*keys, F.explode("cells").alias("cell"))
+    hits = with_stats(df, stats).select(*[F.col(quoted(k)) for k in keys], cells.alias("cells")).select(*keys, F.explode_outer("cells").alias("cell"))
     return hits.where("cell is not null").select(*keys, "cell.column", "cell.value")
 
 
 def outliers_iqr(df: DataFrame, keys: list[str], columns: list[str] | None = None, rows: int | None = None) -> DataFrame:
+    """Cells outside quartile 1 - 1.5 IQR .. quartile 3 + 1.5 IQR."""
     columns = [c for c in numeric_columns(df) if c not in keys] if columns is None else columns
     quartiles = exact_quantiles(df, columns, [0.25, 0.75], rows)
     tests = {}
     for c in columns:
-        q = quartiles.select(quoted(c)).scalar()
-        low, high = F.get(q, F.lit(0)), F.get(q, F.lit(1))
-        reach = (high - low) * 1.5
+        low, high = F.get(_stat(c), F.lit(0)), F.get(_stat(c), F.lit(1))
         value = F.col(quoted(c)).cast("double")
-        tests[c] = (value < low - reach) | (value > high + reach)
-    return _outlier_rows(df, keys, tests)
+        tests[c] = (value < low - (high - low) * 1.5) | (value > high + (high - low) * 1.5)
+    return _outlier_rows(df, quartiles, keys, tests)
 
 
 def outliers_zscore(df: DataFrame, keys: list[str], columns: list[str] | None = None, threshold: float = 3.0) -> DataFrame:
+    """Cells more than ``threshold`` population standard deviations from the mean."""
     columns = [c for c in numeric_columns(df) if c not in keys] if columns is None else columns
-    moments = df.agg(
-        *[
-            F.struct(F.avg(F.col(quoted(c)).cast("double")).alias("m"), F.stddev_pop(F.col(quoted(c)).cast("double")).alias("s")).alias(c)
-            for c in columns
-        ]
-    )
     tests = {}
     for c in columns:
-        stats = moments.select(quoted(c)).scalar()
-        distance = F.abs(F.col(quoted(c)).cast("double") - stats["m"])
-        tests[c] = (stats["s"] > 0) & (distance > F.lit(threshold) * stats["s"])
-    return _outlier_rows(df, keys, tests)
+        distance = F.abs(F.col(quoted(c)).cast("double") - _stat(c)["m"])
+        tests[c] = (_stat(c)["s"] > 0) & (distance > F.lit(threshold) * _stat(c)["s"])
+    return _outlier_rows(df, _moments(df, columns), keys, tests)
 
 
 def length_stats(df: DataFrame, column: str) -> DataFrame:
@@ -296,10 +325,10 @@ def length_stats(df: DataFrame, column: str) -> DataFrame:
         .where("value > 0")
         .groupBy("value")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.lit(column).alias("column"), "value", "n")
+        .select(F.lit(0).alias("key"), "value", "n")
     )
-    ranked = running_totals(lengths, "column", "value", ["n"], {})
-    return ranked.groupBy("column").agg(
+    ranked = running_totals(lengths, "key", "value", ["n"], {})
+    return ranked.groupBy(F.lit(column).alias("column")).agg(
         (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("avg_length"),
         F.min(F.when(F.col("upto_n") > F.floor(F.col("all_n") / 2), F.col("value"))).alias("median_length"),
     )
@@ -335,14 +364,15 @@ def histogram_density(df: DataFrame, columns: list[str], bins: int = 30) -> Data
     )
     cells = []
     for c in columns:
-        span = edges.select(quoted(c)).scalar()
+        span = _stat(c)
         flat = span["lo"] == span["hi"]  # a constant column gets a range of width one
         lo = F.when(flat, span["lo"] - 0.5).otherwise(span["lo"])
         width = F.when(flat, F.lit(1.0)).otherwise(span["hi"] - span["lo"])
         value = F.col(quoted(c)).cast("double")
         bin_no = F.least(F.floor((value - lo) / width * float(bins)), F.lit(bins - 1)).cast("int")
         cells.append(F.struct(F.lit(c).alias("column"), bin_no.alias("bin")))
-    counted = df.select(F.inline(F.array(*cells))).where("bin is not null").groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n"))
+    placed = with_stats(df, edges).select(F.inline_outer(F.array(*cells)))
+    counted = placed.where("bin is not null").groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n"))
     grid = edges.select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(quoted(c)).alias("span")) for c in columns]))
     ).select("column", "span", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))

@@ -73,16 +73,31 @@ def sampled_bounds(distinct: DataFrame, column: str, buckets: int) -> list:
 
 
 def running_totals(
-    counts: DataFrame, key: str, value: str, measures: list[str], bounds: dict[str, list]
+    counts: DataFrame, key: str, value: str, measures: list[str], bounds: dict[int, list]
 ) -> DataFrame:
     """Add ``upto_<m>`` (inclusive running sum by value), ``all_<m>`` and ``next_value`` per key.
 
-    ``counts`` holds one row per (key, value).  ``bounds`` gives the bucket bounds of each key.
+    ``counts`` holds one row per (key, value); the key is a small number (a column's place), which
+    sorts much faster than a name.  ``bounds`` gives the bucket bounds of each key.
     """
+    if not any(bounds.values()):  # one bucket per key: the running sum is already whole
+        whole = Window.partitionBy(key)
+        ordered = whole.orderBy(value)
+        upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return counts.select(
+            key,
+            value,
+            *measures,
+            *[F.sum(m).over(upto).alias(f"upto_{m}") for m in measures],
+            *[F.sum(m).over(whole).alias(f"all_{m}") for m in measures],
+            F.lead(value).over(ordered).alias("next_value"),
+        )
     bucket = F.lit(0)
     for name, cuts in bounds.items():
         if cuts:
             bucket = F.when(F.col(key) == name, bucket_index(F.col(value), cuts)).otherwise(bucket)
+    # never null, so that the join below does not test it on every input row
+    bucket = F.coalesce(bucket, F.lit(0))
     bucketed = counts.withColumn("_bucket", bucket)
     ordered = Window.partitionBy(key, "_bucket").orderBy(value)
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -117,16 +132,21 @@ def running_totals(
 
 
 def dense_ranks(df: DataFrame, column: str, rows: int | None = None) -> DataFrame:
-    """Each distinct non-null value of ``column`` with its 0-based rank: columns (value, rank)."""
+    """Each distinct non-null value of ``column`` with its 0-based rank: columns (value, rank).
+
+    ``rows`` is the number of distinct values where it is known; otherwise it is estimated.
+    """
+    if rows is None:
+        rows = df.select(F.approx_count_distinct(F.col(quoted(column)))).first()[0]
     distinct = df.select(F.col(quoted(column)).alias("value")).where("value is not null").distinct()
-    buckets = bucket_count(rows) if rows is not None else 1
+    buckets = bucket_count(rows)
     cuts = sampled_bounds(distinct, "value", buckets)
     ranked = running_totals(
-        distinct.select(F.lit(column).alias("column"), "value", F.lit(1).cast("long").alias("n")),
-        "column",
+        distinct.select(F.lit(0).alias("key"), "value", F.lit(1).cast("long").alias("n")),
+        "key",
         "value",
         ["n"],
-        {column: cuts},
+        {0: cuts},
     )
     return ranked.select("value", (F.col("upto_n") - 1).alias("rank"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.jsonschema import first_error, schema_errors
+from plumbline.functions.jsonschema import first_error, with_errors
 from plumbline.operators.profile import share
 from plumbline.session import quoted
 
@@ -39,20 +39,17 @@ MODALITIES = ["text", "image_description", "audio_description", "video_descripti
 
 def validate_records(df: DataFrame, column: str, schema: dict) -> DataFrame:
     """The rows with ``valid`` and ``error`` (null when valid); the text is parsed once per row."""
-    value = F.try_parse_json(F.col(quoted(column)))
-    checked = df.withColumn("_value", value).withColumn(
-        "error", F.when(F.col("_value").isNull(), F.lit(NOT_JSON)).otherwise(first_error(schema_errors(schema, F.col("_value"))))
-    )
-    return checked.drop("_value").withColumn("valid", F.col("error").isNull())
+    parsed = df.withColumn("_value", F.try_parse_json(F.col(quoted(column))))
+    checked = with_errors(parsed, "_value", schema, "_errors")
+    error = F.when(F.col("_value").isNull(), F.lit(NOT_JSON)).otherwise(first_error(F.col("_errors")))
+    return checked.withColumn("error", error).drop("_value", "_errors").withColumn("valid", F.col("error").isNull())
 
 
 def validate_table(df: DataFrame, schema: dict) -> DataFrame:
     """Typed rows checked against the same schemas."""
-    names = df.columns
-    checked = df.withColumn("_value", F.to_variant_object(F.struct(*[F.col(quoted(c)) for c in names])))
-    return checked.withColumn("error", first_error(schema_errors(schema, F.col("_value")))).drop("_value").withColumn(
-        "valid", F.col("error").isNull()
-    )
+    typed = df.withColumn("_value", F.to_variant_object(F.struct(*[F.col(quoted(c)) for c in df.columns])))
+    checked = with_errors(typed, "_value", schema, "_errors").withColumn("error", first_error(F.col("_errors")))
+    return checked.drop("_value", "_errors").withColumn("valid", F.col("error").isNull())
 
 
 def validation_score(checked: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.draws import Draws
 from plumbline.operators.ranks import dense_ranks, smallest_k_cutoffs
-from plumbline.session import numeric_columns, quoted, string_columns
+from plumbline.session import numeric_columns, quoted, string_columns, with_stats
 
 # Fixed value: share of distinct values below which a text column is a category.
 CATEGORY_SHARE = 0.5
@@ -86,28 +86,25 @@ def filter_where(df: DataFrame, condition: str | None) -> DataFrame:
 
 
 def impute_mean(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Missing numbers become the column mean, read once as a scalar subquery."""
+    """Missing numbers become the column mean."""
     columns = numeric_columns(df) if columns is None else columns
-    means = df.agg(*[F.avg(F.col(quoted(c)).cast("double")).alias(c) for c in columns])
-    filled = {c: F.coalesce(F.col(quoted(c)).cast("double"), means.select(quoted(c)).scalar()).alias(c) for c in columns}
-    return df.select(*[filled.get(c, F.col(quoted(c))) for c in df.columns])
+    number = lambda c: F.col(quoted(c)).cast("double")
+    means = df.agg(*[F.avg(number(c)).alias(c) for c in columns])
+    filled = {c: F.coalesce(number(c), F.col(f"_stats.{quoted(c)}")).alias(c) for c in columns}
+    return with_stats(df, means).select(*[filled.get(c, F.col(quoted(c))) for c in df.columns])
 
 
 def standardize(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(x - mean) / population std; a constant column is divided by one."""
     columns = numeric_columns(df) if columns is None else columns
-    moments = df.agg(
-        *[
-            F.struct(F.avg(F.col(quoted(c)).cast("double")).alias("m"), F.stddev_pop(F.col(quoted(c)).cast("double")).alias("s")).alias(c)
-            for c in columns
-        ]
-    )
+    number = lambda c: F.col(quoted(c)).cast("double")
+    moments = df.agg(*[F.struct(F.avg(number(c)).alias("m"), F.stddev_pop(number(c)).alias("s")).alias(c) for c in columns])
     scaled = {}
     for c in columns:
-        stats = moments.select(quoted(c)).scalar()
+        stats = F.col(f"_stats.{quoted(c)}")
         std = F.when(stats["s"] == 0, F.lit(1.0)).otherwise(stats["s"])
-        scaled[c] = ((F.col(quoted(c)).cast("double") - stats["m"]) / std).alias(c)
-    return df.select(*[scaled.get(c, F.col(quoted(c))) for c in df.columns])
+        scaled[c] = ((number(c) - stats["m"]) / std).alias(c)
+    return with_stats(df, moments).select(*[scaled.get(c, F.col(quoted(c))) for c in df.columns])
 
 
 def label_encode(df: DataFrame, column: str, output: str, rows: int | None = None) -> DataFrame:

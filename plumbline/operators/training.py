@@ -194,53 +194,61 @@ def check_format(name: str) -> None:
         raise ValueError(f"unknown record format: {name}")
 
 
-def format_abstract(segments: DataFrame, format_type: str = "alpaca", keys: list[str] = ()) -> DataFrame:
-    check_format(format_type)
+def _abstract_record(format_type: str) -> tuple[Column, Column | None]:
     title = or_empty("title")
     record = {
         "alpaca": _record(instruction=F.lit(ABSTRACT_TASK), input=fill(ABSTRACT_INPUT, title=title), output=F.col("content")),
         "instruction": _record(instruction=fill(ABSTRACT_REQUEST, title=title), response=F.col("content")),
         "completion": _record(prompt=fill(ABSTRACT_PROMPT, title=title), completion=F.col("content")),
     }.get(format_type)
-    kept = segments.where("segment_type = 'abstract' AND content <> ''")
-    return _formatted(kept, record, keys)
-
-
-def _formatted(kept: DataFrame, record: Column | None, keys) -> DataFrame:
-    keys = [F.col(quoted(k)) for k in keys]
-    if record is None:  # the format has no form for this kind of segment
-        kept, record = kept.where(F.lit(False)), _record()
-    return kept.select(*keys, record.alias("r")).select(*keys, "r.*")
+    return (F.col("segment_type") == "abstract") & (F.col("content") != ""), record
 
 
-def format_section(segments: DataFrame, format_type: str = "alpaca", keys: list[str] = ()) -> DataFrame:
-    check_format(format_type)
+def _section_record(format_type: str) -> tuple[Column, Column | None]:
     body = F.when(F.length("content") > LONGEST_SECTION, F.concat(F.substring("content", 1, LONGEST_SECTION), F.lit("..."))).otherwise(F.col("content"))
     slots = {"section_type": F.coalesce("section_type", F.lit("content")), "paper_title": or_empty("paper_title"), "title": or_empty("title")}
     record = {
         "alpaca": _record(instruction=fill(SECTION_TASK, **slots), input=fill(SECTION_INPUT, **slots), output=body),
         "instruction": _record(instruction=fill(SECTION_REQUEST, **slots), response=body),
     }.get(format_type)
-    kept = segments.where((F.col("segment_type") == "section") & (F.length("content") >= SHORTEST_SECTION))
-    return _formatted(kept, record, keys)
+    return (F.col("segment_type") == "section") & (F.length("content") >= SHORTEST_SECTION), record
 
 
-def format_qa(segments: DataFrame, format_type: str = "alpaca", keys: list[str] = ()) -> DataFrame:
-    check_format(format_type)
+def _qa_record(format_type: str) -> tuple[Column, Column | None]:
     q, a = F.col("question"), F.col("answer")
     record = {
         "alpaca": _record(instruction=q, input=F.lit(""), output=a),
         "instruction": _record(instruction=q, response=a),
         "sharegpt": _record(conversations=_turns(q, a)),
     }.get(format_type)
-    kept = segments.where("segment_type = 'qa_pair' AND question <> '' AND answer <> ''")
-    return _formatted(kept, record, keys)
+    return (F.col("segment_type") == "qa_pair") & (q != "") & (a != ""), record
+
+
+def _formatted(segments: DataFrame, format_type: str, keys, *kinds) -> DataFrame:
+    """One pass: every segment in its kind's form; kinds without a form, and empty segments, are left out."""
+    check_format(format_type)
+    keys = [F.col(quoted(k)) for k in keys]
+    forms = [(test, record) for test, record in (kind(format_type) for kind in kinds) if record is not None]
+    if not forms:
+        return segments.where(F.lit(False)).select(*keys, _record().alias("r")).select(*keys, "r.*")
+    chosen = F.coalesce(*[F.when(test, record) for test, record in forms])
+    return segments.select(*keys, chosen.alias("r")).where("r is not null").select(*keys, "r.*")
+
+
+def format_abstract(segments: DataFrame, format_type: str = "alpaca", keys: list[str] = ()) -> DataFrame:
+    return _formatted(segments, format_type, keys, _abstract_record)
+
+
+def format_section(segments: DataFrame, format_type: str = "alpaca", keys: list[str] = ()) -> DataFrame:
+    return _formatted(segments, format_type, keys, _section_record)
+
+
+def format_qa(segments: DataFrame, format_type: str = "alpaca", keys: list[str] = ()) -> DataFrame:
+    return _formatted(segments, format_type, keys, _qa_record)
 
 
 def format_segments(segments: DataFrame, format_type: str = "alpaca", keys: list[str] = ()) -> DataFrame:
-    """Every segment in its kind's form; other kinds and empty segments are left out."""
-    parts = [f(segments, format_type, keys) for f in (format_abstract, format_section, format_qa)]
-    return functools.reduce(DataFrame.unionByName, parts)
+    return _formatted(segments, format_type, keys, _abstract_record, _section_record, _qa_record)
 
 
 def conversation_examples(papers: DataFrame, types: list[str] | None = None, format_type: str = "alpaca", key: str = "id") -> DataFrame:
@@ -286,18 +294,24 @@ def blank_input(c: Column) -> Column:
 
 
 def literature_records(papers: DataFrame, key: str = "id", segments: str | None = "segments") -> DataFrame:
-    """Questions, summaries, explanations and nested segments of each paper, as (key, type, body)."""
-    parts = [
-        qa_pairs(papers, key).select(quoted(key), "type", "position", F.to_json(F.struct("question", "answer")).alias("body")),
-        *[
-            f(papers, key).select(quoted(key), "type", "position", F.to_json(F.struct("instruction", "input", "output")).alias("body"))
-            for f in (summary_tasks, explanation_tasks)
-        ],
+    """Questions, summaries, explanations and nested segments of each paper in one pass, as (key, type, position, body)."""
+    slots = {"title": F.col("title"), "abstract": F.col("abstract")}
+    entry = lambda kind, i, body: F.struct(F.lit(kind).alias("type"), F.lit(i).alias("position"), F.to_json(body).alias("body"))
+    made = [
+        entry("qa_training", i, F.struct(fill(q, **slots).alias("question"), F.col("abstract").alias("answer"))) for i, q in enumerate(QA_QUESTIONS)
     ]
+    for kind, tasks in (("summary_training", SUMMARY_TASKS), ("explanation_training", EXPLANATION_TASKS)):
+        made += [
+            entry(kind, i, F.struct(F.lit(a).alias("instruction"), fill(b, **slots).alias("input"), fill(c, **slots).alias("output")))
+            for i, (a, b, c) in enumerate(tasks)
+        ]
+    every = F.array(*made)
     if segments:
-        nested = usable(papers).select(F.col(quoted(key)), F.lit("training_segment").alias("type"), F.posexplode(F.col(quoted(segments))).alias("position", "s"))
-        parts.append(nested.select(quoted(key), "type", "position", F.to_json("s").alias("body")))
-    return functools.reduce(DataFrame.unionByName, parts)
+        nested = F.transform(
+            F.col(quoted(segments)), lambda x, i: F.struct(F.lit("training_segment").alias("type"), i.alias("position"), F.to_json(x).alias("body"))
+        )
+        every = F.when(F.col(quoted(segments)).isNull(), every).otherwise(F.concat(every, nested))
+    return usable(papers).select(F.col(quoted(key)), F.inline_outer(every))
 
 
 def literature_counts(records: DataFrame) -> DataFrame:

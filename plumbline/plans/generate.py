@@ -278,7 +278,8 @@ class CompiledSpec:
         cats = c.distribution.category_list()
         source = df if self._base is None else self._base
         bounded = ref.data_type in ("categorical", "boolean")
-        ranks = dense_ranks(source.select(quoted(ref.name)), ref.name, None if bounded else self.spec.num_rows)
+        values = len(ref.distribution.category_list()) if bounded else self.spec.num_rows
+        ranks = dense_ranks(source.select(quoted(ref.name)), ref.name, values)
         named = ranks.select(
             F.col("value").alias("_ref"),
             F.get(F.lit(cats), (F.col("rank") % len(cats)).cast("int")).alias(c.name),

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -15,12 +16,18 @@ def shared_folder(spark: SparkSession) -> str:
     Only where the setting is absent (local tests) a temporary folder is set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
+    known = spark.sparkContext.getCheckpointDir()
+    if not folder and not known:
         folder = tempfile.mkdtemp(prefix="plumbline-")
+    if folder and not known:
         spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return folder or known
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute once and keep in the shared folder, for tables that are costly and read several times."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 # HotSpot leaves methods above this many bytes of bytecode uncompiled.
@@ -61,3 +68,8 @@ def string_columns(df: DataFrame) -> list[str]:
 
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
+
+
+def with_stats(df: DataFrame, stats: DataFrame, name: str = "_stats") -> DataFrame:
+    """The rows with a one-row table beside them as a struct column: a scalar subquery, run once."""
+    return df.withColumn(name, stats.select(F.struct(*[F.col(quoted(c)) for c in stats.columns])).scalar())

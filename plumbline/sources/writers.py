@@ -200,6 +200,8 @@ def export_dataset(df: DataFrame, path: str, config: ExportConfig | None = None,
     # one row per written file; bounded by the number of write tasks
     sums = F.to_json(F.collect_list(F.struct("file", "md5", "sha256"))) if config.create_checksums else F.lit(None).cast("string")
     written = files.agg(F.count(F.lit(1)).alias("file_count"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("total_size_bytes"), sums.alias("checksums"))
+    if config.format == "parquet" and not config.nested_json_as_string:
+        df = spark.read.schema(df.schema).parquet(path)  # what was written is cheaper to read than to make again
     counted = df.agg(F.count(F.lit(1)).alias("total_records"), memory_bytes(df).alias("memory_bytes"))
     schema = F.lit(df.schema.simpleString())
     profile = F.lit(None).cast("string")
