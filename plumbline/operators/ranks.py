@@ -276,50 +276,58 @@ LOWEST, SPAN = -(2**63), 2**64
 def smallest_k_cutoffs(df: DataFrame, draws: dict[str, Column], k: int, rows: int, fetch_rows: int = FETCH_ROWS) -> dict[str, int]:
     """For each named uniform 64-bit draw, the value of its k-th smallest row (signed order).
 
-    The k-th smallest of uniform draws lies near ``k / rows`` of their range: count
-    around there, narrow or widen until few rows remain, fetch those.
+    Uniform draws put the k-th smallest near ``k / rows`` of the range: count around
+    there, keep the part that holds it, and fetch that part once it is small.  A bad
+    guess (or repeated draws) halves the range instead, so the search always ends.
     """
     if not 0 < k <= rows:
         raise ValueError("k must lie between 1 and the number of rows")
-    share = k / rows
-    reach = 8.0 * math.sqrt(rows * share * (1.0 - share)) + 64.0
-    clamp = lambda x: max(LOWEST, min(LOWEST + SPAN - 1, int(x)))
-    centre = LOWEST + share * SPAN
-    half = reach / rows * SPAN
-    bracket = {n: (clamp(centre - half), clamp(centre + half)) for n in draws}
-    width = {n: half for n in draws}
-    done: dict[str, tuple[int, int, int]] = {}
     lit = lambda x: F.lit(x).cast("long")
-    while bracket:
-        names = list(bracket)
+    # range that holds the k-th draw, rows below it, rows inside it
+    state = {n: (LOWEST, LOWEST + SPAN - 1, 0, rows) for n in draws}
+    small: dict[str, tuple[int, int, int]] = {}
+    cutoffs: dict[str, int] = {}
+    while state:
+        guess = {}
+        for n, (low, high, below, inside) in state.items():
+            share = (k - below) / max(inside, 1)
+            reach = 8.0 * math.sqrt(inside * max(0.0, share * (1.0 - share))) + 64.0
+            width = high - low
+            a = max(low, low + int((share - reach / max(inside, 1)) * width))
+            b = min(high, low + int((share + reach / max(inside, 1)) * width))
+            guess[n] = (a, b) if a <= b and 2 * (b - a) <= width else (low, low + width // 2)
+        names = list(state)
         counted = df.agg(
-            *[F.count_if(draws[n] < lit(bracket[n][0])).alias(f"b{i}") for i, n in enumerate(names)],
-            *[F.count_if(draws[n].between(lit(bracket[n][0]), lit(bracket[n][1]))).alias(f"i{i}") for i, n in enumerate(names)],
+            *[F.count_if(draws[n] < lit(guess[n][0])).alias(f"l{i}") for i, n in enumerate(names)],
+            *[F.count_if(draws[n].between(lit(guess[n][0]), lit(guess[n][1]))).alias(f"m{i}") for i, n in enumerate(names)],
+            *[F.count_if(draws[n] <= lit(state[n][1])).alias(f"h{i}") for i, n in enumerate(names)],
         ).first()
         for i, n in enumerate(names):
-            low, high = bracket[n]
-            below, inside = counted[f"b{i}"], counted[f"i{i}"]
-            if not below < k <= below + inside:
-                if (low, high) == (LOWEST, LOWEST + SPAN - 1):
-                    raise ValueError(f"fewer than {k} rows")
-                width[n] *= 4.0
-                bracket[n] = (clamp(centre - width[n]), clamp(centre + width[n]))
-            elif inside <= fetch_rows or high - low < fetch_rows:
-                done[n] = (low, high, below)
-                del bracket[n]
+            low, high, below, _ = state[n]
+            (a, b), less, middle, upto = guess[n], counted[f"l{i}"], counted[f"m{i}"], counted[f"h{i}"]
+            if k > upto:
+                raise ValueError(f"fewer than {k} rows")
+            if k <= less:
+                low, high, inside = low, a - 1, less - below
+            elif k <= less + middle:
+                low, high, below, inside = a, b, less, middle
+            else:
+                low, high, below, inside = b + 1, high, less + middle, upto - less - middle
+            if low == high:
+                cutoffs[n] = low
+            elif inside <= fetch_rows:
+                small[n] = (low, high, below)
             else:
-                place = (k - below) / inside
-                near = 8.0 * math.sqrt(inside * 0.25) + 64.0
-                middle = low + place * (high - low)
-                span = near / inside * (high - low)
-                bracket[n] = (max(low, int(middle - span)), min(high, int(middle + span)))
-    tests = [draws[n].between(lit(low), lit(high)) for n, (low, high, _) in done.items()]
-    got = df.where(_any(tests)).select(*[draws[n].alias(f"d{i}") for i, n in enumerate(done)]).toArrow().to_pandas()
-    cutoffs = {}
-    for i, (n, (low, high, below)) in enumerate(done.items()):
-        v = got[f"d{i}"].to_numpy()
-        v = v[(v >= low) & (v <= high)]
-        cutoffs[n] = int(np.partition(v, k - below - 1)[k - below - 1])
+                state[n] = (low, high, below, inside)
+                continue
+            del state[n]
+    if small:
+        tests = [draws[n].between(lit(low), lit(high)) for n, (low, high, _) in small.items()]
+        got = df.where(_any(tests)).select(*[draws[n].alias(f"d{i}") for i, n in enumerate(small)]).toArrow().to_pandas()
+        for i, (n, (low, high, below)) in enumerate(small.items()):
+            v = got[f"d{i}"].to_numpy()
+            v = v[(v >= low) & (v <= high)]
+            cutoffs[n] = int(np.partition(v, k - below - 1)[k - below - 1])
     return cutoffs
 
 

@@ -154,11 +154,15 @@ def trend_factor(row_id: Column, num_rows: int, trend: str) -> Column:
     return F.sin(F.lit(2.0 * math.pi) * i / F.lit(num_rows / 3.0))
 
 
+ROW = "_row_id"  # the row id inside a plan, so that a table may have a column of any name
+
+
 class CompiledSpec:
     """A spec with its measured literals; ``apply`` maps any table of row ids, batch or stream."""
 
     def __init__(self, spec: DatasetSpec, rows: DataFrame, row_id: str = "id"):
-        self.spec, self.rows, self.row_id = spec, rows, row_id
+        self.spec, self.row_id = spec, row_id
+        self.rows = self._ids(rows)
         self.as_of = spec.as_of or datetime.now().replace(microsecond=0)
         self.outliers: dict[str, tuple[int, float, float]] = {}
         self.noise: dict[str, float] = {}
@@ -167,8 +171,11 @@ class CompiledSpec:
         self._base: DataFrame | None = None
         self._measure()
 
+    def _ids(self, rows: DataFrame) -> DataFrame:
+        return rows.select(F.col(quoted(self.row_id)).cast("long").alias(ROW))
+
     def draws(self, name: str, purpose: str = "value") -> Draws:
-        return Draws(self.spec.seed, f"{name}/{purpose}", F.col(quoted(self.row_id)))
+        return Draws(self.spec.seed, f"{name}/{purpose}", F.col(ROW))
 
     def numeric(self, column: ColumnSpec) -> Column:
         value = numeric_base(column, self.draws(column.name))
@@ -236,13 +243,13 @@ class CompiledSpec:
             return identifier(c, d, self.spec.num_rows)
         if c.text_words and not c.text_pattern:
             return filler_text(c, d)
-        return format_with_id(c.text_pattern or DEFAULT_TEXT_PATTERN, F.col(quoted(self.row_id)).cast("long"))
+        return format_with_id(c.text_pattern or DEFAULT_TEXT_PATTERN, F.col(ROW))
 
     def _columns(self, rows: DataFrame) -> DataFrame:
         """Independent columns in one projection, then the correlated ones in order."""
         spec = self.spec
         df = rows.select(
-            F.col(quoted(self.row_id)),
+            ROW,
             *[self._column(c).alias(c.name) for c in spec.columns if c.correlation_with is None],
         )
         for c in spec.columns:
@@ -290,8 +297,9 @@ class CompiledSpec:
 
     def apply(self, rows: DataFrame | None = None, keep_id: bool = False) -> DataFrame:
         spec = self.spec
-        df = self._base if rows is None else self._columns(rows)
-        row_id = F.col(quoted(self.row_id))
+        if keep_id and self.row_id in {c.name for c in spec.columns}:
+            raise SpecError(f"a column is already named {self.row_id}")
+        df = self._base if rows is None else self._columns(self._ids(rows))
         finish = {}
         for c in spec.columns:
             value = F.col(quoted(c.name))
@@ -304,15 +312,15 @@ class CompiledSpec:
                 value = F.when(changed, F.concat(value, F.lit(VARIANT_SUFFIX))).otherwise(value)
             finish[c.name] = value
         names = [c.name for c in spec.ordered_columns()]
-        df = df.select(row_id, *[finish[n].alias(n) for n in names])
+        df = df.select(ROW, *[finish[n].alias(n) for n in names])
         df = apply_rules(df, spec.business_rules, spec.lenient_rules)
         main = spec.main_datetime()
         if spec.add_temporal_patterns and main:
             if spec.seasonality:
                 df = df.withColumn(f"{main}_seasonal_factor", seasonal_factor(F.col(quoted(main)), spec.seasonality))
             if spec.trend:
-                df = df.withColumn(f"{main}_trend_factor", trend_factor(row_id, spec.num_rows, spec.trend))
-        return df if keep_id else df.drop(self.row_id)
+                df = df.withColumn(f"{main}_trend_factor", trend_factor(F.col(ROW), spec.num_rows, spec.trend))
+        return df.withColumnRenamed(ROW, self.row_id) if keep_id else df.drop(ROW)
 
 
 def compile_spec(spark: SparkSession, spec: DatasetSpec, rows: DataFrame | None = None, row_id: str = "id") -> CompiledSpec:
