@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.operators.profile import correlation_pairs, per_column, share
+from plumbline.operators.profile import correlation_pairs, pearson, per_column, share
 from plumbline.operators.ranks import bucket_count, numeric_bounds, running_totals
 from plumbline.session import numeric_columns, quoted, wide_numeric_columns
 
@@ -113,7 +113,7 @@ def correlation_check(df: DataFrame, expected: dict[tuple[str, str], float]) ->
             F.lit(a).alias("column_a"),
             F.lit(b).alias("column_b"),
             F.lit(float(r)).alias("expected"),
-            F.corr(F.col(quoted(a)).cast("double"), F.col(quoted(b)).cast("double")).alias("actual"),
+            pearson(F.col(quoted(a)).cast("double"), F.col(quoted(b)).cast("double")).alias("actual"),
         )
         for (a, b), r in present.items()
     ]
@@ -225,7 +225,7 @@ def correlation_preservation(synthetic: DataFrame, reference: DataFrame) -> Data
     theirs = correlation_pairs(reference, columns).withColumnRenamed("r", "r_reference")
     paired = ours.join(theirs, ["column_a", "column_b"])
     undefined = F.count_if(F.col("r").isNull() | F.col("r_reference").isNull()) > 0
-    r = F.nanvl(F.corr("r", "r_reference"), F.lit(0.0))
+    r = pearson(F.col("r"), F.col("r_reference"))
     return paired.agg(
         F.when(undefined | (F.count(F.lit(1)) < 2), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.coalesce(r, F.lit(0.0)))).alias("correlation_preservation")
     )

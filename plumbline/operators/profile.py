@@ -195,11 +195,21 @@ def _number(name: str) -> Column:
     return F.nanvl(F.col(quoted(name)).cast("double"), F.lit(None).cast("double"))
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Aggregate: Pearson r over the rows where both are filled, null where either does not vary.
+
+    (The built-in ``corr`` fails on a constant column under ANSI arithmetic.)
+    """
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson r of every column pair (a before b) over the rows where both are filled; null for a constant column.
 
     Columns without gaps share their sums, taken around the column means, so k
-    columns need k * (k + 3) / 2 plain sums; only pairs with a gap get their own ``corr``.
+    columns need k * (k + 3) / 2 plain sums; only pairs with a gap get sums of their own.
     """
     columns = numeric_columns(df) if columns is None else columns
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
@@ -226,8 +236,8 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
             spread = F.sqrt((F.col(f"q{at[a]}") - sa * sa / n) * (F.col(f"q{at[b]}") - sb * sb / n))
             r = (F.col(f"p{j}") - sa * sb / n) / F.nullif(spread, F.lit(0.0))
         else:
-            sums.append(F.corr(_number(a), _number(b)).alias(f"p{j}"))
-            r = F.nanvl(F.col(f"p{j}"), F.lit(None).cast("double"))
+            sums.append(pearson(_number(a), _number(b)).alias(f"p{j}"))
+            r = F.col(f"p{j}")
         rows.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), r.alias("r")))
     measured = df.agg(*sums) if sums else df.sparkSession.range(1)
     return measured.select(F.inline(F.array(*rows)))
