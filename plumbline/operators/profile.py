@@ -222,25 +222,27 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
     at = {c: i for i, c in enumerate(columns)}
     constant = {c for c in columns if first[f"lo{at[c]}"] == first[f"hi{at[c]}"]}
     whole = {c for c in columns if first[f"c{at[c]}"] == first["n"]}
-    x = {c: _number(c) - F.lit(first[f"m{at[c]}"]).cast("double") for c in columns}
-    shared = [c for c in columns if c in whole and c not in constant]
-    sums = [F.sum(x[c]).alias(f"s{at[c]}") for c in shared] + [F.sum(x[c] * x[c]).alias(f"q{at[c]}") for c in shared]
-    rows = []
-    n = F.lit(float(first["n"]))
+    # centred once per column, so that the sums below only multiply columns
+    centred = df.select(*[(_number(c) - F.lit(first[f"m{i}"]).cast("double")).alias(f"x{i}") for i, c in enumerate(columns)])
+    shared = [at[c] for c in columns if c in whole and c not in constant]
+    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in shared] + [F.sum(F.col(f"x{i}") * F.col(f"x{i}")).alias(f"q{i}") for i in shared]
+    pieces, n = [], float(first["n"])
     for j, (a, b) in enumerate(pairs):
+        i, k = at[a], at[b]
         if a in constant or b in constant:
-            r = F.lit(None).cast("double")
+            r = "cast(null as double)"
         elif a in whole and b in whole:
-            sums.append(F.sum(x[a] * x[b]).alias(f"p{j}"))
-            sa, sb = F.col(f"s{at[a]}"), F.col(f"s{at[b]}")
-            spread = F.sqrt((F.col(f"q{at[a]}") - sa * sa / n) * (F.col(f"q{at[b]}") - sb * sb / n))
-            r = (F.col(f"p{j}") - sa * sb / n) / F.nullif(spread, F.lit(0.0))
+            sums.append(F.sum(F.col(f"x{i}") * F.col(f"x{k}")).alias(f"p{j}"))
+            r = f"(p{j} - s{i} * s{k} / {n!r}D) / nullif(sqrt((q{i} - s{i} * s{i} / {n!r}D) * (q{k} - s{k} * s{k} / {n!r}D)), 0D)"
         else:
-            sums.append(pearson(_number(a), _number(b)).alias(f"p{j}"))
-            r = F.col(f"p{j}")
-        rows.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), r.alias("r")))
-    measured = df.agg(*sums) if sums else df.sparkSession.range(1)
-    return measured.select(F.inline(F.array(*rows)))
+            sums.append(pearson(F.col(f"x{i}"), F.col(f"x{k}")).alias(f"p{j}"))
+            r = f"p{j}"
+        pieces.append(f"named_struct('a', {i}, 'b', {k}, 'r', {r})")
+    measured = centred.agg(*sums) if sums else df.sparkSession.range(1)
+    names = F.lit(list(columns))
+    return measured.select(F.expr(f"inline(array({', '.join(pieces)}))")).select(
+        F.get(names, F.col("a")).alias("column_a"), F.get(names, F.col("b")).alias("column_b"), "r"
+    )
 
 
 def schema_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
