@@ -206,6 +206,13 @@ ORACLE = {
     "extract_doi": f"WITH {PAGES} SELECT doc_id, nullif(regexp_extract(text, '(?i)(?:doi:)?\\s*(10\\.\\d+/\\S+)', 1), '') AS doi FROM wt",
     "extract_arxiv_id": f"WITH {PAGES} SELECT doc_id, nullif(regexp_extract(text, '(?i)arXiv:(\\d+\\.\\d+)', 1), '') AS arxiv_id FROM wt",
     "extract_pmid": f"WITH {PAGES} SELECT doc_id, nullif(regexp_extract(text, '(?i)PMID:?\\s*(\\d+)', 1), '') AS pmid FROM wt",
+    # RE2 has no lookahead: the text that ends the match is consumed instead, the captured group is the same
+    "extract_abstract": f"""WITH {PAGES}, t AS (SELECT doc_id, string_agg(text, '' ORDER BY page_no) AS text FROM pg GROUP BY doc_id),
+b AS (SELECT doc_id, regexp_replace({TRIM("regexp_extract(text, '(?is)abstract\\s*[:\\-]?\\s*(.*?)\\n\\s*(?:keywords?|introduction|1\\.|\\z)', 1)")}, '\\s+', ' ', 'g') AS body FROM t)
+SELECT doc_id, CASE WHEN length(body) > 50 THEN body END AS abstract FROM b""",
+    "extract_keywords": f"""WITH {PAGES}, t AS (SELECT doc_id, string_agg(text, '' ORDER BY page_no) AS text FROM pg GROUP BY doc_id),
+b AS (SELECT doc_id, {TRIM("regexp_extract(text, '(?is)keywords?\\s*[:\\-]?\\s*(.*?)\\n\\s*(?:introduction|1\\.|\\z)', 1)")} AS body FROM t)
+SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(body, '[,;]|\\sand\\s'), lambda k: {TRIM('k')}), lambda k: k <> ''), '|') AS keywords FROM b""",
     "count_figures": f"""WITH {PAGES} SELECT doc_id, CAST(sum(len(list_distinct(regexp_extract_all(text, '(?i)figure\\s+\\d+')))) AS INTEGER) AS figures FROM pg GROUP BY doc_id""",
     "count_tables": f"WITH {PAGES} SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(text, '(?i)table\\s+\\d+'))) AS INTEGER) AS tables FROM wt",
     "count_references": f"""WITH {PAGES}, {LINES}, f AS (SELECT doc_id, content, row_number() OVER (PARTITION BY doc_id ORDER BY section_no) AS k FROM sec WHERE section_type = 'references')

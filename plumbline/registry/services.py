@@ -145,7 +145,7 @@ def generated_table(s, d):
     path = fresh_path(s, "generated")
     name, added, first = C.generate_to_table(s, registry, "priced", {"top": 50.0}, f"g_{uuid.uuid4().hex}", ["o_orderkey"], path)
     s.sql(f"DROP TABLE {name}")
-    return first.withColumn("rows_added", F.lit(added).cast("long"))
+    return rounded(first.withColumn("rows_added", F.lit(added).cast("long")))
 
 
 class Replies:
@@ -232,6 +232,12 @@ UNION ALL SELECT '*', CAST(sum(calls) AS BIGINT), CAST(sum(p) AS BIGINT), CAST(s
 (SELECT count(*) FILTER (WHERE status = 'active') FROM k) AS active_keys, count(*) FILTER (WHERE event_type = 'error' AND {_day}) AS failed_requests, (SELECT count(*) FROM k) AS total_keys FROM events""",
     "key_status": f"""WITH {KEYS}, u AS (SELECT user_id, count(*) AS n FROM events WHERE {_day} GROUP BY 1) SELECT k.user_id, coalesce(u.n, 0) AS usage_24h,
 CASE WHEN status <> 'active' THEN status WHEN expires_at < TIMESTAMP '2024-01-20 12:00:00' THEN 'expired' WHEN rate_limit > 0 AND coalesce(u.n, 0) >= rate_limit * 24 THEN 'rate_limited' ELSE 'ok' END AS verdict FROM k LEFT JOIN u USING (user_id)""",
+    "quality_stream": union([f"""SELECT 'completeness' AS metric, '{c}' AS "column", count({c}) / count(*) AS value FROM events""" for c in _EVENT_COLUMNS]
+        + [f"SELECT 'completeness', '*', ({' + '.join(f'count({c})' for c in _EVENT_COLUMNS)}) / ({len(_EVENT_COLUMNS)} * count(*)) FROM events"]
+        + [f"SELECT 'validity', '{c}', CASE WHEN count({c}) = 0 THEN 0.0 ELSE 1.0 END FROM events" for c in ("event_id", "ts", "user_id")]
+        + ["SELECT 'validity', 'value', count(CASE WHEN isfinite(value) THEN 1 END) / count(value) FROM events"]
+        + [f"SELECT 'validity', '{c}', count(CASE WHEN regexp_matches({c}, '^[^\\x00-\\x1f]*\\n?$') THEN 1 END) / count({c}) FROM events" for c in ("event_type", "props")]),
+    "generate_to_dataset": f"""SELECT o_orderkey, {r6(f"least(greatest({SqlDraws(42, 'price/value', 'o_orderkey').uniform('x', 0.0, 50.0)}, 0.0), 50.0)")} AS price, (SELECT count(*) FROM orders) AS rows_added FROM orders ORDER BY o_orderkey LIMIT 3""",
     "generate_stream": f"SELECT o_orderkey, {r6(_d('x').normal('x', 10.0, 2.0))} AS x, CASE WHEN {_d('c').unit('x')} < 0.7::DOUBLE THEN 'a' ELSE 'b' END AS c FROM orders",
     "generator_udtf": "SELECT conv_id, turns, CAST(i AS INTEGER) AS turn_no, 'conversation ' || conv_id || ' turn ' || i AS message FROM (SELECT conv_id, count(*) AS turns, unnest(range(count(*))) AS i FROM conversations GROUP BY conv_id)",
     "map_with_model": "SELECT doc_id, CASE WHEN length(text) % 10 = 0 THEN 'Error generating content: length divisible by ten' ELSE length(text) || ' characters' END AS reply FROM documents",
