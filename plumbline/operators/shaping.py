@@ -14,6 +14,9 @@ from plumbline.session import numeric_columns, quoted, string_columns, with_stat
 
 # Fixed value: share of distinct values below which a text column is a category.
 CATEGORY_SHARE = 0.5
+# Text that reads as a number; tested by pattern because a failing cast to double is slow.
+WHOLE = r"^\s*[+-]?\d+\s*$"
+DECIMAL = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(?i:nan|inf|infinity)\s*$"
 
 
 def nested_to_json(df: DataFrame) -> DataFrame:
@@ -35,8 +38,8 @@ def inferred_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame
         c = F.col(quoted(name))
         filled = F.count(c)
         return (
-            F.when(F.count(c.try_cast("bigint")) == filled, F.lit("bigint"))
-            .when(F.count(c.try_cast("double")) == filled, F.lit("double"))
+            F.when(F.count(F.when(c.rlike(WHOLE), c.try_cast("bigint"))) == filled, F.lit("bigint"))
+            .when(F.count_if(c.rlike(DECIMAL)) == filled, F.lit("double"))
             .when(F.count(c.try_cast("timestamp_ntz")) == filled, F.lit("timestamp_ntz"))
             .when(F.count_distinct(c) / F.count(F.lit(1)) < CATEGORY_SHARE, F.lit("category"))
             .otherwise(F.lit("string"))

@@ -56,8 +56,8 @@ QUERIES = {
     "correlation_matrix": lambda s, d: rounded(P.correlation_pairs(lineitem(s, d), LINE_NUMERIC)),
     "schema_profile": lambda s, d: P.schema_profile(lineitem(s, d)),
     "quality_report": lambda s, d: rounded(P.quality_report(orders(s, d)), 4),
-    "outliers_iqr": lambda s, d: rounded(P.outliers_iqr(lineitem(s, d).withColumn("skewed", F.col("l_extendedprice") * F.col("l_discount") * F.col("l_tax")), ["l_orderkey", "l_linenumber", "l_partkey"], ["l_quantity", "l_extendedprice", "skewed"]), 2),
-    "outliers_zscore": lambda s, d: rounded(P.outliers_zscore(lineitem(s, d).withColumn("skewed", F.col("l_extendedprice") * F.col("l_discount") * F.col("l_tax")), ["l_orderkey", "l_linenumber", "l_partkey"], ["l_extendedprice", "skewed"]), 2),
+    "outliers_iqr": lambda s, d: rounded(P.outliers_iqr(lineitem(s, d).withColumn("skewed", F.col("l_extendedprice") * F.col("l_discount") * F.col("l_tax")), ["l_orderkey", "l_linenumber", "l_partkey"], ["l_quantity", "l_extendedprice", "skewed"])),
+    "outliers_zscore": lambda s, d: rounded(P.outliers_zscore(lineitem(s, d).withColumn("skewed", F.col("l_extendedprice") * F.col("l_discount") * F.col("l_tax")), ["l_orderkey", "l_linenumber", "l_partkey"], ["l_extendedprice", "skewed"])),
     "length_stats": lambda s, d: rounded(P.length_stats(load(s, d, "documents"), "text")),
     "counts_by_key": lambda s, d: P.counts_by_key(papers_like(s, d), {"source": F.col("source"), "domain": F.col("domain"), "year": F.col("year")}),
     "avg_list_size": lambda s, d: rounded(P.avg_list_size(papers_like(s, d), "authors")),
@@ -110,10 +110,10 @@ UNION ALL {union([f"SELECT '{c}', {r6(f'count(CASE WHEN regexp_matches({c}, {chr
         + [f"SELECT 'r', '{a}~{b}', {r6(f'corr({a}, {b})', 4)} FROM orders" for i, a in enumerate(ORDER_NUMERIC) for b in ORDER_NUMERIC[i + 1:]]
     ),
     "outliers_iqr": "WITH x AS (SELECT *, l_extendedprice * l_discount * l_tax AS skewed FROM lineitem) " + union([
-        f"""SELECT l_orderkey, l_linenumber, l_partkey, '{c}' AS "column", {r6(c, 2)} AS value FROM x, (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM x) q
+        f"""SELECT l_orderkey, l_linenumber, l_partkey, '{c}' AS "column", {r6(c)} AS value FROM x, (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM x) q
 WHERE {c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)""" for c in ("l_quantity", "l_extendedprice", "skewed")]),
     "outliers_zscore": "WITH x AS (SELECT *, l_extendedprice * l_discount * l_tax AS skewed FROM lineitem) " + union([
-        f"""SELECT l_orderkey, l_linenumber, l_partkey, '{c}' AS "column", {r6(c, 2)} AS value FROM x, (SELECT avg({c}) AS m, stddev_pop({c}) AS s FROM x) q
+        f"""SELECT l_orderkey, l_linenumber, l_partkey, '{c}' AS "column", {r6(c)} AS value FROM x, (SELECT avg({c}) AS m, stddev_pop({c}) AS s FROM x) q
 WHERE abs({c} - m) > 3.0 * s""" for c in ("l_extendedprice", "skewed")]),
     "length_stats": f"""SELECT 'text' AS "column", {r6('avg(length(text))')} AS avg_length, CAST(list_sort(list(length(text)))[count(*) // 2 + 1] AS BIGINT) AS median_length FROM documents WHERE {LENGTHS}""",
     "counts_by_key": """SELECT 'source' AS dimension, CASE WHEN lang <> 'fr' THEN source ELSE 'unknown' END AS key, count(*) AS n FROM documents GROUP BY 2

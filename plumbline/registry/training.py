@@ -10,6 +10,7 @@ from plumbline.operators import prompts as R
 from plumbline.operators import training as T
 from plumbline.registry.base import load, union
 from plumbline.registry.papers import LINES, PAGES, PAPERS, paged, paper_records
+from plumbline.session import settle
 
 TEXTS = ("answer", "output", "content", "response", "completion", "conversations", "body", "input", "question")
 
@@ -144,7 +145,8 @@ QUERIES = {
 
 
 def _all_formats(fmt, s, d):
-    parts = [fmt(segments(s, d), f, ["doc_id"]).select(F.lit(f).alias("format"), "*") for f in T.FORMATS]
+    cut = settle(segments(s, d))  # sectioning is the costly part, and each format reads it
+    parts = [fmt(cut, f, ["doc_id"]).select(F.lit(f).alias("format"), "*") for f in T.FORMATS]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -41,6 +41,7 @@ class ExportConfig:
     validate_schema: bool = True
     create_checksums: bool = True
     split_large_files: bool = False
+    max_records_per_file: int = 0  # 0: one file per task, however large
 
     def __post_init__(self):
         if self.format not in FORMATS:
@@ -133,17 +134,18 @@ def write_table(df: DataFrame, path: str, config: ExportConfig | None = None) ->
     """Write in the configured format; every task writes its own file."""
     config = config or ExportConfig()
     out = df
+    limited = lambda frame: frame.write.option("maxRecordsPerFile", config.max_records_per_file)
     if config.nested_json_as_string:
         from plumbline.operators.shaping import nested_to_json
 
         out = nested_to_json(out)
     packed = {"compression": config.compression} if config.compression else {}
     if config.format in ("json", "jsonl"):
-        out.write.json(path, ignoreNullFields=False, **packed)
+        limited(out).json(path, ignoreNullFields=False, **packed)
     elif config.format == "csv":
         if config.csv_quoting in ("minimal", "all"):
             # the writer quotes every cell from its text, so numbers are formatted first
-            _csv_frame(out, config).write.csv(
+            limited(_csv_frame(out, config)).csv(
                 path, sep=config.csv_separator, encoding=config.csv_encoding, quoteAll=config.csv_quoting == "all", header=True,
                 escape='"', emptyValue="", **packed
             )
@@ -159,7 +161,7 @@ def write_table(df: DataFrame, path: str, config: ExportConfig | None = None) ->
 
             csv_lines(out, config).mapInPandas(with_header, "line string").write.text(path, **packed)
     else:
-        writer = out.write.option("parquet.block.size", str(config.row_group_bytes))
+        writer = limited(out).option("parquet.block.size", str(config.row_group_bytes))
         writer.parquet(path, compression=config.parquet_compression or "none")
 
 

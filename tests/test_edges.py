@@ -497,6 +497,9 @@ def test_export_files(spark):
         assert (r["bytes"], r["md5"], r["sha256"]) == (len(content), hashlib.md5(content).hexdigest(), hashlib.sha256(content).hexdigest())
     manifest = one(W.export_dataset(df, fresh_path(spark, "p"), W.ExportConfig("parquet")))
     assert manifest["total_records"] == 25_001 and manifest["compression_ratio"] > 1 and "duplicate_rows" in manifest["profile"]
+    capped = fresh_path(spark, "capped")
+    W.write_table(df.coalesce(1), capped, W.ExportConfig("jsonl", max_records_per_file=9000))
+    assert W.file_checksums(spark, capped).count() == 3
     with pytest.raises(W.ExportError):
         W.ExportConfig("excel")
     with pytest.raises(ValueError):
