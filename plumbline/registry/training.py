@@ -135,7 +135,7 @@ QUERIES = {
     "render_prompt_text": lambda s, d: paper_records(s, d).select(
         "id", F.md5(T.render_prompt_text(F.concat(F.lit("Read "), F.col("domain")), F.col("title"), F.col("abstract"))).alias("text")),
     "render_strategy_prompts": prompts,
-    "literature_pipeline": lambda s, d: T.literature_counts(T.literature_records(nested(s, d))),
+    "literature_records": lambda s, d: T.literature_counts(T.literature_records(nested(s, d))),
     "prepare_training_set": lambda s, d: T.prepare_training_set(segments(s, d).withColumnRenamed("doc_id", "id"), paper_records(s, d)).groupBy("part").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length(F.coalesce("output", "response")).cast("long")).alias("chars")),
     "category_training_set": lambda s, d: T.category_training_set(paper_records(s, d), paper_segments(s, d), CATEGORIES, 90).groupBy("category", "segment_type").agg(
@@ -215,7 +215,7 @@ UNION ALL SELECT id, 'analysis', 'What are the key insights from this research:
 SELECT conv_id, md5('{{"messages":[{{"role":"system","content":"You are a helpful assistant."}},{{"role":"user","content":' || {_json('q')} || '}},{{"role":"assistant","content":' || {_json('a')} || '}}]}}') AS line FROM t WHERE q IS NOT NULL AND a IS NOT NULL""",
     "render_prompt_text": f"""WITH {PAPERS} SELECT id, md5('### Instruction:' || chr(10) || 'Read ' || domain || CASE WHEN title <> '' THEN chr(10) || chr(10) || '### Input:' || chr(10) || title ELSE '' END || chr(10) || chr(10) || '### Response:' || chr(10) || abstract) AS text FROM p""",
     "render_strategy_prompts": PROMPT_SQL,
-    "literature_pipeline": f"""{DOCUMENTS}, ok AS (SELECT doc_id FROM dc WHERE title <> '' AND abstract <> '')
+    "literature_records": f"""{DOCUMENTS}, ok AS (SELECT doc_id FROM dc WHERE title <> '' AND abstract <> '')
 SELECT 'qa_training' AS type, 4 * count(*) AS n FROM ok UNION ALL SELECT 'summary_training', 2 * count(*) FROM ok UNION ALL SELECT 'explanation_training', 2 * count(*) FROM ok
 UNION ALL SELECT 'training_segment', count(*) FROM sec JOIN ok USING (doc_id)""",
     "prepare_training_set": f"""{DOCUMENTS}, {PAPERS}, u AS (SELECT * FROM p WHERE title <> '' AND abstract <> ''), y AS ({_tasks_sql(T.SYNTHETIC_TASKS, 'synthetic').replace('md5(', '(')} ORDER BY id, position LIMIT 100)

@@ -32,9 +32,15 @@ def table_stream(spark: SparkSession, folder: str, name: str, schema: T.StructTy
 
 def rate_limit_stream(events: DataFrame, client: str, ts: str, limit: int = RATE_LIMIT) -> DataFrame:
     """Requests per client and minute; state more than 10 minutes behind the newest event is dropped."""
-    timed = events.withColumn("_ts", F.col(quoted(ts)).cast("timestamp")).withWatermark("_ts", f"{STATE_MINUTES} minutes")
+    local = dict(events.dtypes)[ts] == "timestamp_ntz"
+    origin, utc = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.expr("TIMESTAMP'1970-01-01 00:00:00Z'")
+    # a watermark needs an instant: local times are read as UTC, whatever the session's zone, and turned back
+    instant = utc + (F.col(quoted(ts)) - origin) if local else F.col(quoted(ts))
+    timed = events.withColumn("_ts", instant).withWatermark("_ts", f"{STATE_MINUTES} minutes")
     counted = timed.groupBy(F.col(quoted(client)), F.window("_ts", "1 minute").alias("w")).agg(F.count(F.lit(1)).alias("requests"))
-    return counted.select(client, F.col("w.start").cast("timestamp_ntz").alias("minute"), "requests", (F.col("requests") > limit).alias("limited"))
+    start = F.col("w.start")
+    minute = origin + (start - utc) if local else start
+    return counted.select(client, minute.alias("minute"), "requests", (F.col("requests") > limit).alias("limited"))
 
 
 def run_to_table(df: DataFrame, path: str, checkpoint: str) -> None:
