@@ -26,7 +26,9 @@ def r6(expression: str, digits: int = 6) -> str:
 
 
 def text_time(c: Column) -> Column:
-    return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    """A local timestamp as text with six decimals, whatever the session's zone."""
+    s = c.cast("string")
+    return F.concat(F.substring(s, 1, 19), F.lit("."), F.rpad(F.substring(s, 21, 6), 6, "0"))
 
 
 def gappy_events(spark, d) -> DataFrame:

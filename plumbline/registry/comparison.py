@@ -113,7 +113,7 @@ def risky(s, d):
 
 
 def order_groups(s, d):
-    return load(s, d, "orders").select("o_orderstatus", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_custkey")
+    return load(s, d, "orders").select("o_orderstatus", "o_orderpriority", F.substring(F.col("o_orderdate").cast("string"), 1, 7).alias("month"), "o_custkey")
 
 
 def customer_like(s, d):

@@ -13,7 +13,7 @@ def as_text(s, d):
     return load(s, d, "events").select(
         F.col("event_id").cast("string").alias("event_id"),
         F.col("value").cast("string").alias("value"),
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"),
+        F.substring(F.col("ts").cast("string"), 1, 19).alias("ts"),
         "event_type",
         F.concat("event_type", F.lit("-"), F.col("event_id").cast("string")).alias("label"),
     )

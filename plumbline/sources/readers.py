@@ -158,8 +158,8 @@ def read_feed_xml(spark: SparkSession, path: str, reference_labels: bool = False
         F.col("summary").alias("abstract"),
         categories.alias("categories"),
         F.coalesce(F.get(categories, F.lit(0)), F.lit("")).alias("primary_category"),
-        F.try_to_timestamp(F.regexp_replace("published", "Z$", ""), F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp_ntz").alias("published"),
-        F.try_to_timestamp(F.regexp_replace("updated", "Z$", ""), F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp_ntz").alias("updated"),
+        F.regexp_replace("published", "Z$", "").try_cast("timestamp_ntz").alias("published"),
+        F.regexp_replace("updated", "Z$", "").try_cast("timestamp_ntz").alias("updated"),
         F.element_at(F.split(link("doi"), "/"), F.lit(-1)).alias("doi"),
         F.col("arxiv:journal_ref").alias("journal_ref"),
         F.coalesce(link("pdf"), F.lit("")).alias("pdf_url"),
