@@ -111,9 +111,13 @@ def counts(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -
     return places.select("_kept", *[c.cast("long").alias(k) for k, c in found.items()]).select(*([f"_kept.`{c}`" for c in keep] if keep else []), *COUNTS)
 
 
-def votes(rules: tuple[Rule, ...] = RULES) -> list[Column]:
-    """1 for good, 0 for bad, null for no vote; of both conditions the bad one wins."""
-    return [F.expr(f"CASE WHEN {r.bad} THEN 0 WHEN {r.good} THEN 1 END").alias(f"v_{r.name}") for r in rules]
+def votes(rules: tuple[Rule, ...] = RULES) -> Column:
+    """The votes as slots: 0 stands for the document itself, 2i+1 for a good vote of rule i, 2i+2 for a bad one.
+
+    Of both conditions the bad one wins; a rule that abstains adds nothing.
+    """
+    cast = [F.expr(f"CASE WHEN {r.bad} THEN {2 * i + 2} WHEN {r.good} THEN {2 * i + 1} END") for i, r in enumerate(rules)]
+    return F.array_compact(F.array(F.lit(0), *cast))
 
 
 @dataclass(frozen=True)
@@ -124,65 +128,50 @@ class Trust:
     right_on_good: tuple[float, ...]
     right_on_bad: tuple[float, ...]
 
-    def log_odds(self, rules: tuple[Rule, ...] = RULES) -> Column:
-        """The log odds that a document with votes v_* is good.
-
-        The weights are one array literal: generated code does not depend on it, so every round reuses the code.
-        """
-        found = [math.log(self.good / (1 - self.good))]
+    def posterior(self, slots: Column) -> Column:
+        """The probability that a document with these votes is good."""
+        weights = [math.log(self.good / (1 - self.good))]
         for a, b in zip(self.right_on_good, self.right_on_bad, strict=True):
-            found += [math.log(a / (1 - b)), math.log((1 - a) / b)]
-        weights = F.array(*map(F.lit, found))
-        odds = weights[0]
-        for i, r in enumerate(rules):
-            v = F.col(f"v_{r.name}")
-            odds += F.when(v == 1, weights[2 * i + 1]).when(v == 0, weights[2 * i + 2]).otherwise(F.lit(0.0))
-        return odds
-
-    def posterior(self, rules: tuple[Rule, ...] = RULES) -> Column:
-        return 1 / (1 + F.exp(-self.log_odds(rules)))
+            weights += [math.log(a / (1 - b)), math.log((1 - a) / b)]
+        table = F.array(*map(F.lit, weights))
+        return 1 / (1 + F.exp(-F.aggregate(slots, F.lit(0.0), lambda s, j: s + F.get(table, j))))
 
 
 def estimate(patterns: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS) -> Trust:
-    """Expectation-maximisation over (v_*, n) patterns; one aggregate row a round reaches the driver.
+    """Expectation-maximisation over (votes, n) patterns; a round brings two sums for each slot to the driver.
 
     The first guess holds documents without a bad vote for good.  A rule never does worse than chance on both kinds
     together, so a good vote never speaks against a document.  An empty table gives the prior beliefs.
     """
-    any_bad = " OR ".join(f"v_{r.name} = 0" for r in rules)
-    p = F.expr(f"CASE WHEN coalesce({any_bad}, false) THEN {1 - FIRST_GUESS!r}D ELSE {FIRST_GUESS}D END")
-    trust = None
+    bad = F.exists("votes", lambda j: (j > 0) & (j % 2 == 0))
+    p, trust = F.when(bad, 1 - FIRST_GUESS).otherwise(FIRST_GUESS), None
     for _ in range(rounds):
-        weighted = patterns.select("*", p.alias("p"))
-        sums = [F.sum(F.expr("n * p")).alias("good"), F.sum("n").alias("all")]
-        for i, r in enumerate(rules):
-            v = f"v_{r.name}"
-            sums += [
-                F.sum(F.expr(f"CASE WHEN {v} = 1 THEN n * p END")).alias(f"gg{i}"),
-                F.sum(F.expr(f"CASE WHEN {v} = 0 THEN n * p END")).alias(f"gb{i}"),
-                F.sum(F.expr(f"CASE WHEN {v} = 1 THEN n * (1 - p) END")).alias(f"bg{i}"),
-                F.sum(F.expr(f"CASE WHEN {v} = 0 THEN n * (1 - p) END")).alias(f"bb{i}"),
-            ]
-        s = {k: float(x or 0) for k, x in weighted.agg(*sums).first().asDict().items()}
-        on_good = [(s[f"gg{i}"] + RIGHT_ON_GOOD) / (s[f"gg{i}"] + s[f"gb{i}"] + RIGHT_ON_GOOD + WRONG_ON_GOOD) for i in range(len(rules))]
-        on_bad = [(s[f"bb{i}"] + RIGHT_ON_BAD) / (s[f"bg{i}"] + s[f"bb{i}"] + RIGHT_ON_BAD + WRONG_ON_BAD) for i in range(len(rules))]
-        on_bad = [max(b, 1 - a) for a, b in zip(on_good, on_bad, strict=True)]
-        trust = Trust((s["good"] + GOOD_DOCS) / (s["all"] + GOOD_DOCS + BAD_DOCS), tuple(on_good), tuple(on_bad))
-        p = trust.posterior(rules)
+        weighed = patterns.select("n", p.alias("p"), F.explode("votes").alias("slot"))
+        sums = weighed.groupBy("slot").agg(F.sum(F.col("n") * F.col("p")), F.sum(F.col("n") * (1 - F.col("p"))))
+        found = {r[0]: (float(r[1]), float(r[2])) for r in sums.collect()}
+        none = (0.0, 0.0)
+        on_good, on_bad = [], []
+        for i in range(len(rules)):
+            (gg, bg), (gb, bb) = found.get(2 * i + 1, none), found.get(2 * i + 2, none)
+            a = (gg + RIGHT_ON_GOOD) / (gg + gb + RIGHT_ON_GOOD + WRONG_ON_GOOD)
+            on_good.append(a)
+            on_bad.append(max((bb + RIGHT_ON_BAD) / (bg + bb + RIGHT_ON_BAD + WRONG_ON_BAD), 1 - a))
+        good, bad_docs = found.get(0, none)
+        trust = Trust((good + GOOD_DOCS) / (good + bad_docs + GOOD_DOCS + BAD_DOCS), tuple(on_good), tuple(on_bad))
+        p = trust.posterior(F.col("votes"))
     return trust
 
 
 def fit(counted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS) -> Trust:
     """Trust in the rules from all documents; documents that fail the base have no say, they are rejected anyway."""
-    names = [f"v_{r.name}" for r in rules]
-    patterns = counted.filter(f"NOT ({BASE_FAILED})").select(*votes(rules)).groupBy(*names).agg(F.count("*").alias("n"))
+    patterns = counted.filter(f"NOT ({BASE_FAILED})").groupBy(votes(rules).alias("votes")).agg(F.count("*").alias("n"))
     return estimate(written(patterns.coalesce(1), "vote-patterns"), rules, rounds)
 
 
 def judged(counted: DataFrame, trust: Trust, rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:
     """Adds base_failed, posterior and kept to the rows of counts()."""
-    out = counted.select("*", F.expr(BASE_FAILED).alias("base_failed"), *votes(rules))
-    out = out.select("*", trust.posterior(rules).alias("posterior"))
+    out = counted.select("*", F.expr(BASE_FAILED).alias("base_failed"), votes(rules).alias("votes"))
+    out = out.select("*", trust.posterior(F.col("votes")).alias("posterior"))
     return out.select("*", (~F.col("base_failed") & (F.col("posterior") >= least)).alias("kept"))
 
 
