@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm.nearcopies import keep_one
 from plumbline.llm.quality import keep_good
 
 
@@ -12,7 +13,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_good(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays."""
+    return keep_one(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("near_copies", near_copies)]
 ORACLE_SQL = None
 
 
