@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.nearcopies import keep_one
 from plumbline.llm.quality import keep_good
+from plumbline.llm.suffixes import without_repeats
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +19,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("near_copies", near_copies)]
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document has too are cut out."""
+    return without_repeats(docs, length="n_chars")
+
+
+STAGES = [("quality_rules", quality_rules), ("near_copies", near_copies), ("repeated_passages", repeated_passages)]
 ORACLE_SQL = None
 
 

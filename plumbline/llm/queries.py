@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import nearcopies, quality
+from plumbline.llm import nearcopies, quality, suffixes
 
-QUERIES = {"op3_quality_votes": quality.query, "op6_order_minhash": nearcopies.query}
+QUERIES = {"op3_quality_votes": quality.query, "op4_sparse_suffixes": suffixes.query, "op6_order_minhash": nearcopies.query}
 ORACLE = {"op3_quality_votes": quality.ORACLE_SQL}
