@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm.mixing import mixed
 from plumbline.llm.nearcopies import keep_one
 from plumbline.llm.quality import keep_good
 from plumbline.llm.suffixes import without_repeats
@@ -24,7 +25,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return without_repeats(docs, length="n_chars")
 
 
-STAGES = [("quality_rules", quality_rules), ("near_copies", near_copies), ("repeated_passages", repeated_passages)]
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source gives its budget of words, in whole epochs and a part of one."""
+    return mixed(docs, length="n_chars")
+
+
+STAGES = [("quality_rules", quality_rules), ("near_copies", near_copies), ("repeated_passages", repeated_passages), ("source_mix", source_mix)]
 ORACLE_SQL = None
 
 
