@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.mixing import mixed
 from plumbline.llm.nearcopies import keep_one
+from plumbline.llm.pieces import encode
 from plumbline.llm.quality import keep_good
 from plumbline.llm.suffixes import without_repeats
 
@@ -30,7 +31,18 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed(docs, length="n_chars")
 
 
-STAGES = [("quality_rules", quality_rules), ("near_copies", near_copies), ("repeated_passages", repeated_passages), ("source_mix", source_mix)]
+def sampled_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sampled segmentation of each text, from which it can be decoded without loss."""
+    return encode(docs, keep=["doc_id", "source"])
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_copies", near_copies),
+    ("repeated_passages", repeated_passages),
+    ("source_mix", source_mix),
+    ("sampled_pieces", sampled_pieces),
+]
 ORACLE_SQL = None
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from plumbline.llm import mixing, nearcopies, quality, suffixes
+from plumbline.llm import mixing, nearcopies, pieces, quality, suffixes
 
 QUERIES = {
     "op3_quality_votes": quality.query,
     "op4_sparse_suffixes": suffixes.query,
     "op6_order_minhash": nearcopies.query,
     "op8_source_mix": mixing.query,
+    "op9_sampled_pieces": pieces.query,
 }
 ORACLE = {"op3_quality_votes": quality.ORACLE_SQL, "op8_source_mix": mixing.ORACLE_SQL}
