@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from plumbline.llm import mixing, nearcopies, pieces, quality, suffixes
+from plumbline.llm import mixing, nearcopies, pieces, planes, quality, suffixes
 
 QUERIES = {
+    "op2_token_planes": planes.query,
     "op3_quality_votes": quality.query,
     "op4_sparse_suffixes": suffixes.query,
     "op6_order_minhash": nearcopies.query,
