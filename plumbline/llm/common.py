@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +32,11 @@ def words_of(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """What make gives, made once in each worker process; functions reach workers by value, so their modules can't hold it."""
+    store = sys.__dict__.setdefault("_plumbline_kept", {})
+    if name not in store:
+        store[name] = make()
+    return store[name]

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import kept
 from plumbline.llm.wordhash import blocks, mixed, text_bytes
 
 SPACE = "▁"
@@ -105,9 +105,8 @@ def _hash(piece: str) -> int:
     return h
 
 
-@lru_cache(maxsize=4)
 def pieces(path: str) -> Pieces:
-    return Pieces(path)
+    return kept(f"pieces {path}", lambda: Pieces(path))
 
 
 class Lattice:

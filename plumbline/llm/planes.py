@@ -16,7 +16,6 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import written
+from plumbline.llm.common import kept, written
 from plumbline.llm.store import opened, put
 from plumbline.llm.wordhash import blocks, span_hashes, text_bytes, word_spans
 from plumbline.session import fresh_path
@@ -226,9 +225,8 @@ class Encoder:
         return ids, np.diff(per_text[before])
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return kept(f"encoder {path}", lambda: Encoder(path))
 
 
 def _with_ends(ids: np.ndarray, counts: np.ndarray, end_id: int) -> np.ndarray:
