@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from plumbline.llm import mixing, nearcopies, pieces, planes, quality, suffixes
+from plumbline.llm import chunks, mixing, nearcopies, pieces, planes, quality, suffixes, urls, vantage
 
 QUERIES = {
+    "op1_chunk_copies": chunks.query,
     "op2_token_planes": planes.query,
     "op3_quality_votes": quality.query,
     "op4_sparse_suffixes": suffixes.query,
+    "op5_vantage_trees": vantage.query,
     "op6_order_minhash": nearcopies.query,
     "op8_source_mix": mixing.query,
     "op9_sampled_pieces": pieces.query,
+    "op10_url_templates": urls.query,
 }
-ORACLE = {"op3_quality_votes": quality.ORACLE_SQL, "op8_source_mix": mixing.ORACLE_SQL}
+ORACLE = {"op3_quality_votes": quality.ORACLE_SQL, "op5_vantage_trees": vantage.ORACLE_SQL, "op8_source_mix": mixing.ORACLE_SQL}
