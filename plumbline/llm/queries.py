@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import chunks, mixing, nearcopies, pieces, planes, quality, suffixes, urls, vantage
+from plumbline.llm import archives, chunks, mixing, nearcopies, pieces, planes, quality, suffixes, urls, vantage
 
 QUERIES = {
     "op1_chunk_copies": chunks.query,
@@ -11,8 +11,9 @@ QUERIES = {
     "op4_sparse_suffixes": suffixes.query,
     "op5_vantage_trees": vantage.query,
     "op6_order_minhash": nearcopies.query,
+    "op7_arc_to_warc": archives.query,
     "op8_source_mix": mixing.query,
     "op9_sampled_pieces": pieces.query,
     "op10_url_templates": urls.query,
 }
-ORACLE = {"op3_quality_votes": quality.ORACLE_SQL, "op5_vantage_trees": vantage.ORACLE_SQL, "op8_source_mix": mixing.ORACLE_SQL}
+ORACLE = {"op3_quality_votes": quality.ORACLE_SQL, "op5_vantage_trees": vantage.ORACLE_SQL, "op7_arc_to_warc": archives.ORACLE_SQL, "op8_source_mix": mixing.ORACLE_SQL}
