@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
 import zlib
@@ -166,7 +167,7 @@ def _streamed(path: str):
     file = opened(path)
     magic = file.read(2)
     file.seek(0)
-    return gzip.GzipFile(fileobj=file) if magic == b"\x1f\x8b" else file
+    return gzip.GzipFile(fileobj=file) if magic == b"\x1f\x8b" else io.BufferedReader(file, 1 << 20)
 
 
 # WARC

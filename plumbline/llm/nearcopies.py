@@ -8,8 +8,9 @@ windows, and verified links are joined into classes.
 
 Work inside a bucket grows with its size, not its square, while its texts are near copies of each other: in the
 first round each is compared with the text that shares most buckets, and what is then in one class needs no further
-comparison.  What stays apart meets a growing number of its bucket's texts, all of them in the end, so no link is
-lost to a limit.
+comparison.  Windows that only one text has can't be matched by any other; texts, and pairs of texts, that have too many
+of them to be similar are left out by that bound.  What stays apart meets a growing number of its bucket's texts, all of
+them in the end, so no link is lost to a limit.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ SIMILARITY = 0.8
 SKETCHES = 40
 PICKED = 8
 CELLS = 1 << 20
+GROWTH = 16
 
 
 def _numbered(windows: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -155,6 +157,30 @@ def _verified(k: int, least: float):
     return run
 
 
+def _labelled(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                nodes, words = (batch.column(c).slice(i, 500) for c in (0, 1))
+                found = [_windows(w.as_py(), k) for w in words]
+                n = np.fromiter(map(len, found), np.int64, len(found))
+                text = np.repeat(np.arange(len(found)), n)
+                numbered = _numbered(np.concatenate(found), text).view(np.int64)
+                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(text)), pa.array(numbered)], ["node", "window"])
+
+    return run
+
+
+def _bounds(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(node, n, most): a text's windows, and how many of them another of the nodes has as often."""
+    windows = texts.join(nodes, "node", "left_semi").select("node", "words").mapInArrow(_labelled(k), "node long, window long")
+    alone = windows.groupBy("window").agg(F.count("*").alias("texts"), F.min("node").alias("node")).filter("texts = 1")
+    alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
+    size = F.greatest(F.octet_length("words") / 4 - (k - 1), F.lit(1)).cast("long")
+    sizes = texts.join(nodes, "node", "left_semi").select("node", size.alias("n")).join(alone, "node", "left")
+    return sizes.select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
+
+
 def _links(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
     """The pairs (u, v) whose texts are similar."""
     with_v = pairs.join(texts.select(F.col("node").alias("v"), F.col("words").alias("y")), "v")
@@ -188,22 +214,30 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     pairs = members.join(centres, "key").filter("node <> u").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
     tried = written(pairs, "tried")
     links = written(_links(tried, texts, k, least), "verified")
-    chosen = 4
+    chosen, bounds = GROWTH, None
     while True:
         labels = written(components(links), "labels")
         placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        apart = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b")
+        if bounds is not None:
+            placed = placed.join(bounds, "node")
+        sizes = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b")
         # Where the last round could choose all texts of a bucket, all its links are known.
-        apart = written(apart.filter(F.col("size") * 4 > chosen).select("key", "size"), "open-buckets")
+        apart = written(sizes.filter(F.col("size") * GROWTH > chosen).select("key", "size"), "open-buckets")
         if apart.isEmpty():
             break
-        rest = placed.join(apart, "key")
-        some = rest.filter(F.pmod(F.xxhash64("node", F.lit(chosen)), F.col("size")) < chosen).select("key", F.col("node").alias("u"), F.col("label").alias("of"))
-        more = rest.join(some, "key").filter("label <> of").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
+        rest = written(placed.join(apart, "key"), "open-members")
+        if bounds is None:
+            bounds = written(_bounds(rest.select("node").distinct(), texts, k).filter(F.col("most") >= least * F.col("n")), "bounds")
+            rest = rest.join(bounds, "node")
+        some = rest.filter(F.pmod(F.xxhash64("node", F.lit(chosen)), F.col("size")) < chosen)
+        some = some.select("key", F.col("node").alias("u"), F.col("label").alias("of"), F.col("n").alias("un"), F.col("most").alias("umost"))
+        enough = F.least("most", "umost") >= least / (1 + least) * (F.col("n") + F.col("un")) - 1e-6
+        more = rest.join(some, (rest["key"] == some["key"]) & (F.col("label") != F.col("of")) & enough)
+        more = more.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
         more = written(more.join(tried, ["u", "v"], "left_anti"), "tried")
         links = written(links.unionByName(_links(more, texts, k, least)), "verified")
         tried = tried.unionByName(more)
-        chosen *= 4
+        chosen *= GROWTH
     placed = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
     return table.select("id", "digest").join(placed, "digest", "left").select(
         F.col("id").alias("doc_id"), "digest", F.when(F.col("id").isNotNull(), F.coalesce("label", "id")).alias("class_id")

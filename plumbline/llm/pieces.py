@@ -228,6 +228,8 @@ def _units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def sampled(texts: pa.Array, seeds: np.ndarray, p: Pieces, sharpness: float = SHARPNESS) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts one after another, and how many each has; a null text has none."""
     units, per_text = _units(pc.fill_null(texts, ""))
+    if not len(units):
+        return np.zeros(0, np.int32), per_text
     coded = units.dictionary_encode()
     lattice = Lattice(p, coded.dictionary, sharpness)
     first = np.cumsum(per_text) - per_text

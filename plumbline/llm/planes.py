@@ -242,7 +242,12 @@ def _write(folder: str, tokenizer: str, kind: str, block: int, per_file: int, le
                 for a, b in blocks(whole.column(1), TEXT_BLOCK):
                     batch = whole.slice(a, b - a)
                     ids, counts = encode(batch.column(1))
-                    yield batch.column(0).fill_null(NULL_ID).to_numpy(), counts + 1, _with_ends(ids, counts, end_id)
+                    ids, counts, keys = _with_ends(ids, counts, end_id), counts + 1, batch.column(0).fill_null(NULL_ID).to_numpy()
+                    ends, i = np.concatenate([[0], np.cumsum(counts)]), 0
+                    while i < len(keys):  # some documents at a time, so that files end near their size
+                        j = max(i + 1, int(np.searchsorted(ends, ends[i] + per_file // 8, "right")) - 1)
+                        yield keys[i:j], counts[i:j], ids[ends[i] : ends[j]]
+                        i = j
 
         source, number = pieces(), 0
         piece = next(source, None)
