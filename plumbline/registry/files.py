@@ -14,18 +14,27 @@ from plumbline.sources import writers as W
 TABLE_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+def event_rows(df, **constant):
+    """Every column of events, in a form that DuckDB writes alike."""
+    return df.select(*[F.lit(v).alias(k) for k, v in constant.items()], "event_id", text_time(F.col("ts")).alias("ts"), "user_id", "event_type", "value", "props")
+
+
 def by_suffix(s, d):
-    events = load(s, d, "events").select("event_id", "event_type", "value")
-    path = fresh_path(s, "suffix")
-    events.write.csv(f"{path}/e.csv", header=True)
-    events.write.json(f"{path}/e.jsonl")
+    events = load(s, d, "events")
+    path, stamp = fresh_path(s, "suffix"), "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    stamped = lambda: events.write.option("timestampNTZFormat", stamp)
+    stamped().csv(f"{path}/e.csv", header=True)
+    stamped().json(f"{path}/e.jsonl")
+    stamped().json(f"{path}/e.json")
     events.write.parquet(f"{path}/e.parquet")
-    parts = [
-        R.read_table(s, f"{path}/e.{x}").agg(
-            F.lit(x).alias("suffix"), F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"), F.sum("value").alias("total"), F.count_distinct("event_type").alias("types"))
-        for x in ("csv", "jsonl", "parquet")
-    ]
-    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), 2)
+    out = None
+    for x in ("csv", "json", "jsonl", "parquet"):
+        df = R.read_table(s, f"{path}/e.{x}")
+        if x != "parquet":  # times arrive as text or as times, as inferred
+            df = df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        part = event_rows(df, suffix=x)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def directory(s, d):
@@ -122,11 +131,15 @@ def document_dir(s, d):
 
 
 def exported(config, name):
+    """The events as they were read back from the written files, beside what the manifest says."""
+
     def run(s, d):
-        events = load(s, d, "events").drop("props")
-        path = fresh_path(s, name)
+        events = load(s, d, "events")
+        path = f"{fresh_path(s, name)}/events.{config.format}"
         manifest = W.export_dataset(events, path, config, name)
-        return manifest.select("dataset", "total_records", (F.col("total_size_bytes") > 0).alias("written"), (F.col("file_count") > 0).alias("has_files"), F.col("checksums").isNotNull().alias("hashed"))
+        back = event_rows(R.read_table(s, path, schema=events.schema), dataset=name)
+        told = manifest.select(F.struct("total_records", (F.col("file_count") == F.size(F.from_json("checksums", "array<struct<md5:string>>"))).alias("hashed")).alias("m"))
+        return back.withColumn("m", told.scalar()).select("*", "m.total_records", "m.hashed").drop("m")
 
     return run
 
@@ -169,14 +182,17 @@ def odd_cells(s, d):
     """Cells with separators, quotes, line breaks and gaps."""
     e = load(s, d, "events")
     note = F.when(F.col("event_type") == "view", F.lit('a "quoted", word')).when(F.col("event_type") == "click", F.lit("two\nlines")).when(F.col("event_type") == "signup", F.col("props"))
-    return e.select("event_id", "value", note.alias("note"), (F.col("value") > 10).alias("big"), F.lit(None).cast("double").alias("none"))
+    return e.select("event_id", "user_id", "event_type", text_time(F.col("ts")).alias("ts"), "props", "value", note.alias("note"), (F.col("value") > 10).alias("big"), F.lit(None).cast("double").alias("none"))
 
 
 def csv_forms(s, d):
-    forms = {"minimal": W.ExportConfig("csv"), "all": W.ExportConfig("csv", csv_quoting="all", decimal_precision=2), "nonnumeric": W.ExportConfig("csv", csv_quoting="nonnumeric", csv_separator=";"), "none": W.ExportConfig("csv", csv_quoting="none", csv_separator="|")}
-    out = None
+    """The lines of the written files, without their headers."""
+    forms = {"minimal": W.ExportConfig("csv"), "all": W.ExportConfig("csv", csv_quoting="all", decimal_precision=2), "nonnumeric": W.ExportConfig("csv", csv_quoting="nonnumeric", csv_separator=";"), "none": W.ExportConfig("csv", csv_quoting="none", csv_separator="|", max_records_per_file=1000)}
+    out, cells = None, odd_cells(s, d)
     for name, config in forms.items():
-        part = W.csv_lines(odd_cells(s, d), config).select(F.lit(name).alias("quoting"), "line")
+        path = fresh_path(s, f"csv-{name}")
+        W.write_table(cells, path, config)
+        part = s.read.text(path).filter(F.col("value") != W.csv_header(cells, config)).select(F.lit(name).alias("quoting"), F.col("value").alias("line"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -189,7 +205,7 @@ QUERIES = {
     "read_arxiv_atom": feed,
     "read_document_dir": document_dir,
     "export_json": exported(W.ExportConfig("json", compression="gzip", include_profile=False), "json"),
-    "export_jsonl": lambda s, d: W.json_lines(load(s, d, "events").select("event_id", "user_id", "event_type", F.when(F.col("event_type") != "error", F.col("user_id")).alias("maybe"))),
+    "export_jsonl": exported(W.ExportConfig("jsonl", include_profile=False), "jsonl"),
     "export_csv": csv_forms,
     "export_parquet": exported(W.ExportConfig("parquet", parquet_compression="gzip", include_profile=False), "parquet"),
     "export_split": split_export,
@@ -204,11 +220,12 @@ _q = lambda e: f"chr(34) || replace({e}, chr(34), chr(34) || chr(34)) || chr(34)
 _note = "CASE event_type WHEN 'view' THEN 'a \"quoted\", word' WHEN 'click' THEN 'two' || chr(10) || 'lines' WHEN 'signup' THEN props ELSE '' END"
 _num = lambda p: f"printf('%.{p}f', value)"
 _big = "CASE WHEN value > 10 THEN 'True' ELSE 'False' END"
-_exported = lambda name: f"SELECT '{name}' AS dataset, count(*) AS total_records, true AS written, true AS has_files, true AS hashed FROM events"
+_event_rows = "event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, user_id, event_type, value, props"
+_exported = lambda name: f"SELECT '{name}' AS dataset, {_event_rows}, (SELECT count(*) FROM events) AS total_records, true AS hashed FROM events"
 _chars = lambda e: f"length(regexp_replace(regexp_replace({e}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '\\s+', '', 'g'))"
 
 ORACLE = {
-    "scan_by_suffix": union([f"SELECT '{x}' AS suffix, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, {r6('sum(value)', 2)} AS total, count(DISTINCT event_type) AS types FROM events" for x in ("csv", "jsonl", "parquet")]),
+    "scan_by_suffix": union([f"SELECT '{x}' AS suffix, {_event_rows} FROM events" for x in ("csv", "json", "jsonl", "parquet")]),
     "scan_directory": union([f"SELECT '{t}' AS dataset, count(*) AS n, {k} AS n_columns FROM {t}" for t, k in zip(TABLE_NAMES, (2, 3, 5, 4, 6, 6, 11, 6, 5, 3, 3, 2, 3, 4))]),
     "scan_directory_one_schema": "SELECT 'orders' AS dataset, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS ids FROM orders",
     "read_pubmed_xml": f"""SELECT CAST(doc_id AS VARCHAR) AS pmid, 'On ' || source AS title, CAST({_chars('text')} + 8 AS INTEGER) AS abstract_chars, 'End.' AS abstract_end, 'Ann ' || source || '|Li' AS authors, source AS journal,
@@ -219,12 +236,13 @@ strftime(TRY_CAST(printf('%04d-%02d-%02d', n_chars % 30 + 1990, [1, 7, 1, 12][n_
 'http://feed.example.org/abs/2101.' || printf('%05d', doc_id) || 'v' || (n_chars % 5 + 1) AS entry_url FROM documents""",
     "read_document_dir": "SELECT 2 AS n_pages, md5(text) AS second_page FROM benchmark",
     "export_json": _exported("json"),
-    "export_jsonl": """SELECT '{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '","maybe":' || CASE WHEN event_type <> 'error' THEN CAST(user_id AS VARCHAR) ELSE 'null' END || '}' AS line FROM events""",
-    "export_csv": f"""WITH x AS (SELECT *, {_note} AS note FROM events)
-SELECT 'minimal' AS quoting, event_id || ',' || {_num(6)} || ',' || CASE WHEN regexp_matches(note, '[,"\\n\\r]') THEN {_q('note')} ELSE note END || ',' || {_big} || ',' AS line FROM x
-UNION ALL SELECT 'all', {_q('CAST(event_id AS VARCHAR)')} || ',' || {_q(_num(2))} || ',' || {_q('note')} || ',' || {_q(_big)} || ',""' FROM x
-UNION ALL SELECT 'nonnumeric', event_id || ';' || {_num(6)} || ';' || {_q('note')} || ';' || {_big} || ';' FROM x
-UNION ALL SELECT 'none', event_id || '|' || {_num(6)} || '|' || note || '|' || {_big} || '|' FROM x""",
+    "export_jsonl": _exported("jsonl"),
+    "export_csv": f"""WITH x AS (SELECT *, {_note} AS note, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS t FROM events),
+l AS (SELECT 'minimal' AS quoting, event_id || ',' || user_id || ',' || event_type || ',' || t || ',' || CASE WHEN regexp_matches(props, '[,"\n\r]') THEN {_q('props')} ELSE props END || ',' || {_num(6)} || ',' || CASE WHEN regexp_matches(note, '[,"\n\r]') THEN {_q('note')} ELSE note END || ',' || {_big} || ',' AS line FROM x
+UNION ALL SELECT 'all', {_q('CAST(event_id AS VARCHAR)')} || ',' || {_q('CAST(user_id AS VARCHAR)')} || ',' || {_q('event_type')} || ',' || {_q('t')} || ',' || {_q('props')} || ',' || {_q(_num(2))} || ',' || {_q('note')} || ',' || {_q(_big)} || ',""' FROM x
+UNION ALL SELECT 'nonnumeric', event_id || ';' || user_id || ';' || {_q('event_type')} || ';' || {_q('t')} || ';' || {_q('props')} || ';' || {_num(6)} || ';' || {_q('note')} || ';' || {_big} || ';' FROM x
+UNION ALL SELECT 'none', event_id || '|' || user_id || '|' || event_type || '|' || t || '|' || props || '|' || {_num(6)} || '|' || note || '|' || {_big} || '|' FROM x)
+SELECT quoting, unnest(string_split(line, chr(10))) AS line FROM l""",
     "export_parquet": _exported("parquet"),
     "export_split": "SELECT count(*) // 4000 + 1 AS files, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS ids FROM orders",
     "batch_export_summary": "SELECT 5::BIGINT AS datasets, 4::BIGINT AS succeeded, 1::BIGINT AS failed, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) + (SELECT count(*) FROM orders) AS total_records, 'empty: cannot export an empty table' AS errors",

@@ -25,8 +25,16 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     )
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool = False) -> DataFrame:
-    """Read .parquet, .csv or .json by suffix (a JSON array by default, one object per line with ``lines`` or .jsonl)."""
+def _one_object_per_line(spark: SparkSession, path: str) -> bool:
+    """Whether the first line that is not blank is a JSON object by itself."""
+    first = spark.read.text(path).filter(F.trim("value") != "").limit(1)
+    text = F.trim("value")
+    found = first.select(text.startswith("{") & text.endswith("}") & F.try_parse_json(text).isNotNull()).collect()
+    return bool(found) and bool(found[0][0])
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool | None = None) -> DataFrame:
+    """Read .parquet, .csv or .json by suffix; .json holds an array, or one object per line, which is found out unless told."""
     name = path.rstrip("/")
     for packed in (".gz", ".bz2"):
         name = name.removesuffix(packed)
@@ -37,7 +45,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     if suffix == ".csv":
         return reader.csv(path, header=True, inferSchema=schema is None)
     if suffix == ".json":
-        return reader.json(path, multiLine=not lines)
+        return reader.json(path, multiLine=not (_one_object_per_line(spark, path) if lines is None else lines))
     if suffix == ".jsonl":
         return reader.json(path)
     raise ValueError(f"unsupported file type: {suffix or path}")

@@ -48,6 +48,8 @@ class ExportConfig:
             raise ExportError(f"unsupported format: {self.format}")
         if self.csv_quoting not in QUOTING:
             raise ExportError(f"unsupported quoting: {self.csv_quoting}")
+        if self.csv_encoding.upper() not in _LINE_ENDS:
+            raise ExportError(f"unsupported encoding: {self.csv_encoding}")
         if self.parquet_compression not in PARQUET_CODECS:
             raise ExportError(f"unsupported codec: {self.parquet_compression}")
         if not 0 <= self.decimal_precision <= 15:
@@ -91,15 +93,36 @@ def csv_lines(df: DataFrame, config: ExportConfig | None = None) -> DataFrame:
     return df.select(F.concat_ws(config.csv_separator, *_csv_cells(df, config)).alias("line"))
 
 
-def _csv_frame(df: DataFrame, config: ExportConfig) -> DataFrame:
-    return df.select(
-        *[
-            F.format_string(f"%.{config.decimal_precision}f", F.col(quoted(f.name)).cast("double")).alias(f.name)
-            if isinstance(f.dataType, (T.DoubleType, T.FloatType))
-            else F.col(quoted(f.name))
-            for f in df.schema.fields
-        ]
-    )
+def csv_header(df: DataFrame, config: ExportConfig) -> str:
+    """The first line of every file, quoted by the rule that text cells follow."""
+    names = []
+    for c in df.columns:
+        special = any(x in c for x in (config.csv_separator, '"', "\n", "\r"))
+        quote = config.csv_quoting in ("all", "nonnumeric") or (config.csv_quoting == "minimal" and special)
+        names.append('"' + c.replace('"', '""') + '"' if quote else c)
+    return config.csv_separator.join(names)
+
+
+# The line end of an encoding, without its last byte (which the text writer adds) and the mark that begins a file.
+_LINE_ENDS = {"UTF-8": (b"", b""), "US-ASCII": (b"", b""), "ISO-8859-1": (b"", b""), "UTF-16BE": (b"\x00", b""), "UTF-16LE": (b"\n", b""), "UTF-16": (b"\x00", b"\xfe\xff")}
+
+
+def _write_csv(df: DataFrame, path: str, config: ExportConfig, packed: dict) -> None:
+    """The lines of csv_lines() in files that each begin with the header.
+
+    A task's rows are numbered from 0, and the writer begins a new file after every max_records_per_file of them, so the
+    header goes in front of the rows that begin one.
+    """
+    inner, mark = _LINE_ENDS[config.csv_encoding.upper()]
+    charset = "UTF-16BE" if config.csv_encoding.upper() == "UTF-16" else config.csv_encoding.upper()
+    number = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    most = config.max_records_per_file
+    begins = number % most == 0 if most else number == 0
+    raw = lambda c: F.concat(F.encode(c, charset), F.lit(inner))
+    end = F.lit(b"\x00" if charset == "UTF-16LE" else b"\n")
+    head = F.concat(F.lit(mark), raw(F.lit(csv_header(df, config))), end)
+    lines = csv_lines(df, config).select(F.when(begins, F.concat(head, raw(F.col("line")))).otherwise(raw(F.col("line"))).cast("string").alias("value"))
+    lines.write.option("maxRecordsPerFile", most).text(path, lineSep="\x00" if charset == "UTF-16LE" else "\n", **packed)
 
 
 def file_count(rows: int, chunk_size: int) -> int:
@@ -141,25 +164,9 @@ def write_table(df: DataFrame, path: str, config: ExportConfig | None = None) ->
         out = nested_to_json(out)
     packed = {"compression": config.compression} if config.compression else {}
     if config.format in ("json", "jsonl"):
-        limited(out).json(path, ignoreNullFields=False, **packed)
+        limited(out).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path, ignoreNullFields=False, **packed)
     elif config.format == "csv":
-        if config.csv_quoting in ("minimal", "all"):
-            # the writer quotes every cell from its text, so numbers are formatted first
-            limited(_csv_frame(out, config)).csv(
-                path, sep=config.csv_separator, encoding=config.csv_encoding, quoteAll=config.csv_quoting == "all", header=True,
-                escape='"', emptyValue="", **packed
-            )
-        else:
-            # each file starts with the header line, as every other writer does
-            header = config.csv_separator.join(f'"{c}"' if config.csv_quoting == "nonnumeric" else c for c in out.columns)
-
-            def with_header(batches):
-                import pandas as pd
-
-                yield pd.DataFrame({"line": [header]})
-                yield from batches
-
-            csv_lines(out, config).mapInPandas(with_header, "line string").write.text(path, **packed)
+        _write_csv(out, path, config, packed)
     else:
         writer = limited(out).option("parquet.block.size", str(config.row_group_bytes))
         writer.parquet(path, compression=config.parquet_compression or "none")
@@ -193,8 +200,10 @@ def export_dataset(df: DataFrame, path: str, config: ExportConfig | None = None,
     """Write and return one manifest row: records, files, bytes, ratio, schema, settings, checksums, profile."""
     config = config or ExportConfig()
     spark = df.sparkSession
+    oversized = F.lit(None).cast("string")
     if config.validate_schema:
-        preflight(df)
+        long_cells = preflight(df).filter("oversized")
+        oversized = long_cells.agg(F.to_json(F.collect_list(F.struct("column", "longest_cell")))).scalar()
     if config.split_large_files:
         df = split_evenly(df, df.count(), config.chunk_size)
     write_table(df, path, config)
@@ -204,7 +213,8 @@ def export_dataset(df: DataFrame, path: str, config: ExportConfig | None = None,
     written = files.agg(F.count(F.lit(1)).alias("file_count"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("total_size_bytes"), sums.alias("checksums"))
     if config.format == "parquet" and not config.nested_json_as_string:
         df = spark.read.schema(df.schema).parquet(path)  # what was written is cheaper to read than to make again
-    counted = df.agg(F.count(F.lit(1)).alias("total_records"), memory_bytes(df).alias("memory_bytes"))
+    stored = _stored_records(spark, df, path, config, written)
+    counted = df.agg(F.count(F.lit(1)).alias("source_records"), memory_bytes(df).alias("memory_bytes"))
     schema = F.lit(df.schema.simpleString())
     profile = F.lit(None).cast("string")
     if config.include_profile:
@@ -212,7 +222,7 @@ def export_dataset(df: DataFrame, path: str, config: ExportConfig | None = None,
         profile = rows.scalar()
     return written.select(
         F.lit(name).alias("dataset"),
-        counted.select("total_records").scalar().alias("total_records"),
+        stored.alias("total_records"),
         "file_count",
         "total_size_bytes",
         share(counted.select("memory_bytes").scalar(), F.col("total_size_bytes")).alias("compression_ratio"),
@@ -220,9 +230,26 @@ def export_dataset(df: DataFrame, path: str, config: ExportConfig | None = None,
         F.lit(str(asdict(config))).alias("settings"),
         "checksums",
         profile.alias("profile"),
+        oversized.alias("oversized_cells"),
     )
 
 
+def _stored_records(spark: SparkSession, df: DataFrame, path: str, config: ExportConfig, written: DataFrame) -> Column:
+    """The records that the written files hold, counted there."""
+    count = F.count(F.lit(1)).alias("n")
+    if config.format == "parquet":
+        return spark.read.parquet(path).agg(count).scalar()
+    if config.format in ("json", "jsonl"):
+        return spark.read.text(path).agg(count).scalar()
+    cells = spark.read.csv(path, header=True, sep=config.csv_separator, encoding=config.csv_encoding, escape='"', multiLine=config.csv_quoting != "none", quote="" if config.csv_quoting == "none" else '"')
+    if config.csv_quoting != "none":
+        return cells.agg(count).scalar()
+    # Without quotes a cell may hold line feeds: lines are counted, less those inside cells and the headers.
+    inside = F.sum(sum((F.coalesce(F.length(F.col(quoted(c))) - F.length(F.replace(F.col(quoted(c)), F.lit("\n"))), F.lit(0)) for c in string_columns(df)), F.lit(0)))
+    lines = spark.read.text(path, lineSep="\n").agg(count).scalar()
+    return lines - df.agg(F.coalesce(inside, F.lit(0)).alias("n")).scalar() - written.select("file_count").scalar()
+
+
 def export_many(
     tables: dict[str, DataFrame], folder: str, configs: dict[str, ExportConfig] | None = None, default: ExportConfig | None = None
 ) -> tuple[DataFrame | None, DataFrame]:

@@ -476,13 +476,45 @@ def test_token_prices(spark):
 
 # --- files, catalog, user functions --------------------------------------------------------
 
-@pytest.mark.parametrize("quoting", ["minimal", "all", "nonnumeric"])
-def test_csv_round_trip(spark, quoting):
-    df = spark.createDataFrame([(1, 1.5, 'a "b", c', True), (2, None, "two", False)], "id long, x double, s string, b boolean")
-    path = fresh_path(spark, "csv")
-    W.write_table(df.coalesce(1), path, W.ExportConfig("csv", csv_quoting=quoting))
-    back = spark.read.csv(path, header=True, escape='"', schema="id long, x double, s string, b boolean")
-    assert sorted(rows(back)) == sorted(rows(df))
+CSV_BYTES = {
+    "minimal": 'id,x,s,b\n1,1.500000,"a ""b"", c",True\n2,,"two\nlines",False\n3,-0.250000,ü,\n',
+    "all": '"id","x","s","b"\n"1","1.500000","a ""b"", c","True"\n"2","","two\nlines","False"\n"3","-0.250000","ü",""\n',
+    "nonnumeric": '"id","x","s","b"\n1,1.500000,"a ""b"", c",True\n2,,"two\nlines",False\n3,-0.250000,"ü",\n',
+    "none": 'id,x,s,b\n1,1.500000,a "b", c,True\n2,,two\nlines,False\n3,-0.250000,ü,\n',
+}
+
+
+@pytest.mark.parametrize("encoding", ["UTF-8", "ISO-8859-1", "UTF-16", "UTF-16LE"])
+@pytest.mark.parametrize("quoting", list(CSV_BYTES))
+def test_csv_bytes(spark, quoting, encoding):
+    df = spark.createDataFrame([(1, 1.5, 'a "b", c', True), (2, None, "two\nlines", False), (3, -0.25, "ü", None)], "id long, x double, s string, b boolean")
+    config, path = W.ExportConfig("csv", csv_quoting=quoting, csv_encoding=encoding), fresh_path(spark, "csv")
+    W.write_table(df.coalesce(1), path, config)
+    (name,) = [r["file"] for r in W.file_checksums(spark, path).collect()]
+    with open(f"{path}/{name}", "rb") as f:
+        data = f.read()
+    assert data == (b"\xfe\xff" + CSV_BYTES[quoting].encode("UTF-16BE") if encoding == "UTF-16" else CSV_BYTES[quoting].encode(encoding))
+
+
+@pytest.mark.parametrize("quoting", list(CSV_BYTES))
+def test_csv_files_hold_so_many_records(spark, quoting):
+    df, path = spark.range(100).select("id", (F.col("id") / 4).alias("x"), F.lit("a").alias("s")), fresh_path(spark, "csv")
+    manifest = one(W.export_dataset(df.coalesce(1), path, W.ExportConfig("csv", csv_quoting=quoting, max_records_per_file=30, include_profile=False)))
+    assert (manifest["total_records"], manifest["file_count"]) == (100, 4)
+    assert spark.read.csv(path, header=True).count() == 100
+
+
+def test_json_round_trip(spark):
+    df = spark.createDataFrame([(i, None if i % 3 else "x\ny") for i in range(100)], "id long, s string")
+    path = f"{fresh_path(spark, 'json')}/t.json"
+    manifest = one(W.export_dataset(df.repartition(3), path, W.ExportConfig("json", compression="gzip", include_profile=False)))
+    assert manifest["total_records"] == 100 and sorted(rows(R.read_table(spark, path))) == sorted(rows(df))
+
+
+@pytest.mark.parametrize("text", ['[{"a": 1}, {"a": 2}]', '[\n{"a": 1},\n{"a": 2}\n]', '\n{"a": 1}\n{"a": 2}\n', '[{\n"a": 1},{"a": 2}]'])
+def test_json_forms(spark, tmp_path, text):
+    (tmp_path / "t.json").write_text(text)
+    assert sorted(rows(R.read_table(spark, str(tmp_path / "t.json")))) == [(1,), (2,)]
 
 
 def test_export_files(spark):
