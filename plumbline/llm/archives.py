@@ -298,7 +298,7 @@ def to_warc(files: DataFrame, folder: str, order_header: str = ORDER_HEADER, lea
     found = written(_one_each(files, "file", "name").mapInArrow(_payloads(order_header), "name string, number long, digest string, size long, rank long, url string, date string, error string"), "arc-payloads")
     sized = found.filter(F.col("digest").isNotNull() & (F.col("size") >= least))
     best = sized.groupBy("digest", "size").agg(F.max(F.struct("rank", "name", "number", "url", "date")).alias("best"), F.count("*").alias("copies")).filter("copies > 1")
-    again = sized.join(best, ["digest", "size"]).filter("name <> best.name OR number <> best.number")
+    again = sized.join(written(best, "payload-responses"), ["digest", "size"]).filter("name <> best.name OR number <> best.number")
     told = F.struct("number", F.col("best.name").alias("name"), F.col("best.number").alias("first"), F.col("best.url").alias("url"), F.col("best.date").alias("date"))
     decided = again.select("name", told.alias("revisit")).groupBy("name").agg(F.collect_list("revisit").alias("revisits"))
     work = written(files.select("file", "name").join(decided, "name", "left"), "arc-decisions")

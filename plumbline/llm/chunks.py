@@ -128,7 +128,8 @@ def copied_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     table = written(chunks(docs, doc_id, text), "chunks")
     digest = ["digest1", "digest2"]
     first = table.groupBy(*digest).agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("first_id < last_id").drop("last_id")
-    copies = table.join(first, digest).filter("id > first_id")
+    # Written, so that the join has plain exchanges on both sides and Spark can split a chunk that very many texts have.
+    copies = table.join(written(first, "first-chunks"), digest).filter("id > first_id")
     gathered = copies.groupBy("id", "version").agg(F.collect_set(F.struct("number", "begin", "end", "first_id")).alias("copies"))
     return gathered.mapInArrow(_runs(least), "id long, version long, begin int, end int, n_chunks int, first_id long")
 

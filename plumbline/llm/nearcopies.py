@@ -199,19 +199,20 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     table = written(rows.mapInArrow(_sketched(k, sketches, picked), "id long, digest binary, words binary, sketches array<long>"), "sketches")
     named = table.filter("id IS NOT NULL AND digest IS NOT NULL")
-    nodes = named.groupBy("digest").agg(F.min("id").alias("node"))
+    # Aggregates are written before they are joined: with plain exchanges on both sides Spark can split a hot key.
+    nodes = written(named.groupBy("digest").agg(F.min("id").alias("node")), "nodes")
     # Sketches are the same for all copies of a text: those of the row that names the class are enough.
     one = named.join(nodes, "digest").filter("id = node")
     spread = one.select("node", F.explode("sketches").alias("key")).distinct()
-    shared = spread.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = written(spread.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "shared-keys")
     members = written(spread.join(shared, "key"), "buckets")
     wanted = members.select("node").distinct()
     texts = written(one.join(wanted, "node", "left_semi").select("node", "words").dropDuplicates(["node"]), "candidate-texts")
 
-    weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    weight = written(members.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
     ranked = members.join(weight, "node")
     centres = ranked.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("best")).select("key", (-F.col("best.minus")).alias("u"))
-    pairs = members.join(centres, "key").filter("node <> u").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
+    pairs = members.join(written(centres, "centres"), "key").filter("node <> u").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
     tried = written(pairs, "tried")
     links = written(_links(tried, texts, k, least), "verified")
     chosen, bounds = GROWTH, None

@@ -200,12 +200,14 @@ def _searched(known: DataFrame, reps: DataFrame) -> DataFrame:
     suffixes = known.mapInArrow(_suffixes, "head long, id long, place long")
     version, at = F.shiftright("place", 32), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int")
     heads = suffixes.groupBy("head").agg(F.min(version).alias("a"), F.max(version).alias("b")).filter("a < b").select("head")
+    # Written, so that the join has plain exchanges on both sides and Spark can split a head that very many texts have.
+    heads = written(heads, "heads")
     starts = suffixes.join(heads, "head").groupBy("id", version.alias("version")).agg(F.collect_set(at).alias("starts"))
     placed = known.join(starts.join(reps, ["id", "version"], "left_semi"), ["id", "version"]).select("id", "version", "text", "starts")
     marks = written(placed.mapInArrow(_framed, "id long, place long, n int, keys array<long>, left binary, right binary"), "frames")
     spread = marks.select("id", "place", F.explode("keys").alias("key"))
     first = spread.groupBy("key").agg(F.min(F.struct("id", "place")).alias("first"), F.max("id").alias("last")).filter("first.id < last")
-    met = spread.join(first.select("key", "first"), "key").filter("id > first.id")
+    met = spread.join(written(first.select("key", "first"), "first-stretches"), "key").filter("id > first.id")
     lain = met.select(
         "id", version.alias("version"), F.col("first.id").alias("first_id"), F.shiftright("first.place", 32).alias("first_version"),
         (at - F.col("first.place").bitwiseAND(0xFFFFFFFF).cast("int")).alias("shift"), at.alias("at"),
@@ -246,7 +248,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """
     known = _named(docs, doc_id, text).filter("id IS NOT NULL AND text IS NOT NULL")
     slim = written(known.select("id", "version", F.xxhash64(F.lit(4), "text").alias("more"), word_count(F.col("text")).cast("int").alias("n")), "texts")
-    equal = slim.groupBy("version", "more").agg(F.min("id").alias("first_id"))
+    equal = written(slim.groupBy("version", "more").agg(F.min("id").alias("first_id")), "equal-texts")
     spans = _searched(known, equal.select(F.col("first_id").alias("id"), "version"))
     gathered = spans.groupBy("id", "version").agg(F.collect_set(F.struct("begin", "end", "first_id")).alias("spans"))
     found = gathered.mapInArrow(_merged, "id long, version long, begin int, end int, first_id long")
