@@ -24,7 +24,6 @@ ISOLATION_TREES = 100
 ISOLATION_SAMPLE = 256
 CONTAMINATION = 0.1
 EULER = 0.5772156649
-MAX_CLASSES = 1000
 
 
 def held_out(row_id: Column, share_of_rows: float = TEST_SHARE, seed: int = 42) -> Column:
@@ -82,12 +81,11 @@ def default_target(df: DataFrame) -> str | None:
     return texts[0] if texts else (numbers[0] if numbers else None)
 
 
-def ml_utility(df: DataFrame, target: str, seed: int = 42, trees: int = UTILITY_TREES, depth: int = 10, rows: int | None = None) -> DataFrame:
+def ml_utility(df: DataFrame, target: str, seed: int = 42, trees: int = UTILITY_TREES, depth: int = 30, rows: int | None = None) -> DataFrame:
     """One row: task, utility_score and the metrics of a random forest on a held-out fifth.
 
     Text features and a text target become ranks of their sorted values; dates are
-    left out.  A text target with more than ``MAX_CLASSES`` values has no usable
-    classifier and scores 0 with task ``unknown``.
+    left out.  ``depth`` bounds the trees, 30 is the most that Spark grows.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -103,8 +101,6 @@ def ml_utility(df: DataFrame, target: str, seed: int = 42, trees: int = UTILITY_
             F.lit(task).alias("task"), score.alias("utility_score"), *[have.get(m, F.lit(None).cast("double")).alias(m) for m in empty]
         )
 
-    if classify and df.select(F.approx_count_distinct(F.col(quoted(target)))).first()[0] > MAX_CLASSES:
-        return result("unknown", F.lit(0.0), {}, spark.range(1))
     work = df.withColumn("_row", content_id(df))
     features = []
     for name, kind in kinds.items():

@@ -15,7 +15,6 @@ from plumbline.session import quoted
 SHORTEST_SECTION = 100
 LONGEST_SECTION = 1500
 LONGEST_ANSWER = 1000
-SYNTHETIC_LIMIT = 100
 
 # Fixed texts of the record formats; {title}, {abstract}, ... are filled per paper or segment.
 QA_QUESTIONS = [
@@ -107,12 +106,13 @@ def explanation_tasks(papers: DataFrame, key: str = "id") -> DataFrame:
     return _tasks(papers, key, EXPLANATION_TASKS, "explanation_training")
 
 
-def synthetic_examples(papers: DataFrame, key: str = "id", limit: int = SYNTHETIC_LIMIT) -> DataFrame:
-    """Three derived prompts per paper from its first two sentences; the first ``limit`` overall by key."""
+def synthetic_examples(papers: DataFrame, key: str = "id", limit: int | None = None) -> DataFrame:
+    """Three derived prompts per paper from its first two sentences; with a limit the first overall by key."""
     sentences = F.split("abstract", r"\.")
     second = F.when(F.contains(F.col("abstract"), F.lit(".")), F.get(sentences, F.lit(1))).otherwise(F.lit(NO_SECOND_SENTENCE))
     made = _tasks(papers, key, SYNTHETIC_TASKS, "synthetic", first=F.lower(F.get(sentences, F.lit(0))), second=second)
-    return made.drop("type", "source_paper").orderBy(F.col(quoted(key)), F.col("position")).limit(limit)
+    made = made.drop("type", "source_paper")
+    return made if limit is None else made.orderBy(F.col(quoted(key)), F.col("position")).limit(limit)
 
 
 SEGMENT_FIELDS = ["segment_type", "title", "content", "question", "answer", "section_type", "page_number", "paper_title"]
@@ -138,10 +138,17 @@ def abstract_segments(papers: DataFrame, key: str = "id", style: str = "article"
     return papers.where("abstract <> ''").select(F.col(quoted(key)), F.inline(F.array(*parts)))
 
 
-def training_segments(documents: DataFrame, key: str = "doc_id") -> DataFrame:
+def _shortened(text: Column, longest: int | None) -> Column:
+    if longest is None:
+        return text
+    return F.when(F.length(text) > longest, F.concat(F.substring(text, 1, longest), F.lit("..."))).otherwise(text)
+
+
+def training_segments(documents: DataFrame, key: str = "doc_id", longest_answer: int | None = None) -> DataFrame:
     """Abstract, every section of more than 100 characters, a question per methods / results / discussion section.
 
-    ``documents`` has (key, title, abstract, sections).
+    ``documents`` has (key, title, abstract, sections).  Answers are whole unless ``longest_answer`` is given, such as
+    ``LONGEST_ANSWER``.
     """
     untitled = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit("Untitled"))
     first = F.when(
@@ -155,7 +162,7 @@ def training_segments(documents: DataFrame, key: str = "doc_id") -> DataFrame:
 
     def as_question(s: Column) -> Column:
         body = s["content"]
-        answer = F.when(F.length(body) > LONGEST_ANSWER, F.concat(F.substring(body, 1, LONGEST_ANSWER), F.lit("..."))).otherwise(body)
+        answer = _shortened(body, longest_answer)
         return _segment(
             "qa_pair", question=fill(SECTION_QUESTION, section_type=s["section_type"]), answer=answer, section_type=s["section_type"], paper_title=F.col("title")
         )
@@ -204,8 +211,8 @@ def _abstract_record(format_type: str) -> tuple[Column, Column | None]:
     return (F.col("segment_type") == "abstract") & (F.col("content") != ""), record
 
 
-def _section_record(format_type: str) -> tuple[Column, Column | None]:
-    body = F.when(F.length("content") > LONGEST_SECTION, F.concat(F.substring("content", 1, LONGEST_SECTION), F.lit("..."))).otherwise(F.col("content"))
+def _section_record(format_type: str, longest: int | None = None) -> tuple[Column, Column | None]:
+    body = _shortened(F.col("content"), longest)
     slots = {"section_type": F.coalesce("section_type", F.lit("content")), "paper_title": or_empty("paper_title"), "title": or_empty("title")}
     record = {
         "alpaca": _record(instruction=fill(SECTION_TASK, **slots), input=fill(SECTION_INPUT, **slots), output=body),
@@ -239,16 +246,17 @@ def format_abstract(segments: DataFrame, format_type: str = "alpaca", keys: list
     return _formatted(segments, format_type, keys, _abstract_record)
 
 
-def format_section(segments: DataFrame, format_type: str = "alpaca", keys: list[str] = ()) -> DataFrame:
-    return _formatted(segments, format_type, keys, _section_record)
+def format_section(segments: DataFrame, format_type: str = "alpaca", keys: list[str] = (), longest: int | None = None) -> DataFrame:
+    """Sections are whole unless ``longest`` is given, such as ``LONGEST_SECTION``."""
+    return _formatted(segments, format_type, keys, functools.partial(_section_record, longest=longest))
 
 
 def format_qa(segments: DataFrame, format_type: str = "alpaca", keys: list[str] = ()) -> DataFrame:
     return _formatted(segments, format_type, keys, _qa_record)
 
 
-def format_segments(segments: DataFrame, format_type: str = "alpaca", keys: list[str] = ()) -> DataFrame:
-    return _formatted(segments, format_type, keys, _abstract_record, _section_record, _qa_record)
+def format_segments(segments: DataFrame, format_type: str = "alpaca", keys: list[str] = (), longest: int | None = None) -> DataFrame:
+    return _formatted(segments, format_type, keys, _abstract_record, functools.partial(_section_record, longest=longest), _qa_record)
 
 
 def conversation_examples(papers: DataFrame, types: list[str] | None = None, format_type: str = "alpaca", key: str = "id") -> DataFrame:
@@ -318,11 +326,11 @@ def literature_counts(records: DataFrame) -> DataFrame:
     return records.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def prepare_training_set(segments: DataFrame, papers: DataFrame, format_type: str = "alpaca", key: str = "id") -> DataFrame:
-    """Formatted segments, then conversations, then derived prompts."""
+def prepare_training_set(segments: DataFrame, papers: DataFrame, format_type: str = "alpaca", key: str = "id", limit: int | None = None) -> DataFrame:
+    """Formatted segments, then conversations, then derived prompts (with a limit the first by key)."""
     a = format_segments(segments, format_type, [key]).withColumn("part", F.lit("segment"))
     b = conversation_examples(papers, None, format_type, key).drop("conversation_type").withColumn("part", F.lit("conversation"))
-    c = synthetic_examples(papers, key).drop("position").withColumn("part", F.lit("synthetic"))
+    c = synthetic_examples(papers, key, limit).drop("position").withColumn("part", F.lit("synthetic"))
     return a.unionByName(b).unionByName(c, allowMissingColumns=True)
 
 

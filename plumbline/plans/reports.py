@@ -27,7 +27,7 @@ class BenchmarkConfig:
     sample_size: int | None = None
     ml_evaluation: bool = True
     trees: int = 50
-    depth: int = 10
+    depth: int = 30
 
 
 def _sampled(df: DataFrame, size: int | None) -> DataFrame:

@@ -175,7 +175,8 @@ def batch(s, d):
 def training_file(s, d):
     path = fresh_path(s, "chat")
     W.write_lines(chat_records(turns_table(s, d), "problem", "solution", "problem IS NOT NULL AND solution IS NOT NULL"), path)
-    return s.read.json(path).select(F.size("messages").alias("n_messages"), F.get("messages", F.lit(1))["role"].alias("second_role")).groupBy("n_messages", "second_role").agg(F.count(F.lit(1)).alias("n"))
+    said = lambda i: F.md5(F.get("messages", F.lit(i))["content"])
+    return s.read.json(path).select(F.size("messages").alias("n_messages"), F.get("messages", F.lit(1))["role"].alias("second_role"), said(1).alias("question"), said(2).alias("answer"))
 
 
 def odd_cells(s, d):
@@ -247,5 +248,6 @@ SELECT quoting, unnest(string_split(line, chr(10))) AS line FROM l""",
     "export_split": "SELECT count(*) // 4000 + 1 AS files, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS ids FROM orders",
     "batch_export_summary": "SELECT 5::BIGINT AS datasets, 4::BIGINT AS succeeded, 1::BIGINT AS failed, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) + (SELECT count(*) FROM orders) AS total_records, 'empty: cannot export an empty table' AS errors",
     "export_preflight": union([f"""SELECT '{c}' AS "column", CAST(max(length({c})) AS BIGINT) AS longest_cell, max(length({c})) > 1000000 AS oversized FROM documents""" for c in ("text", "lang", "source")]),
-    "write_training_jsonl": """WITH t AS (SELECT conv_id, bool_or(role = 'user') AND bool_or(role = 'assistant') AS ok FROM conversations GROUP BY conv_id) SELECT 3 AS n_messages, 'user' AS second_role, count(*) AS n FROM t WHERE ok""",
+    "write_training_jsonl": """SELECT 3 AS n_messages, 'user' AS second_role, md5(u.text) AS question, md5(a.text) AS answer
+FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'""",
 }

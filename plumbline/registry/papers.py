@@ -122,7 +122,7 @@ def names_and_parts(s, d):
     docs = load(s, d, "documents")
     parts = F.array(
         F.struct(F.upper("lang").alias("label"), F.concat(F.lit("  "), F.col("source"), F.lit(" ")).alias("text")),
-        F.struct(F.lit(None).cast("string").alias("label"), F.substring("text", 1, 20).alias("text")),
+        F.struct(F.lit(None).cast("string").alias("label"), F.col("text").alias("text")),
         F.struct(F.lit("GONE").alias("label"), F.when(F.col("n_chars") < 0, F.lit("x")).alias("text")),
     )
     people = F.array(
@@ -160,7 +160,7 @@ QUERIES = {
     ).select("doc_id", F.concat("h", F.when(F.col("doc_id") % 2 == 0, F.lit("")).otherwise(F.lit(" x"))).alias("line")).withColumn("kind", fn.classify_header(F.col("line"))),
     "extract_title": lambda s, d: page_rows(s, d).select("doc_id", "page_no", fn.extract_title(F.col("text")).alias("title")),
     "parse_authors": lambda s, d: load(s, d, "documents").select(
-        "doc_id", F.array_join(fn.parse_authors(F.concat(F.substring("text", 1, 200), F.lit(", Ann Bo; Cy and Di & X ,and E"))), "|").alias("authors")),
+        "doc_id", F.array_join(fn.parse_authors(F.concat(F.col("text"), F.lit(", Ann Bo; Cy and Di & X ,and E"))), "|").alias("authors")),
     "extract_doi": lambda s, d: whole(s, d).select("doc_id", fn.extract_doi(F.col("text")).alias("doi")),
     "extract_arxiv_id": lambda s, d: whole(s, d).select("doc_id", fn.extract_feed_id(F.col("text")).alias("arxiv_id")),
     "extract_pmid": lambda s, d: whole(s, d).select("doc_id", fn.extract_pmid(F.col("text")).alias("pmid")),
@@ -187,7 +187,7 @@ QUERIES = {
 
 
 def _seq_authors() -> str:
-    e = "[substr(text, 1, 200) || ', Ann Bo; Cy and Di & X ,and E']"
+    e = "[text || ', Ann Bo; Cy and Di & X ,and E']"
     for sep in (",", ";", " and ", "&"):
         e = f"flatten(list_transform({e}, lambda a: list_transform(string_split(a, '{sep}'), lambda b: {TRIM('b')})))"
     return f"array_to_string(list_filter({e}, lambda a: length(a) > 2), '|')"
@@ -219,7 +219,7 @@ SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(bod
 SELECT w.doc_id, CAST(coalesce(len(list_filter(string_split(f.content, {NL}), lambda x: regexp_matches(x, '^\\[\\d+\\]|^\\(\\d+\\)|^\\d+\\.'))), 0) AS INTEGER) AS n_references FROM wt w LEFT JOIN f ON f.doc_id = w.doc_id AND f.k = 1""",
     "url_filename": """SELECT page_id, CASE WHEN ends_with(regexp_extract(regexp_replace(regexp_replace(url, '[?#].*', ''), '^[a-z]+://[^/]*', ''), '([^/]*)/*$', 1), '.pdf') THEN regexp_extract(regexp_replace(url, '[?#].*', ''), '([^/]*)$', 1) ELSE 'document.pdf' END AS plain,
 'paper' || page_id || '.pdf' AS named FROM pages""",
-    "join_abstract_parts": f"SELECT doc_id, upper(lang) || ': ' || source || ' ' || {TRIM('substr(text, 1, 20)')} AS abstract FROM documents",
+    "join_abstract_parts": f"SELECT doc_id, upper(lang) || ': ' || source || ' ' || {TRIM('text')} AS abstract FROM documents",
     "build_author_names": "SELECT doc_id, lang || ' ' || source || '|' || doc_id AS authors FROM documents",
     "partial_date": f"""WITH x AS (SELECT o_orderkey, year(o_orderdate) AS y, {_months}[o_orderkey % 16 + 1] AS m, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_orderkey % 33 AS VARCHAR) WHEN 1 THEN 'x' END AS dd FROM orders),
 k AS (SELECT o_orderkey, y, coalesce(TRY_CAST(trim(m) AS INTEGER), nullif(coalesce(list_position({_months}[1:12], m), 0), 0), 1) AS m, coalesce(TRY_CAST(dd AS INTEGER), 1) AS dd FROM x)

@@ -13,7 +13,7 @@ def as_text(s, d):
     return load(s, d, "events").select(
         F.col("event_id").cast("string").alias("event_id"),
         F.col("value").cast("string").alias("value"),
-        F.substring(F.col("ts").cast("string"), 1, 19).alias("ts"),
+        text_time(F.col("ts")).alias("ts"),
         "event_type",
         F.concat("event_type", F.lit("-"), F.col("event_id").cast("string")).alias("label"),
     )
@@ -77,7 +77,7 @@ UNION ALL SELECT 'value', 'double' WHERE (SELECT bool_and(TRY_CAST(CAST(value AS
 UNION ALL SELECT 'ts', 'timestamp_ntz' WHERE (SELECT bool_and(TRY_CAST(strftime(ts, '%Y-%m-%d %H:%M:%S') AS TIMESTAMP) IS NOT NULL) FROM events)
 UNION ALL SELECT 'event_type', CASE WHEN (SELECT count(DISTINCT event_type) / count(*) FROM events) < 0.5 THEN 'category' ELSE 'string' END
 UNION ALL SELECT 'label', CASE WHEN (SELECT count(DISTINCT event_type || '-' || event_id) / count(*) FROM events) < 0.5 THEN 'category' ELSE 'string' END""",
-    "infer_types_cast": f"""SELECT CAST(sum(event_id) AS BIGINT) AS id_sum, {r6('sum(value)', 4)} AS value_sum, strftime(min(date_trunc('second', ts)), '%Y-%m-%d %H:%M:%S.%f') AS first_ts, count(*) AS labels FROM events""",
+    "infer_types_cast": f"""SELECT CAST(sum(event_id) AS BIGINT) AS id_sum, {r6('sum(value)', 4)} AS value_sum, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_ts, count(*) AS labels FROM events""",
     "downcast_types": union(
         [f"""SELECT '{c}' AS "column", CASE WHEN min({c}) >= -128 AND max({c}) <= 127 THEN 'tinyint' WHEN min({c}) >= -32768 AND max({c}) <= 32767 THEN 'smallint'
 WHEN min({c}) >= -2147483648 AND max({c}) <= 2147483647 THEN 'int' ELSE 'bigint' END AS target FROM lineitem""" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]

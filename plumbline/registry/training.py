@@ -38,7 +38,7 @@ DOCUMENTS = f"""WITH {PAGES}, {LINES}, dc AS (SELECT doc_id, CASE WHEN n_chars %
 CASE WHEN n_chars % 7 <> 0 THEN 'Abstract of ' || source || '. It has two sentences. And a third' END AS abstract FROM documents),
 seg AS (SELECT doc_id, 'abstract' AS segment_type, coalesce(title, 'Untitled') AS title, abstract AS content, NULL AS question, NULL AS answer, NULL AS section_type, CAST(NULL AS INTEGER) AS page_number, NULL AS paper_title FROM dc WHERE abstract IS NOT NULL
 UNION ALL SELECT s.doc_id, 'section', s.title, s.content, NULL, NULL, s.section_type, s.page_number, dc.title FROM sec s JOIN dc USING (doc_id) WHERE length(trim(s.content)) > 100
-UNION ALL SELECT s.doc_id, 'qa_pair', NULL, NULL, 'What are the key points in the ' || s.section_type || ' section?', CASE WHEN length(s.content) > 1000 THEN substr(s.content, 1, 1000) || '...' ELSE s.content END, s.section_type, NULL, dc.title
+UNION ALL SELECT s.doc_id, 'qa_pair', NULL, NULL, 'What are the key points in the ' || s.section_type || ' section?', s.content, s.section_type, NULL, dc.title
  FROM sec s JOIN dc USING (doc_id) WHERE s.section_type IN ('methods', 'results', 'discussion'))"""
 
 
@@ -49,10 +49,11 @@ def nested(s, d):
 
 
 def turns_table(s, d):
-    """One row per conversation: the first user text and the first assistant text."""
+    """One row per exchange: every user text with the assistant text of the next turn, null where there is none."""
     c = load(s, d, "conversations")
-    said = lambda role: F.min_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn")))
-    return c.groupBy("conv_id").agg(said("user").alias("problem"), said("assistant").alias("solution"))
+    asked = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("problem"))
+    told = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("solution"))
+    return asked.join(told, ["conv_id", "turn"], "left")
 
 
 def prompts(s, d):
@@ -131,7 +132,7 @@ QUERIES = {
     "format_segments": lambda s, d: hashed(T.format_segments(segments(s, d), "alpaca", ["doc_id"])).select("doc_id", "instruction", "input", "output"),
     "conversation_examples": lambda s, d: hashed(T.conversation_examples(paper_records(s, d)), "response").select("id", "conversation_type", "instruction", "response"),
     "synthetic_examples": lambda s, d: hashed(T.synthetic_examples(paper_records(s, d)), "output"),
-    "chat_records": lambda s, d: hashed(T.chat_records(turns_table(s, d), "problem", "solution", "problem IS NOT NULL AND solution IS NOT NULL", ["conv_id"]), "line").select("conv_id", "line"),
+    "chat_records": lambda s, d: hashed(T.chat_records(turns_table(s, d), "problem", "solution", "problem IS NOT NULL AND solution IS NOT NULL", ["conv_id", "turn"]), "line").select("conv_id", "turn", "line"),
     "render_prompt_text": lambda s, d: paper_records(s, d).select(
         "id", F.md5(T.render_prompt_text(F.concat(F.lit("Read "), F.col("domain")), F.col("title"), F.col("abstract"))).alias("text")),
     "render_strategy_prompts": prompts,
@@ -171,7 +172,7 @@ def _record_sql(source: str, where: str, forms: dict[str, dict[str, str]]) -> st
     return union(parts)
 
 
-_body = "CASE WHEN length(content) > 1500 THEN substr(content, 1, 1500) || '...' ELSE content END"
+_body = "content"
 _json = lambda e: f"'\"' || replace(replace(replace(replace({e}, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't') || '\"'"
 _abstract_forms = {
     "alpaca": {"instruction": f"'{T.ABSTRACT_TASK}'", "input": "'Title: ' || title", "output": "content"},
@@ -210,15 +211,15 @@ UNION ALL SELECT id, 'abstract_summary', NULL, NULL, 'Summarize this research pa
 SELECT id, 'summary' AS conversation_type, 'Can you summarize the paper ''' || title || ''' by ' || au || '?' AS instruction, md5('This paper presents ' || abstract) AS response FROM u
 UNION ALL SELECT id, 'explanation', 'What is the main contribution of ''' || title || '''?', md5(abstract) FROM u
 UNION ALL SELECT id, 'analysis', 'What are the key insights from this research: ' || title || '?', md5('The key insights from this research include: ' || abstract) FROM u""",
-    "synthetic_examples": f"WITH {PAPERS}, t AS ({_tasks_sql(T.SYNTHETIC_TASKS, 'synthetic')}) SELECT id, position, instruction, input, output FROM t ORDER BY id, position LIMIT 100",
-    "chat_records": f"""WITH t AS (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS q, arg_min(text, turn) FILTER (WHERE role = 'assistant') AS a FROM conversations GROUP BY conv_id)
-SELECT conv_id, md5('{{"messages":[{{"role":"system","content":"You are a helpful assistant."}},{{"role":"user","content":' || {_json('q')} || '}},{{"role":"assistant","content":' || {_json('a')} || '}}]}}') AS line FROM t WHERE q IS NOT NULL AND a IS NOT NULL""",
+    "synthetic_examples": f"WITH {PAPERS}, t AS ({_tasks_sql(T.SYNTHETIC_TASKS, 'synthetic')}) SELECT id, position, instruction, input, output FROM t",
+    "chat_records": f"""WITH t AS (SELECT u.conv_id, u.turn, u.text AS q, a.text AS a FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user')
+SELECT conv_id, turn, md5('{{"messages":[{{"role":"system","content":"You are a helpful assistant."}},{{"role":"user","content":' || {_json('q')} || '}},{{"role":"assistant","content":' || {_json('a')} || '}}]}}') AS line FROM t WHERE q IS NOT NULL AND a IS NOT NULL""",
     "render_prompt_text": f"""WITH {PAPERS} SELECT id, md5('### Instruction:' || chr(10) || 'Read ' || domain || CASE WHEN title <> '' THEN chr(10) || chr(10) || '### Input:' || chr(10) || title ELSE '' END || chr(10) || chr(10) || '### Response:' || chr(10) || abstract) AS text FROM p""",
     "render_strategy_prompts": PROMPT_SQL,
     "literature_records": f"""{DOCUMENTS}, ok AS (SELECT doc_id FROM dc WHERE title <> '' AND abstract <> '')
 SELECT 'qa_training' AS type, 4 * count(*) AS n FROM ok UNION ALL SELECT 'summary_training', 2 * count(*) FROM ok UNION ALL SELECT 'explanation_training', 2 * count(*) FROM ok
 UNION ALL SELECT 'training_segment', count(*) FROM sec JOIN ok USING (doc_id)""",
-    "prepare_training_set": f"""{DOCUMENTS}, {PAPERS}, u AS (SELECT * FROM p WHERE title <> '' AND abstract <> ''), y AS ({_tasks_sql(T.SYNTHETIC_TASKS, 'synthetic').replace('md5(', '(')} ORDER BY id, position LIMIT 100)
+    "prepare_training_set": f"""{DOCUMENTS}, {PAPERS}, u AS (SELECT * FROM p WHERE title <> '' AND abstract <> ''), y AS ({_tasks_sql(T.SYNTHETIC_TASKS, 'synthetic').replace('md5(', '(')})
 SELECT 'segment' AS part, count(*) AS n, CAST(sum(length(CASE segment_type WHEN 'qa_pair' THEN answer WHEN 'section' THEN {_body} ELSE content END)) AS BIGINT) AS chars FROM seg
 UNION ALL SELECT 'conversation', 3 * count(*), CAST(sum(3 * length(abstract) + length('This paper presents ') + length('The key insights from this research include: ')) AS BIGINT) FROM u
 UNION ALL SELECT 'synthetic', count(*), CAST(sum(length(output)) AS BIGINT) FROM y""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,13 @@ from pyspark.sql import types as T
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (local tests) a temporary folder is set.
+    Only where the setting is absent on one machine (local tests) a temporary folder is set; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     known = spark.sparkContext.getCheckpointDir()
     if not folder and not known:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="plumbline-")
     if folder and not known:
         spark.sparkContext.setCheckpointDir(folder)

@@ -362,10 +362,12 @@ def test_training_limits(spark):
     sections = [(0, "M", "methods", 0, "m" * 1001), (1, "R", "results", 0, "r" * 100), (2, "C", "conclusion", 1, "c" * 1501)]
     kind = "doc_id long, title string, abstract string, sections array<struct<section_no:int,title:string,section_type:string,page_number:int,content:string>>"
     docs = spark.createDataFrame([(1, None, None, sections)], kind)
-    got = rows(T.training_segments(docs).select("segment_type", "title", F.length("content"), F.length("answer")))
-    assert got == [("section", "M", 1001, None), ("section", "C", 1501, None), ("qa_pair", None, None, 1003), ("qa_pair", None, None, 100)]
-    formatted = T.format_segments(T.training_segments(docs), "alpaca").collect()
-    assert sorted(len(r["output"]) for r in formatted) == [100, 1001, 1003, 1503]
+    for longest, want in ((T.LONGEST_ANSWER, 1003), (None, 1001)):
+        got = rows(T.training_segments(docs, longest_answer=longest).select("segment_type", "title", F.length("content"), F.length("answer")))
+        assert got == [("section", "M", 1001, None), ("section", "C", 1501, None), ("qa_pair", None, None, want), ("qa_pair", None, None, 100)]
+    for longest, want in ((T.LONGEST_SECTION, 1503), (None, 1501)):
+        formatted = T.format_segments(T.training_segments(docs), "alpaca", longest=longest).collect()
+        assert sorted(len(r["output"]) for r in formatted) == [100, 1001, 1001, want]
     assert T.format_abstract(T.training_segments(docs), "sharegpt").count() == 0
     with pytest.raises(ValueError):
         T.format_segments(T.training_segments(docs), "xml")
@@ -570,3 +572,48 @@ def test_model_calls_never_raise(spark):
 
     df = spark.createDataFrame([("a",), ("bad",), ("c",)], "t string").coalesce(1)
     assert rows(K.map_with_model(df, shout, "t", retries=1).select("reply")) == [("A",), ("Error generating content: refused",), ("C",)]
+
+
+KEYWORDS = [
+    ({"minLength": 2}, ["ab", 1, None], ["a", ""]),
+    ({"maxLength": 2}, ["ab", [1, 2, 3]], ["abc"]),
+    ({"pattern": "^a.c"}, ["abcd", 5], ["xabc", ""]),
+    ({"exclusiveMinimum": 1}, [2, 1.5, "0"], [1, 0, 1.0]),
+    ({"exclusiveMaximum": 1}, [0, 0.5], [1, 2]),
+    ({"multipleOf": 0.5}, [1, 1.5, "x"], [1.2, 0.3]),
+    ({"minItems": 2}, [[1, 2], "a", {}], [[], [1]]),
+    ({"maxItems": 1}, [[], [1]], [[1, 2]]),
+    ({"uniqueItems": True}, [[1, "1", [1]], [], "aa"], [[1, 1], [{"a": 1}, {"a": 1}]]),
+    ({"const": {"a": [1]}}, [{"a": [1]}], [{"a": [2]}, 1, None]),
+    ({"const": 1}, [1, 1.0], [True, "1", 2]),
+    ({"enum": [[1], None, "x"]}, [[1], None, "x"], [[2], 0]),
+    ({"properties": {"a": {}}, "patternProperties": {"^x": {}}, "additionalProperties": False}, [{}, {"a": 1, "xy": 2}, 3], [{"b": 1}, {"a": 1, "c": 2, "d": 3}]),
+    ({"additionalProperties": {"type": "integer"}}, [{"a": 1}, "x"], [{"a": "1"}]),
+    ({"allOf": [{"type": "integer"}, {"minimum": 3}]}, [3, 4], [2, "x", 3.5]),
+    ({"anyOf": [{"type": "string"}, {"minimum": 3}]}, ["x", 3], [2]),
+    ({"oneOf": [{"type": "integer"}, {"minimum": 3}]}, [2, 3.5], [3, 1.5]),
+    ({"not": {"type": "string"}}, [1, None], ["x"]),
+    ({"$defs": {"n": {"type": "integer"}}, "items": {"$ref": "#/$defs/n"}, "title": "t"}, [[1, 2], []], [["a"], [1, None]]),
+    ({"definitions": {"p": {"required": ["x"]}}, "properties": {"q": {"$ref": "#/definitions/p"}}}, [{"q": {"x": 1}}, {}], [{"q": {}}]),
+    ({"properties": {"a": False}}, [{}, {"b": 1}], [{"a": 1}]),
+]
+
+
+@pytest.mark.parametrize(("schema", "good", "bad"), KEYWORDS, ids=[next(reversed([k for k in s if k not in ("title",)])) + str(i) for i, (s, _, _) in enumerate(KEYWORDS)])
+def test_schema_keywords(spark, schema, good, bad):
+    import json
+
+    from plumbline.functions.jsonschema import with_errors
+
+    values = [(json.dumps(v), True) for v in good] + [(json.dumps(v), False) for v in bad]
+    df = spark.createDataFrame(values, "t string, want boolean").withColumn("v", F.parse_json("t"))
+    found = with_errors(df, "v", schema).select("t", "want", (F.size("errors") == 0).alias("valid")).collect()
+    assert [(r["t"], r["valid"]) for r in found] == [(r["t"], r["want"]) for r in found]
+
+
+@pytest.mark.parametrize("schema", [{"minContains": 1}, {"items": {"if": {}}}, {"$ref": "#"}, {"$ref": "http://x/y"}, {"$ref": "#/a"}])
+def test_other_schema_keywords_are_errors(spark, schema):
+    from plumbline.functions.jsonschema import with_errors
+
+    with pytest.raises(ValueError):
+        with_errors(spark.sql("select parse_json('1') as v"), "v", schema)
