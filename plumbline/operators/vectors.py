@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,8 +10,9 @@ from pyspark.sql import functions as F
 from plumbline.functions.vectors import cosine
 from plumbline.session import quoted
 
-# Queries are broadcast to the workers in blocks of at most this many bytes of doubles.
-QUERY_BLOCK_BYTES = 8 * 1024 * 1024
+# A task of the batch search holds so many bytes of queries and of rows.
+QUERY_BLOCK_BYTES = 4 * 1024 * 1024
+ROW_PART_BYTES = 16 * 1024 * 1024
 # Scores are held for so many bytes at a time, and compared at this many digits so that equal vectors tie.
 SCORE_BYTES = 64 * 1024 * 1024
 SCORE_DIGITS = 12
@@ -52,62 +51,44 @@ def vector_topk(
 
 def vector_topk_batch(
     df: DataFrame, queries: DataFrame, k: int, vector: str = "vector", key: str = "id", query_key: str = "query_id", query_vector: str = "vector",
-    block_bytes: int = QUERY_BLOCK_BYTES,
+    block_bytes: int = QUERY_BLOCK_BYTES, part_bytes: int = ROW_PART_BYTES,
 ) -> DataFrame:
     """(query_key, key, similarity, place) of the k best rows of every query, exactly.
 
-    Queries travel in blocks of bounded size.  For a block every task scores its
-    rows by matrix product and hands on only its own best k per query, so what is
-    shuffled grows with queries x k x tasks, not with queries x rows.
+    Rows are dealt into parts and queries into blocks, both of bounded size; each pair of a part and a block meets in one
+    task, which scores it by matrix product and hands on its own best k per query.  The rows are scanned once, no query
+    passes through the driver, and what is merged grows with queries x k x parts.
     """
-    spark = df.sparkSession
-    shape = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.col(quoted(query_vector)))).alias("d")).first()
-    blocks = max(1, -(-shape["n"] * (shape["d"] or 1) * 8 // block_bytes))
-    q = queries.select(F.col(quoted(query_key)).cast("string").alias("q"), F.col(quoted(query_vector)).cast("array<double>").alias("v"))
     kinds = dict(df.dtypes)
+    sizes = {}
+    for name, side, column, most in (("part", df, vector, part_bytes), ("block", queries, query_vector, block_bytes)):
+        n, d = side.agg(F.count(F.lit(1)), F.max(F.size(F.col(quoted(column))))).first()
+        sizes[name] = max(1, -(-n * max(d or 1, 1) * 8 // most))
+    q = queries.select(F.col(quoted(query_key)).cast("string").alias("q"), F.col(quoted(query_vector)).cast("array<double>").alias("v"))
     rows = df.select(F.col(quoted(key)).alias("k"), F.col(quoted(vector)).cast("array<double>").alias("v"))
-    parts = []
-    for b in range(blocks):
-        block = q if blocks == 1 else q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
-        got = block.orderBy("q").toArrow().to_pandas()
-        if not len(got):
-            continue
-        matrix = np.array(got["v"].tolist(), dtype=float)
-        lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-        unit = np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
-        shared = spark.sparkContext.broadcast((got["q"].tolist(), unit))
-
-        def best(batches, shared=shared):
-            names, unit = shared.value
-            held_s, held_k = np.empty((len(names), 0)), None
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                m = np.array(pdf["v"].tolist(), dtype=float)
-                n = np.linalg.norm(m, axis=1, keepdims=True)
-                m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-                ids = pdf["k"].to_numpy()
-                by_key = np.argsort(ids, kind="stable")
-                m, ids = m[by_key], ids[by_key]
-                step = max(1, SCORE_BYTES // (8 * len(ids)))
-                new_s = np.empty((len(names), min(k, len(ids))))
-                new_k = np.empty(new_s.shape, dtype=ids.dtype)
-                for a in range(0, len(names), step):
-                    scores = np.round(unit[a : a + step] @ m.T, SCORE_DIGITS)
-                    at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                    new_s[a : a + step] = np.take_along_axis(scores, at, axis=1)
-                    new_k[a : a + step] = ids[at]
-                all_s = np.concatenate([held_s, new_s], axis=1)
-                all_k = new_k if held_k is None else np.concatenate([held_k, new_k], axis=1)
-                at = np.argsort(all_k, axis=1, kind="stable")
-                all_s, all_k = np.take_along_axis(all_s, at, axis=1), np.take_along_axis(all_k, at, axis=1)
-                at = np.argsort(-all_s, axis=1, kind="stable")[:, :k]
-                held_s, held_k = np.take_along_axis(all_s, at, axis=1), np.take_along_axis(all_k, at, axis=1)
-            if held_k is not None:
-                yield pd.DataFrame({"q": np.repeat(names, held_k.shape[1]), "k": held_k.ravel(), "similarity": held_s.ravel()})
-
-        parts.append(rows.mapInPandas(best, f"q string, k {kinds[key]}, similarity double"))
-    local = functools.reduce(DataFrame.unionByName, parts)
+
+    def dealt(side: DataFrame, own: str, column: str, other: str) -> DataFrame:
+        of = F.pmod(F.xxhash64(column, "v"), F.lit(sizes[own])).cast("int")
+        return side.select(column, "v", of.alias(own), F.explode(F.sequence(F.lit(0), F.lit(sizes[other] - 1))).alias(other)).groupBy("part", "block")
+
+    def matrix(pdf: pd.DataFrame) -> np.ndarray:
+        m = np.array(pdf["v"].tolist(), dtype=float)
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+    def best(part: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if not len(part) or not len(block):
+            return pd.DataFrame({"q": pd.Series(dtype=str), "k": pd.Series(dtype=part["k"].dtype), "similarity": pd.Series(dtype=float)})
+        part = part.sort_values("k", kind="stable")
+        unit, m, ids, names = matrix(block), matrix(part), part["k"].to_numpy(), block["q"].to_numpy()
+        step, held = max(1, SCORE_BYTES // (8 * len(ids))), []
+        for a in range(0, len(names), step):
+            scores = np.round(unit[a : a + step] @ m.T, SCORE_DIGITS)
+            at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            held.append(pd.DataFrame({"q": np.repeat(names[a : a + step], at.shape[1]), "k": ids[at].ravel(), "similarity": np.take_along_axis(scores, at, axis=1).ravel()}))
+        return pd.concat(held)
+
+    local = dealt(rows, "part", "k", "block").cogroup(dealt(q, "block", "q", "part")).applyInPandas(best, f"q string, k {kinds[key]}, similarity double")
     order = Window.partitionBy("q").orderBy(F.col("similarity").desc(), F.col("k"))
     placed = local.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     return placed.select(F.col("q").cast(dict(queries.dtypes)[query_key]).alias(query_key), F.col("k").alias(key), "similarity", "place")

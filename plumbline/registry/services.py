@@ -54,6 +54,13 @@ def topk_batch(s, d):
     return rounded(found.withColumn("place", F.col("place").cast("long")))
 
 
+def topk_of_every_row(s, d):
+    """Every vector as a query, its own row among the found."""
+    base = vectors(s, d)
+    found = E.vector_topk_batch(base, base.select(F.col("vec_id").alias("query_id"), "vector"), 3, "vector", "vec_id", block_bytes=1 << 16)
+    return rounded(found.withColumn("place", F.col("place").cast("long")))
+
+
 def usage_rows(s, d):
     e = load(s, d, "events")
     models = F.create_map(*[F.lit(x) for pair in {"click": "gpt-4o", "view": "gpt-4", "purchase": "gpt-3.5-turbo", "error": "other"}.items() for x in pair])
@@ -183,6 +190,7 @@ QUERIES = {
     "vector_topk": lambda s, d: rounded(
         E.vector_topk(vectors(s, d), "vector", query_vector(s, d), 10, "vec_id", F.col("source_type") != "label_1").select("vec_id", "source_type", "similarity")),
     "vector_topk_batch": topk_batch,
+    "vector_topk_every_row": topk_of_every_row,
     "vector_norm": lambda s, d: rounded(vectors(s, d).select("vec_id", norm(F.col("vector")).alias("norm"))),
     "append_rows": appended,
     "sql_query": lambda s, d: C.sql_query(s, JOINED, {"floor": 100000}, orders=load(s, d, "orders"), customer=load(s, d, "customer")),
@@ -213,6 +221,8 @@ ORACLE = {
 SELECT vec_id, source_type, {r6('sim')} AS similarity FROM c ORDER BY sim DESC, vec_id LIMIT 10""",
     "vector_topk_batch": f"""WITH {VECTORS}, q AS (SELECT source_type AS query_id, arg_min(vector, vec_id) AS q FROM v GROUP BY 1), c AS (SELECT query_id, vec_id, round({sql_cosine('vector', 'q')}, 12) AS sim FROM v, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS place FROM c) SELECT query_id, vec_id, {r6('sim')} AS similarity, place FROM r WHERE place <= 5""",
+    "vector_topk_every_row": f"""WITH {VECTORS}, q AS (SELECT vec_id AS query_id, vector AS q FROM v), c AS (SELECT query_id, vec_id, round({sql_cosine('vector', 'q')}, 12) AS sim FROM v, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS place FROM c) SELECT query_id, vec_id, {r6('sim')} AS similarity, place FROM r WHERE place <= 3""",
     "vector_norm": f"WITH {VECTORS} SELECT vec_id, {r6('sqrt(list_sum(list_transform(vector, lambda x: x * x)))')} AS norm FROM v",
     "append_rows": f"SELECT 2 * count(*) AS n, count(*) AS names, {r6('sum(c_acctbal) * 2', 2)} AS balance, count(*) AS ids FROM customer",
     "sql_query": JOINED.replace("{orders}", "orders").replace("{customer}", "customer").replace(":floor", "100000"),
