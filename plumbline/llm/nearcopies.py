@@ -250,11 +250,15 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
 
     Rows with a null id, null texts and texts without words all stay.  Of repeated rows one stays.
     """
-    first = classes(docs, doc_id, text, **options).filter("digest IS NOT NULL AND doc_id = class_id").select("doc_id").distinct()
+    found = classes(docs, doc_id, text, **options).filter("digest IS NOT NULL AND doc_id IS NOT NULL")
+    # Only ids that lose rows are told, so most texts need no partner, and where these are few none is shuffled.
+    told = found.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n"))
+    told = written(told.filter("doc_id <> class_id OR n > 1").select(F.col("doc_id").alias("of"), (F.col("doc_id") == F.col("class_id")).alias("stays")), "near-copies")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    apart = F.col("id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = packed.filter(~apart).join(first, F.col("id") == F.col("doc_id"), "left_semi").dropDuplicates(["id"])
-    return packed.filter(apart).unionByName(kept).select("row.*")
+    empty = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    met = packed.join(told, F.col("id") == F.col("of"), "left")
+    once = met.filter(F.col("stays") & ~empty).dropDuplicates(["id"])
+    return met.filter(F.col("of").isNull() | empty).select("row").unionByName(once.select("row")).select("row.*")
 
 
 def query(spark, folder: str) -> DataFrame:
