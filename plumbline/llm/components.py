@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import written
@@ -26,10 +26,12 @@ def components(edges: DataFrame) -> DataFrame:
     Links may be repeated, in either direction, or from a node to itself; nodes without other links are left out.
     """
     now = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now, before = written(now, "links"), None
+    before = None
     while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        seen = Observation()
+        watched = now.observe(seen, F.count("*").alias("links"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+        now, state = written(watched, "links"), seen.get
+        if state == before or not state.get("links"):
             return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
         before = state
-        now = written(_nearest(_nearest(now, "large"), "small"), "links")
+        now = _nearest(_nearest(now, "large"), "small")
