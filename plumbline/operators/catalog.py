@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,12 +106,11 @@ def generate_to_table(
     """Run a strategy, append to its table (tagged with the strategy on creation); name, rows added, first rows."""
     made = registry.run(spark, strategy, parameters)
     existed = spark.catalog.tableExists(".".join(safe_name(p) for p in table.split(".")))
-    before = spark.table(table).count() if existed else 0
-    name = append_rows(made, table, path)
+    added = Observation()  # counts what this call writes, whatever others append meanwhile
+    name = append_rows(made.observe(added, F.count(F.lit(1)).alias("n")), table, path)
     if not existed:
         spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('strategy' = '{safe_name(strategy)}')")
-    added = spark.table(name).count() - before
-    return name, added, made.orderBy(*[F.col(quoted(c)) for c in order]).limit(sample)
+    return name, added.get["n"], made.orderBy(*[F.col(quoted(c)) for c in order]).limit(sample)
 
 
 def map_with_model(df: DataFrame, fn: Callable[[list], list], column: str, output: str = "reply", retries: int = 2) -> DataFrame:

@@ -54,7 +54,10 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
 def read_directory(
     spark: SparkSession, folder: str, pattern: str = "*.parquet", schema: T.StructType | str | None = None
 ) -> DataFrame:
-    """All files of one schema under a folder in one scan, with ``dataset`` = the file's stem; bad files are skipped."""
+    """All files of one schema under a folder in one scan, with ``dataset`` = the file's stem.
+
+    Files that can't be read give no rows; ``directory_rejects`` tells which.
+    """
     reader = spark.read.option("pathGlobFilter", pattern).option("ignoreCorruptFiles", "true")
     if schema is not None:
         reader = reader.schema(schema)
@@ -66,6 +69,15 @@ def read_directory(
     return df.select("*", F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("dataset"))
 
 
+def directory_rejects(spark: SparkSession, folder: str, pattern: str = "*.parquet", schema: T.StructType | str | None = None) -> DataFrame:
+    """(dataset, bytes, reason) of the files under a folder of which ``read_directory`` reads no row; only names and sizes are listed."""
+    read = read_directory(spark, folder, pattern, schema).select("dataset").distinct()
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", F.col("length").alias("bytes"))
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), F.lit(-1)), r"\.[^.]*$", "")
+    named = listed.select(stem.alias("dataset"), "bytes").join(read, "dataset", "left_anti")
+    return named.withColumn("reason", F.when(F.col("bytes") == 0, F.lit("empty file")).otherwise(F.lit("no row could be read")))
+
+
 def read_directory_tables(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> tuple[dict[str, DataFrame], dict[str, str]]:
     """File stem -> table, for files of differing schemas; unreadable files are reported by name."""
     jvm = spark.sparkContext._jvm
@@ -104,10 +116,29 @@ def _texts(column: str, field: str) -> Column:
     return F.coalesce(F.filter(F.transform(F.col(column), lambda x: x[field]), lambda v: v.isNotNull()), F.array().cast("array<string>"))
 
 
+def _elements(spark: SparkSession, path: str, tag: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """The elements that parse, and (record, reason) of those that do not."""
+    reader = spark.read.format("xml").option("rowTag", tag).option("attributePrefix", "_").option("mode", "PERMISSIVE")
+    raw = reader.option("columnNameOfCorruptRecord", "_corrupt").schema(schema + ", _corrupt string").load(path)
+    first = F.col(raw.columns[0])  # Spark wants another column beside the corrupt text
+    reason = F.when(first.isNull(), F.lit(f"{tag} does not parse")).otherwise(F.lit(f"{tag} parses in part"))
+    broken = raw.filter("_corrupt IS NOT NULL").select(F.col("_corrupt").alias("record"), reason.alias("reason"))
+    return raw.filter("_corrupt IS NULL").drop("_corrupt"), broken
+
+
+def article_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(record, reason) of the articles that ``read_article_xml`` can't read."""
+    return _elements(spark, path, "PubmedArticle", ARTICLE_SCHEMA)[1]
+
+
+def feed_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(record, reason) of the entries that ``read_feed_xml`` can't read."""
+    return _elements(spark, path, "entry", ENTRY_SCHEMA)[1]
+
+
 def read_article_xml(spark: SparkSession, path: str) -> DataFrame:
-    """One row per article of bulk article XML; articles that do not parse are skipped."""
-    raw = spark.read.format("xml").option("rowTag", "PubmedArticle").option("attributePrefix", "_").option("mode", "DROPMALFORMED").schema(ARTICLE_SCHEMA).load(path)
-    return articles(raw)
+    """One row per article of bulk article XML; ``article_rejects`` gives those that do not parse."""
+    return articles(_elements(spark, path, "PubmedArticle", ARTICLE_SCHEMA)[0])
 
 
 def articles(raw: DataFrame) -> DataFrame:
@@ -151,8 +182,8 @@ link array<struct<_href: string, _title: string>>, `arxiv:comment` string, `arxi
 
 
 def read_feed_xml(spark: SparkSession, path: str, reference_labels: bool = False) -> DataFrame:
-    """One row per ``entry`` of an Atom paper feed; entries that do not parse are skipped."""
-    raw = spark.read.format("xml").option("rowTag", "entry").option("attributePrefix", "_").option("mode", "DROPMALFORMED").schema(ENTRY_SCHEMA).load(path)
+    """One row per ``entry`` of an Atom paper feed; ``feed_rejects`` gives those that do not parse."""
+    raw, _ = _elements(spark, path, "entry", ENTRY_SCHEMA)
     links = F.coalesce(F.col("link"), F.array().cast("array<struct<_href:string,_title:string>>"))
 
     def link(title: str) -> Column:

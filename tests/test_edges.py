@@ -547,6 +547,30 @@ def test_bad_files_are_reported(spark, tmp_path):
     assert tables["good"].count() == 5 and list(problems) == ["bad"]
 
 
+def test_rejects_of_a_directory(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "w"))
+    good = next(p for p in (tmp_path / "w").iterdir() if p.suffix == ".parquet")
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "good.parquet").write_bytes(good.read_bytes())
+    (tmp_path / "d" / "bad.parquet").write_text("no parquet at all")
+    found = rows(R.directory_rejects(spark, str(tmp_path / "d"), schema="id long"))
+    assert found == [("bad", 17, "no row could be read")]
+    assert R.read_directory(spark, str(tmp_path / "d"), schema="id long").filter("dataset = 'good'").count() > 0
+
+
+def test_rejects_of_xml(spark, tmp_path):
+    (tmp_path / "f.xml").write_text("<feed><entry><id>http://x/1</id><title>A</title></entry><entry><id>http://x/2</id><title>B</wrong></entry></feed>")
+    assert [r["title"] for r in R.read_feed_xml(spark, str(tmp_path / "f.xml")).collect()] == ["A"]
+    (bad,) = R.feed_rejects(spark, str(tmp_path / "f.xml")).collect()
+    assert "http://x/2" in bad["record"] and bad["reason"] in ("entry does not parse", "entry parses in part")
+    (tmp_path / "a.xml").write_text(
+        "<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>1</PMID></MedlineCitation></PubmedArticle>"
+        "<PubmedArticle><MedlineCitation><PMID>2</PMID></MedlineCitationX></PubmedArticle></PubmedArticleSet>"
+    )
+    assert [r["pmid"] for r in R.read_article_xml(spark, str(tmp_path / "a.xml")).collect()] == ["1"]
+    assert [r["reason"] for r in R.article_rejects(spark, str(tmp_path / "a.xml")).collect()] in (["PubmedArticle does not parse"], ["PubmedArticle parses in part"])
+
+
 def test_catalog(spark):
     name = "t" + fresh_path(spark, "x")[-12:]
     first = K.append_rows(spark.createDataFrame([("1", "a")], "id string, name string"), name, fresh_path(spark, "t"))
