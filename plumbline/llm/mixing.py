@@ -4,9 +4,9 @@ Every document gets a hash-random key.  Within its source it stands in the order
 whole epochs as fit into its budget of words, then the documents from the front of the order until the budget is used
 up exactly; the document over the cut gives the words that are left.
 
-The order is never held in one place: keys are cut into ranges of about ROWS_PER_RANGE documents, words are summed by
-source and range (with map-side sums), prefix sums run over these ranges, and only the one range of a source that its
-cut falls into is sorted row by row.  DataFrame functions only.
+The order is never held in one place: keys are cut into about as many ranges as the root of the number of documents,
+words are summed by source and range (with map-side sums), prefix sums run over these ranges, and only the one range of a
+source that its cut falls into is sorted row by row; neither holds more than about that root.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from plumbline.llm.common import SPACES, WORD, word_count, written
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 SEED = 8
-ROWS_PER_RANGE = 20_000
 KEY_BITS = 60
 
 
@@ -91,7 +90,7 @@ def _cut(rows: DataFrame, planned: DataFrame, bits: int) -> DataFrame:
 
 
 def _bits(rows: int) -> int:
-    return min(40, max(0, (rows // ROWS_PER_RANGE).bit_length()))
+    return (rows.bit_length() + 1) // 2
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:

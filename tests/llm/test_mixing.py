@@ -36,8 +36,7 @@ def rows():
     return out + [(None, "x y z", "a")] * 3 + [(5, "q r", "c")] * 2 + [(900, None, "b"), (901, "", "z")]
 
 
-def test_mix(docs, monkeypatch):
-    monkeypatch.setattr(mixing, "ROWS_PER_RANGE", 16)
+def test_mix(docs):
     found = mixing.mix(docs(rows())).collect()
     assert len(found) == len(rows())
     taken, target = Counter(), {}
@@ -61,8 +60,8 @@ def test_sql_twin_and_ranges(spark, docs, tmp_path, monkeypatch):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     want = sorted(map(str, con.execute(mixing.ORACLE_SQL).fetchall()))
-    for n in (1, 50, 10**6):
-        monkeypatch.setattr(mixing, "ROWS_PER_RANGE", n)
+    for bits in (0, 3, 30):
+        monkeypatch.setattr(mixing, "_bits", lambda rows, bits=bits: bits)
         assert sorted(str(tuple(r)) for r in mixing.query(spark, str(tmp_path)).collect()) == want
 
 
