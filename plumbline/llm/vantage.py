@@ -146,12 +146,13 @@ def _built(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "tree": pa.array([tree.pack()], pa.binary())})
 
 
-def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(dim, shard, tree) of usable (vec_id, vector) rows, written once; every row is in one tree."""
+def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
+    """(dim, shard, tree) of usable (vec_id, vector) rows, written once, and the number of shards; every row is in one tree."""
     rows = vectors.select("*", F.size("vector").alias("dim"))
     shards = max(1, -(-rows.count() // shard_rows))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).cast("int"))
-    return written(dealt.select("dim", "shard", "vec_id", "vector").groupBy("dim", "shard").applyInArrow(_built, "dim int, shard int, tree binary"), "vantage-trees")
+    built = dealt.select("dim", "shard", "vec_id", "vector").groupBy("dim", "shard").applyInArrow(_built, "dim int, shard int, tree binary")
+    return written(built, "vantage-trees"), shards
 
 
 def _searched(k: int, factor: float):
@@ -182,12 +183,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vect
         rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
         return rows.filter(F.col("vec_id").isNotNull() & _usable(F.col("vector")))
 
-    trees = index(usable(vectors), shard_rows)
+    trees, shards = index(usable(vectors), shard_rows)
     asked = written(usable(queries).select(F.col("vec_id").alias("query_id"), "vector", F.size("vector").alias("dim")).distinct(), "queries")
     blocks = max(1, -(-asked.count() // block))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(7)), F.lit(blocks)).cast("int"))
-    shards = trees.groupBy("dim").agg(F.collect_set("shard").alias("shards"))
-    spread = asked.join(shards, "dim").select("dim", F.explode("shards").alias("shard"), "block", "query_id", "vector")
+    spread = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", "query_id", "vector")
     repeated = trees.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "tree")
     key = ["dim", "shard", "block"]
     met = repeated.groupBy(*key).cogroup(spread.groupBy(*key)).applyInArrow(_searched(k, factor), "query_id long, vec_id long, score double")

@@ -38,7 +38,7 @@ def test_relaxed_recall(table):
 
 def test_index_holds_every_row(table):
     rows = table.filter("vec_id < 960").select("vec_id", table["embedding"].cast("array<double>").alias("vector"))
-    trees = [vantage.Tree.unpack(bytes(r["tree"])) for r in vantage.index(rows, 100).collect()]
+    trees = [vantage.Tree.unpack(bytes(r["tree"])) for r in vantage.index(rows, 100)[0].collect()]
     assert sum(len(t.ids) for t in trees) == rows.count() and len(trees) > 5
 
 
