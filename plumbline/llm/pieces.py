@@ -30,6 +30,7 @@ SPACE = "▁"
 RANK_SHIFT = 100.0
 SHARPNESS = 1.0
 BYTE_COST = 20.0
+TEXT_BLOCK = 2 << 20
 _LITERAL = 0x110001  # stands for a literal U+2581; no piece has it
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _TABLE_BITS = 20
@@ -249,7 +250,7 @@ def _encoded(path: str, sharpness: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         for whole in batches:
-            for a, b in blocks(whole.column("text")):
+            for a, b in blocks(whole.column("text"), TEXT_BLOCK):
                 batch = whole.slice(a, b - a)
                 seeds = mixed(batch.column("seed").to_numpy().view(np.uint64))
                 texts = batch.column("text")
