@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import written
+from plumbline.llm.common import scratch, written
 from plumbline.llm.wordhash import blocks, text_bytes
 
 WINDOW = 16
@@ -148,10 +148,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_BYTES) -> DataFrame:
     """The documents, all columns, without the runs that copied_runs() finds; a text may be empty afterwards."""
-    found = copied_runs(docs, doc_id, text, least).groupBy("id", "version").agg(F.collect_list(F.struct("begin", "end")).alias("runs"))
+    with scratch(docs.sparkSession):
+        found = copied_runs(docs, doc_id, text, least).groupBy("id", "version").agg(F.collect_list(F.struct("begin", "end")).alias("runs"))
+        found = written(found, "copied-runs", outlives=True)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     named = docs.select(row, F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("version"), F.col(text).alias("text"))
-    met = named.join(written(found, "copied-runs"), ["id", "version"], "left")
+    met = named.join(found, ["id", "version"], "left")
     kind = docs.select(row).schema["row"].dataType.simpleString()
     cut = met.filter("runs IS NOT NULL").select("row", "text", "runs").mapInArrow(_cut, f"row {kind}, text string")
     cut = cut.select(F.col("row").withField(f"`{text}`", F.col("text")).alias("row"))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.session import fresh_path
@@ -17,13 +18,33 @@ WORD = f"[^{SPACES}]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Compute once, keep as Parquet in the shared folder, go on from there: lost executors cost nothing before it."""
+_scopes: list[list[str]] = []
+
+
+def written(df: DataFrame, label: str, outlives: bool = False) -> DataFrame:
+    """Compute once, keep as Parquet in the shared folder, go on from there: lost executors cost nothing before it.
+
+    Inside scratch() the table goes when the block ends, unless it outlives that.
+    """
     path = fresh_path(df.sparkSession, label)
+    if _scopes[outlives:]:
+        _scopes[-1 - outlives].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what was written inside; nothing that is still to be computed may read from it then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text in order; an empty array for null and for texts without words."""
     found = F.split(F.trim(F.translate(F.coalesce(text, F.lit("")), SPACE_CHARS, " " * len(SPACE_CHARS))), " +")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import written
+from plumbline.llm.common import scratch, written
 from plumbline.llm.components import components
 from plumbline.llm.wordhash import blocks, mixed, shingles, span_hashes, text_bytes, word_spans
 
@@ -260,10 +260,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
 
     Rows with a null id, null texts and texts without words all stay.  Of repeated rows one stays.
     """
-    found = classes(docs, doc_id, text, **options).filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     # Only ids that lose rows are told, so most texts need no partner, and where these are few none is shuffled.
-    told = found.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n"))
-    told = written(told.filter("doc_id <> class_id OR n > 1").select(F.col("doc_id").alias("of"), (F.col("doc_id") == F.col("class_id")).alias("stays")), "near-copies")
+    with scratch(docs.sparkSession):
+        found = classes(docs, doc_id, text, **options).filter("digest IS NOT NULL AND doc_id IS NOT NULL")
+        told = found.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n")).filter("doc_id <> class_id OR n > 1")
+        told = written(told.select(F.col("doc_id").alias("of"), (F.col("doc_id") == F.col("class_id")).alias("stays")), "near-copies", outlives=True)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     empty = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     met = packed.join(told, F.col("id") == F.col("of"), "left")

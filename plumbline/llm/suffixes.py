@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import word_count, written
+from plumbline.llm.common import scratch, word_count, written
 from plumbline.llm.wordhash import blocks, mixed, span_hashes, text_bytes, word_spans
 
 LEAST = 50
@@ -275,9 +275,11 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     The column named length, if any, gets the characters of what is left.  A document of which no word is left goes.
     """
-    found = repeats(docs, doc_id, text).groupBy("id", "version").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    with scratch(docs.sparkSession):
+        found = repeats(docs, doc_id, text).groupBy("id", "version").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+        found = written(found, "spans", outlives=True)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    met = _named(docs, doc_id, text, row).join(written(found, "spans"), ["id", "version"], "left")
+    met = _named(docs, doc_id, text, row).join(found, ["id", "version"], "left")
     kind = docs.select(row).schema["row"].dataType.simpleString()
     cut = met.filter("spans IS NOT NULL").select("row", "text", "spans").mapInArrow(_cut, f"row {kind}, text string")
     cut = cut.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
