@@ -48,9 +48,9 @@ def whole_minute(ts: Column) -> Column:
     return ts - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.extract(F.lit("SECOND"), ts))
 
 
-def whole_second(ts: Column) -> Column:
-    seconds = F.extract(F.lit("SECOND"), ts)
-    return ts - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds - F.floor(seconds))
+def whole_millisecond(ts: Column) -> Column:
+    thousandths = F.extract(F.lit("SECOND"), ts) * 1000
+    return ts - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (thousandths - F.floor(thousandths)) / 1000)
 
 
 def rate_limit_windows(events: DataFrame, client: str, ts: str, limit: int = RATE_LIMIT) -> DataFrame:
@@ -63,21 +63,21 @@ def rate_limit_rejections(events: DataFrame, client: str, ts: str, event_id: str
     """The rejected events: those after the first ``limit`` of their client and minute.
 
     A minute with no more than ``limit`` requests rejects none, so only events of
-    busy minutes are numbered; these are numbered second by second, with the
-    count of the earlier seconds added, so one busy minute spreads over tasks.
+    busy minutes are numbered; these are numbered millisecond by millisecond, with the
+    count of the earlier ones added, so one busy second spreads over tasks.
     """
-    minute, second = whole_minute(F.col(quoted(ts))), whole_second(F.col(quoted(ts)))
-    keyed = events.withColumn("_minute", minute).withColumn("_second", second)
-    per_second = keyed.groupBy(F.col(quoted(client)).alias("_client"), "_minute", "_second").agg(F.count(F.lit(1)).alias("_n"))
+    minute, piece = whole_minute(F.col(quoted(ts))), whole_millisecond(F.col(quoted(ts)))
+    keyed = events.withColumn("_minute", minute).withColumn("_piece", piece)
+    pieces = keyed.groupBy(F.col(quoted(client)).alias("_client"), "_minute", "_piece").agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy("_client", "_minute")
-    earlier = whole.orderBy("_second").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_second.select(
-        "_client", "_minute", "_second", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_all"), "_n"
+    earlier = whole.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces.select(
+        "_client", "_minute", "_piece", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_all"), "_n"
     )
-    # seconds whose last request is still within the limit reject nothing
+    # milliseconds whose last request is still within the limit reject nothing
     busy = offsets.where((F.col("_all") > limit) & (F.col("_before") + F.col("_n") > limit)).drop("_all", "_n", "_minute")
-    kept = keyed.join(busy, (keyed[quoted(client)] == busy["_client"]) & (keyed["_second"] == busy["_second"])).drop(busy["_second"])
-    order = Window.partitionBy(client, "_second").orderBy(F.col(quoted(ts)), F.col(quoted(event_id)))
+    kept = keyed.join(busy, (keyed[quoted(client)] == busy["_client"]) & (keyed["_piece"] == busy["_piece"])).drop(busy["_piece"])
+    order = Window.partitionBy(client, "_piece").orderBy(F.col(quoted(ts)), F.col(quoted(event_id)))
     numbered = kept.withColumn("number", (F.row_number().over(order) + F.col("_before")).cast("long"))
     return numbered.where(F.col("number") > limit).select(*events.columns, F.col("_minute").alias("minute"), "number")
 

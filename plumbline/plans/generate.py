@@ -19,7 +19,7 @@ from plumbline.functions.draws import Draws
 from plumbline.operators.ranks import dense_ranks, smallest_k_cutoffs
 from plumbline.plans.rules import apply_rules
 from plumbline.plans.spec import ColumnSpec, DatasetSpec, SpecError
-from plumbline.session import prefer_compiled_methods, quoted
+from plumbline.session import prefer_compiled_methods, quoted, settle
 
 # Defaults of the formats and of the correlation rule.
 DEFAULT_TEXT_PATTERN = "text_{}"
@@ -291,8 +291,8 @@ class CompiledSpec:
             F.col("value").alias("_ref"),
             F.get(F.lit(cats), (F.col("rank") % len(cats)).cast("int")).alias(c.name),
         )
-        if bounded:  # no more rows than declared categories
-            named = F.broadcast(named)
+        # No more rows than declared categories; else settled, so that a popular value can be split over tasks.
+        named = F.broadcast(named) if bounded else settle(named)
         return df.join(named, df[quoted(ref.name)] == named["_ref"], "left").drop("_ref")
 
     def apply(self, rows: DataFrame | None = None, keep_id: bool = False) -> DataFrame:
