@@ -9,19 +9,21 @@ windows, and verified links are joined into classes.
 Work inside a bucket grows with its size, not its square, while its texts are near copies of each other: in the
 first round each is compared with the text that shares most buckets, and what is then in one class needs no further
 comparison.  Windows that only one text has can't be matched by any other; texts, and pairs of texts, that have too many
-of them to be similar are left out by that bound.  What stays apart meets MET of its bucket's texts, chosen by hash, and in
-the end each of them with which it shares AGREE buckets.  A pair of similarity 0.8 misses that once in 170 times, one of
-0.85 once in 20,000; no number of partners or candidates is limited.
+of them to be similar are left out by that bound.  What stays apart meets MET of its bucket's texts, chosen by hash, all in a
+bucket of no more, and in larger ones also each text with which it shares two buckets of sketches that are at most APART
+places apart.  A pair of similarity 0.8 misses that twice in a hundred times, one of 0.85 less than once in a thousand; no
+number of partners or candidates is limited.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import scratch, written
@@ -34,7 +36,7 @@ SKETCHES = 40
 PICKED = 8
 CELLS = 1 << 20
 MET = 64
-AGREE = 2
+APART = 10
 
 
 def _numbered(windows: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -183,6 +185,15 @@ def _bounds(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return sizes.select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
 
 
+def _doubled(members: DataFrame) -> DataFrame:
+    """The members with keys made of two of a text's buckets, of sketches that are at most APART places from each other."""
+    order = Window.partitionBy("node").orderBy("i")
+    pairs = [F.when(F.lead("i", d).over(order) - F.col("i") <= APART, F.xxhash64("key", F.lead("key", d).over(order))).alias(f"key{d}") for d in range(1, APART + 1)]
+    wide = written(members.select("node", "label", "n", "most", *pairs), "double-keys")
+    each = [wide.select("node", "label", "n", "most", F.col(f"key{d}").alias("key")).filter("key IS NOT NULL") for d in range(1, APART + 1)]
+    return functools.reduce(DataFrame.unionByName, each)
+
+
 def _links(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
     """The pairs (u, v) whose texts are similar."""
     with_v = pairs.join(texts.select(F.col("node").alias("v"), F.col("words").alias("y")), "v")
@@ -205,7 +216,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     nodes = written(named.groupBy("digest").agg(F.min("id").alias("node")), "nodes")
     # Sketches are the same for all copies of a text: those of the row that names the class are enough.
     one = named.join(nodes, "digest").filter("id = node")
-    spread = one.select("node", F.explode("sketches").alias("key")).distinct()
+    spread = one.select("node", F.posexplode("sketches").alias("i", "key")).groupBy("node", "key").agg(F.min("i").alias("i"))
     shared = written(spread.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "shared-keys")
     members = written(spread.join(shared, "key"), "buckets")
     wanted = members.select("node").distinct()
@@ -219,7 +230,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     links = written(_links(tried, texts, k, least), "verified")
     bounds, labels = None, written(components(links), "labels")
     for chosen in (MET, None):
-        placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        placed = members.join(labels, "node", "left").select("i", "key", "node", F.coalesce("label", "node").alias("label"))
         if bounds is not None:
             placed = placed.join(bounds, "node")
         sizes = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b")
@@ -231,16 +242,18 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
             bounds = written(_bounds(rest.select("node").distinct(), texts, k).filter(F.col("most") >= least * F.col("n")), "bounds")
             rest = rest.join(bounds, "node")
         rest = written(rest, "open-members")
-        # A text that is chosen in one bucket is chosen in all others that are no larger.
-        draw = F.shiftrightunsigned(F.xxhash64("node", F.lit(MET)), 11) * F.lit(2.0**-53)
-        some = rest if chosen is None else rest.filter(draw * F.col("size") < chosen)
-        some = some.select("key", F.col("node").alias("u"), F.col("label").alias("of"), F.col("n").alias("un"), F.col("most").alias("umost"))
+        if chosen:
+            # A text that is chosen in one bucket is chosen in all others that are no larger.
+            draw = F.shiftrightunsigned(F.xxhash64("node", F.lit(MET)), 11) * F.lit(2.0**-53)
+            some = rest.filter(draw * F.col("size") < chosen)
+        else:
+            rest = some = _doubled(rest)
+        some = some.select(F.col("key").alias("met"), F.col("node").alias("u"), F.col("label").alias("of"), F.col("n").alias("un"), F.col("most").alias("umost"))
         enough = F.least("most", "umost") >= least / (1 + least) * (F.col("n") + F.col("un")) - 1e-6
         # In the last round both sides are all of a bucket's texts: each pair is told once.
         other = F.col("label") != F.col("of") if chosen else F.col("label") < F.col("of")
-        more = rest.join(some, (rest["key"] == some["key"]) & other & enough)
-        more = more.groupBy(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).agg(F.count("*").alias("agree"))
-        more = more.filter(F.col("agree") >= (1 if chosen else AGREE)).select("u", "v")
+        more = rest.join(some, (F.col("key") == F.col("met")) & other & enough)
+        more = more.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
         more = written(more.join(tried, ["u", "v"], "left_anti"), "tried")
         found = written(_links(more, texts, k, least), "verified")
         tried = tried.unionByName(more)
