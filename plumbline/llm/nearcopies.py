@@ -185,6 +185,11 @@ def _bounds(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return sizes.select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
 
 
+def _open(placed: DataFrame) -> DataFrame:
+    """(key, size) of the buckets whose texts are not all in one class."""
+    return placed.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key", "size")
+
+
 def _doubled(members: DataFrame) -> DataFrame:
     """The members with keys made of two of a text's buckets, of sketches that are at most APART places from each other."""
     order = Window.partitionBy("node").orderBy("i")
@@ -228,19 +233,17 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     pairs = members.join(written(centres, "centres"), "key").filter("node <> u").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
     tried = written(pairs, "tried")
     links = written(_links(tried, texts, k, least), "verified")
-    bounds, labels = None, written(components(links), "labels")
+    labels = written(components(links), "labels")
+    placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    apart = written(placed.join(written(_open(placed).select("key"), "open-buckets"), "key", "left_semi").select("node").distinct(), "open-nodes")
+    bounds = written(_bounds(apart, texts, k).filter(F.col("most") >= least * F.col("n")), "bounds")
     for chosen in (MET, None):
-        placed = members.join(labels, "node", "left").select("i", "key", "node", F.coalesce("label", "node").alias("label"))
-        if bounds is not None:
-            placed = placed.join(bounds, "node")
-        sizes = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b")
+        # Both rounds count a bucket's texts after the bound: what the first one leaves to the last is what that one takes up.
+        placed = members.join(labels, "node", "left").select("i", "key", "node", F.coalesce("label", "node").alias("label")).join(bounds, "node")
+        sizes = _open(placed)
         if chosen is None:
             sizes = sizes.filter(F.col("size") > MET)  # of smaller buckets the last round has tried all
-        rest = placed.join(written(sizes.select("key", "size"), "open-buckets"), "key")
-        if bounds is None:
-            rest = written(rest, "open-members")
-            bounds = written(_bounds(rest.select("node").distinct(), texts, k).filter(F.col("most") >= least * F.col("n")), "bounds")
-            rest = rest.join(bounds, "node")
+        rest = placed.join(written(sizes, "open-buckets"), "key")
         rest = written(rest, "open-members")
         if chosen:
             # A text that is chosen in one bucket is chosen in all others that are no larger.

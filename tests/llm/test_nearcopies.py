@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from plumbline.llm import nearcopies
 from plumbline.llm.components import components
@@ -104,6 +105,35 @@ def test_group_of_which_a_part_is_near(docs):
     assert got == {d: root(d) for d in texts}
 
 
+def edited(base, slots, tag):
+    """The base of 150 words with a word of its own in each of the slots, which are five words apart."""
+    words = base.split()
+    for k in slots:
+        words[5 * k + 2] = f"own{tag}y{k}"
+    return " ".join(words)
+
+
+def pairs_of_one_base(base, n, first):
+    """Pairs of similarity 0.814, changed in the same three slots, and less than 0.8 to all others; they share windows of the base only."""
+    slots = random.Random(first).sample([(a, b, c) for a in range(1, 28) for b in range(a) for c in range(b)], n)
+    return {first + 2 * i + j: edited(base, s, first + 2 * i + j) for i, s in enumerate(slots) for j in (0, 1)}
+
+
+def linked(docs, near, rest, sketches):
+    """The classes found, and those of all pairs (d, d + 1) of near that share a sketch."""
+    texts = pa.record_batch([pa.array(list(near)), pa.array(list(near.values()))], ["id", "text"])
+    keys = {i: set(k) for b in nearcopies._sketched(5, sketches, 8)([texts]) for i, k in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True)}
+    want = {d: d - 1 if d % 2 and keys[d] & keys[d - 1] else d for d in near} | {d: d for d in rest}
+    got = {r["doc_id"]: r["class_id"] for r in nearcopies.classes(docs([*near.items(), *rest.items()]), sketches=sketches).collect()}
+    return got, want
+
+
+def test_large_group_of_which_few_pass_the_bound(docs):
+    base = sentence(1, 150)
+    got, want = linked(docs, pairs_of_one_base(base, 60, 10_000), {i: base + " " + sentence(10 + i, 45) for i in range(600)}, 6)
+    assert got == want
+
+
 def test_alignment_is_the_common_subsequence():
     rng = np.random.default_rng(3)
     for _ in range(300):
