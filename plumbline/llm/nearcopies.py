@@ -10,9 +10,8 @@ Work inside a bucket grows with its size, not its square, while its texts are ne
 first round each is compared with the text that shares most buckets, and what is then in one class needs no further
 comparison.  Windows that only one text has can't be matched by any other; texts, and pairs of texts, that have too many
 of them to be similar are left out by that bound.  What stays apart meets MET of its bucket's texts, chosen by hash, all in a
-bucket of no more, and in larger ones also each text with which it shares two buckets of sketches that are at most APART
-places apart.  A pair of similarity 0.8 misses that twice in a hundred times, one of 0.85 less than once in a thousand; no
-number of partners or candidates is limited.
+bucket of no more, and then, where a larger one still has several classes, all others there too.  So a pair is missed only
+if it shares no sketch; no number of partners or candidates is limited.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import scratch, written
@@ -36,7 +35,8 @@ SKETCHES = 40
 PICKED = 8
 CELLS = 1 << 20
 MET = 64
-APART = 10
+PART = 256
+MARKS = 8
 
 
 def _numbered(windows: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -190,13 +190,39 @@ def _open(placed: DataFrame) -> DataFrame:
     return placed.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key", "size")
 
 
-def _doubled(members: DataFrame) -> DataFrame:
-    """The members with keys made of two of a text's buckets, of sketches that are at most APART places from each other."""
-    order = Window.partitionBy("node").orderBy("i")
-    pairs = [F.when(F.lead("i", d).over(order) - F.col("i") <= APART, F.xxhash64("key", F.lead("key", d).over(order))).alias(f"key{d}") for d in range(1, APART + 1)]
-    wide = written(members.select("node", "label", "n", "most", *pairs), "double-keys")
-    each = [wide.select("node", "label", "n", "most", F.col(f"key{d}").alias("key")).filter("key IS NOT NULL") for d in range(1, APART + 1)]
-    return functools.reduce(DataFrame.unionByName, each)
+def _marked(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = np.zeros((batch.num_rows, MARKS), np.uint64)
+            for i, w in enumerate(batch.column(1)):
+                bit = _windows(w.as_py(), k) % np.uint64(64 * MARKS)
+                np.bitwise_or.at(marks[i], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(marks[:, m].view(np.int64)) for m in range(MARKS))], ["node", *(f"m{m}" for m in range(MARKS))])
+
+    return run
+
+
+def _met_by_all(rest: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
+    """The pairs (u, v) of different labels that share a bucket and may be similar by the windows they lack of each other.
+
+    Buckets are cut in parts of about PART texts, and each part meets each.  A window whose bit is not among the other
+    text's is not matched: a pair is left out if those that remain are too few in either text.
+    """
+    marks = written(texts.join(rest.select("node").distinct(), "node", "left_semi").select("node", "words").mapInArrow(_marked(k), "node long, " + ", ".join(f"m{m} long" for m in range(MARKS))), "marks")
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(PART)), parts).cast("int")
+    rest = rest.join(marks, "node").select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("each"))
+    names = ["node", "label", "n", "most", *(f"m{m}" for m in range(MARKS))]
+    one = written(rest.select("key", F.col("own").alias("a"), F.col("each").alias("b"), *names), "open-parts")
+    two = one.select(F.col("key").alias("met"), F.col("b").alias("c"), F.col("a").alias("d"), *(F.col(c).alias(f"u{c}") for c in names))
+
+    def left(n: str, x: str, y: str) -> Column:
+        return F.col(n) - functools.reduce(Column.__add__, [F.bit_count(F.col(f"{x}m{m}").bitwiseAND(F.bitwise_not(f"{y}m{m}"))) for m in range(MARKS)])
+
+    matched = F.least("most", "umost", left("n", "", "u"), left("un", "u", ""))
+    enough = matched >= least / (1 + least) * (F.col("n") + F.col("un")) - 1e-6
+    same = (F.col("key") == F.col("met")) & (F.col("a") == F.col("c")) & (F.col("b") == F.col("d"))
+    return one.join(two, same & (F.col("ulabel") < F.col("label")) & enough).select(F.least("unode", "node").alias("u"), F.greatest("unode", "node").alias("v"))
 
 
 def _links(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
@@ -221,7 +247,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     nodes = written(named.groupBy("digest").agg(F.min("id").alias("node")), "nodes")
     # Sketches are the same for all copies of a text: those of the row that names the class are enough.
     one = named.join(nodes, "digest").filter("id = node")
-    spread = one.select("node", F.posexplode("sketches").alias("i", "key")).groupBy("node", "key").agg(F.min("i").alias("i"))
+    spread = one.select("node", F.explode("sketches").alias("key")).distinct()
     shared = written(spread.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "shared-keys")
     members = written(spread.join(shared, "key"), "buckets")
     wanted = members.select("node").distinct()
@@ -239,7 +265,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     bounds = written(_bounds(apart, texts, k).filter(F.col("most") >= least * F.col("n")), "bounds")
     for chosen in (MET, None):
         # Both rounds count a bucket's texts after the bound: what the first one leaves to the last is what that one takes up.
-        placed = members.join(labels, "node", "left").select("i", "key", "node", F.coalesce("label", "node").alias("label")).join(bounds, "node")
+        placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")).join(bounds, "node")
         sizes = _open(placed)
         if chosen is None:
             sizes = sizes.filter(F.col("size") > MET)  # of smaller buckets the last round has tried all
@@ -249,14 +275,13 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
             # A text that is chosen in one bucket is chosen in all others that are no larger.
             draw = F.shiftrightunsigned(F.xxhash64("node", F.lit(MET)), 11) * F.lit(2.0**-53)
             some = rest.filter(draw * F.col("size") < chosen)
+            some = some.select(F.col("key").alias("met"), F.col("node").alias("u"), F.col("label").alias("of"), F.col("n").alias("un"), F.col("most").alias("umost"))
+            enough = F.least("most", "umost") >= least / (1 + least) * (F.col("n") + F.col("un")) - 1e-6
+            more = rest.join(some, (F.col("key") == F.col("met")) & (F.col("label") != F.col("of")) & enough)
+            more = more.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v"))
         else:
-            rest = some = _doubled(rest)
-        some = some.select(F.col("key").alias("met"), F.col("node").alias("u"), F.col("label").alias("of"), F.col("n").alias("un"), F.col("most").alias("umost"))
-        enough = F.least("most", "umost") >= least / (1 + least) * (F.col("n") + F.col("un")) - 1e-6
-        # In the last round both sides are all of a bucket's texts: each pair is told once.
-        other = F.col("label") != F.col("of") if chosen else F.col("label") < F.col("of")
-        more = rest.join(some, (F.col("key") == F.col("met")) & other & enough)
-        more = more.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
+            more = _met_by_all(rest, texts, k, least)
+        more = more.distinct()
         more = written(more.join(tried, ["u", "v"], "left_anti"), "tried")
         found = written(_links(more, texts, k, least), "verified")
         tried = tried.unionByName(more)

@@ -134,6 +134,11 @@ def test_large_group_of_which_few_pass_the_bound(docs):
     assert got == want
 
 
+def test_large_group_of_pairs_that_share_one_bucket(docs):
+    got, want = linked(docs, pairs_of_one_base(sentence(1, 150), 250, 10_000), {}, 8)
+    assert got == want
+
+
 def test_alignment_is_the_common_subsequence():
     rng = np.random.default_rng(3)
     for _ in range(300):
