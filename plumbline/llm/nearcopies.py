@@ -2,7 +2,7 @@
 
 A sketch of a text is made of the few windows of five words that have the smallest hash under the sketch's own hash
 function, in the order in which they stand in the text; a window that occurs several times counts once for each
-occurrence, told apart by its number.  Two texts agree in a sketch with a chance that falls with their edit distance.
+occurrence, told apart by its number.  Sketches of short texts are made of fewer windows.  Two texts agree in a sketch with a chance that falls with their edit distance.
 Texts that agree in a sketch share a bucket.  Candidates out of the buckets are verified by a banded alignment of their
 windows, and verified links are joined into classes.
 
@@ -33,6 +33,8 @@ WINDOW = 5
 SIMILARITY = 0.8
 SKETCHES = 40
 PICKED = 8
+SHORT = 64
+SHORT_PICKED = 4
 CELLS = 1 << 20
 MET = 64
 PART = 256
@@ -72,7 +74,17 @@ def _sketches(windows: np.ndarray, factors: np.ndarray, picked: int) -> np.ndarr
     return out
 
 
-def _sketched(k: int, sketches: int, picked: int):
+def _keys(windows: np.ndarray, factors: np.ndarray, picked: int, least: float) -> np.ndarray:
+    """A text's sketches: of up to SHORT windows by fewer of them, and both kinds where a near copy may have either."""
+    n, kinds = len(windows), []
+    if n <= SHORT:
+        kinds.append(min(SHORT_PICKED, picked))
+    if n >= least * SHORT - 1e-9:
+        kinds.append(picked)
+    return np.concatenate([_sketches(windows, factors, p) for p in kinds])
+
+
+def _sketched(k: int, sketches: int, picked: int, least: float = SIMILARITY):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = np.random.default_rng(6).integers(1, 2**62, sketches, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for whole in batches:
@@ -91,7 +103,7 @@ def _sketched(k: int, sketches: int, picked: int):
                         continue
                     digests.append(hashlib.blake2b(words[before[d] : before[d + 1]].tobytes(), digest_size=16).digest())
                     kept.append(short[before[d] : before[d + 1]].tobytes())
-                    keys.append(_sketches(numbered[first[d] : first[d + 1]], factors, picked).view(np.int64))
+                    keys.append(_keys(numbered[first[d] : first[d + 1]], factors, picked, least).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(digests, pa.binary()), pa.array(kept, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                     ["id", "digest", "words", "sketches"],
@@ -241,7 +253,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     are in one class; texts under one id count as one document.  Other columns are not read.  Empty in, empty out.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    table = written(rows.mapInArrow(_sketched(k, sketches, picked), "id long, digest binary, words binary, sketches array<long>"), "sketches")
+    table = written(rows.mapInArrow(_sketched(k, sketches, picked, least), "id long, digest binary, words binary, sketches array<long>"), "sketches")
     named = table.filter("id IS NOT NULL AND digest IS NOT NULL")
     # Aggregates are written before they are joined: with plain exchanges on both sides Spark can split a hot key.
     nodes = written(named.groupBy("digest").agg(F.min("id").alias("node")), "nodes")

@@ -63,6 +63,32 @@ def test_against_all_pairs(docs):
     assert got == want
 
 
+def test_short_texts_against_all_pairs(docs):
+    """Short texts that differ by a word at the begin or end, or by one in the middle."""
+    texts = {}
+    for base, n in enumerate([5, 6, 7, 8, 9, 10, 11, 12, 14, 20, 30, 45, 55, 66, 68, 70, 75]):
+        t = sentence(base, n)
+        cut = t.split()
+        for k, one in enumerate([t, t + " after", "before " + t, f"before {t} after", " ".join(cut[: n // 2] + ["amid"] + cut[n // 2 + 1 :])]):
+            texts[base * 10 + k] = one
+    parent = {d: d for d in texts}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for a in texts:
+        for b in texts:
+            if a < b:
+                x, y = windows(texts[a]), windows(texts[b])
+                met = common(x, y)
+                if met >= 0.8 * (len(x) + len(y) - met):
+                    one, two = sorted((root(a), root(b)))
+                    parent[two] = one
+    assert classes_of(docs(list(texts.items()))) == {d: root(d) for d in texts}
+
+
 def test_cases(docs):
     t = sentence(1, 30)
     rows = [(5, t), (3, t), (3, t), (9, t.replace(" ", "\n ")), (1, None), (2, ""), (4, " \t"), (None, t), (7, "a b"), (8, "a b"), (10, "b a"), (11, sentence(2, 20_000))]
