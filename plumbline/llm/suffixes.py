@@ -3,13 +3,12 @@
 Of the suffixes of all texts, word by word, only those are retained that start where the text itself says so: a window
 of HEAD words is chosen if its hash is the smallest among SPREAD neighbouring windows.  Every passage of LEAST words
 that stands in two texts then has a chosen start at the same place in both.  Suffixes are sorted by their first HEAD
-words; those without an equal neighbour in another text are dropped.  The others are sorted again by longer stretches
-around their start (FRAME words, laid over the start in steps) and compared with the first suffix of the same stretch.
-Starts that follow each other in both texts make a run, and its ends are extended word by word to the left and right.
+words; those without an equal neighbour in another text are dropped.  Around the others each window of LEAST words that
+chooses the start is compared by hash with all windows like it: the smallest id that has it is its first document.  Windows
+that an earlier document has too make the passages.
 
-All sorting and grouping is Spark's, on narrow rows with map-side minima, so a passage that a third of all documents
-share costs one row a document.  Only the extension compares words, at most SIDE to each side of a run: what matches
-further has a chosen start of its own.  Of equal texts only that of the smallest id is searched.
+All sorting and grouping is Spark's, on narrow rows with map-side minima.  Of equal texts only that of the smallest id is
+searched.
 """
 
 from __future__ import annotations
@@ -27,12 +26,6 @@ from plumbline.llm.wordhash import blocks, mixed, span_hashes, text_bytes, word_
 LEAST = 50
 HEAD = 12
 SPREAD = LEAST - HEAD + 1
-SIDE = SPREAD - 1
-STEP = 10
-FRAME = HEAD + SIDE - STEP
-SHIFTS = [*range(0, SIDE - STEP, STEP), SIDE - STEP]
-# Three bytes a word are compared: a run gets a word too many once in sixteen million ends.
-WORD_BYTES = 3
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 1 << 64)
 
@@ -93,101 +86,45 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each start: the hashes of the stretches around it, and the words on both sides of its head."""
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of LEAST words that choose one of the given starts.  Which head a window chooses is its own affair, so equal windows are told alike."""
     for whole in batches:
         for a, b in blocks(whole.column(2)):
             batch = whole.slice(a, b - a)
             words, before = _words(batch.column(2))
             lists = batch.column(3)
             starts = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            text = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            at, low, high = starts + before[text], before[text], before[text + 1]
-            keys, known = [], []
-            for left in SHIFTS:
-                first = at - left
-                last = first + FRAME
-                fits = (first >= low) & (last <= high)
-                hashes = np.zeros(len(at), np.uint64)
-                hashes[fits] = _stretches(words, first[fits], last[fits])
-                keys.append(hashes), known.append(fits)
-            padded = np.concatenate([np.zeros(SIDE, np.uint32), words.astype(np.uint32), np.zeros(HEAD + SIDE, np.uint32)])
-            padded = padded.view(np.uint8).reshape(-1, 4)[:, :WORD_BYTES]
-            side = np.arange(SIDE)
-            left = padded[(at[:, None] + SIDE - 1 - side).ravel()]
-            right = padded[(at[:, None] + SIDE + HEAD + side).ravel()]
-            mask = np.stack(known, axis=1).ravel()
-            flat = pa.array(np.stack(keys, axis=1).ravel()[mask].view(np.int64))
-            offsets = np.concatenate([[0], np.cumsum(np.stack(known, axis=1).sum(axis=1))]).astype(np.int32)
-            sized = pa.binary(WORD_BYTES * SIDE)
+            starts += np.repeat(before[:-1], lists.value_lengths().to_numpy(zero_copy_only=False))
+            at = np.arange(len(words) - HEAD + 1)
+            heads = _stretches(words, at, at + HEAD)
+            least = _slide(heads, SPREAD, np.minimum)
+            end = np.repeat(before[1:], np.diff(before))[: len(least)]
+            at = np.flatnonzero((np.arange(len(least)) + LEAST <= end) & np.isin(least, heads[starts]))
+            text = np.searchsorted(before, at, "right") - 1
+            rows = pa.array(text)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(text)),
-                    pa.array(batch.column(1).to_numpy()[text] << 32 | starts),
-                    pa.array((high - low).astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(offsets), flat),
-                    pa.Array.from_buffers(sized, len(at), [None, pa.py_buffer(left.tobytes())]).cast(pa.binary()),
-                    pa.Array.from_buffers(sized, len(at), [None, pa.py_buffer(right.tobytes())]).cast(pa.binary()),
-                ],
-                ["id", "place", "n", "keys", "left", "right"],
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((at - before[text]).astype(np.int32)), pa.array(_stretches(words, at, at + LEAST).view(np.int64))],
+                ["id", "version", "at", "key"],
             )
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Starts of one text that lie as in one other text, as runs without a gap between their heads."""
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of one text that overlap or touch become one span; of its sources the smallest id is told."""
     for b in batches:
-        lists = b.column("starts")
-        at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        lists = b.column("spans")
+        flat = lists.flatten()
+        at, first_id = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "first_id"))
         row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
         order = np.lexsort((at, row))
-        at, row = at[order], row[order]
+        at, row, first_id = at[order], row[order], first_id[order]
         new = np.ones(len(at), bool)
-        new[1:] = (row[1:] != row[:-1]) | (at[1:] > at[:-1] + HEAD)
+        new[1:] = (row[1:] != row[:-1]) | (at[1:] > at[:-1] + LEAST)
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(at)) - 1
+        last = np.append(first[1:], len(at))[: len(first)] - 1
         rows = pa.array(row[first])
-        told = [b.column(c).take(rows) for c in ("id", "version", "first_id", "first_version", "shift")]
-        yield pa.RecordBatch.from_arrays([*told, pa.array(at[first]), pa.array(at[last])], ["id", "version", "first_id", "first_version", "shift", "from", "to"])
-
-
-def _met(one: pa.Array, two: pa.Array, most: np.ndarray) -> np.ndarray:
-    """How many words agree from the start, most at most."""
-    a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, SIDE, WORD_BYTES) for x in (one, two))
-    differs = np.concatenate([(a != b).any(axis=2), np.ones((len(a), 1), bool)], axis=1)
-    return np.minimum(differs.argmax(axis=1), most)
-
-
-def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if not b.num_rows:
-            continue
-        c = {k: b.column(k) for k in b.schema.names}
-        low, high, shift, n, first_n = (c[k].to_numpy().astype(np.int64) for k in ("from", "to", "shift", "n", "first_n"))
-        left = _met(c["left"], c["first_left"], np.minimum(low, low - shift))
-        right = _met(c["right"], c["first_right"], np.minimum(n - high, first_n - (high - shift)) - HEAD)
-        begin, end = low - left, high + HEAD + right
-        keep = pa.array(end - begin >= LEAST)
-        yield pa.RecordBatch.from_arrays(
-            [x.filter(keep) for x in (c["id"], c["version"], pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), c["first_id"])],
-            ["id", "version", "begin", "end", "first_id"],
-        )
-
-
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of one text that overlap or touch become one; of its sources the smallest id is told."""
-    for b in batches:
-        out = {k: [] for k in ("id", "version", "begin", "end", "first_id")}
-        for i, version, spans in zip(*(b.column(k).to_pylist() for k in ("id", "version", "spans")), strict=True):
-            begin = end = first = None
-            for s in [*sorted((s["begin"], s["end"], s["first_id"]) for s in spans), (1 << 31, 0, 0)]:
-                if begin is not None and s[0] <= end:
-                    end, first = max(end, s[1]), min(first, s[2])
-                    continue
-                if begin is not None:
-                    for k, v in zip(out, (i, version, begin, end, first), strict=True):
-                        out[k].append(v)
-                begin, end, first = s
-        yield pa.RecordBatch.from_arrays([pa.array(out[k], pa.int32() if k in ("begin", "end") else pa.int64()) for k in out], list(out))
+        smallest = np.minimum.reduceat(first_id, first) if len(first) else first_id
+        told = [pa.array(at[first].astype(np.int32)), pa.array((at[last] + LEAST).astype(np.int32)), pa.array(smallest)]
+        yield pa.RecordBatch.from_arrays([b.column("id").take(rows), b.column("version").take(rows), *told], ["id", "version", "begin", "end", "first_id"])
 
 
 def _named(docs: DataFrame, doc_id: str, text: str, *more: Column) -> DataFrame:
@@ -196,7 +133,7 @@ def _named(docs: DataFrame, doc_id: str, text: str, *more: Column) -> DataFrame:
 
 
 def _searched(known: DataFrame, reps: DataFrame) -> DataFrame:
-    """Spans (id, version, begin, end, first_id) of the texts (id, version) in reps, not yet merged."""
+    """Windows (id, version, at, first_id) of the texts (id, version) in reps that a text of smaller id has too."""
     suffixes = known.mapInArrow(_suffixes, "head long, id long, place long")
     version, at = F.shiftright("place", 32), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int")
     heads = suffixes.groupBy("head").agg(F.min(version).alias("a"), F.max(version).alias("b")).filter("a < b").select("head")
@@ -204,44 +141,17 @@ def _searched(known: DataFrame, reps: DataFrame) -> DataFrame:
     heads = written(heads, "heads")
     starts = suffixes.join(heads, "head").groupBy("id", version.alias("version")).agg(F.collect_set(at).alias("starts"))
     placed = known.join(starts.join(reps, ["id", "version"], "left_semi"), ["id", "version"]).select("id", "version", "text", "starts")
-    marks = written(placed.mapInArrow(_framed, "id long, place long, n int, keys array<long>, left binary, right binary"), "frames")
-    spread = marks.select("id", "place", F.explode("keys").alias("key"))
-    first = spread.groupBy("key").agg(F.min(F.struct("id", "place")).alias("first"), F.max("id").alias("last")).filter("first.id < last")
-    met = spread.join(written(first.select("key", "first"), "first-stretches"), "key").filter("id > first.id")
-    lain = met.select(
-        "id", version.alias("version"), F.col("first.id").alias("first_id"), F.shiftright("first.place", 32).alias("first_version"),
-        (at - F.col("first.place").bitwiseAND(0xFFFFFFFF).cast("int")).alias("shift"), at.alias("at"),
-    )
-    lain = lain.groupBy("id", "version", "first_id", "first_version", "shift").agg(F.collect_set("at").alias("starts"))
-    runs = written(lain.mapInArrow(_runs, "id long, version long, first_id long, first_version long, shift int, from long, to long"), "runs")
-
-    def place(v: str, c: str, shift: str = "0") -> Column:
-        return F.expr(f"shiftleft({v}, 32) + `{c}` - {shift}")
-
-    ends = F.array(
-        F.struct(F.col("id").alias("id"), place("version", "from").alias("place")), F.struct(F.col("id").alias("id"), place("version", "to").alias("place")),
-        F.struct(F.col("first_id").alias("id"), place("first_version", "from", "shift").alias("place")),
-        F.struct(F.col("first_id").alias("id"), place("first_version", "to", "shift").alias("place")),
-    )
-    wanted = runs.select(F.explode(ends).alias("e")).select("e.*").distinct()
-    sides = written(marks.select("id", "place", "n", "left", "right").join(wanted, ["id", "place"], "left_semi").dropDuplicates(["id", "place"]), "sides")
-    both = runs
-    for i, v, c, shift, side, name in (
-        ("id", "version", "from", "0", "left", "left"), ("id", "version", "to", "0", "right", "right"),
-        ("first_id", "first_version", "from", "shift", "left", "first_left"), ("first_id", "first_version", "to", "shift", "right", "first_right"),
-    ):
-        size = [F.col("n").alias("n" if i == "id" else "first_n")] if side == "left" else []
-        one = sides.select(F.col("id").alias("_id"), F.col("place").alias("_place"), F.col(side).alias(name), *size)
-        both = both.join(one, (F.col(i) == F.col("_id")) & (place(v, c, shift) == F.col("_place"))).drop("_id", "_place")
-    return both.mapInArrow(_extended, "id long, version long, begin int, end int, first_id long")
+    windows = written(placed.mapInArrow(_windows, "id long, version long, at int, key long"), "windows")
+    first = windows.groupBy("key").agg(F.min("id").alias("first_id"), F.max("id").alias("last")).filter("first_id < last")
+    met = windows.join(written(first.select("key", "first_id"), "first-windows"), "key").filter("id > first_id")
+    return met.select("id", "version", "at", "first_id")
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (id, version, begin, end, first_id): words begin to end of a text stand in a document of smaller id too.
 
-    Passages of LEAST words or more that documents share are found, whole, in all of them but the first; each start is
-    compared with the first text that has the same FRAME words there.  Spans of a text that meet are told as one, first_id
-    is the smallest id of those it was compared with.  version, of the text's hash, tells texts under one id apart; such
+    Passages of LEAST words or more that documents share are found, whole, in all of them but the first.  Spans of a text
+    that meet are told as one, first_id is the smallest id that has LEAST words of it.  version, of the text's hash, tells texts under one id apart; such
     texts count as one document, whose repeats within itself are not told.  A text that equals one of a smaller id is
     told whole.  Rows with a null id, null texts and texts of fewer words take no part.  Repeated rows are told once.
     Words are compared by hash.  Other columns are not read.  Empty in, empty out.
@@ -250,7 +160,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     slim = written(known.select("id", "version", F.xxhash64(F.lit(4), "text").alias("more"), word_count(F.col("text")).cast("int").alias("n")), "texts")
     equal = written(slim.groupBy("version", "more").agg(F.min("id").alias("first_id")), "equal-texts")
     spans = _searched(known, equal.select(F.col("first_id").alias("id"), "version"))
-    gathered = spans.groupBy("id", "version").agg(F.collect_set(F.struct("begin", "end", "first_id")).alias("spans"))
+    gathered = spans.groupBy("id", "version").agg(F.collect_set(F.struct("at", "first_id")).alias("spans"))
     found = gathered.mapInArrow(_merged, "id long, version long, begin int, end int, first_id long")
     copies = slim.join(equal, ["version", "more"]).filter((F.col("id") > F.col("first_id")) & (F.col("n") >= LEAST)).distinct()
     return found.unionByName(copies.select("id", "version", F.lit(0).alias("begin"), F.col("n").alias("end"), "first_id"))

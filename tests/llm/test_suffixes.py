@@ -52,3 +52,15 @@ def test_first_copy_is_named(docs):
     p = sentence(1, 60)
     found = suffixes.repeats(docs([(i, f"{sentence(10 + i, 30)} {p} {sentence(50 + i, 30)}") for i in range(20)])).collect()
     assert sorted((r["id"], r["begin"], r["end"], r["first_id"]) for r in found) == [(i, 30, 90, 0) for i in range(1, 20)]
+
+
+def test_first_text_has_less_than_the_passage(docs):
+    texts = {}
+    for k in range(40):
+        words = sentence(100 + k, 50 + k % 6).split()
+        begin = " ".join(words[: 44 + k % 6])
+        again = f"{begin} {sentence(3000 + k, 9)} {' '.join(words)}" if k % 4 == 3 else begin
+        for i, part in enumerate((again, " ".join(words), " ".join(words))):
+            texts[k * 3 + i] = f"{sentence(1000 + k * 3 + i, 30)} {part} {sentence(2000 + k * 3 + i, 30)}"
+    want = brute(texts)
+    assert len(want) >= 40 and covered(suffixes.repeats(docs(list(texts.items())))) == want
