@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -155,7 +156,8 @@ class Encoder:
     This vocabulary's pre-tokenizer drops white space, never joins what it parts, and parts letters and digits from the
     punctuation after them; its normalizer does not reach over either.  So a text's ids are those of its words in turn, and
     of a word with ASCII punctuation at its end those of both parts.  Each distinct part is encoded once by the library and
-    then known by its 64-bit hash, up to KNOWN parts in a task's process.  Strings of special tokens are ordinary text.
+    then known by its 64-bit hash, up to KNOWN parts in a task's process.  Texts that hold the string of an added token are
+    encoded whole by the library.
     """
 
     KNOWN = 2_000_000
@@ -165,7 +167,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -203,6 +205,18 @@ class Encoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has."""
+        holds = np.zeros(len(texts), bool)
+        for content in self.added:
+            holds |= pc.match_substring(texts, content).fill_null(False).to_numpy(zero_copy_only=False)
+        if not holds.any():
+            return self._by_parts(texts)
+        ids, n = self._by_parts(pc.if_else(pa.array(holds), pa.scalar("", texts.type), texts))
+        lists = np.split(ids, np.cumsum(n)[:-1])
+        for i in np.flatnonzero(holds).tolist():
+            lists[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(lists), np.fromiter(map(len, lists), np.int64, len(lists))
+
+    def _by_parts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, at = text_bytes(texts)
         starts, ends, before = self._parts(data, at)
         if not len(starts):

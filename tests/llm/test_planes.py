@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from plumbline.llm import planes
 from plumbline.llm.store import opened
@@ -32,6 +33,16 @@ def test_parts_give_the_ids_of_whole_texts():
     assert [ids[e - k : e].tolist() for e, k in zip(ends, n, strict=True)] == [direct(t) for t in texts]
 
 
+def test_added_tokens_as_a_fresh_tokenizer_reads_them():
+    fresh = Tokenizer.from_file(planes.default_tokenizer())
+    texts = ["one <|endoftext|> two.", "a<|endoftext|>", None, "", "plain text, x'", "<|startoftext|>b!<|endoftext|>.. c", "<|ENDOFTEXT|> <|endoftext |>"]
+    ids, n = E(pa.array(texts))
+    ends = np.cumsum(n)
+    assert [ids[e - k : e].tolist() for e, k in zip(ends, n, strict=True)] == [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert 49407 in ids and 49406 in ids
+    assert E(pa.array(["<|endoftext|>"]))[0].tolist() == [49407]
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_files(spark, docs, tmp_path, kind):
     rng = random.Random(6)
