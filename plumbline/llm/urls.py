@@ -1,17 +1,20 @@
 """URL filters: lists of rules first, then a tree of path templates for each host.
 
 Segments that look like numbers, dates, hashes and the like become wildcards by their shape.  Then the tree is built
-level by level: below each node, rare segments among many become one wildcard, and the others, in the order of their
+level by level, down to the deepest path: below each node, rare segments among many become one wildcard, unless their
+labels surely differ from those of the others, and the segments left, in the order of their
 share of good labels, are merged with their neighbour unless a test tells the two apart; what follows merged segments is
 counted together.  A path's template is its way through the tree, and it is rejected if the share of good labels among
 the labelled URLs of the template, smoothed by that of its host and of all, is below a limit.
 
 DataFrame functions only.  URLs are first counted by host and shape, the levels work on these counts; a node has at most
-RARE_SHARE + MANY siblings to order, so no window grows with a host.
+RARE_SHARE + MANY siblings to order, and those whose own labels set them apart.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,7 @@ DEPTH = 6
 MANY = 20
 RARE_SHARE = 100
 APART = 6.63  # chi-squared, one degree of freedom, one in a hundred
+SURE = 100.0  # one chance in so many that any of a node's rare children is set apart by accident
 WEIGHT = 10.0
 LEAST_PURITY = 0.5
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -58,8 +62,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def segments(path: Column, depth: int = DEPTH) -> Column:
-    """The path's segments, variable ones as {shape} with their extension; {rest} stands for all below the depth."""
+def segments(path: Column, depth: int | None = DEPTH) -> Column:
+    """The path's segments, variable ones as {shape} with their extension; {rest} stands for all below the depth, if any."""
 
     def shaped(s: Column) -> Column:
         stem, extension = F.regexp_extract(s, r"(?s)^(.*?)(\.[A-Za-z0-9]{1,5})?$", 1), F.lower(F.regexp_extract(s, r"(?s)^(.*?)(\.[A-Za-z0-9]{1,5})?$", 2))
@@ -70,19 +74,31 @@ def segments(path: Column, depth: int = DEPTH) -> Column:
         return F.when(out.isNotNull(), F.concat(out, extension)).otherwise(literal)
 
     found = F.filter(F.split(path, "/"), lambda s: s != "")
+    if depth is None:
+        return F.transform(found, shaped)
     kept = F.transform(F.slice(found, 1, depth), shaped)
     return F.when(F.size(found) > depth, F.concat(kept, F.array(F.lit("{rest}")))).otherwise(kept)
 
 
+def _differs(overall: float) -> Column:
+    """Whether a child's labels are surely not drawn as those of its siblings: a bound of the binomial's tail, right for few labels too."""
+    good, bad = F.col("good").cast("double"), F.col("bad").cast("double")
+    n = good + bad
+    of_rest = (F.col("all_good") - good + WEIGHT * overall) / (F.col("all_good") + F.col("all_bad") - n + WEIGHT)
+    one = F.when(good > 0, good * F.log(good / n / of_rest)).otherwise(0.0)
+    two = F.when(bad > 0, bad * F.log(bad / n / (1 - of_rest))).otherwise(0.0)
+    return one + two > F.log(SURE * F.col("kinds"))
+
+
 def _level(state: DataFrame, d: int, overall: float) -> DataFrame:
-    """The state with the template one segment longer."""
+    """The rows with more than d segments, with the template one segment longer."""
     node = ["host", "template"]
     here = state.filter(F.size("segments") > d).withColumn("segment", F.col("segments")[d])
     children = written(here.groupBy(*node, "segment").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad")), "url-children")
-    totals = children.groupBy(*node).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    totals = children.groupBy(*node).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
     met = children.join(totals, node)
     wild = F.col("segment").startswith("{")
-    rare = ~wild & (F.col("kinds") > MANY) & (F.col("n") * RARE_SHARE < F.col("total"))
+    rare = ~wild & (F.col("kinds") > MANY) & (F.col("n") * RARE_SHARE < F.col("total")) & ~_differs(overall)
     met = met.withColumn("token", F.when(wild, F.col("segment")).when(rare, F.lit("{*}")))
     literal = met.filter("token IS NULL").withColumn("share", (F.col("good") + WEIGHT * overall) / (F.col("good") + F.col("bad") + WEIGHT))
     by_share = Window.partitionBy(*node).orderBy("share", "segment")
@@ -100,16 +116,19 @@ def _level(state: DataFrame, d: int, overall: float) -> DataFrame:
     )
     tokens = met.filter("token IS NOT NULL").select(*node, "segment", "token").unionByName(merged)
     longer = here.join(tokens, [*node, "segment"]).withColumn("template", F.concat("template", F.lit("/"), "token")).select(*state.columns)
-    return written(longer.unionByName(state.filter(F.size("segments") <= d)), "url-level")
+    return written(longer, "url-level")
 
 
-def templates(shapes: DataFrame, depth: int = DEPTH) -> DataFrame:
+def templates(shapes: DataFrame) -> DataFrame:
     """(host, segments, template, labelled, purity) from (host, segments, n, good, bad), distinct in the first two."""
     state = written(shapes.withColumn("template", F.lit("")), "url-level")
     all_good, all_bad, deepest = state.agg(F.sum("good"), F.sum("bad"), F.max(F.size("segments"))).first()
     overall = ((all_good or 0) + 1.0) / ((all_good or 0) + (all_bad or 0) + 2.0)
-    for d in range(min(depth + 1, deepest or 0)):
+    done = []
+    for d in range(deepest or 0):
+        done.append(state.filter(F.size("segments") <= d))
         state = _level(state, d, overall)
+    state = functools.reduce(DataFrame.unionByName, [*done, state])
     hosts = state.groupBy("host").agg(F.sum("good").alias("hg"), F.sum("bad").alias("hb"))
     stats = state.groupBy("host", "template").agg(F.sum("good").alias("tg"), F.sum("bad").alias("tb"))
     of_host = (F.col("hg") + WEIGHT * overall) / (F.col("hg") + F.col("hb") + WEIGHT)
@@ -118,7 +137,7 @@ def templates(shapes: DataFrame, depth: int = DEPTH) -> DataFrame:
     return state.select("host", "template", "segments").join(stats, ["host", "template"]).select("host", "segments", "template", "labelled", "purity")
 
 
-def judge(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES, least: float = LEAST_PURITY, depth: int = DEPTH) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES, least: float = LEAST_PURITY, depth: int | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, labelled, purity) for each row of pages.
 
     labels holds (page_id, good) with good true or false; rows that are null in either have no say, and neither have
@@ -134,7 +153,7 @@ def judge(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", url: st
     votes = votes.groupBy("of").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
     labelled = rows.join(votes, F.col("page_id") == F.col("of"), "left")
     counts = labelled.groupBy("host", "segments").agg(F.count("*").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    known = templates(counts, depth)
+    known = templates(counts)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("purity") < least, F.lit("block")).otherwise(F.lit("allow"))
     return rows.join(known, ["host", "segments"]).select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "template", "labelled", "purity")

@@ -49,6 +49,20 @@ def test_alike_branches_merge_and_rare_ones_become_wildcards(judged):
     assert {found[1000 + i]["template"] for i in range(300)} == {"/{*}/page"}
 
 
+def test_labels_keep_rare_and_deep_branches_apart(judged):
+    def name(i):
+        return "sec-" + chr(97 + i % 26) + chr(97 + i // 26)
+
+    pages = [(i, f"http://h.net/{name(i // 20)}/p") for i in range(6000)] + [(10_000 + i, f"http://h.net/spam/{name(i)}") for i in range(40)]
+    pages += [(20_000 + i, f"http://d.net/a/b/c/d/e/f/{'spam' if i % 2 else 'news'}/g/h/x") for i in range(100)]
+    labels = [(i, True) for i in range(0, 6000, 4)] + [(10_000 + i, False) for i in range(40)] + [(20_000 + i, i % 2 == 0) for i in range(100)]
+    found = {r["page_id"]: r for r in judged(pages, labels).collect()}
+    assert {found[i]["template"] for i in range(6000)} == {"/{*}/p"} and {found[i]["verdict"] for i in range(6000)} == {"allow"}
+    assert {found[10_000 + i]["verdict"] for i in range(40)} == {"block"}
+    assert {found[20_000 + i]["template"] for i in range(100)} == {f"/a/b/c/d/e/f/{k}/g/h/x" for k in ("news", "spam")}
+    assert all(found[20_000 + i]["verdict"] == ("block" if i % 2 else "allow") for i in range(100))
+
+
 @pytest.mark.parametrize(
     ("path", "want"),
     [
