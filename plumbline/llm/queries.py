@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import archives, chunks, mixing, nearcopies, pieces, planes, quality, suffixes, urls, vantage
+from plumbline.llm import archives, chunks, contexts, mixing, nearcopies, pieces, planes, quality, suffixes, urls, vantage
 
 QUERIES = {
     "op1_chunk_copies": chunks.query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_source_mix": mixing.query,
     "op9_sampled_pieces": pieces.query,
     "op10_url_templates": urls.query,
+    "op13_context_trees": contexts.query,
 }
 ORACLE = {"op3_quality_votes": quality.ORACLE_SQL, "op5_vantage_trees": vantage.ORACLE_SQL, "op7_arc_to_warc": archives.ORACLE_SQL, "op8_source_mix": mixing.ORACLE_SQL}
