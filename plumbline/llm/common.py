@@ -21,7 +21,7 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 _scopes: list[list[str]] = []
 
 
-def written(df: DataFrame, label: str, outlives: bool = False) -> DataFrame:
+def written(df: DataFrame, label: str, outlives: bool = False, codec: str = "snappy") -> DataFrame:
     """Compute once, keep as Parquet in the shared folder, go on from there: lost executors cost nothing before it.
 
     Inside scratch() the table goes when the block ends, unless it outlives that.
@@ -29,7 +29,7 @@ def written(df: DataFrame, label: str, outlives: bool = False) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     if _scopes[outlives:]:
         _scopes[-1 - outlives].append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -9,7 +9,8 @@ scored.  Counts are all that is needed, so the tree is built by groupings instea
 Texts are packed into blocks of bounded bytes.  A block gives its distinct windows of ORDER + 1 bytes with their counts;
 these are summed over all blocks.  Contexts that share their SPLIT nearest bytes are worked out together, one group in
 memory at a time (at most 256 ** (ORDER + 1 - SPLIT) windows, whatever the corpus); the few levels above are plain
-aggregates.  Each window's log probability goes back to the blocks that have it, where the texts are summed up.
+aggregates.  Each window's log probability goes back to the blocks that have it, where the texts are summed up.  The words of
+the base are counted and sent back in the same way, as hashes of 63 bits.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +28,10 @@ from plumbline.llm.wordhash import span_hashes, text_bytes, word_spans
 ORDER = 5
 SPLIT = 3
 END = 0xFF  # no byte of UTF-8: it ends a text, and stands before its first byte
-BLOCK = 16 << 20
+BLOCK = 32 << 20
 CHUNK = 1 << 20
+ROWS = 1 << 16
+END_KEY = -(1 << 63)  # the token that ends a text
 FOLDS, HELD_OUT = 7, 2
 
 
@@ -126,10 +128,12 @@ class Block:
                 key = key << 8 | self.buffer[place - j]
             yield key << 8 | self.buffer[place], text
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends and hashes of all words, and the text each is in."""
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of all tokens, words first, and the text each is in; keys of tokens are below 0, windows are not."""
+        texts = len(self.at) - 1
         starts, ends, before = word_spans(self.data, self.at)
-        return starts, ends, span_hashes(self.data, starts, ends), np.repeat(np.arange(len(self.at) - 1), np.diff(before))
+        hashes = span_hashes(self.data, starts, ends).view(np.int64) | np.int64(-(1 << 63))
+        return np.append(hashes, np.full(texts, END_KEY)), np.append(np.repeat(np.arange(texts), np.diff(before)), np.arange(texts))
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,10 +172,7 @@ def _summed(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, window, word, n): a block's distinct windows and words, with how often its training texts have them.
-
-    The word of a window is null; the end of a text is a word of its own, the empty one.
-    """
+    """(block, key, n): a block's distinct windows and words, with how often its training texts have them."""
     for batch in batches:
         for r in range(batch.num_rows):
             block = _unpacked(batch.column(3)[r], batch.column(4)[r])
@@ -180,30 +181,24 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for found, text in block.windows():
                 marked, n = np.unique(found << 1 | held[text], return_counts=True)
                 keys, counts = _summed(np.concatenate([keys, marked >> 1]), np.concatenate([counts, np.where(marked & 1, 0, n)]))
-            starts, ends, hashes, text = block.words()
-            kinds, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
-            n = np.bincount(kind, ~held[text], len(kinds)).astype(np.int64)
-            spelled = [block.data[starts[i] : ends[i]].tobytes() for i in first]
-            words = pa.array([*spelled, b""], pa.binary())
-            n = np.append(n, (~held).sum())
-            own = batch.column(0)[r].as_py()
-            for a in range(0, len(keys), 1 << 16):
-                b = min(len(keys), a + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(own, pa.int64()), b - a), pa.array(keys[a:b]), pa.nulls(b - a, pa.binary()), pa.array(counts[a:b])], ["block", "window", "word", "n"])
-            for a in range(0, len(words), 1 << 14):
-                part = words[a : a + (1 << 14)]
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(own, pa.int64()), len(part)), pa.nulls(len(part), pa.int64()), part, pa.array(n[a : a + len(part)])], ["block", "window", "word", "n"])
+            words, text = block.words()
+            words, n = _summed(words, (~held[text]).astype(np.int64))
+            keys, counts = np.concatenate([words, keys]), np.concatenate([n, counts])
+            own = pa.scalar(batch.column(0)[r].as_py(), pa.int64())
+            for a in range(0, len(keys), ROWS):
+                part = pa.array(keys[a : a + ROWS])
+                yield pa.RecordBatch.from_arrays([pa.repeat(own, len(part)), part, pa.array(counts[a : a + ROWS])], ["block", "key", "n"])
 
 
 def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (window, n) to a row (window, bits) for each, and rows (node, zeros, ones, below) that are summed over the children of a node."""
+    """Sorted windows (key, n) to a row (key, bits) for each, and rows (node, zeros, ones, below) that are summed over the children of a node."""
     kind = pa.list_(pa.float64())
 
     def group(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         mixed, (node, zeros, ones, weighted) = subtrees(keys, n)
         none = pa.nulls(len(keys), pa.int64())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * len(keys) + 1, 8), pa.int32()), pa.array(mixed.ravel()))
-        names = ["window", "bits", "node", "zeros", "ones", "below"]
+        names = ["key", "bits", "node", "zeros", "ones", "below"]
         yield pa.RecordBatch.from_arrays([pa.array(keys), lists, none, none, none, pa.nulls(len(keys), pa.float64())], names)
         above = (node >> 16) << 8 | node & 255
         order = np.argsort(above, kind="stable")
@@ -276,48 +271,55 @@ def _upper(deep: DataFrame) -> DataFrame:
 
 
 def _window_scores(deep: DataFrame) -> DataFrame:
-    """(window, value): the log10 probability of the last byte of each window after the bytes before it."""
-    near = F.shiftright("window", 8 * (ORDER + 2 - SPLIT))
-    met = deep.filter("window IS NOT NULL").select("window", "bits", near.alias("near")).join(_upper(deep), "near")
+    """(key, value): the log10 probability of the last byte of each window after the bytes before it."""
+    near = F.shiftright("key", 8 * (ORDER + 2 - SPLIT))
+    met = deep.filter("key IS NOT NULL").select("key", "bits", near.alias("near")).join(_upper(deep), "near")
     total = F.lit(0.0)
     for i in range(8):
-        known = F.lit(1 << i).bitwiseOR(F.shiftright(F.col("window").bitwiseAND(F.lit(255)), 8 - i)).cast("int")
-        bit = F.shiftright("window", 7 - i).bitwiseAND(F.lit(1)) == 1
+        known = F.lit(1 << i).bitwiseOR(F.shiftright(F.col("key").bitwiseAND(F.lit(255)), 8 - i)).cast("int")
+        bit = F.shiftright("key", 7 - i).bitwiseAND(F.lit(1)) == 1
         to = F.element_at("upper", known)
         total = total + F.log10(F.when(bit, to["add1"]).otherwise(to["add0"]) + to["times"] * F.get("bits", F.lit(i)))
-    return met.select("window", total.alias("value"))
+    return met.select("key", total.alias("value"))
+
+
+def _returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, key, value) as rows (block, packed) with all that a batch has for the block."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block, key, value = (batch.column(c).to_numpy() for c in range(3))
+        order = np.lexsort((key, block))
+        block, key, value = block[order], key[order], value[order]
+        edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+        packed = [codec.compress(np.diff(key[a:b], prepend=0).tobytes() + value[a:b].tobytes(), asbytes=True) for a, b in zip(edges, edges[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array(block[edges[:-1]]), pa.array(np.diff(edges), pa.int32()), pa.array(packed, pa.binary())], ["block", "n", "packed"])
 
 
 def _scored(train: int, kinds: int):
     def run(blocks: pa.Table, values: pa.Table) -> pa.Table:
-        block = _unpacked(blocks["ends"][0], blocks["texts"][0])
-        n = len(block.at) - 1
-        for_window = pc.is_null(values["word"])
-        scores = values.filter(for_window).select(["window", "value"])
-        keys, value = scores["window"].to_numpy(), scores["value"].to_numpy()
+        block, codec = _unpacked(blocks["ends"][0], blocks["texts"][0]), pa.Codec("zstd")
+        keys, told = [], []
+        for n, packed in zip(values["n"].to_pylist(), values["packed"], strict=True):
+            raw = codec.decompress(packed.as_py(), 16 * n)
+            keys.append(np.cumsum(np.frombuffer(raw, np.int64, n)))
+            told.append(np.frombuffer(raw, np.float64, n, 8 * n))
+        keys, told = np.concatenate(keys), np.concatenate(told)
         order = np.argsort(keys)
-        keys, value = keys[order], value[order]
-        score = np.zeros(n)
+        keys, told = keys[order], told[order]
+        texts = len(block.at) - 1
+        score = np.zeros(texts)
         for found, text in block.windows():
-            score += np.bincount(text, value[np.searchsorted(keys, found)], n)
-        told = values.filter(pc.invert(for_window)).select(["word", "value"])
-        words = told["word"].combine_chunks()
-        data, at = text_bytes(words)
-        known = span_hashes(data, at[:-1], at[1:])
-        count = told["value"].to_numpy()
-        end = np.diff(at) == 0
-        known, counts, end = known[~end], count[~end], count[end][0]
-        order = np.argsort(known)
-        known, counts = known[order], counts[order]
-        _, _, hashes, text = block.words()
-        met = np.append(counts[np.searchsorted(known, hashes)] if len(hashes) else np.zeros(0), np.full(n, end))
-        text = np.append(text, np.arange(n))
-        base = np.bincount(text, np.log10((met + 1) / (train + kinds + 1)), n)
+            score += np.bincount(text, told[np.searchsorted(keys, found)], texts)
+        found, text = block.words()
+        met = told[np.searchsorted(keys, found)]
+        base = np.bincount(text, np.log10((met + 1) / (train + kinds + 1)), texts)
         size = np.diff(block.at)
         return pa.table({
             "doc_id": pa.array(blocks["ids"][0].as_py(), pa.int64()), "held_out": pa.array(blocks["held"][0].as_py(), pa.bool_()),
-            "n_tokens": pa.array(np.bincount(text, minlength=n)), "n_known": pa.array(np.bincount(text, met > 0, n).astype(np.int64)),
-            "train_tokens": pa.array(np.full(n, train, np.int64)), "base_score": pa.array(base), "score": pa.array(score),
+            "n_tokens": pa.array(np.bincount(text, minlength=texts)), "n_known": pa.array(np.bincount(text, met > 0, texts).astype(np.int64)),
+            "train_tokens": pa.array(np.full(texts, train, np.int64)), "base_score": pa.array(base), "score": pa.array(score),
             "n_bytes": pa.array(size), "bits_per_byte": pa.array(-score * np.log2(10) / (size + 1)),
         })
 
@@ -341,19 +343,17 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     packed = rows.mapInArrow(_packed, "ids array<long>, held array<boolean>, ends array<long>, texts binary")
     blocks = written(packed.select(F.monotonically_increasing_id().alias("block"), "*"), "text-blocks")
-    counts = written(blocks.mapInArrow(_counted, "block long, window long, word binary, n long"), "block-counts")
+    counts = written(blocks.mapInArrow(_counted, "block long, key long, n long"), "block-counts", codec="zstd")
 
-    of_words = counts.filter("word IS NOT NULL")
-    words = written(of_words.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    sums = written(counts.groupBy("key").agg(F.sum("n").alias("n")), "key-sums", codec="zstd")
+    words, windows = sums.filter("key < 0"), sums.filter("key >= 0")
     train, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    of_windows = counts.filter("window IS NOT NULL")
-    summed = of_windows.groupBy("window").agg(F.sum("n").alias("n"))
-    near = summed.repartition(F.shiftright("window", 8 * (ORDER + 1 - SPLIT)))
-    deep = near.sortWithinPartitions("window").mapInArrow(_mixed, "window long, bits array<double>, node long, zeros long, ones long, below double")
-    values = written(_window_scores(written(deep, "deep-levels")), "window-scores")
-
-    back = of_windows.join(values, "window").select("block", "window", F.lit(None).cast("binary").alias("word"), "value")
-    back = back.unionByName(of_words.select("block", "word").join(words, "word").select("block", F.lit(None).cast("long").alias("window"), "word", F.col("n").cast("double").alias("value")))
+    near = windows.repartition(F.shiftright("key", 8 * (ORDER + 1 - SPLIT)))
+    deep = near.sortWithinPartitions("key").mapInArrow(_mixed, "key long, bits array<double>, node long, zeros long, ones long, below double")
+    values = _window_scores(written(deep, "deep-levels")).unionByName(words.select("key", F.col("n").cast("double").alias("value")))
+
+    back = counts.select("block", "key").join(written(values, "values"), "key").select("block", "key", "value")
+    back = back.mapInArrow(_returned, "block long, n int, packed binary")
     return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_scored(train, kinds), RESULT)
 
 

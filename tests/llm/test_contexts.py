@@ -112,9 +112,9 @@ def test_groups_cut_anywhere(monkeypatch):
     keys = np.unique(rng.integers(97, 100, (4000, 6)) @ (1 << 8 * np.arange(6)[::-1]))
     n = rng.integers(0, 5, len(keys))
     whole, _ = contexts.subtrees(keys, n)
-    cut = [pa.RecordBatch.from_arrays([pa.array(keys[a : a + 7]), pa.array(n[a : a + 7])], ["window", "n"]) for a in range(0, len(keys), 7)]
-    found = [r for b in contexts._mixed(iter(cut)) for r in b.to_pylist() if r["window"] is not None]
-    assert [r["window"] for r in found] == keys.tolist() and np.allclose([r["bits"] for r in found], whole)
+    cut = [pa.RecordBatch.from_arrays([pa.array(keys[a : a + 7]), pa.array(n[a : a + 7])], ["key", "n"]) for a in range(0, len(keys), 7)]
+    found = [r for b in contexts._mixed(iter(cut)) for r in b.to_pylist() if r["key"] is not None]
+    assert [r["key"] for r in found] == keys.tolist() and np.allclose([r["bits"] for r in found], whole)
 
 
 def test_log_gamma():
