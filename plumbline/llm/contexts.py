@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import written
-from plumbline.llm.wordhash import span_hashes, text_bytes, word_spans
+from plumbline.llm.wordhash import IS_SPACE, span_hashes, text_bytes, word_spans
 
 ORDER = 5
 SPLIT = 3
@@ -31,6 +31,7 @@ END = 0xFF  # no byte of UTF-8: it ends a text, and stands before its first byte
 BLOCK = 32 << 20
 CHUNK = 1 << 20
 ROWS = 1 << 16
+LOOK = 4096
 END_KEY = -(1 << 63)  # the token that ends a text
 FOLDS, HELD_OUT = 7, 2
 
@@ -57,7 +58,7 @@ def subtrees(keys: np.ndarray, counts: np.ndarray, order: int = ORDER, split: in
     Gives for each window the mixed probabilities of its eight bits as they are, and (node, zeros, ones, log of the weighted
     probability) of the nodes at the level split; a node is its context, then a 1, then the bits known: below 256.
     """
-    levels = {}  # level and bit: nodes, log estimate, chance of a one, weight
+    levels = {}  # by level and bit: nodes, weights, counts of both bits and of ones
     below: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     at, byte, n = keys >> 8, keys & 255, counts
     top = []
@@ -128,12 +129,29 @@ class Block:
                 key = key << 8 | self.buffer[place - j]
             yield key << 8 | self.buffer[place], text
 
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of all tokens, words first, and the text each is in; keys of tokens are below 0, windows are not."""
-        texts = len(self.at) - 1
-        starts, ends, before = word_spans(self.data, self.at)
-        hashes = span_hashes(self.data, starts, ends).view(np.int64) | np.int64(-(1 << 63))
-        return np.append(hashes, np.full(texts, END_KEY)), np.append(np.repeat(np.arange(texts), np.diff(before)), np.arange(texts))
+    def _no_word_cut(self, b: int) -> int:
+        """The first place from b on that is a space or the begin or end of a text."""
+        while True:
+            ahead = np.flatnonzero(IS_SPACE[self.data[b : b + LOOK]])
+            stop = min(int(self.at[np.searchsorted(self.at, b)]), b + (int(ahead[0]) if len(ahead) else LOOK))
+            if len(ahead) or stop < b + LOOK:
+                return stop
+            b = stop
+
+    def words(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Keys of the tokens and the text each is in, a part at a time; keys of tokens are below 0, windows are not."""
+        a = 0
+        while a < len(self.data):
+            b = self._no_word_cut(min(len(self.data), a + CHUNK))
+            first, last = int(np.searchsorted(self.at, a, "right")) - 1, int(np.searchsorted(self.at, b))
+            inside = np.clip(self.at[first : last + 1], a, b) - a
+            part = self.data[a:b]
+            starts, ends, before = word_spans(part, inside)
+            hashes = span_hashes(part, starts, ends).view(np.int64) | np.int64(-(1 << 63))
+            yield hashes, np.repeat(np.arange(first, first + len(inside) - 1), np.diff(before))
+            a = b
+        texts = np.arange(len(self.at) - 1)
+        yield np.full(len(texts), END_KEY), texts
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,13 +195,15 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in range(batch.num_rows):
             block = _unpacked(batch.column(3)[r], batch.column(4)[r])
             held = np.array(batch.column(2)[r].as_py(), bool)
-            keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            words = told = keys = counts = np.zeros(0, np.int64)
             for found, text in block.windows():
                 marked, n = np.unique(found << 1 | held[text], return_counts=True)
                 keys, counts = _summed(np.concatenate([keys, marked >> 1]), np.concatenate([counts, np.where(marked & 1, 0, n)]))
-            words, text = block.words()
-            words, n = _summed(words, (~held[text]).astype(np.int64))
-            keys, counts = np.concatenate([words, keys]), np.concatenate([n, counts])
+            for found, text in block.words():
+                kinds, at = np.unique(found, return_inverse=True)
+                n = np.bincount(at, ~held[text], len(kinds)).astype(np.int64)
+                words, told = _summed(np.concatenate([words, kinds]), np.concatenate([told, n]))
+            keys, counts = np.concatenate([words, keys]), np.concatenate([told, counts])
             own = pa.scalar(batch.column(0)[r].as_py(), pa.int64())
             for a in range(0, len(keys), ROWS):
                 part = pa.array(keys[a : a + ROWS])
@@ -312,13 +332,16 @@ def _scored(train: int, kinds: int):
         score = np.zeros(texts)
         for found, text in block.windows():
             score += np.bincount(text, told[np.searchsorted(keys, found)], texts)
-        found, text = block.words()
-        met = told[np.searchsorted(keys, found)]
-        base = np.bincount(text, np.log10((met + 1) / (train + kinds + 1)), texts)
+        base, tokens, known = np.zeros(texts), np.zeros(texts, np.int64), np.zeros(texts, np.int64)
+        for found, text in block.words():
+            met = told[np.searchsorted(keys, found)]
+            base += np.bincount(text, np.log10((met + 1) / (train + kinds + 1)), texts)
+            tokens += np.bincount(text, minlength=texts)
+            known += np.bincount(text, met > 0, texts).astype(np.int64)
         size = np.diff(block.at)
         return pa.table({
             "doc_id": pa.array(blocks["ids"][0].as_py(), pa.int64()), "held_out": pa.array(blocks["held"][0].as_py(), pa.bool_()),
-            "n_tokens": pa.array(np.bincount(text, minlength=texts)), "n_known": pa.array(np.bincount(text, met > 0, texts).astype(np.int64)),
+            "n_tokens": pa.array(tokens), "n_known": pa.array(known),
             "train_tokens": pa.array(np.full(texts, train, np.int64)), "base_score": pa.array(base), "score": pa.array(score),
             "n_bytes": pa.array(size), "bits_per_byte": pa.array(-score * np.log2(10) / (size + 1)),
         })

@@ -7,9 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+BLOCK_BYTES = 1 << 20
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 1 << 64)
@@ -56,11 +56,11 @@ def blocks(texts: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int]
         first = last
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte ranges of all words, and the number of words before each text."""
+def word_spans(data: np.ndarray, at: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte ranges of all words, and the number of words before each text; between tells which bytes part words."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    space = _IS_SPACE[data]
+    space = between[data]
     begins = ~space
     begins[1:] &= space[:-1]
     ends = ~space
