@@ -29,11 +29,13 @@ ORDER = 5
 SPLIT = 3
 END = 0xFF  # no byte of UTF-8: it ends a text, and stands before its first byte
 BLOCK = 32 << 20
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 ROWS = 1 << 16
 LOOK = 4096
 END_KEY = -(1 << 63)  # the token that ends a text
 FOLDS, HELD_OUT = 7, 2
+BETWEEN = IS_SPACE.copy()
+BETWEEN[END] = True
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -106,21 +108,15 @@ def _lowered(data: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Texts end to end, with the end byte ORDER times before each text and once behind it."""
+    """Texts end to end, with the end byte ORDER times before each text and once behind it; begins are the places of the first of these."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray):
-        self.data, self.at = data, at
-        n = np.diff(at) + ORDER + 1
-        self.begins = np.concatenate([[0], np.cumsum(n)])
-        self.buffer = np.full(self.begins[-1], END, np.uint8)
-        for d, begin in enumerate(self.begins[:-1]):
-            self.buffer[begin + ORDER : begin + ORDER + at[d + 1] - at[d]] = data[at[d] : at[d + 1]]
+    def __init__(self, buffer: np.ndarray, begins: np.ndarray):
+        self.buffer, self.begins, self.texts = buffer, begins, len(begins) - 1
 
     def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The window that ends at every byte and at every end of a text, and the text it is in; a part at a time."""
         for a in range(0, len(self.buffer), CHUNK):
-            b = min(len(self.buffer), a + CHUNK)
-            place = np.arange(a, b)
+            place = np.arange(a, min(len(self.buffer), a + CHUNK))
             text = np.searchsorted(self.begins, place, "right") - 1
             real = place - self.begins[text] >= ORDER
             place, text = place[real], text[real]
@@ -129,57 +125,46 @@ class Block:
                 key = key << 8 | self.buffer[place - j]
             yield key << 8 | self.buffer[place], text
 
-    def _no_word_cut(self, b: int) -> int:
-        """The first place from b on that is a space or the begin or end of a text."""
-        while True:
-            ahead = np.flatnonzero(IS_SPACE[self.data[b : b + LOOK]])
-            stop = min(int(self.at[np.searchsorted(self.at, b)]), b + (int(ahead[0]) if len(ahead) else LOOK))
-            if len(ahead) or stop < b + LOOK:
-                return stop
-            b = stop
-
     def words(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Keys of the tokens and the text each is in, a part at a time; keys of tokens are below 0, windows are not."""
         a = 0
-        while a < len(self.data):
-            b = self._no_word_cut(min(len(self.data), a + CHUNK))
-            first, last = int(np.searchsorted(self.at, a, "right")) - 1, int(np.searchsorted(self.at, b))
-            inside = np.clip(self.at[first : last + 1], a, b) - a
-            part = self.data[a:b]
-            starts, ends, before = word_spans(part, inside)
-            hashes = span_hashes(part, starts, ends).view(np.int64) | np.int64(-(1 << 63))
-            yield hashes, np.repeat(np.arange(first, first + len(inside) - 1), np.diff(before))
+        while a < len(self.buffer):
+            b = min(len(self.buffer), a + CHUNK)
+            while not BETWEEN[self.buffer[b - 1]]:  # no word is cut: a text's end is behind each
+                ahead = np.flatnonzero(BETWEEN[self.buffer[b : b + LOOK]])
+                b += int(ahead[0]) + 1 if len(ahead) else LOOK
+            starts, ends, _ = word_spans(self.buffer[a:b], np.array([0, b - a]), BETWEEN)
+            hashes = span_hashes(self.buffer[a:b], starts, ends).view(np.int64) | np.int64(-(1 << 63))
+            yield hashes, np.searchsorted(self.begins, starts + a, "right") - 1
             a = b
-        texts = np.arange(len(self.at) - 1)
-        yield np.full(len(texts), END_KEY), texts
+        yield np.full(self.texts, END_KEY), np.arange(self.texts)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, held_out, text) as blocks: ids, held_out and ends of the texts as lists, the lowered texts compressed."""
-    codec = pa.Codec("zstd")
-    ids, held, ends, parts, size = [], [], [], [], 0
+    """Rows (id, held_out, text) as blocks: ids, held_out and places of the texts as lists, the lowered texts compressed."""
+    codec, before, behind = pa.Codec("zstd"), np.full(ORDER, END, np.uint8), np.full(1, END, np.uint8)
+    ids, held, begins, parts = [], [], [0], []
 
     def block() -> pa.RecordBatch:
-        raw = np.concatenate([np.zeros(0, np.uint8), *parts])
-        lists = [pa.array([x], pa.list_(kind)) for x, kind in ((ids, pa.int64()), (held, pa.bool_()), (ends, pa.int64()))]
-        return pa.RecordBatch.from_arrays([*lists, pa.array([codec.compress(raw, asbytes=True)], pa.binary())], ["ids", "held", "ends", "texts"])
+        lists = [pa.array([x], pa.list_(kind)) for x, kind in ((ids, pa.int64()), (held, pa.bool_()), (begins, pa.int64()))]
+        return pa.RecordBatch.from_arrays([*lists, pa.array([codec.compress(np.concatenate(parts), asbytes=True)], pa.binary())], ["ids", "held", "begins", "texts"])
 
     for batch in batches:
         data, at = text_bytes(batch.column(2))
         for d, (i, h) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-            if ids and size + at[d + 1] - at[d] > BLOCK:
+            size = int(at[d + 1] - at[d]) + ORDER + 1
+            if ids and begins[-1] + size > BLOCK:
                 yield block()
-                ids, held, ends, parts, size = [], [], [], [], 0
-            size += int(at[d + 1] - at[d])
-            ids.append(i), held.append(h), ends.append(size), parts.append(_lowered(data[at[d] : at[d + 1]]))
+                ids, held, begins, parts = [], [], [0], []
+            ids.append(i), held.append(h), begins.append(begins[-1] + size)
+            parts += [before, _lowered(data[at[d] : at[d + 1]]), behind]
     if ids:
         yield block()
 
 
-def _unpacked(ends: pa.Scalar, texts: pa.Scalar) -> Block:
-    at = np.array([0, *ends.as_py()], np.int64)
-    raw = pa.Codec("zstd").decompress(texts.as_py(), int(at[-1]))
-    return Block(np.frombuffer(raw, np.uint8), at)
+def _unpacked(begins: pa.Scalar, texts: pa.Scalar) -> Block:
+    at = np.array(begins.as_py(), np.int64)
+    return Block(np.frombuffer(pa.Codec("zstd").decompress(texts.as_buffer(), int(at[-1])), np.uint8), at)
 
 
 def _summed(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,9 +181,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = _unpacked(batch.column(3)[r], batch.column(4)[r])
             held = np.array(batch.column(2)[r].as_py(), bool)
             words = told = keys = counts = np.zeros(0, np.int64)
+            pending: list[tuple[np.ndarray, np.ndarray]] = []
             for found, text in block.windows():
                 marked, n = np.unique(found << 1 | held[text], return_counts=True)
-                keys, counts = _summed(np.concatenate([keys, marked >> 1]), np.concatenate([counts, np.where(marked & 1, 0, n)]))
+                pending.append((marked >> 1, np.where(marked & 1, 0, n)))
+                if sum(len(x) for x, _ in pending) > max(CHUNK, len(keys)):
+                    (keys, counts), pending = _summed(*map(np.concatenate, zip((keys, counts), *pending, strict=True))), []
+            keys, counts = _summed(*map(np.concatenate, zip((keys, counts), *pending, strict=True)))
             for found, text in block.words():
                 kinds, at = np.unique(found, return_inverse=True)
                 n = np.bincount(at, ~held[text], len(kinds)).astype(np.int64)
@@ -319,7 +308,7 @@ def _returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _scored(train: int, kinds: int):
     def run(blocks: pa.Table, values: pa.Table) -> pa.Table:
-        block, codec = _unpacked(blocks["ends"][0], blocks["texts"][0]), pa.Codec("zstd")
+        block, codec = _unpacked(blocks["begins"][0], blocks["texts"][0]), pa.Codec("zstd")
         keys, told = [], []
         for n, packed in zip(values["n"].to_pylist(), values["packed"], strict=True):
             raw = codec.decompress(packed.as_py(), 16 * n)
@@ -328,7 +317,7 @@ def _scored(train: int, kinds: int):
         keys, told = np.concatenate(keys), np.concatenate(told)
         order = np.argsort(keys)
         keys, told = keys[order], told[order]
-        texts = len(block.at) - 1
+        texts = block.texts
         score = np.zeros(texts)
         for found, text in block.windows():
             score += np.bincount(text, told[np.searchsorted(keys, found)], texts)
@@ -338,7 +327,7 @@ def _scored(train: int, kinds: int):
             base += np.bincount(text, np.log10((met + 1) / (train + kinds + 1)), texts)
             tokens += np.bincount(text, minlength=texts)
             known += np.bincount(text, met > 0, texts).astype(np.int64)
-        size = np.diff(block.at)
+        size = np.diff(block.begins) - ORDER - 1
         return pa.table({
             "doc_id": pa.array(blocks["ids"][0].as_py(), pa.int64()), "held_out": pa.array(blocks["held"][0].as_py(), pa.bool_()),
             "n_tokens": pa.array(tokens), "n_known": pa.array(known),
@@ -364,7 +353,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out
     if held_out is None:
         held_out = F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == HELD_OUT
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    packed = rows.mapInArrow(_packed, "ids array<long>, held array<boolean>, ends array<long>, texts binary")
+    packed = rows.mapInArrow(_packed, "ids array<long>, held array<boolean>, begins array<long>, texts binary")
     blocks = written(packed.select(F.monotonically_increasing_id().alias("block"), "*"), "text-blocks")
     counts = written(blocks.mapInArrow(_counted, "block long, key long, n long"), "block-counts", codec="zstd")
 
