@@ -306,6 +306,26 @@ def _returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(block[edges[:-1]]), pa.array(np.diff(edges), pa.int32()), pa.array(packed, pa.binary())], ["block", "n", "packed"])
 
 
+class Values:
+    """The values of keys, all of which are known: most are found where their hash points to, the others in the sorted keys."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.shift = np.uint64(62 - len(keys).bit_length())
+        self.place = np.zeros(1 << 64 - int(self.shift), np.int32)
+        self.place[self._hash(self.keys)] = np.arange(len(keys))
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        return keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift
+
+    def __call__(self, found: np.ndarray) -> np.ndarray:
+        at = self.place[self._hash(found)]
+        missed = np.flatnonzero(self.keys[at] != found)
+        at[missed] = np.searchsorted(self.keys, found[missed])
+        return self.values[at]
+
+
 def _scored(train: int, kinds: int):
     def run(blocks: pa.Table, values: pa.Table) -> pa.Table:
         block, codec = _unpacked(blocks["begins"][0], blocks["texts"][0]), pa.Codec("zstd")
@@ -314,16 +334,14 @@ def _scored(train: int, kinds: int):
             raw = codec.decompress(packed.as_py(), 16 * n)
             keys.append(np.cumsum(np.frombuffer(raw, np.int64, n)))
             told.append(np.frombuffer(raw, np.float64, n, 8 * n))
-        keys, told = np.concatenate(keys), np.concatenate(told)
-        order = np.argsort(keys)
-        keys, told = keys[order], told[order]
+        value = Values(np.concatenate(keys), np.concatenate(told))
         texts = block.texts
         score = np.zeros(texts)
         for found, text in block.windows():
-            score += np.bincount(text, told[np.searchsorted(keys, found)], texts)
+            score += np.bincount(text, value(found), texts)
         base, tokens, known = np.zeros(texts), np.zeros(texts, np.int64), np.zeros(texts, np.int64)
         for found, text in block.words():
-            met = told[np.searchsorted(keys, found)]
+            met = value(found)
             base += np.bincount(text, np.log10((met + 1) / (train + kinds + 1)), texts)
             tokens += np.bincount(text, minlength=texts)
             known += np.bincount(text, met > 0, texts).astype(np.int64)
