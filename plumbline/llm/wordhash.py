@@ -73,6 +73,23 @@ def word_spans(data: np.ndarray, at: np.ndarray, between: np.ndarray = IS_SPACE)
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, at)
 
 
+def parts(data: np.ndarray, at: np.ndarray, between: np.ndarray = IS_SPACE, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """Byte ranges (a, b) of about size that cut no word, the first text in each, and the starts of its texts counted from a."""
+    a = 0
+    while a < len(data):
+        b = min(len(data), a + size)
+        while True:
+            ahead = np.flatnonzero(between[data[b : b + 4096]])
+            stop = min(int(at[np.searchsorted(at, b)]), b + (int(ahead[0]) if len(ahead) else 4096))
+            if len(ahead) or stop < b + 4096:
+                break
+            b = stop
+        b = stop
+        first, last = int(np.searchsorted(at, a, "right")) - 1, int(np.searchsorted(at, b))
+        yield a, b, first, np.clip(at[first : last + 1], a, b) - a
+        a = b
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of every byte range; ranges ascend and don't overlap."""
     out = np.empty(len(starts), np.uint64)
