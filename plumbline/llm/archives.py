@@ -214,8 +214,11 @@ def warc_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _order(head: bytes, name: str) -> int | None:
+    """A header's number; none where it is no number of 64 bits."""
     value = http_header(head, name)
-    return int(value) if value and re.fullmatch(r"-?[0-9]{1,18}", value) else None
+    if not value or not re.fullmatch(r"[+-]?0*[0-9]{1,19}", value):
+        return None
+    return int(value) if -(1 << 63) <= int(value) < 1 << 63 else None
 
 
 def _payloads(order_header: str):
@@ -306,7 +309,14 @@ def to_warc(files: DataFrame, folder: str, order_header: str = ORDER_HEADER, lea
     return written(out, "warc-files"), found.filter("error IS NOT NULL").select("name", "number", "error")
 
 
-def _read_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read_warc(payloads: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _warc_rows(batches, payloads)
+
+    return run
+
+
+def _warc_rows(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.RecordBatch]:
     kind = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("date", pa.string()), ("refers_to_id", pa.string()), ("rank", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
     for b in batches:
         for path in b.column("file").to_pylist():
@@ -320,35 +330,36 @@ def _read_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if record["record_type"] == "revisit":
                         record |= {"payload": None, "payload_bytes": int(head["x-payload-length"]), "payload_digest": head["warc-payload-digest"].removeprefix("sha1:")}
                     else:
-                        record |= {"payload": parts[1], "payload_bytes": len(parts[1]), "payload_digest": sha1(parts[1])}
+                        record |= {"payload": parts[1] if payloads else None, "payload_bytes": len(parts[1]), "payload_digest": sha1(parts[1])}
                         if head.get("warc-payload-digest", "sha1:" + record["payload_digest"]) != "sha1:" + record["payload_digest"]:
                             raise ValueError(f"{record['record_id']}: the payload does not have its digest")
                     record["rank"] = _order(parts[0], ORDER_HEADER)
                     rows.append(record)
-                    held += len(block)
+                    held += len(block) if payloads else 0
                     if held > 8 << 20 or len(rows) == 10_000:
                         yield pa.RecordBatch.from_pylist(rows, kind)
                         rows, held = [], 0
             yield pa.RecordBatch.from_pylist(rows, kind)
 
 
-def read_warc(files: DataFrame) -> DataFrame:
+def read_warc(files: DataFrame, payloads: bool = True) -> DataFrame:
     """(record_id, record_type, url, date, refers_to_id, rank, payload_bytes, payload_digest, payload) of all records.
 
-    The payload of a response is its HTTP body; digests are those of the bytes read, and must be those told.  A revisit
+    The payload of a response is its HTTP body, left out without payloads; digests are those of the bytes read, and must be those told.  A revisit
     has no payload here, its size and digest are those of the full one.
     """
-    return _one_each(files, "file").mapInArrow(_read_warc, "record_id string, record_type string, url string, date string, refers_to_id string, rank long, payload_bytes long, payload_digest string, payload binary")
+    return _one_each(files, "file").mapInArrow(_read_warc(payloads), "record_id string, record_type string, url string, date string, refers_to_id string, rank long, payload_bytes long, payload_digest string, payload binary")
 
 
 def query(spark, folder: str) -> DataFrame:
     pages = spark.read.parquet(f"{folder}/pages.parquet")
     arcs = write_arc(pages, fresh_path(spark, "arc"))
     warcs, _ = to_warc(arcs, fresh_path(spark, "warc"))
-    back = read_warc(warcs).drop("payload").filter("record_type IN ('response', 'revisit')")
+    back = read_warc(warcs, payloads=False).filter("record_type IN ('response', 'revisit')")
     back = written(back.select("record_id", "record_type", "refers_to_id", F.col("rank").alias("page_id"), "payload_bytes", "payload_digest"), "warc-records")
     wanted = back.select(F.col("refers_to_id").alias("record_id")).filter("record_id IS NOT NULL").distinct()
-    firsts = back.join(wanted, "record_id").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
+    firsts = back.join(written(wanted, "responses-wanted"), "record_id").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
+    firsts = written(firsts, "responses")  # plain exchanges on both sides: Spark can split a payload that very many pages have
     return back.join(firsts, "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

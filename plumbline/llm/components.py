@@ -11,7 +11,8 @@ from plumbline.llm.common import written
 def _nearest(edges: DataFrame, way: str) -> DataFrame:
     """One star round over (u, v) with u > v: every neighbour of a node is linked to its smallest neighbour."""
     both = edges if way == "small" else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # Written, so that both sides of the join are plain exchanges: Spark can split a node of very many links.
+    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     met = both.join(least, "u")
     if way == "small":
         moved = met.select(F.explode(F.array(F.struct(F.col("v").alias("u"), "m"), F.struct("u", "m"))).alias("e")).select("e.u", F.col("e.m").alias("v"))

@@ -22,15 +22,14 @@ SEED = 8
 KEY_BITS = 60
 
 
-def _key(doc_id: Column, size: Column, seed: int) -> Column:
+def _key(doc_id: Column, text: Column, seed: int) -> Column:
     """60 random-looking bits; rows differ in nothing that counts where they share them."""
-    name = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), size.cast("string"))
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(text, F.lit("")))
     return F.conv(F.substring(F.md5(name.cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
 def _sized(docs: DataFrame, doc_id: str, text: str, source: str, seed: int, *more: Column) -> DataFrame:
-    found = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *more)
-    return found.withColumn("key", _key(F.col("doc_id"), F.col("size"), seed))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _key(F.col(doc_id), F.col(text), seed).alias("key"), *more)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
@@ -114,10 +113,10 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     The document over a source's cut ends after the words that are left; the column named length gets its characters.
     """
     weights, epochs, seed = options.get("weights", WEIGHTS), options.get("epochs", EPOCHS), options.get("seed", SEED)
-    slim = written(_sized(docs, doc_id, text, source, seed), "mix-sizes")
-    bits = _bits(slim.count())
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    out = _cut(_sized(docs, doc_id, text, source, seed, row), plan(slim, bits, weights, epochs), bits)
+    sized = written(_sized(docs, doc_id, text, source, seed, row), "sized-documents")
+    bits = _bits(sized.count())
+    out = _cut(sized, plan(sized, bits, weights, epochs), bits)
     copies = F.when(F.col("epochs") > 0, F.sequence(F.lit(1), F.col("epochs").cast("int"))).otherwise(F.array().cast("array<int>"))
     copies = F.transform(copies, lambda _: F.lit(None).cast("long"))
     copies = F.when(F.col("part").isNotNull(), F.concat(copies, F.array(F.when(F.col("part") < F.col("size"), F.col("part"))))).otherwise(copies)
@@ -135,8 +134,8 @@ def query(spark, folder: str) -> DataFrame:
 
 
 ORACLE_SQL = rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents),
-k AS (SELECT *, ('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || CAST(size AS VARCHAR)), 1, {KEY_BITS // 4}))::BIGINT AS key FROM d),
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents),
+k AS (SELECT doc_id, source, size, ('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || t), 1, {KEY_BITS // 4}))::BIGINT AS key FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
 w AS (SELECT *, [{", ".join(map(str, WEIGHTS))}][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1)::INT]::BIGINT AS weight, source_size * {EPOCHS} AS most FROM s),
 o AS (SELECT *, row_number() OVER by_limit AS place,

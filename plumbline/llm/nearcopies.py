@@ -39,6 +39,7 @@ CELLS = 1 << 20
 MET = 64
 PART = 256
 MARKS = 8
+MANY_PLACES = 64
 
 
 def _numbered(windows: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -112,6 +113,14 @@ def _sketched(k: int, sketches: int, picked: int, least: float = SIMILARITY):
     return run
 
 
+def _bits(places: list[int]) -> int:
+    if len(places) <= MANY_PLACES:
+        return functools.reduce(lambda m, i: m | 1 << i, places, 0)
+    flags = np.zeros(places[-1] + 1, np.uint8)
+    flags[places] = 1
+    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+
 def aligned(a: np.ndarray, b: np.ndarray, least: float) -> int:
     """How many windows of a and b an alignment in text order can match; less than needed for the similarity may be told as 0.
 
@@ -138,13 +147,15 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float) -> int:
     if min(ca.sum(), cb.sum()) < need:
         return 0
     band = max(len(a), len(b)) - max(need, 0)
-    masks: dict[int, int] = {}
+    # A row's length of bits for each window would grow with the square of the text: only windows of very many places keep one.
+    places: dict[int, list[int]] = {}
     for i, x in zip(np.flatnonzero(ca).tolist(), a[ca].tolist(), strict=True):
-        masks[x] = masks.get(x, 0) | 1 << i
+        places.setdefault(x, []).append(i)
+    masks = {x: _bits(at) for x, at in places.items() if len(at) > MANY_PLACES}
     full = (1 << len(a)) - 1
     row = full
     for j, x in zip(np.flatnonzero(cb).tolist(), b[cb].tolist(), strict=True):
-        hit = masks[x] & row
+        hit = (masks[x] if x in masks else _bits(places[x])) & row
         if band < len(a):
             hit &= ((1 << 2 * band + 1) - 1) << (j - band) if j > band else (1 << j + band + 1) - 1
         if hit:

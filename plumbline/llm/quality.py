@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SPACES, WORD, scratch, written
+from plumbline.llm.common import SPACES, WORD, written
 
 ROUNDS = 25
 # Weight of the belief that a rule is right, in documents: on good ones, on bad ones, and for the share of good ones.
@@ -165,7 +165,7 @@ def estimate(patterns: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int =
 def fit(counted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS) -> Trust:
     """Trust in the rules from all documents; documents that fail the base have no say, they are rejected anyway."""
     patterns = counted.filter(f"NOT ({BASE_FAILED})").groupBy(votes(rules).alias("votes")).agg(F.count("*").alias("n"))
-    return estimate(written(patterns.coalesce(1), "vote-patterns"), rules, rounds)
+    return estimate(written(patterns.repartition(1), "vote-patterns"), rules, rounds)
 
 
 def judged(counted: DataFrame, trust: Trust, rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:
@@ -187,12 +187,9 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules:
 
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:
     """The documents that are kept, all their columns unchanged; judged as by quality()."""
-    with scratch(docs.sparkSession):
-        trust = fit(written(counts(docs.select(F.col(text).alias("text"))), "quality-counts"), rules)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
-    # A filter is not moved below a column that is not deterministic; below the counts it would take them again and again.
-    counted = counts(packed, keep=["row"]).withColumn("part", F.spark_partition_id())
-    return judged(counted, trust, rules, least).filter("kept AND part >= 0").select("row.*")
+    counted = written(counts(packed, keep=["row"]), "counted-documents")
+    return judged(counted, fit(counted, rules), rules, least).filter("kept").select("row.*")
 
 
 def query(spark, folder: str) -> DataFrame:

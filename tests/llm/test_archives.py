@@ -38,6 +38,11 @@ def test_timestamps():
     assert archives._timestamp("2001") == "2001-01-01T00:00:00Z" and archives._timestamp("x") == "1970-01-01T00:00:00Z" == archives._timestamp(None)
 
 
+@pytest.mark.parametrize(("value", "number"), [("9223372036854775807", 2**63 - 1), ("-9223372036854775808", -(2**63)), ("9223372036854775808", None), ("-007", -7), ("x", None), ("", None)])
+def test_rank(value, number):
+    assert archives._order(b"HTTP/1.1 200 OK\r\nX-Page-Id: " + value.encode() + b"\r\n", "X-Page-Id") == number
+
+
 def test_conversion(spark, tmp_path):
     same = b"HTTP/1.1 200 OK\r\nX-Page-Id: %d\r\n\r\nhello"
     one = arc(1, ("http://a/", "20010102030405", "text/html", same % 3), ("dns:a", "20010102030405", "text/dns", b"1.2.3.4"))
@@ -60,11 +65,12 @@ def test_conversion(spark, tmp_path):
 
 
 def test_query(spark, tmp_path):
-    rows = [(i, f"http://h/{i}", f"<p>{i % 7}</p>" if i % 3 else f"é{i}", 1) for i in range(60)] + [(60, None, None, 1), (61, "", "", 1), (62, "http://x y\n", "\r\n\r\n" * 5, 1)]
+    wide = [-(2**63), 2**63 - 1, 1234567890123456789, -1234567890123456789, 2**62]  # ids may have 19 digits
+    rows = [(i, f"http://h/{i}", f"<p>{n % 7}</p>" if n % 3 else f"é{i}", 1) for n, i in enumerate([*range(60), *wide])] + [(60, None, None, 1), (61, "", "", 1), (62, "http://x y\n", "\r\n\r\n" * 5, 1)]
     spark.createDataFrame(rows, "page_id long, url string, html string, record_type int").repartition(4).write.parquet(f"{tmp_path}/pages.parquet")
     best = {}
     for i, _, t, _ in rows:
-        best[t or ""] = max(best.get(t or "", -1), i)
+        best[t or ""] = max(best.get(t or "", -(2**63)), i)
     want = set()
     for i, _, t, _ in rows:
         raw, first = (t or "").encode(), best[t or ""]

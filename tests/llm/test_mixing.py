@@ -67,3 +67,12 @@ def test_sql_twin_and_ranges(spark, docs, tmp_path, monkeypatch):
 
 def test_empty(docs):
     assert mixing.mix(docs([])).count() == 0 and mixing.mixed(docs([])).count() == 0
+
+
+def test_rows_without_id_are_spread(docs):
+    """Texts of one size and no id have keys of their own, so the cut's range holds few of them."""
+    found = docs([(None, f"a{i} b", "s") for i in range(2000)])
+    keys = mixing._sized(found, "doc_id", "text", "source", 8).groupBy("key").count()
+    assert keys.count() == 2000
+    mix = mixing.mix(docs([(None, f"a{i} b", "s") for i in range(200)] + [(1, "x " * 50, "t")])).collect()
+    assert sum(r["taken"] for r in mix if r["source"] == "s") == round(next(r["target"] for r in mix if r["source"] == "s"))
