@@ -29,10 +29,27 @@ def written(df: DataFrame, label: str, outlives: bool = False, codec: str = "sna
     path = fresh_path(df.sparkSession, label)
     if _scopes[outlives:]:
         _scopes[-1 - outlives].append(path)
-    df.write.parquet(path, compression=codec)
+    with _small_batches(df.sparkSession):
+        df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Rows that go to a Python worker at a time; ten thousand texts and what is made of them are tens of megabytes on both sides.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of no more than BATCH_ROWS rows inside; a smaller size that the user set stays."""
+    before = spark.conf.get(BATCH)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(BATCH, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete at the end what was written inside; nothing that is still to be computed may read from it then."""

@@ -2,11 +2,14 @@
 
 Of the suffixes of all texts, word by word, only those are retained that start where the text itself says so: a window
 of HEAD words is chosen if its hash is the smallest among SPREAD neighbouring windows.  Every passage of LEAST words
-that stands in two texts then has a chosen start at the same place in both.  Suffixes are sorted by their first HEAD
-words; those without an equal neighbour in another text are dropped.  Around the others each window of LEAST words that
+that stands in two texts then has a chosen start at the same place in both.  Suffixes are grouped by their first HEAD
+words; those whose head no other text has are dropped.  Around the others each window of LEAST words that
 chooses the start is compared by hash with all windows like it: the smallest id that has it is its first document.  Windows
 that an earlier document has too make the passages.
 
+Sorted suffixes and their neighbours alone would lose passages: a neighbour shares the most words behind the start, but
+another text may share fewer of these and more of those before it, and only with that one are there LEAST words.
+
 All sorting and grouping is Spark's, on narrow rows with map-side minima.  Of equal texts only that of the smallest id is
 searched.
 """
@@ -136,7 +139,8 @@ def _searched(known: DataFrame, reps: DataFrame) -> DataFrame:
     """Windows (id, version, at, first_id) of the texts (id, version) in reps that a text of smaller id has too."""
     suffixes = known.mapInArrow(_suffixes, "head long, id long, place long")
     version, at = F.shiftright("place", 32), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int")
-    heads = suffixes.groupBy("head").agg(F.min(version).alias("a"), F.max(version).alias("b")).filter("a < b").select("head")
+    one = F.struct("id", version)
+    heads = suffixes.groupBy("head").agg(F.min(one).alias("a"), F.max(one).alias("b")).filter("a < b").select("head")
     # Written, so that the join has plain exchanges on both sides and Spark can split a head that very many texts have.
     heads = written(heads, "heads")
     starts = suffixes.join(heads, "head").groupBy("id", version.alias("version")).agg(F.collect_set(at).alias("starts"))
@@ -192,7 +196,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     met = _named(docs, doc_id, text, row).join(found, ["id", "version"], "left")
     kind = docs.select(row).schema["row"].dataType.simpleString()
     cut = met.filter("spans IS NOT NULL").select("row", "text", "spans").mapInArrow(_cut, f"row {kind}, text string")
-    cut = cut.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    cut = written(cut, "cut-texts").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     cut = cut.withColumn("row", F.col("row").withField(f"`{text}`", F.col("text")))
     if length:
         cut = cut.withColumn("row", F.col("row").withField(f"`{length}`", F.length("text").cast(docs.schema[length].dataType)))
