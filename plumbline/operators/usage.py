@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from plumbline.operators.ordered import micros
 from plumbline.session import quoted
 
 # Price per 1000 prompt and completion tokens by model.
@@ -111,3 +114,49 @@ def key_status(keys: DataFrame, audit: DataFrame, as_of: datetime, key: str, ts:
         .otherwise(F.lit("ok"))
     )
     return joined.select(key, "usage_24h", verdict.alias("verdict"))
+
+
+class Bucket:
+    """A client's tokens: refilled by time up to the capacity, one taken by each allowed request."""
+
+    def __init__(self, capacity: float, per_second: float, tokens: float | None = None, at: int | None = None):
+        self.capacity, self.rate, self.tokens, self.at = float(capacity), per_second / 1_000_000, float(capacity) if tokens is None else tokens, at
+
+    def take(self, now: int) -> bool:
+        """Whether a request at that microsecond is allowed; a time before the last one's refills nothing."""
+        if self.at is not None and now > self.at:
+            self.tokens = min(self.capacity, self.tokens + (now - self.at) * self.rate)
+        self.at = now if self.at is None else max(now, self.at)
+        allowed = self.tokens >= 1
+        self.tokens -= allowed
+        return allowed
+
+    def full_after(self) -> int:
+        """Microseconds until it is as good as new."""
+        return int((self.capacity - self.tokens) / self.rate) + 1
+
+
+def token_bucket(events: DataFrame, client: str, ts: str, event_id: str, capacity: float, per_second: float) -> DataFrame:
+    """The events and whether each is allowed: a client's bucket holds capacity tokens at most, gets per_second of them, and gives one an event.
+
+    Events of a client are taken in the order of time and id.  One event's outcome rests on all before it, so a client's events go through one task, in
+    sorted batches with nothing kept but the bucket; clients are spread.  Events without a time are not allowed, a null client is a client.
+    """
+    kind = dict(events.dtypes)[ts]
+    timed = events.withColumn("_t", micros(F.col(quoted(ts)), kind)).withColumn("_client", F.xxhash64(F.coalesce(F.col(quoted(client)).cast("string"), F.lit("\0null"))))
+    dealt = timed.repartition("_client").sortWithinPartitions("_client", quoted(client), F.col("_t"), F.col(quoted(event_id)))
+
+    def run(batches):
+        last, bucket = object(), None
+        for batch in batches:
+            names, times = batch.column(batch.schema.get_field_index(client)).to_pylist(), batch.column(batch.schema.get_field_index("_t")).to_pylist()
+            allowed = []
+            for name, t in zip(names, times, strict=True):
+                if name != last:
+                    last, bucket = name, Bucket(capacity, per_second)
+                allowed.append(t is not None and bucket.take(t))
+            keep = [i for i, n in enumerate(batch.schema.names) if n not in ("_t", "_client")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(allowed, pa.bool_())], [*[batch.schema.names[i] for i in keep], "allowed"])
+
+    schema = T.StructType([*events.schema.fields, T.StructField("allowed", T.BooleanType())])
+    return dealt.mapInArrow(run, schema)

@@ -2,7 +2,7 @@
 
 import importlib
 
-AREA_NAMES = ["profile", "shaping", "generation", "comparison", "papers", "training", "records", "services", "files"]
+AREA_NAMES = ["profile", "shaping", "generation", "comparison", "papers", "training", "records", "services", "files", "timeline"]
 AREAS = {name: importlib.import_module(f"plumbline.registry.{name}") for name in AREA_NAMES}
 
 
