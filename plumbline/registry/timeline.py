@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from plumbline.operators import differences as D
 from plumbline.operators import intervals as I
 from plumbline.operators import ordered as O
+from plumbline.operators import states as M
 from plumbline.operators.usage import token_bucket
 from plumbline.registry.base import load, rounded, text_time, union
 from plumbline.session import fresh_path
@@ -90,6 +92,78 @@ def buckets_streamed(s, d):
     return s.read.parquet(f"{path}/rows").select("event_id", "allowed")
 
 
+def summed(state: bytes) -> np.ndarray:
+    return np.frombuffer(state, np.float64)
+
+
+# Geometric and harmonic means of the positive values.
+MEANS = M.Aggregate(
+    init=lambda: np.zeros(3).tobytes(),
+    update=lambda state, rows: (summed(state) + _means_of(rows.column(0))).tobytes(),
+    merge=lambda a, b: (summed(a) + summed(b)).tobytes(),
+    finish=lambda state: dict(zip(("values", "geometric", "harmonic"), _finished(*summed(state)), strict=True)),
+    result="values long, geometric double, harmonic double",
+)
+
+
+def _means_of(column) -> np.ndarray:
+    x = column.drop_null().to_numpy(zero_copy_only=False).astype(np.float64)
+    x = x[x > 0]
+    return np.array([len(x), np.log(x).sum(), (1 / x).sum()])
+
+
+def _finished(n, logs, inverses):
+    return (int(n), float(np.exp(logs / n)), float(n / inverses)) if n else (0, None, None)
+
+
+def means(s, d):
+    of_types = M.aggregated(load(s, d, "events"), ["event_type"], ["value"], MEANS)
+    return rounded(of_types.unionByName(M.aggregated(load(s, d, "events"), [], ["value"], MEANS).withColumn("event_type", F.lit(None).cast("string"))))
+
+
+def flag_profile(s, d):
+    lines = load(s, d, "lineitem").withColumn("year", F.year("l_shipdate"))
+    return rounded(M.profile_sets(lines, ["l_returnflag", "l_linestatus", "year"], ["l_quantity", "l_extendedprice", "l_discount"], distinct=False))
+
+
+def profile_rolled_up(s, d):
+    o = edited_orders(s, d)
+    return rounded(M.profile_sets(o, ["o_orderstatus", "o_orderpriority"], ["o_totalprice"], [["o_orderstatus", "o_orderpriority"], ["o_orderstatus"], []], distinct=False))
+
+
+def daily_sketches(s, d):
+    """Sketches by day, stored, merged to event types; how far quantiles and distinct counts are from the exact ones, as a verdict."""
+    e = load(s, d, "events").withColumn("day", F.date_trunc("day", "ts"))
+    path = fresh_path(s, "sketches")
+    M.sketches(e, ["day", "event_type"], ["value"]).write.parquet(path)
+    told = M.sketched_quantiles(M.merged(s.read.parquet(path), ["event_type"]), [0.05, 0.25, 0.5, 0.75, 0.95])
+    told = O.written(told.withColumnRenamed("event_type", "of"), "quantiles")
+    values = e.select("event_type", F.col("value").alias("x")).join(told, F.col("event_type") == F.col("of"))
+    ranks = values.groupBy("event_type", "share").agg(
+        F.avg((F.col("x") <= F.col("value")).cast("int")).alias("upto"), F.avg((F.col("x") < F.col("value")).cast("int")).alias("below"),
+        F.count_distinct("x").alias("exact"), F.max("distinct").alias("distinct"),
+    )
+    good = (F.col("below") <= F.col("share") + M.RANK_ERROR) & (F.col("upto") >= F.col("share") - M.RANK_ERROR)
+    return ranks.select("event_type", "share", good.alias("rank_within"), (F.abs(F.col("distinct") / F.col("exact") - 1) < 0.05).alias("distinct_within"))
+
+
+def sketched_distance(s, d):
+    """KS statistics of event values between even and odd users from stored sketches, beside the exact ones."""
+    e = load(s, d, "events")
+    sides = [M.merged(M.sketches(e.filter(F.col("user_id") % 2 == i), ["event_type", "user_id"], ["value"]), ["event_type"]) for i in (0, 1)]
+    return M.sketched_ks(*sides).select("event_type", "statistic", "bound")
+
+
+def near_exact_distance(s, d):
+    e = load(s, d, "events")
+    told = sketched_distance(s, d).withColumnRenamed("event_type", "of")
+    n = e.groupBy("event_type").agg(F.count_if(F.col("user_id") % 2 == 0).alias("n0"), F.count_if(F.col("user_id") % 2 == 1).alias("n1"))
+    steps = e.groupBy("event_type", "value").agg(F.count_if(F.col("user_id") % 2 == 0).alias("a"), F.count_if(F.col("user_id") % 2 == 1).alias("b"))
+    upto = O.ranged(steps, ["event_type"], [F.col("value")]).total(F.col("a"), "sa").total(F.col("b"), "sb").rows
+    exact = upto.join(n, "event_type").groupBy("event_type").agg(F.max(F.abs(F.col("sa") / F.col("n0") - F.col("sb") / F.col("n1"))).alias("exact"))
+    return exact.join(told, F.col("event_type") == F.col("of")).select("event_type", F.round("exact", 9).alias("exact"), (F.abs(F.col("statistic") - F.col("exact")) <= F.col("bound")).alias("within"))
+
+
 QUERIES = {
     "range_join": valid_requests,
     "range_join_by_key": valid_requests_by_user,
@@ -103,6 +177,11 @@ QUERIES = {
     "time_frames_one_key": lambda s, d: frames(s, d, [], HOUR, 1000),
     "row_difference": differing_rows,
     "cell_difference": lambda s, d: D.cell_difference(load(s, d, "orders").drop("o_orderdate"), edited_orders(s, d).drop("o_orderdate"), ["o_orderkey"]),
+    "profile_cube": flag_profile,
+    "profile_rollup": profile_rolled_up,
+    "sketched_quantiles": daily_sketches,
+    "sketched_ks": near_exact_distance,
+    "caller_aggregate": means,
     "token_bucket": buckets,
     "token_bucket_stream": buckets_streamed,
 }
@@ -125,6 +204,13 @@ def _frames_sql(part: str, width: str) -> str:
     return f"SELECT event_id, count(value) {over} AS n, round(sum(value) {over}, 6) + 0.0 AS total, round(max(value) {over}, 6) + 0.0 AS highest, round(avg(value) {over}, 6) + 0.0 AS mean FROM events"
 
 
+def _profile_sql(source: str, dims: list[str], columns: list[str], sets: str) -> str:
+    names = ", ".join(dims)
+    return union([
+        f"""SELECT CAST(GROUPING_ID({names}) AS INTEGER) AS level, {names}, '{c}' AS "column", count(*) AS rows, count({c}) AS filled, round(avg({c}), 6) + 0.0 AS mean, round(stddev_samp({c}), 6) + 0.0 AS std,
+  round(min({c}), 6) + 0.0 AS low, round(max({c}), 6) + 0.0 AS high FROM {source} GROUP BY {sets}""" for c in columns])
+
+
 _EDITED = """e AS (SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 50 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderdate,
   CASE WHEN o_orderkey % 31 <> 0 THEN o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 97 <> 0),
 r AS (SELECT * FROM e UNION ALL SELECT * FROM e WHERE o_orderkey % 101 = 0),
@@ -157,6 +243,14 @@ SELECT event_type, pane, total, CAST(sum(total) OVER (PARTITION BY event_type OR
     "time_frames_one_key": _frames_sql("", "1 HOUR"),
     "row_difference": f"WITH {_EDITED} " + union([_times("l", "r", "left"), _times("r", "l", "right")]),
     "cell_difference": f"WITH {_EDITED} " + union([*map(_cell, ("o_totalprice", "o_orderpriority")), "SELECT o_orderkey, 'removed', NULL, NULL, NULL FROM l ANTI JOIN e USING (o_orderkey)"]),
+    "profile_cube": _profile_sql("(SELECT *, CAST(year(l_shipdate) AS INTEGER) AS year FROM lineitem)", ["l_returnflag", "l_linestatus", "year"], ["l_quantity", "l_extendedprice", "l_discount"], "CUBE (l_returnflag, l_linestatus, year)"),
+    "profile_rollup": f"WITH {_EDITED} " + _profile_sql("e", ["o_orderstatus", "o_orderpriority"], ["o_totalprice"], "ROLLUP (o_orderstatus, o_orderpriority)"),
+    "sketched_quantiles": "SELECT event_type, share, true AS rank_within, true AS distinct_within FROM (SELECT DISTINCT event_type FROM events), (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95]::DOUBLE[]) AS share)",
+    "sketched_ks": """WITH n AS (SELECT event_type, count(*) FILTER (WHERE user_id % 2 = 0) AS n0, count(*) FILTER (WHERE user_id % 2 = 1) AS n1 FROM events GROUP BY 1),
+v AS (SELECT event_type, value, sum(count(*) FILTER (WHERE user_id % 2 = 0)) OVER w AS a, sum(count(*) FILTER (WHERE user_id % 2 = 1)) OVER w AS b FROM events GROUP BY 1, 2 WINDOW w AS (PARTITION BY event_type ORDER BY value))
+SELECT event_type, round(max(abs(a / n0 - b / n1)), 9) AS exact, true AS within FROM v JOIN n USING (event_type) GROUP BY 1""",
+    "caller_aggregate": """SELECT event_type, count(*) AS values, round(exp(avg(ln(value))), 6) + 0.0 AS geometric, round(count(*) / sum(1 / value), 6) + 0.0 AS harmonic FROM events WHERE value > 0 GROUP BY event_type
+UNION ALL SELECT NULL, count(*), round(exp(avg(ln(value))), 6) + 0.0, round(count(*) / sum(1 / value), 6) + 0.0 FROM events WHERE value > 0""",
     "token_bucket": _BUCKET,
     "token_bucket_stream": _BUCKET,
 }

@@ -64,7 +64,7 @@ class _Buckets(StatefulProcessor):
         self.handle = handle
         self.bucket = handle.getValueState("bucket", T.StructType([T.StructField("tokens", T.DoubleType()), T.StructField("at", T.LongType())]))
 
-    def handleInputRows(self, key, rows, timers):
+    def handleInputRows(self, key, rows, timerValues):
         batch = pd.concat(list(rows)).sort_values(["at", "event"])
         known = self.bucket.get() if self.bucket.exists() else None
         bucket = Bucket(self.capacity, self.rate, *(known or ()))
@@ -75,7 +75,7 @@ class _Buckets(StatefulProcessor):
         self.handle.registerTimer((bucket.at + bucket.full_after()) // 1000 + 1)
         yield batch[["event", "allowed"]]
 
-    def handleExpiredTimer(self, key, timers, expired):
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.bucket.clear()
         return iter(())
 
