@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.ordered import written
-from plumbline.session import quoted
+from plumbline.session import quoted, written
 
 
 def _digest(columns: list[str]) -> Column:

@@ -23,6 +23,8 @@ TEST_SHARE = 0.2
 ISOLATION_TREES = 100
 ISOLATION_SAMPLE = 256
 CONTAMINATION = 0.1
+# A forest's statistics grow with nodes x features x classes: a text with more values than this is a name, not a class.
+MOST_CLASSES = 1000
 EULER = 0.5772156649
 
 
@@ -85,7 +87,8 @@ def ml_utility(df: DataFrame, target: str, seed: int = 42, trees: int = UTILITY_
     """One row: task, utility_score and the metrics of a random forest on a held-out fifth.
 
     Text features and a text target become ranks of their sorted values; dates are
-    left out.  ``depth`` bounds the trees, 30 is the most that Spark grows.
+    left out.  ``depth`` bounds the trees, 30 is the most that Spark grows.  Without features, and for a text
+    target of more than MOST_CLASSES values, the task is unknown and the score 0: nothing is fitted.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -117,7 +120,9 @@ def ml_utility(df: DataFrame, target: str, seed: int = 42, trees: int = UTILITY_
         features.append(f"_f_{name}")
     if classify:
         work = label_encode(work, target, "_y", rows)
-        classes = work.agg(F.max("_y")).first()[0] + 1
+        classes = (work.agg(F.max("_y")).first()[0] or 0) + 1
+        if classes > MOST_CLASSES:
+            return result("unknown", F.lit(0.0), {}, spark.range(1))
         label = F.col("_y").cast("double").alias("label", metadata={"ml_attr": {"type": "nominal", "num_vals": int(classes)}})
     else:
         work = work.where(F.col(quoted(target)).isNotNull())

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.draws import Draws
 from plumbline.operators.ranks import dense_ranks, smallest_k_cutoffs
-from plumbline.session import numeric_columns, quoted, settle, string_columns, with_stats
+from plumbline.session import numeric_columns, quoted, written, string_columns, with_stats
 
 # Fixed value: share of distinct values below which a text column is a category.
 CATEGORY_SHARE = 0.5
@@ -114,8 +114,8 @@ def label_encode(df: DataFrame, column: str, output: str, rows: int | None = Non
     """Sorted distinct texts to 0..k-1; a missing cell is the text ``nan``."""
     text = F.coalesce(F.col(quoted(column)).cast("string"), F.lit("nan"))
     keyed = df.withColumn("_label", text)
-    # Settled, so that the join has plain exchanges on both sides and a popular text can be split over tasks.
-    ranks = settle(dense_ranks(keyed, "_label", rows).select(F.col("value").alias("_label"), F.col("rank").alias(output)))
+    # Written, so that the join has plain exchanges on both sides and a popular text can be split over tasks.
+    ranks = written(dense_ranks(keyed, "_label", rows).select(F.col("value").alias("_label"), F.col("rank").alias(output)), "label-ranks")
     return keyed.join(ranks, "_label", "left").drop("_label")
 
 

@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from plumbline.operators.ordered import written
-from plumbline.session import quoted
+from plumbline.session import quoted, written
 
 # --- profiles over grouping sets -----------------------------------------------------------
 

@@ -14,7 +14,7 @@ from plumbline.operators import compare as C
 from plumbline.operators import learn as L
 from plumbline.operators import privacy as V
 from plumbline.plans.generate import generate
-from plumbline.plans.reports import BenchmarkConfig, benchmark_dataset, benchmark_report, benchmark_suite, comparison_summary, validation_report
+from plumbline.plans.reports import benchmark_dataset, benchmark_report, benchmark_suite, comparison_summary, validation_report
 from plumbline.plans.spec import ColumnSpec, DatasetSpec, Distribution
 from plumbline.registry.base import LINE_NUMBERS, load, r6, rounded, union
 from plumbline.registry.sqldraws import SqlDraws
@@ -134,12 +134,12 @@ def customer_like(s, d):
 
 def benchmark(s, d):
     made, real = customer_like(s, d)
-    return benchmark_dataset(made, real, "c_mktsegment", BenchmarkConfig(trees=10, depth=5))
+    return benchmark_dataset(made, real, "c_mktsegment")
 
 
 def suite(s, d):
     made, real = customer_like(s, d)
-    rows, summary = benchmark_suite({"made": made, "real": real}, real, {"real": "c_mktsegment"}, BenchmarkConfig(trees=5, depth=4))
+    rows, summary = benchmark_suite({"made": made, "real": real}, real, {"real": "c_mktsegment"})
     return summary
 
 
@@ -196,8 +196,8 @@ QUERIES = {
     "train_test_split": split,
     "regression_metrics": lambda s, d: rounded(L.regression_metrics(predicted_prices(s, d)), 3),
     "classification_metrics": lambda s, d: rounded(L.classification_metrics(predicted_status(s, d))),
-    "ml_utility": lambda s, d: rounded(L.ml_utility(load(s, d, "customer").select("c_acctbal", "c_nationkey", "c_mktsegment"), "c_mktsegment", trees=20, depth=6)),
-    "ml_utility_regression": lambda s, d: rounded(L.ml_utility(load(s, d, "part").drop("p_partkey", "p_name"), "p_retailprice", trees=20, depth=6)),
+    "ml_utility": lambda s, d: rounded(L.ml_utility(load(s, d, "customer"), "c_mktsegment")),
+    "ml_utility_regression": lambda s, d: rounded(L.ml_utility(load(s, d, "part"), "p_retailprice")),
     "isolation_forest": lambda s, d: rounded(L.detect_anomalies(load(s, d, "events").select("event_id", "user_id", "value"), "event_id")),
 }
 

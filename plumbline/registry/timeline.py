@@ -11,7 +11,7 @@ from plumbline.operators import ordered as O
 from plumbline.operators import states as M
 from plumbline.operators.usage import token_bucket
 from plumbline.registry.base import load, rounded, text_time, union
-from plumbline.session import fresh_path
+from plumbline.session import fresh_path, written
 from plumbline.streaming import streams as S
 
 SECOND = 1_000_000
@@ -137,7 +137,7 @@ def daily_sketches(s, d):
     path = fresh_path(s, "sketches")
     M.sketches(e, ["day", "event_type"], ["value"]).write.parquet(path)
     told = M.sketched_quantiles(M.merged(s.read.parquet(path), ["event_type"]), [0.05, 0.25, 0.5, 0.75, 0.95])
-    told = O.written(told.withColumnRenamed("event_type", "of"), "quantiles")
+    told = written(told.withColumnRenamed("event_type", "of"), "quantiles")
     values = e.select("event_type", F.col("value").alias("x")).join(told, F.col("event_type") == F.col("of"))
     ranks = values.groupBy("event_type", "share").agg(
         F.avg((F.col("x") <= F.col("value")).cast("int")).alias("upto"), F.avg((F.col("x") < F.col("value")).cast("int")).alias("below"),

@@ -111,9 +111,13 @@ PROMPT_SQL = union([
 ])
 
 
+FULL_TEXT = 100  # characters: what is shorter is a title or a note, such a paper is known by its abstract only
+
+
 def paper_segments(s, d):
-    """Full-text segments of the even papers, keyed like the paper records."""
-    return segments(s, d).where("doc_id % 2 = 0").withColumnRenamed("doc_id", "id")
+    """Full-text segments of all papers that have a text of their own, keyed like the paper records."""
+    full = load(s, d, "documents").where(F.length("text") >= FULL_TEXT).select("doc_id")
+    return segments(s, d).join(full, "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
 
 
 CATEGORIES = ["cs.AI", "cs.CL", "quant-ph"]
@@ -191,7 +195,7 @@ _qa_forms = {
 _is_section = "segment_type = 'section' AND length(content) >= 100"
 _plain = lambda sql: sql.replace("SELECT 'alpaca' AS format, doc_id", "SELECT doc_id")
 _alpaca = union([_record_sql("seg", w, {"alpaca": f["alpaca"]}) for w, f in (("segment_type = 'abstract'", _abstract_forms), (_is_section, _section_forms), ("segment_type = 'qa_pair'", _qa_forms))])
-_half = "seg2 AS (SELECT * FROM seg WHERE doc_id % 2 = 0)"
+_full = f"seg2 AS (SELECT * FROM seg SEMI JOIN (SELECT doc_id FROM documents WHERE length(text) >= {FULL_TEXT}) USING (doc_id))"
 _chosen = f"""ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY id) AS k FROM (SELECT id, abstract, title, unnest(list_distinct(categories)) AS category FROM p) WHERE category IN ('cs.AI', 'cs.CL', 'quant-ph')) WHERE k <= 30)"""
 
 ORACLE = {
@@ -223,9 +227,9 @@ UNION ALL SELECT 'training_segment', count(*) FROM sec JOIN ok USING (doc_id)"""
 SELECT 'segment' AS part, count(*) AS n, CAST(sum(length(CASE segment_type WHEN 'qa_pair' THEN answer WHEN 'section' THEN {_body} ELSE content END)) AS BIGINT) AS chars FROM seg
 UNION ALL SELECT 'conversation', 3 * count(*), CAST(sum(3 * length(abstract) + length('This paper presents ') + length('The key insights from this research include: ')) AS BIGINT) FROM u
 UNION ALL SELECT 'synthetic', count(*), CAST(sum(length(output)) AS BIGINT) FROM y""",
-    "category_training_set": f"""{DOCUMENTS}, {PAPERS}, {_half}, {_chosen}, a AS (SELECT category, 'abstract_summary' AS segment_type, id FROM ch WHERE abstract <> '' UNION ALL SELECT category, segment_type, id FROM ch JOIN seg2 ON seg2.doc_id = ch.id)
+    "category_training_set": f"""{DOCUMENTS}, {PAPERS}, {_full}, {_chosen}, a AS (SELECT category, 'abstract_summary' AS segment_type, id FROM ch WHERE abstract <> '' UNION ALL SELECT category, segment_type, id FROM ch JOIN seg2 ON seg2.doc_id = ch.id)
 SELECT category, segment_type, count(DISTINCT id) AS papers, count(*) AS segments FROM a GROUP BY ALL""",
-    "segments_or_abstract": f"""{DOCUMENTS}, {PAPERS}, {_half}, rest AS (SELECT * FROM p WHERE abstract <> '' AND id NOT IN (SELECT doc_id FROM seg2))
+    "segments_or_abstract": f"""{DOCUMENTS}, {PAPERS}, {_full}, rest AS (SELECT * FROM p WHERE abstract <> '' AND id NOT IN (SELECT doc_id FROM seg2))
 SELECT doc_id AS id, segment_type, md5(content) AS content, question, md5(answer) AS answer FROM seg2 UNION ALL SELECT id, 'abstract', md5(abstract), NULL, NULL FROM rest
 UNION ALL SELECT id, 'qa_pair', NULL, 'What is the main finding of the study titled ''' || title || '''?', md5(abstract) FROM rest""",
 }
