@@ -9,6 +9,7 @@ from plumbline.registry.base import load, r6, rounded, text_time, union
 from plumbline.registry.training import turns_table
 from plumbline.session import fresh_path
 from plumbline.sources import readers as R
+from plumbline.sources.ranges import read_article_ranges
 from plumbline.sources import writers as W
 
 TABLE_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -90,8 +91,8 @@ def article_file(s, d):
     return path
 
 
-def articles(s, d):
-    a = R.read_article_xml(s, article_file(s, d))
+def articles(s, d, read=R.read_article_xml):
+    a = read(s, article_file(s, d))
     return a.select(
         "pmid", "title", F.length(F.regexp_replace("abstract", r"\s+", "")).alias("abstract_chars"), F.substring("abstract", -4, 4).alias("abstract_end"), F.array_join("authors", "|").alias("authors"), "journal",
         text_time(F.col("published")).alias("published"), "doi", "pmc_id", F.array_join("mesh_terms", "|").alias("mesh_terms"), F.array_join("keywords", "|").alias("keywords"),
@@ -203,6 +204,7 @@ QUERIES = {
     "scan_directory": directory,
     "scan_directory_one_schema": same_schema_directory,
     "read_pubmed_xml": articles,
+    "read_article_ranges": lambda s, d: articles(s, d, lambda s, path: read_article_ranges(s, path, 1 << 18)),
     "read_arxiv_atom": feed,
     "read_document_dir": document_dir,
     "export_json": exported(W.ExportConfig("json", compression="gzip", include_profile=False), "json"),
@@ -231,6 +233,9 @@ ORACLE = {
     "scan_directory_one_schema": "SELECT 'orders' AS dataset, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS ids FROM orders",
     "read_pubmed_xml": f"""SELECT CAST(doc_id AS VARCHAR) AS pmid, 'On ' || source AS title, CAST({_chars('text')} + 8 AS INTEGER) AS abstract_chars, 'End.' AS abstract_end, 'Ann ' || source || '|Li' AS authors, source AS journal,
 strftime(TRY_CAST(printf('%04d-%02d-%02d', n_chars % 30 + 1990, [1, 7, 1, 12][n_chars % 4 + 1], CASE WHEN n_chars % 2 = 0 THEN n_chars % 31 + 1 ELSE 1 END) AS DATE)::TIMESTAMP, '%Y-%m-%d %H:%M:%S.%f') AS published,
+'10.1/' || doc_id AS doi, 'PMC' || doc_id AS pmc_id, lang || '|Data' AS mesh_terms, 'k1|' || source AS keywords, 'Review' AS publication_types, 'Lab ' || lang AS affiliation, lower(lang) AS language FROM documents""",
+    "read_article_ranges": f"""SELECT CAST(doc_id AS VARCHAR) AS pmid, 'On ' || source AS title, CAST({_chars('text')} + 8 AS INTEGER) AS abstract_chars, 'End.' AS abstract_end, 'Ann ' || source || '|Li' AS authors, source AS journal,
+strftime(TRY_CAST(printf('%04d-%02d-%02d', n_chars % 30 + 1990, [1, 7, 1, 12][n_chars % 4 + 1], CASE WHEN n_chars % 2 = 0 THEN n_chars % 31 + 1 ELSE 1 END) AS DATE)::TIMESTAMP, '%Y-%m-%d %H:%M:%S.%f') AS published,
 '10.1/' || doc_id AS doi, 'PMC' || doc_id AS pmc_id, lang || '|Data' AS mesh_terms, 'k1|' || source AS keywords, 'Review' AS publication_types, 'Lab ' || lang AS affiliation, lower(lang) AS language FROM documents""",
     "read_arxiv_atom": f"""SELECT '2101.' || printf('%05d', doc_id) AS id, 'On ' || source AS title, 'Ann ' || lang || '|Bo' AS authors, CAST({_chars('text')} AS INTEGER) AS abstract_chars, 'cs.AI|' || source AS categories, 'cs.AI' AS primary_category,
 (n_chars % 20 + 2000) || '-01-02 03:04:05.000000' AS published, '2021-02-03 04:05:06.000000' AS updated, CAST(doc_id AS VARCHAR) AS doi, 'http://x/' || doc_id || '.pdf' AS pdf_url,

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import papers as fn
 from plumbline.operators import papers as P
+from plumbline.operators.search import search_index, store_index
 from plumbline.registry.base import load, r6, rounded, text_time, union
+from plumbline.session import fresh_path
 
 CODES = list(fn.CATEGORY_NAMES)[:12] + ["cs.XX"]
 
@@ -152,6 +154,22 @@ def merged(s, d):
     return P.merge_paper_metadata(read, records, "id", ["title", "doi", "journal"])
 
 
+def searched_index(s, d):
+    """Documents as papers, stored with an index; a rare text, a common one and one that no paper has."""
+    papers = load(s, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("On "), F.col("source")).alias("title"), F.col("text").alias("abstract"))
+    folder = fresh_path(s, "paper-index")
+    store_index(papers, folder, block_rows=300)
+    out = None
+    for text in SEARCHED:
+        found = search_index(s, folder, text)
+        part = found.papers.select("id", F.lit(text).alias("wanted"), F.lit(found.blocks_read <= found.blocks).alias("blocks_left_out"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+SEARCHED = ("worthless", "SRC7", "\u00f1e", "on src1", "no such text")
+
+
 QUERIES = {
     "split_sections": lambda s, d: P.split_sections(paged(s, d)),
     "split_sections_reference_labels": lambda s, d: P.split_sections(paged(s, d), reference_labels=True).drop("section_no"),
@@ -176,6 +194,7 @@ QUERIES = {
     "partial_date": dates,
     "clean_arxiv_id": cleaned,
     "category_lookup": lambda s, d: P.category_lookup(paper_records(s, d).select("id", F.explode("categories").alias("code")), "code"),
+    "search_stored_index": searched_index,
     "search_papers": lambda s, d: P.search_papers(
         paper_records(s, d), text="on", categories=["cs.AI", "quant-ph", "cs.XX"], date_from=datetime(2020, 6, 1), date_to=datetime(2023, 6, 1),
         publication_types=["Review"], languages=["en", "fr"], mesh_terms=["src1", "en"], journals=["src0", "src1", "src2", "src3", "src4", "src5", "src6"]).select("id", "title"),
@@ -226,6 +245,7 @@ k AS (SELECT o_orderkey, y, coalesce(TRY_CAST(trim(m) AS INTEGER), nullif(coales
 SELECT o_orderkey, strftime(TRY_CAST(printf('%04d-%02d-%02d', y, m, dd) AS DATE)::TIMESTAMP, '%Y-%m-%d %H:%M:%S.%f') AS published FROM k""",
     "clean_arxiv_id": """SELECT doc_id, source || 'v1/' || doc_id AS clean, split_part(source || 'v1/' || doc_id || 'v', 'v', 1) AS cut FROM documents""",
     "category_lookup": f"""WITH {PAPERS}, c AS (SELECT id, unnest(categories) AS code FROM p) SELECT id, code, coalesce({_name_map}[code], 'Unknown Category') AS category_name, 'https://arxiv.org/list/' || code || '/recent' AS category_url FROM c""",
+    "search_stored_index": union([f"SELECT doc_id AS id, '{t}' AS wanted, true AS blocks_left_out FROM documents WHERE contains(lower('On ' || source), '{t.lower()}') OR contains(lower(text), '{t.lower()}')" for t in SEARCHED]),
     "search_papers": f"""WITH {PAPERS} SELECT id, title FROM p WHERE (contains(lower(title), 'on') OR contains(lower(abstract), 'on')) AND list_has_any(categories, ['cs.AI', 'quant-ph', 'cs.XX'])
 AND published BETWEEN TIMESTAMP '2020-06-01' AND TIMESTAMP '2023-06-01' AND list_has_any(publication_types, ['Review']) AND language IN ('en', 'fr') AND list_has_any(mesh_terms, ['src1', 'en'])
 AND journal IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6')""",

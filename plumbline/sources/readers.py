@@ -183,7 +183,11 @@ link array<struct<_href: string, _title: string>>, `arxiv:comment` string, `arxi
 
 def read_feed_xml(spark: SparkSession, path: str, reference_labels: bool = False) -> DataFrame:
     """One row per ``entry`` of an Atom paper feed; ``feed_rejects`` gives those that do not parse."""
-    raw, _ = _elements(spark, path, "entry", ENTRY_SCHEMA)
+    return entries(_elements(spark, path, "entry", ENTRY_SCHEMA)[0], reference_labels)
+
+
+def entries(raw: DataFrame, reference_labels: bool = False) -> DataFrame:
+    """Parsed feed entries -> papers."""
     links = F.coalesce(F.col("link"), F.array().cast("array<struct<_href:string,_title:string>>"))
 
     def link(title: str) -> Column:
