@@ -1,21 +1,25 @@
 """URL filters: lists of rules first, then a tree of path templates for each host.
 
 Segments that look like numbers, dates, hashes and the like become wildcards by their shape.  Then the tree is built
-level by level, down to the deepest path: below each node, rare segments among many become one wildcard, unless their
+from the top: below each node, rare segments among many become one wildcard, unless their
 labels surely differ from those of the others, and the segments left, in the order of their
-share of good labels, are merged with their neighbour unless a test tells the two apart; what follows merged segments is
+share of good labels, are merged with those before them unless a test tells them apart from all of these or from the first; what
+follows merged segments is
 counted together.  A path's template is its way through the tree, and it is rejected if the share of good labels among
 the labelled URLs of the template, smoothed by that of its host and of all, is below a limit.
 
-DataFrame functions only.  URLs are first counted by host and shape, the levels work on these counts; a node has at most
-RARE_SHARE + MANY siblings to order, and those whose own labels set them apart.
+Segments that all paths of a node share are passed at once, so rounds follow the branchings of the tree.  From the round
+ONE_BY_ONE on a branch is two segments long, then four, and so on: rounds grow with the logarithm of the deepest path.
+
+DataFrame functions only.  URLs are first counted by host and shape, the rounds work on these counts; a node has at most
+RARE_SHARE + MANY + SHARES entries to order.
 """
 
 from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import written
@@ -24,6 +28,8 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 DEPTH = 6
 MANY = 20
 RARE_SHARE = 100
+SHARES = 64
+ONE_BY_ONE = 12
 APART = 6.63  # chi-squared, one degree of freedom, one in a hundred
 SURE = 100.0  # one chance in so many that any of a node's rare children is set apart by accident
 WEIGHT = 10.0
@@ -90,44 +96,78 @@ def _differs(overall: float) -> Column:
     return one + two > F.log(SURE * F.col("kinds"))
 
 
-def _level(state: DataFrame, d: int, overall: float) -> DataFrame:
-    """The rows with more than d segments, with the template one segment longer."""
+def _groups(entries: Column, overall: float) -> Column:
+    """Entries of a node, by rising share, numbered so that alike ones agree: an entry stays with those before it unless it surely differs
+    from all of them together, or from the first of them, so that no chain of small steps leads from one end to the other."""
+
+    def apart(x: Column, g: Column, b: Column) -> Column:
+        # (g1 / n1 - g2 / n2)^2 / (p q (1 / n1 + 1 / n2)), free of divisions by zero
+        n1, n2 = (x["good"] + x["bad"]).cast("double"), (g + b).cast("double")
+        gap = (x["good"] * n2 - g * n1) * (x["good"] * n2 - g * n1) * (n1 + n2)
+        return gap > F.lit(APART) * n1 * n2 * (x["good"] + g) * (x["bad"] + b)
+
+    none = F.lit(0).cast("long")
+    start = F.struct(F.array().cast("array<int>").alias("numbers"), F.lit(0).alias("number"), *[none.alias(c) for c in ("g", "b", "first_g", "first_b")])
+
+    def step(s: Column, x: Column) -> Column:
+        new = apart(x, s["g"], s["b"]) | apart(x, s["first_g"], s["first_b"])
+        number = s["number"] + new.cast("int")
+        sums = [F.when(new, x[c]).otherwise(s[k] + x[c]).alias(k) for k, c in (("g", "good"), ("b", "bad"))]
+        # The first that has labels stands for the begin of the group.
+        unknown = new | (s["first_g"] + s["first_b"] == 0)
+        firsts = [F.when(unknown, x[c]).otherwise(s[k]).alias(k) for k, c in (("first_g", "good"), ("first_b", "bad"))]
+        return F.struct(F.concat(s["numbers"], F.array(number)).alias("numbers"), number.alias("number"), *sums, *firsts)
+
+    return F.aggregate(entries, start, step)["numbers"]
+
+
+def _round(state: DataFrame, width: int, overall: float) -> DataFrame:
+    """The rows that are not at their path's end, further on: over all segments that their node's rows share, and a branch of width segments."""
     node = ["host", "template"]
-    here = state.filter(F.size("segments") > d).withColumn("segment", F.col("segments")[d])
+    rest = F.expr("slice(segments, at + 1, size(segments))")
+    ends = state.filter(F.size("segments") > F.col("at")).groupBy(*node).agg(F.min(rest).alias("a"), F.max(rest).alias("b"))
+    same = F.zip_with("a", "b", lambda x, y: F.coalesce(x == y, F.lit(False)))
+    shared = written(ends.select(F.col("host").alias("of"), F.col("template").alias("so_far"), F.when(F.array_position(same, F.lit(False)) == 0, F.size("a")).otherwise(F.array_position(same, F.lit(False)) - 1).cast("int").alias("shared")), "url-shared")
+    met = state.filter(F.size("segments") > F.col("at")).join(shared, (F.col("host") == F.col("of")) & (F.col("template") == F.col("so_far")))
+    on = F.expr("array_join(transform(slice(segments, at + 1, shared), s -> concat('/', s)), '')")
+    moved = met.select("host", "segments", "n", "good", "bad", F.concat("template", on).alias("template"), (F.col("at") + F.col("shared")).alias("at"))
+    moved = written(moved.withColumn("segment", F.when(F.size("segments") > F.col("at"), F.expr(f"array_join(slice(segments, at + 1, {width}), '/')"))), "url-moved")
+    here = moved.filter("segment IS NOT NULL")
     children = written(here.groupBy(*node, "segment").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad")), "url-children")
-    totals = children.groupBy(*node).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
-    met = children.join(totals, node)
-    wild = F.col("segment").startswith("{")
-    rare = ~wild & (F.col("kinds") > MANY) & (F.col("n") * RARE_SHARE < F.col("total")) & ~_differs(overall)
-    met = met.withColumn("token", F.when(wild, F.col("segment")).when(rare, F.lit("{*}")))
-    literal = met.filter("token IS NULL").withColumn("share", (F.col("good") + WEIGHT * overall) / (F.col("good") + F.col("bad") + WEIGHT))
-    by_share = Window.partitionBy(*node).orderBy("share", "segment")
-    g, b = F.lag("good").over(by_share), F.lag("bad").over(by_share)
-    pairs = literal.select("*", g.alias("g"), b.alias("b"))
-    n1, n2 = F.col("good") + F.col("bad"), F.col("g") + F.col("b")
-    # (g1 / n1 - g2 / n2)^2 / (p q (1 / n1 + 1 / n2)), free of divisions by zero
-    gap = F.pow((F.col("good") * n2 - F.col("g") * n1).cast("double"), F.lit(2)) * (n1 + n2)
-    spread = n1.cast("double") * n2 * (F.col("good") + F.col("g")) * (F.col("bad") + F.col("b"))
-    new = F.col("g").isNull() | (gap > F.lit(APART) * spread)
-    numbered = pairs.select(*node, "segment", F.sum(new.cast("int")).over(by_share.rowsBetween(Window.unboundedPreceding, 0)).alias("group"))
-    alike = numbered.groupBy(*node, "group").agg(F.sort_array(F.collect_list("segment")).alias("alike"))
-    merged = alike.select(
-        *node, F.explode("alike").alias("segment"), F.when(F.size("alike") > 1, F.concat(F.lit("{"), F.array_join("alike", "|"), F.lit("}"))).otherwise(F.col("alike")[0]).alias("token")
-    )
-    tokens = met.filter("token IS NOT NULL").select(*node, "segment", "token").unionByName(merged)
-    longer = here.join(tokens, [*node, "segment"]).withColumn("template", F.concat("template", F.lit("/"), "token")).select(*state.columns)
-    return written(longer, "url-level")
+    totals = written(children.groupBy(*node).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad")), "url-totals")
+    known = children.join(totals, node)
+    wild = F.col("segment").startswith("{") & (F.lit(width) == 1)
+    few = (F.col("kinds") > MANY) & (F.col("n") * RARE_SHARE < F.col("total"))
+    known = known.withColumn("token", F.when(wild, F.col("segment")).when(few & ~_differs(overall), F.lit("{*}")))
+    share = (F.col("good") + WEIGHT * overall) / (F.col("good") + F.col("bad") + WEIGHT)
+    # Rare children that are set apart by their labels are taken together by share first, so a node has a bounded number of entries.
+    entry = F.when(few, F.concat(F.lit("/"), F.floor(share * SHARES).cast("string"))).otherwise(F.col("segment"))
+    literal = known.filter("token IS NULL").withColumn("entry", entry)
+    entries = literal.groupBy(*node, "entry").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.min("segment").alias("name"), F.count("*").alias("names"))
+    each = F.struct(share.alias("share"), "entry", "good", "bad", "name", "names")
+    nodes = entries.groupBy(*node).agg(F.sort_array(F.collect_list(each)).alias("entries"))
+    numbered = nodes.select(*node, "entries", _groups(F.col("entries"), overall).alias("numbers")).select(*node, F.explode(F.arrays_zip("entries", "numbers")).alias("e"))
+    numbered = numbered.select(*node, "e.entries.entry", F.col("e.numbers").alias("number"), F.concat(F.col("e.entries.name"), F.when(F.col("e.entries.names") > 1, F.concat(F.lit("+"), (F.col("e.entries.names") - 1).cast("string"))).otherwise(F.lit(""))).alias("name"))
+    alike = numbered.groupBy(*node, "number").agg(F.sort_array(F.collect_list("name")).alias("names"), F.collect_list("entry").alias("in"))
+    called = F.when(F.size("names") > 1, F.concat(F.lit("{"), F.array_join("names", "|"), F.lit("}"))).otherwise(F.col("names")[0])
+    merged = literal.select(*node, "segment", "entry").join(alike.select(*node, F.explode("in").alias("entry"), called.alias("token")), [*node, "entry"])
+    tokens = written(known.filter("token IS NOT NULL").select(*node, "segment", "token").unionByName(merged.select(*node, "segment", "token")), "url-tokens")
+    longer = here.join(tokens, [*node, "segment"]).withColumn("template", F.concat("template", F.lit("/"), "token"))
+    longer = longer.withColumn("at", F.least(F.col("at") + width, F.size("segments")))
+    ended = moved.filter("segment IS NULL")
+    return written(longer.select(*state.columns).unionByName(ended.select(*state.columns)), "url-level")
 
 
 def templates(shapes: DataFrame) -> DataFrame:
     """(host, segments, template, labelled, purity) from (host, segments, n, good, bad), distinct in the first two."""
-    state = written(shapes.withColumn("template", F.lit("")), "url-level")
-    all_good, all_bad, deepest = state.agg(F.sum("good"), F.sum("bad"), F.max(F.size("segments"))).first()
+    state = written(shapes.select("*", F.lit("").alias("template"), F.lit(0).alias("at")), "url-level")
+    all_good, all_bad = state.agg(F.sum("good"), F.sum("bad")).first()
     overall = ((all_good or 0) + 1.0) / ((all_good or 0) + (all_bad or 0) + 2.0)
-    done = []
-    for d in range(deepest or 0):
-        done.append(state.filter(F.size("segments") <= d))
-        state = _level(state, d, overall)
+    done, turn = [], 0
+    while state.agg(F.count_if(F.size("segments") > F.col("at"))).first()[0]:
+        done.append(state.filter(F.size("segments") <= F.col("at")))
+        state = _round(state, 1 << max(0, turn - ONE_BY_ONE + 1), overall)
+        turn += 1
     state = functools.reduce(DataFrame.unionByName, [*done, state])
     hosts = state.groupBy("host").agg(F.sum("good").alias("hg"), F.sum("bad").alias("hb"))
     stats = state.groupBy("host", "template").agg(F.sum("good").alias("tg"), F.sum("bad").alias("tb"))
