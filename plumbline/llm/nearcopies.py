@@ -328,12 +328,15 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     with scratch(docs.sparkSession):
         found = classes(docs, doc_id, text, **options).filter("digest IS NOT NULL AND doc_id IS NOT NULL")
         told = found.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n")).filter("doc_id <> class_id OR n > 1")
-        told = written(told.select(F.col("doc_id").alias("of"), (F.col("doc_id") == F.col("class_id")).alias("stays")), "near-copies", outlives=True)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    empty = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    met = packed.join(told, F.col("id") == F.col("of"), "left")
-    once = met.filter(F.col("stays") & ~empty).dropDuplicates(["id"])
-    return met.filter(F.col("of").isNull() | empty).select("row").unionByName(once.select("row")).select("row.*")
+        stays = (F.col("doc_id") == F.col("class_id")).alias("stays")
+        told = written(told.select(F.col("doc_id").alias("of"), stays, (F.col("n") > 1).alias("repeated")), "near-copies", outlives=True)
+    # Documents go through one join, with one copy of their text, and it is planned alike at every size.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("id"))
+    empty = ~F.coalesce(F.col(f"row.`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    met = packed.join(told.hint("merge"), F.col("id") == F.col("of"), "left")
+    alone = F.col("of").isNull() | empty
+    left = written(met.filter(alone | F.col("stays")).select("row", "id", (~alone & F.col("repeated")).alias("repeated")), "first-of-classes")
+    return left.filter("NOT repeated").select("row").unionByName(left.filter("repeated").dropDuplicates(["id"]).select("row")).select("row.*")
 
 
 def query(spark, folder: str) -> DataFrame:

@@ -144,7 +144,9 @@ def _searched(known: DataFrame, reps: DataFrame) -> DataFrame:
     # Written, so that the join has plain exchanges on both sides and Spark can split a head that very many texts have.
     heads = written(heads, "heads")
     starts = suffixes.join(heads, "head").groupBy("id", version.alias("version")).agg(F.collect_set(at).alias("starts"))
-    placed = known.join(starts.join(reps, ["id", "version"], "left_semi"), ["id", "version"]).select("id", "version", "text", "starts")
+    # Texts meet their starts in a join that is planned alike at every size.
+    wanted = starts.join(reps, ["id", "version"], "left_semi")
+    placed = known.join(wanted.hint("merge"), ["id", "version"]).select("id", "version", "text", "starts")
     windows = written(placed.mapInArrow(_windows, "id long, version long, at int, key long"), "windows")
     first = windows.groupBy("key").agg(F.min("id").alias("first_id"), F.max("id").alias("last")).filter("first_id < last")
     met = windows.join(written(first.select("key", "first_id"), "first-windows"), "key").filter("id > first_id")
@@ -193,10 +195,12 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         found = repeats(docs, doc_id, text).groupBy("id", "version").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
         found = written(found, "spans", outlives=True)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    met = _named(docs, doc_id, text, row).join(found, ["id", "version"], "left")
+    # Documents go through one join, with one copy of their text, and it is planned alike at every size.
+    named = _named(docs, doc_id, text, row).drop("text")
+    met = written(named.join(found.hint("merge"), ["id", "version"], "left").select("row", "spans"), "documents-and-spans")
     kind = docs.select(row).schema["row"].dataType.simpleString()
-    cut = met.filter("spans IS NOT NULL").select("row", "text", "spans").mapInArrow(_cut, f"row {kind}, text string")
-    cut = written(cut, "cut-texts").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    some = met.filter("spans IS NOT NULL").select("row", F.col(f"row.`{text}`").alias("text"), "spans")
+    cut = some.mapInArrow(_cut, f"row {kind}, text string").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     cut = cut.withColumn("row", F.col("row").withField(f"`{text}`", F.col("text")))
     if length:
         cut = cut.withColumn("row", F.col("row").withField(f"`{length}`", F.length("text").cast(docs.schema[length].dataType)))
