@@ -334,9 +334,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("id"))
     empty = ~F.coalesce(F.col(f"row.`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     met = packed.join(told.hint("merge"), F.col("id") == F.col("of"), "left")
-    alone = F.col("of").isNull() | empty
-    left = written(met.filter(alone | F.col("stays")).select("row", "id", (~alone & F.col("repeated")).alias("repeated")), "first-of-classes")
-    return left.filter("NOT repeated").select("row").unionByName(left.filter("repeated").dropDuplicates(["id"]).select("row")).select("row.*")
+    once = met.filter(F.col("of").isNull() | empty | (F.col("stays") & ~F.col("repeated")))
+    # Ids that have several rows: few, as a rule, and joined for themselves.
+    several = told.filter("stays AND repeated").select(F.col("of").alias("id"))
+    first = packed.filter(~empty).join(several, "id", "left_semi").dropDuplicates(["id"])
+    return once.select("row").unionByName(first.select("row")).select("row.*")
 
 
 def query(spark, folder: str) -> DataFrame:

@@ -173,17 +173,23 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            data, at = text_bytes(pa.array([text]))
-            starts, _, _ = word_spans(data, at)
-            raw, out, done = data.tobytes(), [], 0
-            for s in sorted(spans, key=lambda s: s["begin"]):
-                out.append(raw[done : starts[s["begin"]]])
-                done = starts[s["end"]] if s["end"] < len(starts) else len(raw)
-            texts.append(b"".join([*out, raw[done:]]).decode())
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
+    """The texts without their spans, and whether they had any."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, 500):
+            batch, texts = whole.slice(i, 500), []
+            spanned = batch.column("spans").to_pylist()
+            for text, spans in zip(batch.column("text").to_pylist(), spanned, strict=True):
+                if not spans:
+                    texts.append(text)
+                    continue
+                data, at = text_bytes(pa.array([text]))
+                starts, _, _ = word_spans(data, at)
+                raw, out, done = data.tobytes(), [], 0
+                for s in sorted(spans, key=lambda s: s["begin"]):
+                    out.append(raw[done : starts[s["begin"]]])
+                    done = starts[s["end"]] if s["end"] < len(starts) else len(raw)
+                texts.append(b"".join([*out, raw[done:]]).decode())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array([bool(s) for s in spanned])], ["row", "text", "cut"])
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
@@ -197,14 +203,14 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     # Documents go through one join, with one copy of their text, and it is planned alike at every size.
     named = _named(docs, doc_id, text, row).drop("text")
-    met = written(named.join(found.hint("merge"), ["id", "version"], "left").select("row", "spans"), "documents-and-spans")
+    met = named.join(found.hint("merge"), ["id", "version"], "left").select("row", F.col(f"row.`{text}`").alias("text"), "spans")
     kind = docs.select(row).schema["row"].dataType.simpleString()
-    some = met.filter("spans IS NOT NULL").select("row", F.col(f"row.`{text}`").alias("text"), "spans")
-    cut = some.mapInArrow(_cut, f"row {kind}, text string").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    cut = met.mapInArrow(_cut, f"row {kind}, text string, cut boolean").filter(~F.col("cut") | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     cut = cut.withColumn("row", F.col("row").withField(f"`{text}`", F.col("text")))
     if length:
-        cut = cut.withColumn("row", F.col("row").withField(f"`{length}`", F.length("text").cast(docs.schema[length].dataType)))
-    return met.filter("spans IS NULL").select("row").unionByName(cut.select("row")).select("row.*")
+        shorter = F.length("text").cast(docs.schema[length].dataType)
+        cut = cut.withColumn("row", F.when(F.col("cut"), F.col("row").withField(f"`{length}`", shorter)).otherwise(F.col("row")))
+    return cut.select("row.*")
 
 
 def query(spark, folder: str) -> DataFrame:
