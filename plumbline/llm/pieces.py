@@ -269,9 +269,12 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[
     """The columns in keep (the key alone by default), then ids (array of int), n_pieces and ids_crc32 for each row.
 
     Equal keys and texts get equal segmentations; a null key is a key.  A null text has null ids, an empty one none;
-    both have 0 pieces.  Greater sharpness draws likely segmentations more often.  Kept columns must not be called like
-    the new ones.  The model is a file that every executor has at this path.
+    both have 0 pieces.  Greater sharpness draws likely segmentations more often.  A kept column that is called like one
+    of the new ones raises.  The model is a file that every executor has at this path.
     """
+    clash = {c.lower() for c in keep or [key]} & {"ids", "n_pieces", "ids_crc32"}
+    if clash:
+        raise ValueError(f"kept columns are called like new ones: {sorted(clash)}")
     kept = F.struct(*[F.col(f"`{c}`") for c in keep or [key]]).alias("row")
     rows = docs.select(kept, F.xxhash64(F.col(key)).alias("seed"), F.col(text).alias("text"))
     out = f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>, n_pieces long, ids_crc32 long"

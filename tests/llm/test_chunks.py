@@ -37,3 +37,62 @@ def test_copies(docs):
     left = {r["doc_id"]: r["text"] for r in out.collect()}
     assert left[3] == texts[3] and len(left[39]) < len(texts[39]) - 96 and left[200] is None and left[201] == ""
     assert chunks.copied_runs(docs([])).count() == 0 and chunks.without_copies(docs([])).count() == 0
+
+
+def plain_chunks(raw):
+    """Chunks of a text, byte by byte, the hash of the last bytes taken anew at every place."""
+    mask = ((1 << chunks.BITS) - 1) << (chunks.WINDOW - chunks.BITS)
+    inside = [0x80 <= b < 0xC0 for b in raw] + [False]
+    ends = []
+    for c in range(chunks.MIN_BYTES, len(raw)):
+        rolled = sum(int(chunks._GEAR[raw[c - 1 - j]]) << j for j in range(chunks.WINDOW))
+        if not rolled & mask and not inside[c]:
+            ends.append(c)
+    start, out = 0, []
+    for c in [*ends, len(raw)]:
+        while c - start > chunks.MAX_BYTES:
+            cut = start + chunks.MAX_BYTES
+            while inside[cut]:
+                cut -= 1
+            out.append((start, cut))
+            start = cut
+        if c - start >= chunks.MIN_BYTES or (c == len(raw) and c > start):
+            out.append((start, c))
+            start = c
+    return out
+
+
+def brute(texts):
+    """Runs of chunks, by their bytes, that a text of smaller id has too."""
+    parts = {(i, t): [(a, b, t.encode()[a:b]) for a, b in plain_chunks(t.encode())] for i, t in texts}
+    first = {}
+    for (i, _), cut in parts.items():
+        for _, _, piece in cut:
+            first[piece] = min(first.get(piece, i), i)
+    out = set()
+    for (i, _), cut in parts.items():
+        run = []
+        for a, b, piece in [*cut, (0, 0, None)]:
+            if piece is not None and first[piece] < i:
+                run.append((a, b, first[piece]))
+                continue
+            if run and run[-1][1] - run[0][0] >= chunks.LEAST_BYTES:
+                longest = max(run, key=lambda r: (r[1] - r[0], -r[2]))
+                out.add((i, run[0][0], run[-1][1], len(run), longest[2]))
+            run = []
+    return out
+
+
+def test_against_plain_chunks(docs):
+    rng = random.Random(8)
+    passages = [sentence(800 + k, 20 + 9 * k) for k in range(6)] + ["ünï 漢字 " * 30, "a" * 700, "ab" * 300]
+    rows = []
+    for i in range(70):
+        parts = [sentence(i, rng.randrange(0, 30))]
+        for p in rng.sample(passages, rng.randrange(0, 4)):
+            cut = rng.randrange(0, 40)
+            parts += [p[cut:], sentence(4000 + 10 * i + len(parts), rng.randrange(0, 12))]
+        rows.append((i, " ".join(parts)))
+    rows += [(70, rows[3][1]), (71, rows[3][1]), (3, rows[3][1]), (3, rows[5][1]), (80, ""), (81, "é" * 500), (82, "é" * 500)]
+    found = [(r["id"], r["begin"], r["end"], r["n_chunks"], r["first_id"]) for r in chunks.copied_runs(docs(rows)).collect()]
+    assert set(found) == brute(rows) and len(found) == len(set(found)) > 60

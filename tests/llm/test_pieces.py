@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -70,3 +71,8 @@ def test_table(spark, docs):
 def test_keys_differ(docs):
     found = pieces.encode(docs([(i, "internationalisation of understanding " * 5) for i in range(40)]), sharpness=0.1).collect()
     assert len({tuple(r["ids"]) for r in found}) > 20
+
+
+def test_clashing_names(docs):
+    with pytest.raises(ValueError, match="n_pieces"):
+        pieces.encode(docs([(1, "a")]).withColumnRenamed("n_chars", "n_pieces"), keep=["doc_id", "n_pieces"])
