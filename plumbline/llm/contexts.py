@@ -29,7 +29,7 @@ ORDER = 5
 SPLIT = 3
 END = 0xFF  # no byte of UTF-8: it ends a text, and stands before its first byte
 BLOCK = 32 << 20
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 ROWS = 1 << 16
 LOOK = 4096
 END_KEY = -(1 << 63)  # the token that ends a text
