@@ -312,7 +312,7 @@ class Values:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
-        self.shift = np.uint64(62 - len(keys).bit_length())
+        self.shift = np.uint64(63 - len(keys).bit_length())
         self.place = np.zeros(1 << 64 - int(self.shift), np.int32)
         self.place[self._hash(self.keys)] = np.arange(len(keys))
 
@@ -329,12 +329,15 @@ class Values:
 def _scored(train: int, kinds: int):
     def run(blocks: pa.Table, values: pa.Table) -> pa.Table:
         block, codec = _unpacked(blocks["begins"][0], blocks["texts"][0]), pa.Codec("zstd")
-        keys, told = [], []
-        for n, packed in zip(values["n"].to_pylist(), values["packed"], strict=True):
-            raw = codec.decompress(packed.as_py(), 16 * n)
-            keys.append(np.cumsum(np.frombuffer(raw, np.int64, n)))
-            told.append(np.frombuffer(raw, np.float64, n, 8 * n))
-        value = Values(np.concatenate(keys), np.concatenate(told))
+        sizes = values["n"].to_numpy()
+        keys, told, at = np.empty(sizes.sum(), np.int64), np.empty(sizes.sum(), np.float64), 0
+        for n, packed in zip(sizes.tolist(), values["packed"], strict=True):
+            raw = codec.decompress(packed.as_buffer(), 16 * n)
+            np.cumsum(np.frombuffer(raw, np.int64, n), out=keys[at : at + n])
+            told[at : at + n] = np.frombuffer(raw, np.float64, n, 8 * n)
+            at += n
+        value = Values(keys, told)
+        del keys, told  # the values have their own, in order
         texts = block.texts
         score = np.zeros(texts)
         for found, text in block.windows():
