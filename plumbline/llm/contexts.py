@@ -178,6 +178,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, key, n): a block's distinct windows and words, with how often its training texts have them."""
     for batch in batches:
         for r in range(batch.num_rows):
+            pa.default_memory_pool().release_unused()
             block = _unpacked(batch.column(3)[r], batch.column(4)[r])
             held = np.array(batch.column(2)[r].as_py(), bool)
             words = told = keys = counts = np.zeros(0, np.int64)
@@ -328,6 +329,7 @@ class Values:
 
 def _scored(train: int, kinds: int):
     def run(blocks: pa.Table, values: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()  # what earlier blocks of this worker have left
         block, codec = _unpacked(blocks["begins"][0], blocks["texts"][0]), pa.Codec("zstd")
         sizes = values["n"].to_numpy()
         keys, told, at = np.empty(sizes.sum(), np.int64), np.empty(sizes.sum(), np.float64), 0
