@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import functions as F
 
 from plumbline.operators.training import chat_records
@@ -155,14 +157,35 @@ def split_export(s, d):
     return files.agg(F.count(F.lit(1)).alias("files")).withColumn("n", back.agg(F.count(F.lit(1))).scalar()).withColumn("ids", back.agg(F.sum("o_orderkey")).scalar())
 
 
+def numbered_parts(s, d):
+    """The customers in four parts by key, each in the order of its keys: files whose bytes are known."""
+    part = (F.col("c_custkey") % 4).cast("int")
+    return load(s, d, "customer").repartitionById(4, part).sortWithinPartitions("c_custkey")
+
+
+def part_number(file):
+    return F.regexp_extract(file, r"^part-(\d+)", 1).cast("int").alias("part")
+
+
 def checksums(s, d):
+    """Checksums of the four files, read as cells and, once more, in parts."""
     path = fresh_path(s, "sums")
-    W.write_table(load(s, d, "customer").repartition(4, "c_custkey"), path, W.ExportConfig("jsonl"))
-    return W.file_checksums(s, path)
+    W.write_table(numbered_parts(s, d), path, W.ExportConfig("jsonl"))
+    forms = [W.file_checksums(s, path, cell_bytes=n).withColumn("read_as", F.lit(name)) for name, n in (("cells", W.CELL_BYTES), ("parts", 0))]
+    return forms[0].unionByName(forms[1]).select("read_as", part_number("file"), "bytes", "md5", "sha256")
 
 
 def manifest(s, d):
-    return W.export_dataset(load(s, d, "customer"), fresh_path(s, "manifest"), W.ExportConfig("parquet", parquet_compression="zstd"), "customer")
+    """What the manifest of the four files says, a row for each file."""
+    m = W.export_dataset(numbered_parts(s, d), fresh_path(s, "manifest"), W.ExportConfig("jsonl"), "customer")
+    cells = F.from_json("profile", "array<struct<metric: string, `column`: string, value: double>>")
+    told = lambda metric, column: F.filter(cells, lambda x: (x["metric"] == metric) & (x["column"] == column))[0]["value"]
+    rows = m.select(
+        "dataset", "total_records", "file_count", "total_size_bytes", "compression_ratio", "schema", "settings", "oversized_cells",
+        told("mean", "c_acctbal").alias("mean_balance"), told("uniqueness", "c_mktsegment").alias("uniqueness"), told("duplicate_rows", "*").alias("repeated"),
+        F.explode(F.from_json("checksums", "array<struct<file: string, md5: string, sha256: string>>")).alias("f"),
+    )
+    return rounded(rows.select("*", part_number("f.file"), "f.md5", "f.sha256").drop("f"))
 
 
 def batch(s, d):
@@ -226,6 +249,11 @@ _big = "CASE WHEN value > 10 THEN 'True' ELSE 'False' END"
 _event_rows = "event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, user_id, event_type, value, props"
 _exported = lambda name: f"SELECT '{name}' AS dataset, {_event_rows}, (SELECT count(*) FROM events) AS total_records, true AS hashed FROM events"
 _chars = lambda e: f"length(regexp_replace(regexp_replace({e}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '\\s+', '', 'g'))"
+_text = lambda v: "'" + v.replace("'", "''") + "'"
+CUSTOMER_TYPES = "c_custkey:bigint,c_name:string,c_nationkey:int,c_acctbal:double,c_mktsegment:string"
+_PARTS = """lines AS (SELECT c_custkey, CAST(c_custkey % 4 AS INTEGER) AS part, '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || ',"c_acctbal":' || c_acctbal || ',"c_mktsegment":"' || c_mktsegment || '"}' || chr(10) AS line FROM customer),
+files AS (SELECT part, string_agg(line, '' ORDER BY c_custkey) AS body FROM lines GROUP BY part),
+sums AS (SELECT part, CAST(strlen(body) AS BIGINT) AS bytes, md5(body) AS md5, sha256(body) AS sha256 FROM files)"""
 
 ORACLE = {
     "scan_by_suffix": union([f"SELECT '{x}' AS suffix, {_event_rows} FROM events" for x in ("csv", "json", "jsonl", "parquet")]),
@@ -251,6 +279,11 @@ UNION ALL SELECT 'none', event_id || '|' || user_id || '|' || event_type || '|'
 SELECT quoting, unnest(string_split(line, chr(10))) AS line FROM l""",
     "export_parquet": _exported("parquet"),
     "export_split": "SELECT count(*) // 4000 + 1 AS files, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS ids FROM orders",
+    "file_checksums": f"WITH {_PARTS} SELECT read_as, part, bytes, md5, sha256 FROM sums, (SELECT unnest(['cells', 'parts']) AS read_as)",
+    "export_manifest": f"""WITH {_PARTS}, w AS (SELECT CAST(count(*) AS BIGINT) AS file_count, CAST(sum(bytes) AS BIGINT) AS total_size_bytes FROM sums),
+c AS (SELECT count(*) AS total_records, sum(strlen(c_name)) + sum(strlen(c_mktsegment)) + count(*) * {8 * 5 - 4} AS memory, avg(c_acctbal) AS mean_balance, count(DISTINCT c_mktsegment) / count(*) AS uniqueness FROM customer)
+SELECT 'customer' AS dataset, total_records, file_count, total_size_bytes, {r6('memory / total_size_bytes')} AS compression_ratio, 'struct<{CUSTOMER_TYPES}>' AS schema, {_text(str(asdict(W.ExportConfig('jsonl'))))} AS settings,
+'[]' AS oversized_cells, {r6('mean_balance')} AS mean_balance, {r6('uniqueness')} AS uniqueness, 0.0::DOUBLE AS repeated, part, md5, sha256 FROM sums, w, c""",
     "batch_export_summary": "SELECT 5::BIGINT AS datasets, 4::BIGINT AS succeeded, 1::BIGINT AS failed, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) + (SELECT count(*) FROM orders) AS total_records, 'empty: cannot export an empty table' AS errors",
     "export_preflight": union([f"""SELECT '{c}' AS "column", CAST(max(length({c})) AS BIGINT) AS longest_cell, max(length({c})) > 1000000 AS oversized FROM documents""" for c in ("text", "lang", "source")]),
     "write_training_jsonl": """SELECT 3 AS n_messages, 'user' AS second_role, md5(u.text) AS question, md5(a.text) AS answer

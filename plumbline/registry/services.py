@@ -11,7 +11,7 @@ from plumbline.functions.vectors import cosine, norm
 from plumbline.operators import catalog as C
 from plumbline.operators import usage as U
 from plumbline.operators import vectors as E
-from plumbline.operators.laterals import call_laterally
+from plumbline.operators.laterals import generate_rows
 from plumbline.plans.generate import compile_spec
 from plumbline.plans.spec import ColumnSpec, DatasetSpec, Distribution
 from plumbline.registry.base import load, r6, rounded, text_time, union
@@ -155,17 +155,35 @@ def generated_table(s, d):
     return rounded(first.withColumn("rows_added", F.lit(added).cast("long")))
 
 
-class Replies:
-    """A user-defined generator: one row per requested turn."""
+def turn_replies(wanted):
+    """A user-defined generator: one message for each wanted turn."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    def eval(self, conv_id: int, turns: int):
-        for i in range(turns):
-            yield i, f"conversation {conv_id} turn {i}"
+    text = lambda c: wanted[c].combine_chunks().cast(pa.string())
+    message = pc.binary_join_element_wise("conversation ", text("conv_id"), " turn ", text("row_no"), "")
+    return {"turn_no": wanted["row_no"].combine_chunks().cast(pa.int32()), "message": message}
 
 
-def lateral(s, d):
+def replied(s, d):
     requests = load(s, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"))
-    return call_laterally(requests, Replies, "turn_no int, message string", ["conv_id", "turns"], "plumbline_replies")
+    return generate_rows(requests, turn_replies, "turn_no int, message string", "turns").drop("row_no", "error")
+
+
+def steps(wanted):
+    """Values that rise from low by the row's number over the rows wanted."""
+    import pyarrow.compute as pc
+
+    n = pc.cast(wanted["copies"], "double")
+    return {"reading": pc.add(wanted["low"], pc.divide(pc.cast(wanted["row_no"], "double"), n)).combine_chunks()}
+
+
+def stepped(s, d):
+    """Events as requests, of which some break the generator's parameter schema."""
+    requests = load(s, d, "events").select("event_id", "event_type", (F.col("event_id") % 4).alias("copies"), F.col("value").alias("low"))
+    schema = {"type": "object", "required": ["low"], "properties": {"low": {"type": "number", "minimum": 5}, "event_type": {"enum": ["click", "view", "purchase", "signup"]}}}
+    made = generate_rows(requests, steps, "reading double", "copies", schema, slice_rows=2)
+    return rounded(made.withColumn("valid", F.col("error").isNull()).drop("error", "low"))
 
 
 def modelled(s, d):
@@ -204,7 +222,8 @@ QUERIES = {
     "key_status": lambda s, d: U.key_status(keys_table(s, d), load(s, d, "events"), AS_OF, "user_id", "ts"),
     "quality_stream": quality_streamed,
     "generate_stream": generated_stream,
-    "generator_udtf": lateral,
+    "generator_udtf": replied,
+    "generator_requests": stepped,
     "map_with_model": modelled,
 }
 
@@ -250,5 +269,8 @@ CASE WHEN status <> 'active' THEN status WHEN expires_at < TIMESTAMP '2024-01-20
     "generate_to_dataset": f"""SELECT o_orderkey, {r6(f"least(greatest({SqlDraws(42, 'price/value', 'o_orderkey').uniform('x', 0.0, 50.0)}, 0.0), 50.0)")} AS price, (SELECT count(*) FROM orders) AS rows_added FROM orders ORDER BY o_orderkey LIMIT 3""",
     "generate_stream": f"SELECT o_orderkey, {r6(_d('x').normal('x', 10.0, 2.0))} AS x, CASE WHEN {_d('c').unit('x')} < 0.7::DOUBLE THEN 'a' ELSE 'b' END AS c FROM orders",
     "generator_udtf": "SELECT conv_id, turns, CAST(i AS INTEGER) AS turn_no, 'conversation ' || conv_id || ' turn ' || i AS message FROM (SELECT conv_id, count(*) AS turns, unnest(range(count(*))) AS i FROM conversations GROUP BY conv_id)",
+    "generator_requests": f"""WITH r AS (SELECT event_id, event_type, event_id % 4 AS copies, value AS low, value >= 5 AND event_type IN ('click', 'view', 'purchase', 'signup') AS valid FROM events)
+SELECT event_id, event_type, copies, i AS row_no, {r6('low + i / copies')} AS reading, valid FROM (SELECT *, unnest(range(copies)) AS i FROM r WHERE valid)
+UNION ALL SELECT event_id, event_type, copies, NULL, NULL, false FROM r WHERE NOT valid""",
     "map_with_model": "SELECT doc_id, CASE WHEN length(text) % 10 = 0 THEN 'Error generating content: length divisible by ten' ELSE length(text) || ' characters' END AS reply FROM documents",
 }

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import math
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +24,9 @@ QUOTING = ("minimal", "all", "nonnumeric", "none")
 PARQUET_CODECS = ("snappy", "gzip", "brotli", "lz4", "zstd", None)
 LARGE_CELL = 1_000_000
 
+CELL_BYTES = 64 << 20  # longer files are hashed in parts of HASHED_BYTES
+HASHED_BYTES = 4 << 20
+
 
 class ExportError(ValueError):
     """A table or setting that cannot be exported."""
@@ -172,15 +179,33 @@ def write_table(df: DataFrame, path: str, config: ExportConfig | None = None) ->
         writer.parquet(path, compression=config.parquet_compression or "none")
 
 
-def file_checksums(spark: SparkSession, folder: str, pattern: str = "part-*") -> DataFrame:
-    """(file, bytes, md5, sha256) of every output file, hashed where the file is read."""
+def _hashed_in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import pyarrow.fs as fs
+
+    for batch in batches:
+        sums = []
+        for path in batch.column("path").to_pylist():
+            local = path.startswith(("file:", "/"))  # Spark tells paths without escapes
+            system, place = (fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(quote(path, safe="/:@"))
+            md5, sha256 = hashlib.md5(), hashlib.sha256()
+            with system.open_input_stream(place, compression=None) as stream:
+                while part := stream.read(HASHED_BYTES):
+                    md5.update(part), sha256.update(part)
+            sums.append((md5.hexdigest(), sha256.hexdigest()))
+        columns = [pa.array([s[i] for s in sums], pa.string()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("bytes"), *columns], ["path", "bytes", "md5", "sha256"])
+
+
+def file_checksums(spark: SparkSession, folder: str, pattern: str = "part-*", cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """(file, bytes, md5, sha256) of every output file, hashed where the file is read.
+
+    Files of up to ``cell_bytes`` are read as one cell each, longer ones part by part in constant memory.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return files.select(
-        F.element_at(F.split("path", "/"), F.lit(-1)).alias("file"),
-        F.col("length").alias("bytes"),
-        F.md5("content").alias("md5"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+    size = F.col("length").alias("bytes")
+    cells = files.filter(F.col("length") <= cell_bytes).select("path", size, F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"))
+    long = files.filter(F.col("length") > cell_bytes).select("path", size).mapInArrow(_hashed_in_parts, "path string, bytes long, md5 string, sha256 string")
+    return cells.unionByName(long).select(F.element_at(F.split("path", "/"), F.lit(-1)).alias("file"), "bytes", "md5", "sha256")
 
 
 def memory_bytes(df: DataFrame) -> Column:
