@@ -7,7 +7,8 @@ of the row's key, the place in the text and the step: reruns, retries and other
 
 No piece has a space after another character, so every path through the lattice meets at the spaces: the lattice is
 built once for each distinct word of a block of texts, all of them at a time in numpy, and only the walk back is done
-for every occurrence.  The model's pieces are merges with ranks; a piece of rank r has the probability
+for every occurrence.  A stretch of more than LONG characters without a space goes window by window, with weights kept
+at the windows' begins only.  The model's pieces are merges with ranks; a piece of rank r has the probability
 1 / (r + RANK_SHIFT), scaled to sum up to one.  Characters without a piece are spelled as their UTF-8 bytes, as is a
 literal U+2581, which the pieces use for the space; so decoding gives back every text as it was.
 """
@@ -15,7 +16,10 @@ literal U+2581, which the pieces use for the space; so decoding gives back every
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,8 @@ RANK_SHIFT = 100.0
 SHARPNESS = 1.0
 BYTE_COST = 20.0
 TEXT_BLOCK = 2 << 20
+LONG = 2048  # characters; longer units go window by window
+WINDOW = 4096
 _LITERAL = 0x110001  # stands for a literal U+2581; no piece has it
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _TABLE_BITS = 20
@@ -110,6 +116,35 @@ def pieces(path: str) -> Pieces:
     return kept(f"pieces {path}", lambda: Pieces(path))
 
 
+def _in_pieces(raw: np.ndarray) -> np.ndarray:
+    """Characters as the pieces have them."""
+    return np.where(raw == 32, np.uint32(ord(SPACE)), np.where(raw == ord(SPACE), np.uint32(_LITERAL), raw))
+
+
+def _spelled(raw: np.ndarray) -> np.ndarray:
+    """How many bytes spell each character."""
+    return (1 + (raw >= 0x80).astype(np.int8) + (raw >= 0x800) + (raw >= 0x10000)).astype(np.int8)
+
+
+def _edges(p: Pieces, chars: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, size and id of all pieces that fit, shorter ones first; -1 is a character without a piece; left tells the characters up to a unit's end."""
+    mixed_chars = mixed(chars.astype(np.uint64))
+    at, h = np.arange(len(chars), dtype=np.int32), np.zeros(len(chars), np.uint64)
+    begins, lengths, ids = [], [], []
+    for size in range(1, p.longest + 1):
+        fits = left[at] >= size
+        at, h = at[fits], h[fits]
+        if not len(at):
+            break
+        h = h * _STEP + mixed_chars[at + (size - 1)]
+        found = p.find(h)
+        hit = found >= 0 if size > 1 else found >= -2
+        begins.append(at[hit]), ids.append(np.maximum(found[hit], -1)), lengths.append(np.full(len(begins[-1]), size, np.int32))
+        on = found > -2
+        at, h = at[on], h[on]
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int32) for x in (begins, lengths, ids))
+
+
 class Lattice:
     """All pieces that fit into some distinct units, with the chance of each to be the last one on the way to its end.
 
@@ -122,27 +157,12 @@ class Lattice:
         chars = self.raw = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
         before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[at]
         sizes = np.diff(before).astype(np.int32)
-        chars = np.where(chars == 32, np.uint32(ord(SPACE)), np.where(chars == ord(SPACE), np.uint32(_LITERAL), chars))
+        chars = _in_pieces(chars)
         unit = np.repeat(np.arange(len(units), dtype=np.int32), sizes)
         place = np.arange(len(chars), dtype=np.int32)
         char_end = before[1:].astype(np.int32)
-        left = char_end[unit] - place
-        mixed_chars = mixed(chars.astype(np.uint64))
-        at, h = place, np.zeros(len(chars), np.uint64)
-        begins, lengths, ids = [], [], []
-        for size in range(1, p.longest + 1):
-            fits = left[at] >= size
-            at, h = at[fits], h[fits]
-            if not len(at):
-                break
-            h = h * _STEP + mixed_chars[at + (size - 1)]
-            found = p.find(h)
-            hit = found >= 0 if size > 1 else found >= -2
-            begins.append(at[hit]), ids.append(np.maximum(found[hit], -1)), lengths.append(np.full(len(begins[-1]), size, np.int32))
-            on = found > -2
-            at, h = at[on], h[on]
-        begin, size, piece = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (begins, lengths, ids))
-        n_bytes = (1 + (self.raw >= 0x80).astype(np.int8) + (self.raw >= 0x800) + (self.raw >= 0x10000)).astype(np.int8)
+        begin, size, piece = _edges(p, chars, char_end[unit] - place)
+        n_bytes = _spelled(self.raw)
         self.start = (before[:-1] + np.arange(len(units))).astype(np.int32)
         self.end = self.start + sizes
         source = begin + unit[begin]
@@ -176,7 +196,7 @@ class Lattice:
             reach[target[a:b][heads]] = top[heads] + np.log(total)
             sums = np.cumsum(weight)
             self.share[a:b] = (sums - np.repeat(sums[heads] - weight[heads], runs)) / np.repeat(total, runs)
-        last = np.append(group[1:], len(target)) - 1
+        last = np.append(group[1:], len(target))[: len(group)] - 1
         self.share[last] = 2.0
 
     def sample(self, units: np.ndarray, seeds: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -209,6 +229,61 @@ class Lattice:
         return out, counts
 
 
+class LongUnit:
+    """The same lattice for one long unit, window by window: memory does not grow with its length but for characters and ids.
+
+    Forward, only the weights of the ways to the last nodes before each window are kept; backward, a window's edges are
+    found again.  Draws are those of Lattice.sample.
+    """
+
+    def __init__(self, p: Pieces, raw: np.ndarray, sharpness: float):
+        self.p, self.raw, self.sharpness = p, raw, sharpness
+        self.reach = [[0.0]]
+        for a in range(0, len(raw) - WINDOW, WINDOW):
+            self.reach.append(self._window(a, self.reach[-1])[0][-p.longest :])
+
+    def _window(self, a: int, reach: list[float]) -> tuple[list[float], list[int], list[int], list[int], list[float]]:
+        """Weights of the ways to the nodes up to this window's end, from those given to the last ones up to a; then each
+        node's first edge, and the source, piece and share of all edges that end in the window."""
+        p, b = self.p, min(len(self.raw), a + WINDOW)
+        low = a + 1 - len(reach)
+        raw = self.raw[low:b]
+        begin, size, piece = _edges(p, _in_pieces(raw), len(raw) - np.arange(len(raw)))
+        inside = np.flatnonzero(begin + size > a - low)
+        inside = inside[np.argsort((begin + size)[inside], kind="stable")]
+        begin, end, piece = begin[inside], (begin + size)[inside], piece[inside]
+        cost = np.where(piece >= 0, p.log_p[piece], -BYTE_COST * _spelled(raw)[begin]) * self.sharpness
+        first = np.searchsorted(end, np.arange(a - low + 1, b - low + 2)).tolist()
+        source, cost, way, share = begin.tolist(), cost.tolist(), list(reach), []
+        for i, j in zip(first, first[1:]):  # noqa: B905
+            ways = [way[source[k]] + cost[k] for k in range(i, j)]
+            top = max(ways)
+            sums = list(accumulate([exp(w - top) for w in ways]))
+            way.append(top + log(sums[-1]))
+            share += [x / sums[-1] for x in sums]
+            share[-1] = 2.0
+        return way, first, (begin + low).tolist(), piece.tolist(), share
+
+    def sample(self, seed: int) -> np.ndarray:
+        out, node, step, draws = array("i"), len(self.raw), 0, []
+        for w in range(len(self.reach) - 1, -1, -1):
+            a = w * WINDOW
+            _, first, source, piece, share = self._window(a, self.reach[w])
+            while node > a:
+                if step % WINDOW == 0:
+                    steps = np.arange(step, step + WINDOW, dtype=np.uint64)
+                    draws = ((mixed(np.uint64(seed) + steps * _STEP) >> np.uint64(11)).astype(np.float64) * 2.0**-53).tolist()
+                u, edge = draws[step % WINDOW], first[node - a - 1]
+                while u >= share[edge]:
+                    edge += 1
+                if piece[edge] >= 0:
+                    out.append(piece[edge])
+                else:
+                    out.extend(self.p.bytes[list(chr(self.raw[node - 1]).encode())][::-1].tolist())
+                node, step = source[edge], step + 1
+        return np.frombuffer(out, np.int32)[::-1]
+
+
 def _units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The texts, each after a space of its own, in stretches that end before a space or around a line feed; how many each has."""
     spaced = pc.binary_join_element_wise(pa.scalar(" "), texts.cast(pa.string()), pa.scalar(""))
@@ -232,11 +307,23 @@ def sampled(texts: pa.Array, seeds: np.ndarray, p: Pieces, sharpness: float = SH
     if not len(units):
         return np.zeros(0, np.int32), per_text
     coded = units.dictionary_encode()
-    lattice = Lattice(p, coded.dictionary, sharpness)
+    distinct, which = coded.dictionary, coded.indices.to_numpy()
+    far = pc.utf8_length(distinct.cast(pa.string())).to_numpy() > LONG
+    lattice = Lattice(p, pc.if_else(pa.array(far), b"", distinct) if far.any() else distinct, sharpness)
     first = np.cumsum(per_text) - per_text
     number = np.arange(len(units)) - np.repeat(first, per_text)
     unit_seeds = mixed(np.repeat(seeds, per_text) + number.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    ids, counts = lattice.sample(coded.indices.to_numpy(), unit_seeds, p)
+    long = far[which]
+    ids, counts = lattice.sample(which[~long], unit_seeds[~long], p)
+    if far.any():
+        raw = lambda u: np.frombuffer(distinct[int(u)].as_py().decode().encode("utf-32-le"), np.uint32)
+        spread = {u: LongUnit(p, raw(u), sharpness) for u in np.flatnonzero(far).tolist()}
+        drawn = [spread[u].sample(seed) for u, seed in zip(which[long].tolist(), unit_seeds[long].tolist(), strict=True)]
+        every = np.empty(len(units), np.int64)
+        every[~long], every[long] = counts, [len(x) for x in drawn]
+        of_long, out = np.repeat(long, every), np.empty(every.sum(), np.int32)
+        out[~of_long], out[of_long] = ids, np.concatenate(drawn)
+        ids, counts = out, every
     ends = np.concatenate([[0], np.cumsum(counts)])
     return ids, ends[first + per_text] - ends[first]
 

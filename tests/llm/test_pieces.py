@@ -1,5 +1,6 @@
 import itertools
 import math
+import time
 from collections import Counter
 
 import numpy as np
@@ -76,3 +77,23 @@ def test_keys_differ(docs):
 def test_clashing_names(docs):
     with pytest.raises(ValueError, match="n_pieces"):
         pieces.encode(docs([(1, "a")]).withColumnRenamed("n_chars", "n_pieces"), keep=["doc_id", "n_pieces"])
+
+
+@pytest.mark.parametrize("window", [1, 5, 64, 4096])
+def test_long_units_draw_as_short_ones(monkeypatch, window):
+    """Windows of any size give the ids of the whole lattice, characters without a piece and literal U+2581 included."""
+    rng = np.random.default_rng(3)
+    alphabet = list("abcdefghijstmnoe▁é語😀")
+    texts = ["".join(rng.choice(alphabet, n)) for n in (0, 1, 40, 300, 1900)] + ["a b " + "there" * 200 + " c", "there" * 200, None, "there" * 200, " " * 900, "x\n" + "=" * 500]
+    want = texts_of(texts, sharpness=0.3)
+    monkeypatch.setattr(pieces, "LONG", 30)
+    monkeypatch.setattr(pieces, "WINDOW", window)
+    assert texts_of(texts, sharpness=0.3) == want
+    assert texts_of([texts[4]], np.array([4], np.uint64), 0.3) == want[4:5]
+
+
+def test_text_of_a_megabyte_without_spaces():
+    text = "".join(np.random.default_rng(1).choice(list("ABCDEFabcdef0123456789+/"), 1_000_000))
+    start = time.perf_counter()
+    (ids,) = texts_of([text])
+    assert pieces.joined(ids, P) == text and time.perf_counter() - start < 60
