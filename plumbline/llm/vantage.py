@@ -1,13 +1,14 @@
 """Nearest neighbours by vantage-point trees.
 
-Vectors are dealt by hash into shards of bounded size, and each shard gets a tree: a node's vantage point parts the
-vectors below it at the median of their distances to it, and both sides keep the range of these distances.  By the
-triangle inequality a side can hold nothing nearer than the gap between the query's distance and that range; it is
-skipped if the gap exceeds factor times the distance of the worst neighbour found so far.  Factor 1 is exact search, a
-smaller one skips more and may miss neighbours.
-
-Queries go through the trees in blocks of bounded size, a task for each pair of shard and block; the best of each
-shard are merged by query.  Trees are written once, as one row a shard.
+A node's vantage point parts the vectors below it at the median of their distances to it.  By the triangle inequality
+a side can hold nothing nearer than the gap between the query's distance and the side's range; it is skipped if the gap
+exceeds factor times the distance of the worst neighbour found so far.  Factor 1 is exact search, a smaller one skips
+more and may miss neighbours.
+
+The first levels are fitted on a bounded sample and part all vectors into leaves; a leaf of too many rows is dealt into
+several shards, copies of one row included, and each shard gets a tree of its own, written once, as one row.  Queries
+search the leaf that they fall into; the worst neighbour found there tells which other leaves they can't skip.  A task
+is a shard and a block of queries of bounded size; the best of all shards are merged by query.
 """
 
 from __future__ import annotations
@@ -25,8 +26,12 @@ from plumbline.llm.common import written
 NEIGHBOURS = 10
 FACTOR = 1.0
 SHARD_ROWS = 20_000
+SHARD_BYTES = 64 << 20
 BLOCK_QUERIES = 1_000
 LEAF = 128
+SAMPLE_BYTES = 16 << 20  # of vectors that the first levels are fitted on
+SAMPLE_ROWS = 16_384
+LEVELS = 12
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -83,10 +88,14 @@ class Tree:
         tree.squares = np.einsum("ij,ij->i", tree.vectors, tree.vectors)
         return tree
 
-    def search(self, own: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the k nearest, nearest first, ties by id; rows of the query's own id are left out."""
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int, factor: float, worst: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and distances of the k nearest, nearest first, ties by id; rows of the query's own id are left out.
+
+        Those farther than worst are not looked for; a place without a neighbour has a greater distance than that.
+        """
         ids = np.full((len(queries), k), np.iinfo(np.int64).max)
-        best = np.full((len(queries), k), np.inf)
+        beyond = np.full(len(queries), np.inf) if worst is None else np.nextafter(worst, np.inf)
+        best = np.repeat(beyond[:, None], k, axis=1)
         squares = np.einsum("ij,ij->i", queries, queries)
 
         def offer(a: int, b: int, qs: np.ndarray) -> None:
@@ -130,6 +139,42 @@ class Tree:
         return ids, best
 
 
+class Top:
+    """The first levels of the tree of all vectors of one length: node n has the nodes 2n + 1 (not farther than its cut) and 2n + 2."""
+
+    def __init__(self, sample: np.ndarray, levels: int):
+        self.levels = levels
+        self.points, self.cuts = np.zeros((2**levels - 1, sample.shape[1])), np.full(2**levels - 1, np.inf)
+        rng = np.random.default_rng(11)
+        below = [np.arange(len(sample))]
+        for n in range(2**levels - 1):
+            rest = below[n]
+            if len(rest):
+                self.points[n] = sample[rest[rng.integers(len(rest))]]
+                far = distances(sample[rest], self.points[n][None])
+                self.cuts[n] = np.median(far)
+                below += [rest[far <= self.cuts[n]], rest[far > self.cuts[n]]]
+            else:
+                below += [rest, rest]
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(x), np.int64)
+        for _ in range(self.levels):
+            node = 2 * node + 1 + (distances(x, self.points[node]) > self.cuts[node])
+        return node - (2**self.levels - 1)
+
+    def reached(self, x: np.ndarray, worst: np.ndarray) -> list[np.ndarray]:
+        """For each row the leaves that may hold a vector not farther than worst."""
+        row, node, gap = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x))
+        for _ in range(self.levels):
+            d, cut = distances(x[row], self.points[node]), self.cuts[node]
+            row, node, gap = np.tile(row, 2), np.concatenate([2 * node + 1, 2 * node + 2]), np.concatenate([np.maximum(gap, d - cut), np.maximum(gap, cut - d)])
+            on = gap * (1 - 1e-12) <= worst[row]
+            row, node, gap = row[on], node[on], gap[on]
+        order = np.argsort(row, kind="stable")
+        return np.split((node - (2**self.levels - 1))[order], np.searchsorted(row[order], np.arange(1, len(x))))
+
+
 def _usable(c: Column) -> Column:
     """Not null, not empty, every component a finite number, not all zero."""
     finite = F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -143,16 +188,80 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 def _built(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     tree = Tree(rows["vec_id"].to_numpy(), _matrix(rows["vector"]))
-    return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "tree": pa.array([tree.pack()], pa.binary())})
+    return pa.table({"dim": [key[0].as_py()], "leaf": [key[1].as_py()], "part": [key[2].as_py()], "tree": [tree.pack()]}, pa.schema([("dim", pa.int32()), ("leaf", pa.int32()), ("part", pa.int32()), ("tree", pa.binary())]))
+
+
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    dims = batch.column("dim").to_numpy()
+    for dim in np.unique(dims):
+        rows = np.flatnonzero(dims == dim)
+        yield int(dim), rows, _matrix(pa.chunked_array([batch.column("vector").take(pa.array(rows))]))
+
+
+def _leaves(tops: dict[int, Top]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf = np.zeros(batch.num_rows, np.int32)
+            for dim, rows, x in _by_length(batch):
+                if dim in tops:
+                    leaf[rows] = tops[dim].leaf(x)
+            yield batch.append_column("leaf", pa.array(leaf))
+
+    return run
+
+
+def _others(tops: dict[int, Top], factor: float):
+    """The leaves that a query must still search, its own left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            home, worst = batch.column("leaf").to_numpy(), batch.column("worst").to_numpy()
+            leaves: list[np.ndarray] = [np.zeros(0, np.int64)] * batch.num_rows
+            for dim, rows, x in _by_length(batch):
+                if dim in tops:
+                    for row, found in zip(rows.tolist(), tops[dim].reached(x, factor * worst[rows]), strict=True):
+                        leaves[row] = found[found != home[row]]
+            yield batch.append_column("leaves", pa.array(leaves, pa.list_(pa.int32())))
+
+    return run
 
 
-def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
-    """(dim, shard, tree) of usable (vec_id, vector) rows, written once, and the number of shards; every row is in one tree."""
-    rows = vectors.select("*", F.size("vector").alias("dim"))
-    shards = max(1, -(-rows.count() // shard_rows))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).cast("int"))
-    built = dealt.select("dim", "shard", "vec_id", "vector").groupBy("dim", "shard").applyInArrow(_built, "dim int, shard int, tree binary")
-    return written(built, "vantage-trees"), shards
+def _with_leaf(rows: DataFrame, tops: dict[int, Top]) -> DataFrame:
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(_leaves(tops), f"{types}, leaf int")
+
+
+def _tops(rows: DataFrame, shard_rows: int) -> dict[int, Top]:
+    """First levels by length of vector, from a sample of at most SAMPLE_BYTES; lengths that it misses have one leaf."""
+    n, longest = rows.agg(F.count(F.lit(1)), F.max("dim")).first()
+    if not n:
+        return {}
+    size = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * longest)))
+    share = min(1.0, 1.2 * size / n)
+    sample: dict[int, list] = {}
+    for dim, vector in (rows.sample(share, seed=3) if share < 1 else rows).select("dim", "vector").limit(size).collect():
+        sample.setdefault(dim, []).append(vector)
+    sampled = sum(map(len, sample.values()))
+    out = {}
+    for dim, vectors in sample.items():
+        wanted = n * len(vectors) / sampled / min(shard_rows, max(1, SHARD_BYTES // (8 * dim)))
+        levels = min(LEVELS, int(np.ceil(np.log2(max(1.0, wanted)))), int(np.log2(max(1, len(vectors) // 16))))
+        if levels > 0:
+            out[dim] = Top(np.array(vectors, np.float64), levels)
+    return out
+
+
+def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, dict[int, Top]]:
+    """(dim, leaf, part, tree) of usable (vec_id, vector) rows, written once, and the first levels; every row is in one tree."""
+    rows = vectors.select("vec_id", "vector", F.size("vector").alias("dim"))
+    tops = _tops(rows, shard_rows)
+    salted = _with_leaf(rows, tops).withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
+    dealt = written(salted, "leaves")  # with the salt: a task that runs again finds it
+    parts = F.ceil(F.greatest(F.col("n") / shard_rows, F.col("n") * F.col("dim") * 8 / F.lit(SHARD_BYTES)))
+    counts = dealt.groupBy("dim", "leaf").agg(F.count(F.lit(1)).alias("n")).select("dim", "leaf", parts.alias("parts"))
+    part = F.pmod("salt", F.col("parts")).cast("int").alias("part")
+    built = dealt.join(counts, ["dim", "leaf"]).select("dim", "leaf", part, "vec_id", "vector").groupBy("dim", "leaf", "part").applyInArrow(_built, "dim int, leaf int, part int, tree binary")
+    return written(built, "vantage-trees"), tops
 
 
 def _searched(k: int, factor: float):
@@ -160,8 +269,9 @@ def _searched(k: int, factor: float):
         ids, score, query = [], [], queries["query_id"].to_numpy() if len(queries) else np.zeros(0, np.int64)
         if len(trees) and len(queries):
             tree = Tree.unpack(trees["tree"][0].as_py())
-            ids, score = tree.search(query, _matrix(queries["vector"]), k, factor)
-            found = np.isfinite(score)
+            worst = queries["worst"].to_numpy()
+            ids, score = tree.search(query, _matrix(queries["vector"]), k, factor, worst)
+            found = np.isfinite(score) & (score <= worst[:, None])
             query = np.repeat(query, found.sum(axis=1))
             ids, score = ids[found], score[found]
         else:
@@ -171,6 +281,18 @@ def _searched(k: int, factor: float):
     return run
 
 
+def _met(trees: DataFrame, asked: DataFrame, k: int, factor: float, block: int) -> DataFrame:
+    """The best of each shard of a leaf for (dim, leaf, query_id, vector, worst), block by block of queries."""
+    leaf = ["dim", "leaf"]
+    blocks = asked.groupBy(*leaf).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    parts = trees.select(*[F.col(c).alias(c) for c in (*leaf, "part")])
+    spread = asked.join(blocks, leaf).join(parts, leaf).withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(7)), F.col("blocks")).cast("int"))
+    repeated = trees.join(blocks, leaf).select(*leaf, "part", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"), "tree")
+    key = [*leaf, "part", "block"]
+    rows = spread.select(*key, "query_id", "vector", "worst")
+    return repeated.groupBy(*key).cogroup(rows.groupBy(*key)).applyInArrow(_searched(k, factor), "query_id long, vec_id long, score double")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = NEIGHBOURS, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, block: int = BLOCK_QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest vectors of each query by Euclidean distance, rows of its own id left out.
 
@@ -183,16 +305,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vect
         rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
         return rows.filter(F.col("vec_id").isNotNull() & _usable(F.col("vector")))
 
-    trees, shards = index(usable(vectors), shard_rows)
-    asked = written(usable(queries).select(F.col("vec_id").alias("query_id"), "vector", F.size("vector").alias("dim")).distinct(), "queries")
-    blocks = max(1, -(-asked.count() // block))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(7)), F.lit(blocks)).cast("int"))
-    spread = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", "query_id", "vector")
-    repeated = trees.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "tree")
-    key = ["dim", "shard", "block"]
-    met = repeated.groupBy(*key).cogroup(spread.groupBy(*key)).applyInArrow(_searched(k, factor), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return met.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
+    trees, tops = index(usable(vectors), shard_rows)
+    distinct = usable(queries).select(F.col("vec_id").alias("query_id"), "vector", F.size("vector").alias("dim")).distinct()
+    asked = written(_with_leaf(distinct, tops), "queries")
+    at_home = written(_met(trees, asked.withColumn("worst", F.lit(float("inf"))), k, factor, block), "neighbours-at-home")
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    at_home = at_home.withColumn("rank", best).filter(F.col("rank") <= k).drop("rank")
+    worst = at_home.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("score")).alias("worst"))
+    known = asked.join(worst, "query_id", "left").fillna({"worst": float("inf")})
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in known.schema)
+    left = written(known.mapInArrow(_others(tops, factor), f"{types}, leaves array<int>"), "leaves-to-search")
+    elsewhere = _met(trees, left.select("dim", F.explode("leaves").alias("leaf"), "query_id", "vector", "worst"), k, factor, block)
+    found = at_home.unionByName(elsewhere).withColumn("rank", best)
+    return found.filter(F.col("rank") <= k).select("query_id", F.col("rank"), "vec_id", "score")
 
 
 def query(spark, folder: str) -> DataFrame:

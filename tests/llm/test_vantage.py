@@ -47,3 +47,42 @@ def test_empty(spark):
     some = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>")
     assert vantage.nearest(none, none).count() == 0 and vantage.nearest(some, none).count() == 0
     assert vantage.nearest(none, some).count() == 0 and vantage.nearest(some, some).count() == 0
+
+
+def clustered(n, dim=16, centres=40):
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(centres, dim)) * 10
+    return middle[rng.integers(centres, size=n)] + rng.normal(size=(n, dim))
+
+
+def test_far_leaves_are_not_searched():
+    """On vectors in clusters most leaves are ruled out, and none that holds one of the nearest."""
+    x = clustered(8000)
+    top = vantage.Top(x[::4], 6)
+    leaf, queries = top.leaf(x), x[:200]
+    far = np.sqrt(((queries[:, None] - x[None]) ** 2).sum(-1))
+    worst = np.sort(far, axis=1)[:, 10]
+    found = top.reached(queries, worst)
+    assert all(set(leaf[far[i] <= worst[i]].tolist()) <= set(found[i].tolist()) for i in range(200))
+    assert sum(map(len, found)) < 0.25 * 200 * 64
+
+
+def test_clusters_and_copies(spark):
+    """A third of all rows are copies of one row: they are dealt into shards of their own size, and told as the search of all tells them."""
+    x = clustered(600, 5, 6)
+    rows = [(i, x[i].tolist()) for i in range(600)] + [(5000, x[3].tolist())] * 300
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    trees, tops = vantage.index(df.select("vec_id", df["embedding"].alias("vector")), 50)
+    sizes = [len(vantage.Tree.unpack(bytes(r["tree"])).ids) for r in trees.collect()]
+    assert sum(sizes) == 900 and max(sizes) <= 100 and tops[5].levels >= 4
+    found = vantage.nearest(df, df.filter("vec_id % 100 = 0"), shard_rows=50, block=2).collect()
+    want = brute(rows, {i for i, _ in rows if i % 100 == 0}, 10)
+    assert {tuple(r) for r in found} == want
+
+
+def test_recall_of_relaxed_search(spark):
+    x = clustered(3000)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    queries = df.filter("vec_id % 30 = 0")
+    exact, relaxed = ({(r["query_id"], r["vec_id"]) for r in vantage.nearest(df, queries, factor=f, shard_rows=100).collect()} for f in (1.0, 0.5))
+    assert len(exact) == 1000 and len(exact & relaxed) >= 900
