@@ -163,6 +163,15 @@ def validated(s, d):
     return rounded(validation_report(events, "event_id", schema))
 
 
+SCORED_SCHEMA = {"type": "object", "required": ["user_id", "value"], "properties": {"value": {"type": "number", "minimum": 5}, "event_type": {"enum": ["click", "view", "purchase", "signup"]}}}
+
+
+def validated_scores(s, d):
+    """The report's parts that SQL can tell too: all but the forest and the normality test."""
+    events = load(s, d, "events").select("event_id", "user_id", "value", "event_type", "props")
+    return rounded(validation_report(events, "event_id", SCORED_SCHEMA, statistics=False, anomalies=False))
+
+
 def distances(s, d):
     made, real = sides(s, d)
     return C.ecdf_distances(made, real, WIDE)
@@ -189,6 +198,7 @@ QUERIES = {
     "benchmark_suite": lambda s, d: rounded(suite(s, d)),
     "comparison_summary": lambda s, d: rounded(comparison(s, d)),
     "validation_report": validated,
+    "validation_report_scores": validated_scores,
     "benchmark_report": lambda s, d: benchmark_report(one_score(s, d), load(s, d, "customer"), load(s, d, "supplier")),
     "disclosure_risk": lambda s, d: rounded(V.disclosure_risk(*risky(s, d))),
     "k_anonymity": lambda s, d: V.k_anonymity(order_groups(s, d), ["o_orderstatus", "o_orderpriority", "month"], 5),
@@ -246,7 +256,25 @@ def _uniform(name: str, e: str) -> str:
 
 _kolmogorov = "least(greatest(list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0::DOUBLE END) * exp(-2.0::DOUBLE * k * k * n * st * st))), 0.0), 1.0)"
 
+def _report() -> str:
+    columns, texts, numbers = ["user_id", "value", "event_type", "props"], ["event_type", "props"], ["user_id", "value"]
+    row = lambda section, column, metric, value, rest="FROM events": f"""SELECT '{section}' AS section, '{column}' AS "column", '{metric}' AS metric, {r6(f'({value})::DOUBLE')} AS value {rest}"""
+    valid = "count(*) FILTER (WHERE user_id IS NOT NULL AND value >= 5 AND event_type IN ('click', 'view', 'purchase', 'signup'))"
+    filled = f"({' + '.join(f'count({c})' for c in columns)}) / (4 * count(*))"
+    parts = [row("schema", "*", "valid_records", valid), row("schema", "*", "total_records", "count(*)"), row("schema", "*", "validation_score", f"{valid} / count(*)")]
+    parts += [row("quality", c, "completeness", f"count({c}) / count(*)") for c in columns] + [row("quality", "*", "completeness", filled)]
+    parts += [row("quality", c, "uniqueness", f"count(DISTINCT {c}) / count(*)") for c in columns]
+    for c in texts:
+        parts += [row("quality", c, "avg_length", f"avg(length({c}))"), row("quality", c, "length_std", f"stddev_samp(length({c}))"), row("quality", c, "format_consistency", f"1 - stddev_samp(length({c})) / avg(length({c}))")]
+    for c in numbers:
+        parts += [row("quality", c, "mean", f"avg({c})"), row("quality", c, "std", f"stddev_samp({c})"), row("quality", c, "coefficient_of_variation", f"stddev_samp({c}) / avg({c})")]
+        cuts = f"(SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM events)"
+        parts.append(row("quality", c, "outliers", "count(*)", f"FROM events, {cuts} WHERE {c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a) HAVING count(*) > 0"))
+    return union(parts + [row("overall", "*", "overall_score", f"({valid} / count(*) + {filled}) / 2")])
+
+
 ORACLE = {
+    "validation_report_scores": _report(),
     "normality_test": NORMALITY,
     "uniformity_test": f"""WITH u AS ({union([_uniform('q', 'l_quantity / 50.0::DOUBLE'), _uniform('p', 'l_extendedprice / 100000.0::DOUBLE'), _uniform('t', 'l_tax * 12.0::DOUBLE')])}),
 p AS (SELECT *, {_kolmogorov} AS p FROM u) SELECT col AS "column", n, {r6('st')} AS statistic, {r6('p')} AS p_value, p > 0.05 AS valid FROM p""",
