@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.draws import Draws
+from plumbline.operators.forests import forest_predictions
 from plumbline.operators.profile import share
 from plumbline.operators.ranks import exact_quantiles
 from plumbline.operators.shaping import impute_mean, label_encode, standardize
@@ -87,13 +88,9 @@ def ml_utility(df: DataFrame, target: str, seed: int = 42, trees: int = UTILITY_
     """One row: task, utility_score and the metrics of a random forest on a held-out fifth.
 
     Text features and a text target become ranks of their sorted values; dates are
-    left out.  ``depth`` bounds the trees, 30 is the most that Spark grows.  Without features, and for a text
+    left out.  ``depth`` bounds the trees.  Without features, and for a text
     target of more than MOST_CLASSES values, the task is unknown and the score 0: nothing is fitted.
     """
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
     spark = df.sparkSession
     kinds = {f.name: f.dataType for f in df.schema.fields}
     classify = isinstance(kinds[target], T.StringType)
@@ -123,20 +120,17 @@ def ml_utility(df: DataFrame, target: str, seed: int = 42, trees: int = UTILITY_
         classes = (work.agg(F.max("_y")).first()[0] or 0) + 1
         if classes > MOST_CLASSES:
             return result("unknown", F.lit(0.0), {}, spark.range(1))
-        label = F.col("_y").cast("double").alias("label", metadata={"ml_attr": {"type": "nominal", "num_vals": int(classes)}})
+        label = F.col("_y").cast("double").alias("label")
     else:
         work = work.where(F.col(quoted(target)).isNotNull())
         label = F.col(quoted(target)).cast("double").alias("label")
     if not features:
         return result("unknown", F.lit(0.0), {}, spark.range(1))
-    work = impute_mean(work.select("_row", label, *[quoted(f) for f in features]), features)
-    ready = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(work)
-    # plain vectors: without nominal metadata every feature is split by threshold, whatever its number of values
-    ready = ready.select("_row", "label", F.col("features").alias("features", metadata={}))
-    train, test = train_test_split(ready, "_row", TEST_SHARE, seed)
-    settings = dict(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)
-    model = (RandomForestClassifier(**settings) if classify else RandomForestRegressor(**settings)).fit(train)
-    predicted = model.transform(test)
+    numbered = {f: f"_x{i}" for i, f in enumerate(features)}
+    work = work.select("_row", label, *[F.col(quoted(f)).alias(n) for f, n in numbered.items()])
+    features = list(numbered.values())
+    work = impute_mean(work, features)
+    predicted = forest_predictions(work, features, held_out(F.col("_row"), TEST_SHARE, seed), classify, trees, depth, seed)
     if classify:
         m = classification_metrics(predicted)
         return result("classification", F.col("f1"), {c: F.col(c) for c in ("accuracy", "precision", "recall", "f1")}, m)
