@@ -1,6 +1,7 @@
 """Order-dependent operators, range joins, differences and mergeable states on small tables: ties, missing cells, hot keys."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -263,3 +264,23 @@ def test_session_stream(spark, tmp_path):
     S.run_to_table(S.session_stream(stream, ["k"], "ts", "10 seconds", "20 seconds"), str(tmp_path / "out"), str(tmp_path / "state"))
     got = {(r["k"], (r["begin"] - at).seconds, r["events"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("a", 0, 2), ("b", 7, 1), ("a", 30, 1), (None, 3, 1)}
+
+
+def test_time_frames_of_dense_rows(spark):
+    """Frames of thousands of instants each: every row costs the same."""
+    n = 60_000
+    df = spark.range(n).select("id", F.col("id").alias("t"), (F.col("id") * 7919 % 1009).cast("double").alias("v"))
+    began = time.time()
+    found = O.time_frames(df, [], "t", 20_000, {"n": ("count", "v"), "s": ("sum", "v"), "low": ("min", "v"), "high": ("max", "v"), "m": ("avg", "v")}, 1000).toPandas().sort_values("id")
+    seconds = time.time() - began
+    v = df.toPandas().sort_values("id")["v"]
+    near = v.rolling(20_001, min_periods=1)
+    for name, want in (("n", near.count()), ("s", near.sum()), ("low", near.min()), ("high", near.max()), ("m", near.mean())):
+        assert np.allclose(found[name].to_numpy(float), want.to_numpy(float))
+    assert seconds < 60  # a sliding frame of Spark takes over 5 minutes
+
+
+def test_time_frames_of_no_width(spark):
+    df = spark.createDataFrame([(1, 5.0, 1), (2, 5.0, 2), (3, 5.5, 4), (4, None, 8), (5, 5.5, None)], "id int, t double, v int")
+    got = {r["id"]: (r["n"], r["s"], r["m"]) for r in O.time_frames(df, [], "t", 0, {"n": ("count", "v"), "s": ("sum", "v"), "m": ("avg", "v")}).collect()}
+    assert got == {1: (2, 3, 1.5), 2: (2, 3, 1.5), 3: (1, 4, 4.0), 5: (1, 4, 4.0), 4: (None, None, None)}
