@@ -246,20 +246,31 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
 
 
 def schema_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
-    count = distinct_counter(approximate)
+    """Position, column, type, nulls, distinct non-null values and rows.  Exact counts group (position, value), columns of one type together."""
     types = dict(df.dtypes)
-    rows = [
-        F.struct(
-            F.lit(i).alias("position"),
-            F.lit(c).alias("column"),
-            F.lit(types[c]).alias("type"),
-            F.count_if(F.col(quoted(c)).isNull()).alias("nulls"),
-            count(F.col(quoted(c))).alias("distinct_values"),
-            F.count(F.lit(1)).alias("total_rows"),
-        )
-        for i, c in enumerate(df.columns)
-    ]
-    return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+    if approximate:
+        rows = [
+            F.struct(
+                F.lit(i).alias("position"),
+                F.lit(c).alias("column"),
+                F.lit(types[c]).alias("type"),
+                F.count_if(F.col(quoted(c)).isNull()).alias("nulls"),
+                F.approx_count_distinct(F.col(quoted(c))).alias("distinct_values"),
+                F.count(F.lit(1)).alias("total_rows"),
+            )
+            for i, c in enumerate(df.columns)
+        ]
+        return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+    parts = []
+    for kind in dict.fromkeys(types.values()):
+        cells = [F.struct(F.lit(i).alias("position"), F.col(quoted(c)).alias("value")) for i, c in enumerate(df.columns) if types[c] == kind]
+        values = df.select(F.inline(F.array(*cells))).groupBy("position", "value").agg(F.count(F.lit(1)).alias("n"))
+        parts.append(values.groupBy("position").agg(F.sum(F.when(F.col("value").isNull(), F.col("n"))).alias("nulls"), F.count("value").alias("distinct_values"), F.sum("n").alias("total_rows")))
+    zero = F.lit(0).cast("long")
+    columns = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(types[c]).alias("type")) for i, c in enumerate(df.columns)]
+    listed = df.sparkSession.range(1).select(F.inline(F.array(*columns)))  # a table without rows has its columns too
+    counted = F.broadcast(functools.reduce(DataFrame.unionByName, parts))  # a row a column
+    return listed.join(counted, "position", "left").select("position", "column", "type", *[F.coalesce(c, zero).alias(c) for c in ("nulls", "distinct_values", "total_rows")])
 
 
 def quality_report(df: DataFrame) -> DataFrame:

@@ -225,6 +225,15 @@ def test_recorded_overall_score(spark):
     assert [r["score"] for r in C.recommendations(scored).orderBy("position").collect()] == ["statistical_fidelity", "ml_utility_score", "overall_quality_score"]
 
 
+def test_schema_profile_groups_narrow_rows(spark):
+    """A row of the plan's expansion holds one value, not every column."""
+    df = spark.createDataFrame([(1, 0.0, "a", 2), (2, -0.0, None, 2), (None, float("nan"), "a", None), (2, float("nan"), "b", 3)], "a int, b double, c string, d int")
+    found = P.schema_profile(df)
+    assert sorted(rows(found)) == [(0, "a", "int", 1, 2, 4), (1, "b", "double", 0, 2, 4), (2, "c", "string", 1, 2, 4), (3, "d", "int", 1, 2, 4)]
+    assert rows(P.schema_profile(df.limit(0)).orderBy("position"))[3] == (3, "d", "int", 0, 0, 0)
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_correlation_check(spark):
     df = spark.createDataFrame([(float(i), 2.0 * i, 1.0) for i in range(10)], "a double, b double, c double")
     got = {(r[0], r[1]): r["valid"] for r in C.correlation_check(df, {("a", "b"): 0.95, ("b", "a"): 0.5, ("a", "c"): 0.9, ("a", "x"): 0.1}).collect()}
