@@ -18,6 +18,8 @@ from plumbline.sources.readers import ARTICLE_SCHEMA, ENTRY_SCHEMA, articles, en
 
 RANGE_BYTES = 64 << 20
 CHUNK = 1 << 20
+# Read behind a range for its last record, at first.
+BEYOND = 1 << 13
 
 
 def records(stream: BinaryIO, tag: str, begin: int, end: int, chunk: int = CHUNK) -> Iterator[str]:
@@ -28,40 +30,47 @@ def records(stream: BinaryIO, tag: str, begin: int, end: int, chunk: int = CHUNK
     start, stop = re.compile(rb"<" + tag.encode() + rb"(?=[\s/>])"), b"</" + tag.encode() + b">"
     if begin:
         stream.seek(begin)
-    buffer, at, done = b"", begin, False  # buffer[0] is the byte at of the file
+    buffer, at, here = b"", begin, 0  # buffer[here] is the byte at of the file; what is before it is dropped when more is read
 
-    def more() -> bool:
-        nonlocal buffer, done
-        part = stream.read(chunk)
-        buffer, done = buffer + part, not part
-        return not done
+    def more(size: int) -> bool:
+        nonlocal buffer, here
+        part = stream.read(size)
+        buffer, here = buffer[here:] + part, 0
+        return bool(part)
+
+    def reach() -> int:
+        """To the end of the range at once, but no further than a chunk."""
+        return max(1, min(chunk, end - at - (len(buffer) - here)))
 
     while at < end:
-        found = start.search(buffer)
+        found = start.search(buffer, here)
         if not found:
-            keep = min(len(buffer), len(tag) + 1)  # a start tag may be cut here, before the byte that ends its name
-            at, buffer = at + len(buffer) - keep, buffer[len(buffer) - keep :]
-            if not more():
+            keep = min(len(buffer) - here, len(tag) + 1)  # a start tag may be cut here, before the byte that ends its name
+            at, here = at + len(buffer) - here - keep, len(buffer) - keep
+            if not more(reach()):
                 return
             continue
-        at, buffer = at + found.start(), buffer[found.start() :]
+        at, here = at + found.start() - here, found.start()
         if at >= end:
             return
-        searched = 0
+        searched, beyond = 0, BEYOND
         while True:
-            close = buffer.find(b">")
-            if close > 0 and buffer[close - 1 : close] == b"/" and b"<" not in buffer[1:close]:
-                size = close + 1  # an element without content
+            close = buffer.find(b">", here)
+            if close > here and buffer[close - 1 : close] == b"/" and buffer.find(b"<", here + 1, close) < 0:
+                size = close + 1 - here  # an element without content
                 break
-            last = buffer.find(stop, searched)
+            last = buffer.find(stop, here + searched)
             if last >= 0:
-                size = last + len(stop)
+                size = last + len(stop) - here
                 break
-            searched = max(0, len(buffer) - len(stop))
-            if not more():
+            searched = max(0, len(buffer) - here - len(stop))
+            # behind the range only the rest of one record is wanted: little at first, then more
+            left = end - at - (len(buffer) - here)
+            if not more(reach() if left > 0 else min(chunk, beyond)):
                 return
-        yield buffer[:size].decode("utf-8", "replace")
-        at, buffer = at + size, buffer[size:]
+            beyond = beyond if left > 0 else 2 * beyond
+        yield buffer[here : here + size].decode("utf-8", "replace")
+        at, here = at + size, here + size
 
 
 class _Range(InputPartition):
@@ -118,7 +127,8 @@ def _parsed(spark: SparkSession, path: str, tag: str, schema: str, range_bytes:
     raw = spark.read.format("xmlrecords").option("tag", tag).option("rangeBytes", range_bytes).option("suffix", suffix).load(path)
     # What does not parse is left out, as by the other readers, whose rejects tell it.
     parsed = F.from_xml("record", schema + ", _corrupt string", {"attributePrefix": "_", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    return raw.select(parsed.alias("e")).filter("e IS NOT NULL AND e._corrupt IS NULL").select("e.*").drop("_corrupt")
+    # Exploded, so that a record is parsed once: a plain column would be put into the filter and the columns alike.
+    return raw.select(F.explode(F.array(parsed)).alias("e")).filter("e IS NOT NULL AND e._corrupt IS NULL").select("e.*").drop("_corrupt")
 
 
 def read_article_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:

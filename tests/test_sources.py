@@ -31,6 +31,22 @@ def test_ranges_cut_anywhere():
     assert list(G.records(io.BytesIO(data[:-60]), "PubmedArticle", 0, len(data), 50)) == whole[:11] and list(G.records(io.BytesIO(b""), "a", 0, 9)) == []
 
 
+def test_small_ranges_read_the_file_once():
+    """Ranges smaller than a chunk read little more than their own bytes, and a record is no copy of all that follows it."""
+
+    class Counted(io.BytesIO):
+        got = 0
+
+        def read(self, size=-1):
+            part = super().read(size)
+            Counted.got += len(part)
+            return part
+
+    data = (b"<PubmedArticle>" + b"x" * 1500 + b"</PubmedArticle>\n") * 4000
+    found = sum(len(list(G.records(Counted(data), "PubmedArticle", a, min(a + (1 << 18), len(data))))) for a in range(0, len(data), 1 << 18))
+    assert found == 4000 and Counted.got < 1.1 * len(data)
+
+
 @pytest.mark.parametrize("size", [50, 333, 1 << 20])
 def test_article_ranges(spark, tmp_path, size):
     (tmp_path / "a.xml").write_text(FILE)
