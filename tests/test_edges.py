@@ -5,6 +5,7 @@ import math
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -410,6 +411,39 @@ def test_batch_topk(spark, block):
     assert single[0] == 150 and set(single) == set(got["q150"].values())
 
 
+@pytest.mark.parametrize("k, queries, rows_at_once, block", [(3, 256, 2048, 1 << 16), (3, 7, 64, 1 << 16), (90, 256, 300, 64), (1, 256, 2048, 1 << 20), (7000, 256, 2048, 1 << 20)])
+def test_best_rows_are_those_of_a_full_sort(monkeypatch, k, queries, rows_at_once, block):
+    monkeypatch.setattr(E, "SCORED_QUERIES", queries)
+    monkeypatch.setattr(E, "SCORED_ROWS", rows_at_once)
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(6000, 4))
+    m[100:3000] = m[rng.integers(0, 20, 2900)]  # large groups of copies
+    m[4000:4003] = 0
+    m = E._unit_rows(pa.chunked_array([pa.array(m.tolist())]))
+    wanted = m[[0, 5, 99, 150, 4001, *range(5000, 5030)]]
+    at, query, score = E._best_rows(wanted, m, k, block)
+    for i, q in enumerate(wanted):
+        sim = np.round(m @ q, 12)
+        want = sorted(range(6000), key=lambda j: (-sim[j], j))[:k]
+        assert at[query == i].tolist() == want and score[query == i] == pytest.approx(sim[want], abs=1e-11)
+    m[4500] = np.nan  # as a not-a-number in Spark's order and in DuckDB's: the greatest
+    at, query, score = E._best_rows(wanted, m, 2, block)
+    assert (at[::2] == 4500).all() and np.isnan(score[::2]).all() and not np.isnan(score[1::2]).any()
+    assert [len(c) for c in E._best_rows(wanted, m[:0], k, block)] == [len(c) for c in E._best_rows(wanted[:0], m, k, block)] == [0, 0, 0]
+
+
+def test_blocks_of_queries_do_not_copy_the_rows(spark):
+    """Each block of queries met its own copy of all rows before: 500 of them here."""
+    rng = np.random.default_rng(6)
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(1000, 8)))], "id long, vector array<double>")
+    queries = base.select(F.col("id").alias("query_id"), "vector")
+    found = E.vector_topk_batch(base, queries, 2, block_bytes=128)
+    copied = found._jdf.queryExecution().analyzed().toString()
+    assert copied.count("explode(sequence(0, 0,") == 2, copied
+    first = {r["query_id"]: r["id"] for r in found.where("place = 1").collect()}
+    assert first == {i: i for i in range(1000)}
+
+
 def test_vector_edges(spark):
     df = spark.createDataFrame([([0.0, 0.0], [1.0, 2.0]), ([3.0, 4.0], [3.0, 4.0])], "a array<float>, b array<float>")
     assert rows(df.select(cosine(F.col("a"), F.col("b")), norm(F.col("a")))) == [(0.0, 0.0), (1.0, 5.0)]
