@@ -48,6 +48,29 @@ def test_range_join_of_one_bin(spark):
     assert I.range_join(points.limit(0), spans, "x", "b", "e").count() == 0 == I.range_join(points, spans.limit(0), "x", "b", "e").count()
 
 
+@pytest.mark.parametrize(("keys", "closed"), [([], True), (["k"], False)])
+def test_range_join_in_parts_and_slices(spark, keys, closed):
+    """Numbers go on over the parts of an order, a run that many intervals reach is copied; points and bounds meet at equal times."""
+    rng = random.Random(3)
+    points = [(i, rng.choice("ab"), rng.randrange(30) / 2) for i in range(400)] + [(900, "a", float("nan")), (901, "b", float("inf"))]
+    spans = [(i, rng.choice("ab"), b / 2, (b + rng.randrange(9)) / 2) for i, b in enumerate(rng.randrange(30) for _ in range(120))] + [(200, "b", 3.0, float("inf"))]
+    tables = spark.createDataFrame(points, "id int, k string, x double"), spark.createDataFrame(spans, "id int, k string, b double, e double")
+    found = I.range_join(*tables, "x", "b", "e", keys, closed, hot=7, part_rows=50, hot_intervals=4)
+    want = [(i, j) for i, k, x in points for j, l, b, e in spans if (b <= x <= e if closed else b <= x < e) and (not keys or k == l)]
+    assert sorted((r["id"], r["interval"]["id"]) for r in found.collect()) == sorted(want)
+
+
+def test_range_join_compares_no_pairs(spark):
+    """Intervals met all points of their bins, two to eight times those they hold, and bins of up to a million points: each pair was compared."""
+    points = spark.range(20_000).select("id", F.col("id").alias("x"))
+    spans = spark.range(200).select("id", (F.col("id") * 97).alias("b"), (F.col("id") * 97 + 700).alias("e"))
+    found = I.range_join(points, spans, "x", "b", "e")
+    assert found.count() == sum(min(700, 20_000 - 97 * i) for i in range(200))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert joins and all("<=" not in line and " < " not in line for line in joins) and "BroadcastHashJoin" not in plan, plan
+
+
 # --- as-of join ----------------------------------------------------------------------------
 
 @pytest.mark.parametrize(("strict", "within", "part_rows", "n_keys"), [(False, None, 1000, 3), (True, None, 20, 3), (False, 15, 7, 1), (True, 15, 7, 1)])
