@@ -168,12 +168,17 @@ def placed(x: np.ndarray, splits: dict[int, tuple[int, int]]) -> np.ndarray:
 
 
 def _bounds(df: DataFrame, features: list[str], rows: int) -> list[np.ndarray]:
-    """At most BINS - 1 bounds for each feature: between all values of few, else between shares of about equal size."""
-    pool = df.where((F.pmod(F.xxhash64(F.lit("bounds"), "_row"), F.lit(1 << 30)) / float(1 << 30)) < min(1.0, BOUND_ROWS / max(rows, 1)))
-    sample = pool.select(*features).toPandas()
+    """At most BINS - 1 bounds for each feature: between all values of few, else between shares of about equal size.
+
+    Equal rows have one draw, which rounds their share of BOUND_ROWS up or down: copies are neither all left out nor all fetched.
+    """
+    draw = F.pmod(F.xxhash64(F.lit("bounds"), "_row"), F.lit(1 << 30)) / float(1 << 30)
+    pool = df.groupBy("_row", *features).agg(F.count(F.lit(1)).alias("_rows"))
+    pool = pool.withColumn("_drawn", F.ceil(F.col("_rows") * min(1.0, BOUND_ROWS / max(rows, 1)) - draw)).where("_drawn > 0")
+    sample = pool.select(*features, "_drawn").toPandas()
     out = []
     for f in features:
-        v = np.sort(sample[f].dropna().to_numpy(dtype=float))
+        v = np.sort(sample[f].repeat(sample["_drawn"]).dropna().to_numpy(dtype=float))
         distinct, begin = np.unique(v, return_index=True)
         ends = np.arange(1, len(distinct))
         if len(distinct) > BINS:  # the value that begins nearest to each share's begin

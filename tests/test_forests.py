@@ -57,3 +57,20 @@ def test_bootstrap_of_equal_rows():
     for n in (1, 3, 200):
         w = T.repeats(np.full(len(keys), n), 4, 1, keys)
         assert abs(w.mean() - n) < 0.05 * n and abs(w.var() - n) < 0.1 * n
+
+
+def test_bounds_of_many_equal_rows(spark, monkeypatch):
+    """One draw for all copies of a row left most tables of few different rows without a bound, so without a split."""
+    monkeypatch.setattr(T, "BOUND_ROWS", 60)
+    a = F.col("id") % 40
+    df = spark.range(40_000).select(a.cast("double").alias("a"), F.when(a < 20, "x").otherwise("y").alias("c"))
+    assert one(L.ml_utility(df, "c", trees=5))["accuracy"] > 0.8
+    hot = spark.range(3000).select(F.greatest(F.col("id"), F.lit(2000)).alias("_row")).withColumn("f", F.col("_row").cast("double"))
+    fetched = []
+    frame = type(hot)
+    read = frame.toPandas
+    monkeypatch.setattr(frame, "toPandas", lambda df: fetched.append(read(df)) or fetched[-1])
+    # 2001 of 3000 rows are one
+    (bounds,) = T._bounds(hot, ["f"], 3000)
+    assert len(fetched[0]) < 60 and fetched[0].set_index("f")["_drawn"][2000.0] in (40, 41)
+    assert len(bounds) == len(fetched[0]) - 1 and min(bounds) > 2000
