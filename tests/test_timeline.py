@@ -71,6 +71,30 @@ def test_range_join_compares_no_pairs(spark):
     assert joins and all("<=" not in line and " < " not in line for line in joins) and "BroadcastHashJoin" not in plan, plan
 
 
+@pytest.mark.parametrize(("keys", "closed"), [([], True), (["k"], False)])
+def test_range_join_by_tiles(spark, monkeypatch, keys, closed):
+    """Runs of several blocks, met by several chunks, and copied because of their pairs."""
+    for name, value in (("BLOCK", 3), ("CHUNK", 2), ("HOT_PAIRS", 40)):
+        monkeypatch.setattr(I, name, value)
+    points, spans = spans_and_points(2)
+    found = I.range_join(spark.createDataFrame(points, "id int, k string, x long"), spark.createDataFrame(spans, "id int, k string, b long, e long"), "x", "b", "e", keys, closed)
+    inside = lambda x, b, e: None not in (x, b, e) and (b <= x <= e if closed else b <= x < e)
+    want = [(i, j) for i, k, x in points for j, k2, b, e in spans if inside(x, b, e) and (not keys or (k == k2 and k))]
+    assert sorted((r["id"], r["interval"]["id"]) for r in found.collect()) == sorted(want)
+
+
+def test_range_join_of_dense_points_takes_little_disk(spark, tmp_path):
+    """Pairs came in an order that column files keep badly: 1.10 bytes each, now 0.28."""
+    points = spark.range(60_000).select(F.xxhash64("id").alias("id"), F.col("id").alias("x"))
+    spans = spark.range(150).select(F.xxhash64("id").alias("id"), (F.col("id") * 131).alias("b"), (F.col("id") * 131 + 40_000 + F.col("id") * 7 % 31).alias("e"))
+    found = I.range_join(points, spans, "x", "b", "e").select(F.col("interval.id").alias("span"), "id")
+    found.write.parquet(str(tmp_path / "pairs"))
+    n = sum(40_000 + i * 7 % 31 for i in range(150))
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == n
+    size = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    assert size < 0.5 * n, size / n
+
+
 # --- as-of join ----------------------------------------------------------------------------
 
 @pytest.mark.parametrize(("strict", "within", "part_rows", "n_keys"), [(False, None, 1000, 3), (True, None, 20, 3), (False, 15, 7, 1), (True, 15, 7, 1)])
